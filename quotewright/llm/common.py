@@ -135,3 +135,24 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
             scratch.drop(f"{name}-edges")
             return new.select("node", "comp")
         labels = new.select("node", "comp")
+
+
+def append(docs: DataFrame, text: str, make, ddl: str) -> DataFrame:
+    """docs with columns appended by Arrow batches; make() gives, once per task, a function texts -> list of Arrow arrays in ddl's order.
+
+    Columns of docs that ddl names again are replaced.
+    """
+    from pyspark.sql import types as T
+
+    new = T._parse_datatype_string(ddl)
+    plain = docs.select(*[c for c in docs.columns if c not in new.names])
+    names, where = [*plain.columns, *new.names], plain.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(where).to_pylist())], names)
+
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *new.fields]))
