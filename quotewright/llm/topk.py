@@ -116,7 +116,7 @@ def search(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY,
         reached = counts.withColumn("cum", F.sum("n").over(above)).join(state, ["q", "vec_id"]).where("cum >= %d - above and cum - n < %d - above" % (k, k))
         new = reached.select("q", "vec_id", (F.col("lo") + F.col("bin") * step).alias("lo"), (F.col("above") + F.col("cum") - F.col("n")).alias("above"))
         both = state.drop("lo", "hi", "above").join(new, ["q", "vec_id"], "left")
-        return scratch.cut(both.select("q", "vec_id", F.coalesce("lo", F.lit(-bound)).alias("lo"), F.coalesce(F.col("lo") + step, F.lit(bound + 1)).alias("hi"), F.coalesce("above", F.lit(0)).alias("above"), "score", (F.col("short") | F.col("lo").isNull()).alias("short")), "state")
+        return scratch.cut(both.select("q", "vec_id", F.coalesce("lo", F.lit(-bound)).alias("lo"), F.coalesce(F.col("lo") + step, F.lit(bound + 1)).alias("hi"), F.coalesce("above", F.lit(0)).alias("above"), "score", (F.col("short") | F.col("lo").isNull()).alias("short")), "by-id" if by_id else "by-score")
 
     def rounds(state: DataFrame, by_id: bool, width: int) -> DataFrame:
         while width > 1:
