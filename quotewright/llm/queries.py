@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, neardup, packing, quality, secrets, topk
+from . import bpe, chat, fixity, langid, neardup, packing, passages, quality, secrets, topk
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
     "op2_quality_ledger": quality.op2_quality_ledger,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_repeated_passages": passages.op4_repeated_passages,
     "op5_histogram_topk": topk.op5_histogram_topk,
+    "op6_merkle_fixity": fixity.op6_merkle_fixity,
     "op7_hamming_near_duplicates": neardup.op7_hamming_near_duplicates,
     "op8_language_id": langid.op8_language_id,
     "op9_bin_slack_packing": packing.op9_bin_slack_packing,
     "op10_secret_spans": secrets.op10_secret_spans,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_merkle_fixity": fixity.ORACLE}
