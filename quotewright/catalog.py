@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import book_queries, run_queries
+
+_ALL = book_queries.QUERIES | run_queries.QUERIES
+QUERIES = {name: f for name, (f, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
