@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 def grid(spark: SparkSession, **dimensions: list) -> DataFrame:
     """One row per combination of the dimensions' values, with a case name; the grid is given by its user and small."""
-    cases = None
+    cases = spark.range(1).select()
     for name, values in dimensions.items():
-        d = spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-        cases = d if cases is None else cases.crossJoin(d)  # a product of given lists, not of data
+        cases = cases.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return cases.withColumn("case_name", F.concat_ws("__", *[F.col(c).cast("string") for c in dimensions]))
 
 
@@ -47,6 +46,7 @@ def bins(n: int) -> int:
 def histogram(df: DataFrame, value: Column, n_bins: int) -> DataFrame:
     """Counts in equal bins between the smallest and largest value; the last bin holds the largest."""
     v = df.select(value.cast("double").alias("v")).where("v is not null")
-    ends = v.agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    binned = v.crossJoin(F.broadcast(ends)).withColumn("bin", F.when(F.col("a") == F.col("b"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("a")) * n_bins / (F.col("b") - F.col("a"))), F.lit(n_bins - 1))).cast("bigint"))  # one row
+    low, high = v.agg(F.min("v"), F.max("v")).first()
+    place = F.lit(0) if low == high else F.least(F.floor((F.col("v") - F.lit(low)) * n_bins / (F.lit(high) - F.lit(low))), F.lit(n_bins - 1))
+    binned = v.select(place.cast("bigint").alias("bin"))
     return binned.groupBy("bin").agg(F.count("*").alias("n"))

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 #: The transitions that an order may make.
 ALLOWED = {
-    "new": ("live", "rejected", "partially_filled", "filled"),
-    "live": ("partially_filled", "filled", "cancelled", "expired", "cancel_pending"),
-    "partially_filled": ("partially_filled", "filled", "cancelled", "expired", "cancel_pending"),
-    "cancel_pending": ("cancelled", "partially_filled", "filled", "expired"),
+    "pending_arrival": ("live", "rejected"),
+    "live": ("partially_filled", "filled", "cancelled", "expired"),
+    "partially_filled": ("partially_filled", "filled", "cancelled", "expired"),
 }
 TERMINAL = ("filled", "cancelled", "rejected", "expired")
 
@@ -19,7 +18,7 @@ def illegal_transitions(transitions: DataFrame) -> DataFrame:
     """transitions (order_id, transition_id, new_status) whose status can't follow the order's one before."""
     spark = transitions.sparkSession
     pairs = spark.createDataFrame([(a, b) for a, bs in ALLOWED.items() for b in bs], "previous_status string, new_status string")
-    prev = F.coalesce(F.lag("new_status").over(Window.partitionBy("order_id").orderBy("transition_id")), F.lit("new"))
+    prev = F.coalesce(F.lag("new_status").over(Window.partitionBy("order_id").orderBy("transition_id")), F.lit("pending_arrival"))
     return transitions.withColumn("previous_status", prev).join(F.broadcast(pairs), ["previous_status", "new_status"], "left_anti")  # a fixed table of some twenty rows
 
 
@@ -37,24 +36,26 @@ def worst_case_exposure(orders: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def pretrade_reason(limits: dict[str, float]) -> Column:
-    """The first stateless rule an order breaks, in the contract's order, or null.
+    """The first stateless rule a quote breaks, in the contract's order, or null.
 
-    Columns: side, price_ticks, quantity, reduce_only, inventory, killed, in_session, open_quantity, open_orders, spread_ticks, volatility_ticks.
+    Columns: side, price_ticks, quantity, reduce_only, inventory, killed, in_session, open_bid, open_ask (quantities),
+    open_orders, spread_ticks, volatility_ticks. An order that validly reduces inventory passes the kill switch and the
+    position, spread and volatility rules.
     """
-    signed = F.col("inventory") + F.col("side") * F.col("quantity")
-    toward_zero = (F.abs(signed) < F.abs(F.col("inventory"))) & (F.col("inventory") * F.col("side") < 0) & (F.col("quantity") <= F.abs(F.col("inventory")))
-    opening = ~F.col("reduce_only")
+    q, side, inventory = F.col("quantity"), F.col("side"), F.col("inventory")
+    reduces = F.col("reduce_only") & (inventory * side < 0) & (q <= F.abs(inventory))
+    worst = F.when(side > 0, inventory + F.col("open_bid") + q).otherwise(-(inventory - F.col("open_ask") - q))
     return (
-        F.when((F.col("quantity") <= 0) | (F.col("price_ticks") <= 0), "invalid_order")
-        .when(F.col("reduce_only") & ~toward_zero, "invalid_order")
-        .when(opening & F.col("killed"), "kill_switch")
-        .when(opening & ~F.col("in_session"), "session_ended")
-        .when(F.col("quantity") > limits["max_order_size"], "max_order_size")
-        .when(opening & (F.col("open_quantity") + F.col("quantity") > limits["max_open_quantity"]), "max_open_quantity")
-        .when(opening & (F.col("open_orders") + 1 > limits["max_open_orders"]), "max_open_orders")
-        .when(opening & (F.abs(signed) > limits["max_position"]) & (F.abs(signed) > F.abs(F.col("inventory"))), "max_position")
-        .when(F.col("spread_ticks") > limits["max_spread_ticks"], "max_spread")
-        .when(F.col("volatility_ticks") > limits["max_volatility_ticks"], "max_volatility")
+        F.when((q <= 0) | (F.col("price_ticks") <= 0) | (F.col("spread_ticks") < 0), "invalid_order")
+        .when(F.col("reduce_only") & ~reduces, "invalid_order")
+        .when(~reduces & F.col("killed"), "kill_switch")
+        .when(~F.col("in_session"), "session_end")
+        .when(q > limits["max_order_size"], "max_order_size")
+        .when(F.col("open_bid") + F.col("open_ask") + q > limits["max_total_open_quantity"], "max_open_quantity")
+        .when(F.col("open_orders") + 1 > limits["max_open_orders"], "max_open_orders")
+        .when(~reduces & (worst > limits["max_abs_inventory"]), "position_limit")
+        .when(~reduces & (F.col("spread_ticks") < limits["minimum_spread_ticks"]), "spread_too_narrow")
+        .when(~reduces & (F.col("volatility_ticks") > limits["max_volatility_ticks"]), "volatility_too_high")
     )
 
 

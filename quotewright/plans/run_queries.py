@@ -175,8 +175,8 @@ def illegal_transitions_anti_join(spark, sf_dir):
 
 TRANSITION_SQL = """tr AS (SELECT o_orderkey AS order_id, unnest(range(len(s))) AS transition_id, unnest(s) AS new_status FROM (SELECT o_orderkey, list_concat(CASE o_orderstatus WHEN 'O' THEN ['live'] WHEN 'P' THEN ['live', 'partially_filled'] ELSE ['live', 'filled'] END,
  CASE WHEN o_orderkey % 10 = 0 THEN ['live'] ELSE CAST([] AS VARCHAR[]) END) AS s FROM orders))"""
-ILLEGAL = f"""WITH {TRANSITION_SQL}, p AS (SELECT *, coalesce(lag(new_status) OVER (PARTITION BY order_id ORDER BY transition_id), 'new') AS previous_status FROM tr)
-SELECT order_id, transition_id, previous_status, new_status FROM p WHERE new_status = 'live' AND previous_status <> 'new'"""
+ILLEGAL = f"""WITH {TRANSITION_SQL}, p AS (SELECT *, coalesce(lag(new_status) OVER (PARTITION BY order_id ORDER BY transition_id), 'pending_arrival') AS previous_status FROM tr)
+SELECT order_id, transition_id, previous_status, new_status FROM p WHERE new_status = 'live' AND previous_status <> 'pending_arrival'"""
 
 
 def order_activity_counts(spark, sf_dir):
@@ -221,15 +221,16 @@ def pretrade_first_reason(spark, sf_dir):
     """ADD rows as order requests against limits, with a context made from their sequence numbers."""
     n = F.col("sequence_number")
     e = l2(spark, sf_dir).where("event_type = 'ADD'")
-    ctx = e.select("symbol", "sequence_number", "side", "price_ticks", "quantity", (n % 5 == 0).alias("reduce_only"), (n * 31 % 121 - 60).alias("inventory"), (n % 23 == 0).alias("killed"), (n % 29 != 0).alias("in_session"), (n * 7 % 150).alias("open_quantity"), (n % 12).alias("open_orders"), (n % 9).alias("spread_ticks"), (n * 13 % 40 / 10.0).alias("volatility_ticks"))
-    reason = orders.pretrade_reason({"max_order_size": 40, "max_open_quantity": 140, "max_open_orders": 10, "max_position": 80, "max_spread_ticks": 7, "max_volatility_ticks": 3.5})
+    ctx = e.select("symbol", "sequence_number", "side", "price_ticks", "quantity", (n % 5 == 0).alias("reduce_only"), (n * 31 % 121 - 60).alias("inventory"), (n % 23 == 0).alias("killed"), (n % 29 != 0).alias("in_session"), (n * 7 % 90).alias("open_bid"), (n * 11 % 70).alias("open_ask"), (n % 12).alias("open_orders"), (n % 9).alias("spread_ticks"), (n * 13 % 40 / 10.0).alias("volatility_ticks"))
+    reason = orders.pretrade_reason({"max_order_size": 40, "max_total_open_quantity": 140, "max_open_orders": 10, "max_abs_inventory": 120, "minimum_spread_ticks": 2, "max_volatility_ticks": 3.5})
     return ctx.select("symbol", "sequence_number", F.coalesce(reason, F.lit("accepted")).alias("reason"))
 
 
-PRETRADE = f"""WITH {L2_SQL}, c AS (SELECT symbol, sequence_number, side, price_ticks, quantity, sequence_number % 5 = 0 AS ro, sequence_number * 31 % 121 - 60 AS inv, sequence_number % 23 = 0 AS killed, sequence_number % 29 <> 0 AS ses, sequence_number * 7 % 150 AS oq,
- sequence_number % 12 AS oc, sequence_number % 9 AS sp, sequence_number * 13 % 40 / CAST(10.0 AS DOUBLE) AS vol FROM l2 WHERE event_type = 'ADD'), d AS (SELECT *, inv + side * quantity AS s FROM c)
-SELECT symbol, sequence_number, CASE WHEN ro AND NOT (abs(s) < abs(inv) AND inv * side < 0 AND quantity <= abs(inv)) THEN 'invalid_order' WHEN NOT ro AND killed THEN 'kill_switch' WHEN NOT ro AND NOT ses THEN 'session_ended' WHEN quantity > 40 THEN 'max_order_size'
- WHEN NOT ro AND oq + quantity > 140 THEN 'max_open_quantity' WHEN NOT ro AND oc + 1 > 10 THEN 'max_open_orders' WHEN NOT ro AND abs(s) > 80 AND abs(s) > abs(inv) THEN 'max_position' WHEN sp > 7 THEN 'max_spread' WHEN vol > 3.5 THEN 'max_volatility' ELSE 'accepted' END AS reason FROM d"""
+PRETRADE = f"""WITH {L2_SQL}, c AS (SELECT symbol, sequence_number, side, price_ticks, quantity, sequence_number % 5 = 0 AS ro, sequence_number * 31 % 121 - 60 AS inv, sequence_number % 23 = 0 AS killed, sequence_number % 29 <> 0 AS ses, sequence_number * 7 % 90 AS ob, sequence_number * 11 % 70 AS oa,
+ sequence_number % 12 AS oc, sequence_number % 9 AS sp, sequence_number * 13 % 40 / CAST(10.0 AS DOUBLE) AS vol FROM l2 WHERE event_type = 'ADD'),
+ d AS (SELECT *, ro AND inv * side < 0 AND quantity <= abs(inv) AS red, CASE WHEN side = 1 THEN inv + ob + quantity ELSE -(inv - oa - quantity) END AS worst FROM c)
+SELECT symbol, sequence_number, CASE WHEN ro AND NOT red THEN 'invalid_order' WHEN NOT red AND killed THEN 'kill_switch' WHEN NOT ses THEN 'session_end' WHEN quantity > 40 THEN 'max_order_size' WHEN ob + oa + quantity > 140 THEN 'max_open_quantity' WHEN oc + 1 > 10 THEN 'max_open_orders'
+ WHEN NOT red AND worst > 120 THEN 'position_limit' WHEN NOT red AND sp < 2 THEN 'spread_too_narrow' WHEN NOT red AND vol > 3.5 THEN 'volatility_too_high' ELSE 'accepted' END AS reason FROM d"""
 
 
 def stale_quotes(spark, sf_dir):
