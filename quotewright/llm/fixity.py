@@ -42,9 +42,14 @@ def records(pages: DataFrame) -> DataFrame:
     return hashed.withColumn("file", file).select("page_id", "file", (F.row_number().over(order) - 1).cast("bigint").alias("place"), before.cast("bigint").alias("start"), "length", "sha256")
 
 
+def _parent(place: Column) -> Column:
+    """The place of a node's parent; the nodes left of zero end under the same root as the others."""
+    return F.when(place == -1, 0).otherwise(F.floor(place / FANOUT)).cast("bigint")
+
+
 def _up(children: DataFrame, by: list[str], place: Column) -> DataFrame:
-    """Parents of nodes (…, place, hash): at most FANOUT children each, in order."""
-    parent = F.floor(place / FANOUT).cast("bigint")
+    """Parents of nodes (…, place, hash): at most FANOUT children each (one more at zero), in order."""
+    parent = _parent(place)
     kids = F.array_sort(F.collect_list(F.struct("place", "hash")))
     return children.groupBy(*by, parent.alias("up")).agg(kids.alias("kids")).select(*by, F.col("up").alias("place"), F.sha2(F.array_join(F.transform("kids", lambda k: F.concat_ws(":", k["place"].cast("string"), k["hash"])), ","), 256).alias("hash"))
 
@@ -86,7 +91,7 @@ def audit(a: Tree, b: Tree, scratch: Scratch) -> DataFrame:
     for i in range(up, -1, -1):
         x, y = (t.over[i] if i < len(t.over) else t.over[-1].limit(0) for t in (a, b))
         if bad is not None and i + 1 < min(len(a.over), len(b.over)):  # only under what differs
-            parent = F.floor(F.col("place") / FANOUT).cast("bigint")
+            parent = _parent(F.col("place"))
             x, y = (t.withColumn("up", parent).join(bad.withColumnRenamed("place", "up"), "up", "left_semi").drop("up") for t in (x, y))
         bad = scratch.cut(_differ(x, y, ["place"]), f"bad-over-{i}")
     bad = bad.withColumnRenamed("place", "file")
@@ -95,7 +100,7 @@ def audit(a: Tree, b: Tree, scratch: Scratch) -> DataFrame:
     below = [*(list(zip(a.inner, b.inner))[-2::-1]), (a.leaves, b.leaves)]
     for i, (x, y) in enumerate(below):
         up_ = bad.withColumnRenamed("place", "up")
-        x, y = (t.select("file", "place", "hash").withColumn("up", F.floor(F.col("place") / FANOUT).cast("bigint")).join(up_, ["file", "up"], "left_semi").drop("up") for t in (x, y))
+        x, y = (t.select("file", "place", "hash").withColumn("up", _parent(F.col("place"))).join(up_, ["file", "up"], "left_semi").drop("up") for t in (x, y))
         bad = scratch.cut(_differ(x, y, ["file", "place"]), f"bad-{i}")
     return bad
 
