@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: What a word is: runs without space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
-MEMO = 500_000  # entries a worker's word memo may hold before it starts again
+MEMO = 150_000  # entries a worker's word memo may hold before it starts again
 
 _own: list[str] = []
 
@@ -55,20 +55,29 @@ class Scratch:
 
 
 class WordHash(dict):
-    """64-bit hashes of words, remembered by each Python worker."""
+    """64-bit hashes of words, remembered by each Python worker: a word's place in a table of hashes, as small integers are quick to gather."""
+
+    def __init__(self):
+        super().__init__()
+        self.table = np.zeros(1 << 16, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+        i = len(self)
+        if i >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[i] = xxhash.xxh64_intdigest(word)
+        self[word] = i
+        return i
 
 
 _hashes = WordHash()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    if len(_hashes) >= MEMO:  # between texts, so that places stay valid within one
+        _hashes.clear()
+    at = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
+    return _hashes.table[at]  # the table may have grown meanwhile
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -115,6 +124,33 @@ def texts_of(batch, column: str) -> list[bytes | None]:
     return c.cast(pa.large_binary() if pa.types.is_large_string(c.type) else pa.binary()).to_pylist()
 
 
+def views(column) -> list[np.ndarray]:
+    """The values of an Arrow binary column as arrays of 64-bit integers, without copying them."""
+    import pyarrow as pa
+
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return [flat[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+#: Bits of the map that narrowed() broadcasts: half a megabyte, whatever the input.
+MAP_BITS = 22
+
+
+def narrowed(docs: DataFrame, ids: DataFrame, doc_id: str, key: str) -> DataFrame:
+    """The rows of docs whose id may be among ids: those whose hash is marked in a bitmap of fixed size.
+
+    It goes before a join of whole texts with few ids, so that few texts are shuffled. The bitmap has at most
+    2**(MAP_BITS - 6) rows of 64 bits; where ids are too many for it, more rows pass and the join does the rest.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(1 << MAP_BITS))
+    bit = F.expr("shiftleft(1L, cast(_spot % 64 as int))")
+    marks = ids.select(spot(key).alias("_spot")).groupBy(F.expr("_spot div 64").alias("_cell")).agg(F.bit_or(bit).alias("_bits"))
+    seen = docs.withColumn("_spot", spot(doc_id)).withColumn("_cell", F.expr("_spot div 64")).join(F.broadcast(marks), "_cell")  # bounded by the map's size
+    return seen.where(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp): the smallest node reachable from each node of the undirected edges (a, b).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,44 +10,68 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
 
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
+CELL = math.log(1.05)
 
 
-def shared_keys(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """keyed (key, id, n) without the keys that only one id has."""
-    several = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key")
-    return scratch.cut(keyed.join(several, "key").select("key", "id", "n").distinct(), name)
+def shared_keys(keyed: DataFrame, scratch: Scratch, name: str, across: str | None = None) -> DataFrame:
+    """keyed (key, id, n) without the keys that only one id has, or that only one value of the column across has."""
+    ends = [F.min("id").alias("first"), F.max("id").alias("last")]
+    several = "first < last"
+    if across:
+        ends += [F.min(across).alias("one"), F.max(across).alias("other")]
+        several += " and one < other"
+    keys = keyed.groupBy("key").agg(*ends).where(several).select("key")
+    return scratch.cut(keyed.join(keys, "key").select("key", "id", "n").distinct(), name)
 
 
-def resolve(keyed: DataFrame, links: DataFrame, confirm: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """(node, comp) of the links (a, b) and of the confirmed pairs among ids that share a key; n is an id's set size.
+def resolve(keyed: DataFrame, links: DataFrame, confirm: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, name: str, alone: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, comp) of the links (a, b) and of the confirmed pairs (den * |intersection| >= num * |union|) among ids that share a key.
 
-    Each round, every member of a key's group meets one partner of another component; groups that lie in one
-    component are done. After STAR_ROUNDS rounds, or when they find nothing new, whatever pairs remain across
-    components meet. A pair is tried once.
+    keyed has (key, id, n), n an id's set size. alone(ids) gives (id, u): how many elements of an id's set no other of
+    the ids has; ids without a row have none.
+
+    The rounds first join what is easily joined: every member of a key's group meets one partner of another component,
+    from the second round on the group's most central one, that with the smallest share of elements of its own. Groups
+    that lie in one component are done. Then everything that is left across components meets, but for pairs that can't
+    reach the threshold: of an id with n elements, u of them its own, at most n - u are shared, so its partner's size s
+    obeys num * n <= den * s and num * (n + s) <= (den + num) * (n - u). Sizes are cut into cells of 5 %, and members
+    meet by key and cell; a heavily edited copy has no cell to go to. Nothing is capped, and a pair is tried once.
     """
     comps = connected_components(links, scratch, f"{name}-comps")
-    tried = None
+    tried = own = None
     turn = 0
-    fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
     while True:
         turn += 1
         member = keyed.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        member = scratch.cut(member, f"{name}-member")
-        one = F.struct("comp", "id", "n")
-        open_ = scratch.cut(member.groupBy("key").agg(F.min(one).alias("head"), F.max(one).alias("tail")).where("head.comp < tail.comp"), f"{name}-open")
-        if not open_.limit(1).count():
+        open_ = member.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("key")
+        member = scratch.cut(member.join(open_, "key"), f"{name}-member")
+        if not member.limit(1).count():
             return comps
-        active = member.join(open_, "key")
-        if turn <= STAR_ROUNDS:  # the partners alternate between a group's ends
-            ends = ("head", "tail") if turn % 2 == 0 else ("tail", "head")
-            other = F.when(F.col("comp") == F.col(f"{ends[1]}.comp"), F.col(ends[0])).otherwise(F.col(ends[1]))
-            met = active.withColumn("o", other).where(fits(F.col("n"), F.col("o.n"))).groupBy("id").agg(F.min("o.id").alias("o"))
+        if turn == 2 and alone is not None:
+            own = scratch.cut(alone(member.select("id").distinct()), f"{name}-own")
+        if own is not None:
+            member = member.join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        else:
+            member = member.withColumn("u", F.lit(0))
+        member = member.withColumns({"lo": F.expr(f"({num} * n + {den - 1}) div {den}"), "hi": F.expr(f"({den + num} * (n - u)) div {num} - n")}).where("lo <= hi")
+        one = F.struct("comp", "id", "n", "lo", "hi")
+        if turn <= STAR_ROUNDS:
+            if turn == 1:
+                heads = member.groupBy("key").agg(F.min(one).alias("p"), F.max(one).alias("q"))
+            else:
+                heads = member.groupBy("key").agg(F.min_by(one, F.struct(F.col("u") / F.col("n"), F.xxhash64("id", F.lit(turn)))).alias("p"), F.max_by(one, F.struct("comp", F.xxhash64("id", F.lit(turn)))).alias("q"))
+            met = member.join(heads, "key").withColumn("o", F.when(F.col("comp") != F.col("p.comp"), F.col("p")).when(F.col("comp") != F.col("q.comp"), F.col("q")))
+            met = met.where("o is not null and o.n between lo and hi and n between o.lo and o.hi").groupBy("id").agg(F.min_by("o.id", F.xxhash64("o.id", F.lit(turn))).alias("o"))
             pairs = met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
         else:
-            left, right = active.select("key", "id", "n", "comp"), active.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            met = left.join(right, "key").where((F.col("comp") < F.col("comp2")) & fits(F.col("n"), F.col("n2")))
-            pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+            largest = member.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+            cell = lambda c: F.floor(F.log(F.col(c).cast("double")) / CELL).cast("int")
+            left = member.join(largest, "key").where("comp <> main").withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
+            left = left.select("key", "cell", F.struct("id", "comp", "n", "lo", "hi").alias("x"))
+            right = member.select("key", cell("n").alias("cell"), F.struct("id", "comp", "n", "lo", "hi").alias("y"))
+            met = left.join(right, ["key", "cell"]).where("x.comp <> y.comp and y.n between x.lo and x.hi and x.n between y.lo and y.hi")
+            pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.cut(pairs, f"{name}-pairs-{turn}")
@@ -57,7 +82,5 @@ def resolve(keyed: DataFrame, links: DataFrame, confirm: Callable[[DataFrame], D
             links = links.union(new)
             if new.limit(1).count():
                 comps = connected_components(links, scratch, f"{name}-comps")
-        elif not last:
-            turn = STAR_ROUNDS
         if last:
             return comps

@@ -5,11 +5,8 @@ that differ in at most PIECES * (ERRORS + 1) - 1 values must, by the pigeonhole
 ERRORS differing values; all ways to strike ERRORS values out of a chunk are enumerated, and what is left of it is a key.
 So every pair under that distance shares a key. Pairs are then confirmed on full sets, as integers.
 
-Work is bounded per group. Equal sets are one class from the start. Within a key's group nobody meets everybody: each
-round, every member meets one partner outside its component (the first of another component), confirmed pairs
-join components, and groups that lie in one component are done. Pairs already confirmed or refuted aren't tried again:
-rounds go on until the groups have nothing left to try, and the last rounds meet all remaining pairs across components,
-so no link between different texts is lost to the shortcut.
+Equal sets are one class from the start. Within a key's group nobody meets everybody; links.resolve says how all links
+between different texts are found all the same.
 
 Cases. Null, empty and white-space texts: empty set, linked with nothing. Very long texts: whole; MinHash works in
 slices. Fewer than k words: the sequence is one shingle. Ties: components are named by their smallest id. Repeated
@@ -26,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, append, connected_components, mix, multipliers, shingles, word_hashes, words_of
+from .common import Scratch, append, mix, multipliers, narrowed, shingles, views, word_hashes, words_of
+from .links import resolve, shared_keys
 
 PIECES, CHUNK, ERRORS = 8, 4, 1
-STAR_ROUNDS = 3
 SEED = 20_240_607
 SLICE = 4096
 
@@ -84,7 +81,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return append(raw, "text", make, "n bigint, class binary, keys array<bigint>").drop("text")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets have den * |intersection| >= num * |union|."""
 
     def make():
@@ -93,7 +90,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
         return lambda texts: [pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary())]
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    raw = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id")
+    ids = scratch.cut(ids, "wanted")
+    raw = narrowed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")), ids, "doc_id", "doc_id").join(ids, "doc_id")
     sets = append(raw, "text", make, "s binary").select("doc_id", "s")
 
     def compare(batches):
@@ -101,8 +99,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
 
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for p, q in zip(views(batch.column(2)), views(batch.column(3))):
                 small, large = sorted((len(p), len(q)))
                 ok = den * small >= num * large
                 if ok:
@@ -117,6 +114,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     return two.mapInArrow(compare, "a bigint, b bigint")
 
 
+def alone(ids: DataFrame, docs: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """(id, u): how many shingles of a document no other of the ids has."""
+
+    def make():
+        import pyarrow as pa
+
+        return lambda texts: [pa.array([shingle_set(t, k).view(np.int64) for t in texts], pa.list_(pa.int64()))]
+
+    ids = scratch.cut(ids, "others")
+    raw = narrowed(docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("binary").alias("text")), ids, "id", "id").join(ids, "id")
+    each = append(raw, "text", make, "s array<bigint>").select("id", F.explode("s").alias("s"))
+    once = each.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")  # combined before it is shuffled
+    return once.groupBy("id").agg(F.count("*").alias("u"))
+
+
 def classes(docs: DataFrame, scratch: Scratch, k: int = 4, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     rows = scratch.cut(signed(docs, k), "signed")
@@ -125,48 +137,10 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, num: int = 80, den: i
     ids = rows.where("class is not null and doc_id is not null").groupBy("doc_id").agg(F.countDistinct("class").alias("c")).where("c > 1").select("doc_id")
     shared = rows.join(ids, "doc_id").join(groups, "class").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     reps = rows.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").where("keys is not null")
-    keyed = scratch.cut(reps.select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key")), "keyed")
-    several = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    keyed = scratch.cut(keyed.join(several.select("key"), "key").select("key", "id", "n"), "keyed")  # keys met by one document alone are done
-    links = scratch.cut(shared.distinct(), "links-0")
-    comps = connected_components(links, scratch, "comps")
-    tried = None
-    fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
-    turn = 0
-    while True:
-        turn += 1
-        # members with their components, of the groups that lie in more than one
-        member = keyed.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        member = scratch.cut(member, "member")
-        head = F.min(F.struct("comp", "id", "n")).alias("head")
-        open_ = member.groupBy("key").agg(head, F.max("comp").alias("most"), F.max(F.struct("comp", "id", "n")).alias("tail")).where("head.comp < most")
-        open_ = scratch.cut(open_, "open")
-        if not open_.limit(1).count():
-            break
-        active = member.join(open_, "key")
-        if turn <= STAR_ROUNDS:  # each member and one partner of another component; the partners alternate between the ends
-            other = F.when(F.col("comp") == F.col("head.comp"), F.col("tail")).otherwise(F.col("head")) if turn % 2 else F.when(F.col("comp") == F.col("tail.comp"), F.col("head")).otherwise(F.col("tail"))
-            met = active.withColumn("o", other).where(fits(F.col("n"), F.col("o.n"))).groupBy("id").agg(F.min("o.id").alias("o"))
-            pairs = met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-        else:  # all that is left across components
-            left, right = active.select("key", "id", "n", "comp"), active.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            met = left.join(right, "key").where((F.col("comp") < F.col("comp2")) & fits(F.col("n"), F.col("n2")))
-            pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.cut(pairs, f"pairs-{turn}")
-        if not pairs.limit(1).count():  # nothing new to try this way: on to what is left
-            if turn > STAR_ROUNDS:
-                break
-            turn = STAR_ROUNDS
-            continue
-        new = scratch.cut(confirmed(pairs, docs, k, num, den).distinct(), f"links-{turn}")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = links.union(new)
-        if new.limit(1).count():
-            comps = connected_components(links, scratch, "comps")
-        if turn > STAR_ROUNDS:
-            break
+    keyed = shared_keys(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n"), scratch, "keyed")
+    links = scratch.cut(shared.distinct(), "shared")
+    comps = resolve(keyed, links, lambda pairs: confirmed(pairs, docs, scratch, k, num, den).distinct(), num, den, scratch, "near", lambda some: alone(some.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_anti"), docs, scratch, k))
+    scratch.drop("keyed", "near-member", "near-own")
     named = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.drop("keys").join(named, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
