@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, append, connected_components, mix, multipliers, shingles, word_hashes, words_of
+from .common import Scratch, append, connected_components, mix, multipliers, narrowed, shingles, views, word_hashes, words_of
 from .links import resolve, shared_keys
 
 SHINGLE, WINDOW, GAP = 5, 20, 28
@@ -37,13 +37,39 @@ _word = re.compile(rb"[^\x20\x09-\x0D]+")
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of every w consecutive values, in time linear in x: prefix and suffix minima of blocks of w."""
+    n = len(x)
+    padded = np.full(-(-n // w) * w, np.iinfo(x.dtype).max, x.dtype)
+    padded[:n] = x
+    blocks = padded.reshape(-1, w)
+    prefix = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(suffix[: n - w + 1], prefix[w - 1 : n])
+
+
+_LOW = np.uint64((1 << 24) - 1)
+
+
 def anchors(s: np.ndarray) -> np.ndarray:
-    """Places of the rightmost smallest of every GAP consecutive hashes, ascending, those with room for a paragraph."""
-    if len(s) < GAP:
+    """Places of the smallest of every GAP consecutive hashes (by their high 40 bits, the rightmost among equals), ascending, those with room for a paragraph."""
+    n = len(s)
+    if n < GAP:
         return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(s[::-1], GAP)
-    at = np.unique(len(s) - 1 - (view.argmin(axis=1) + np.arange(len(view))))
-    return at[at <= len(s) - (WINDOW - SHINGLE + 1)]
+    place = np.arange(n, dtype=np.uint64)
+    low = sliding_min((s & ~_LOW) | (_LOW - (place & _LOW)), GAP) & _LOW  # the place, counted down in the low bits
+    first = place[: n - GAP + 1]
+    at = first + ((_LOW - low - first) & _LOW)
+    at = at[np.r_[True, at[1:] != at[:-1]]].astype(np.int64)
+    return at[at <= n - (WINDOW - SHINGLE + 1)]
+
+
+def contents_of(rows: np.ndarray) -> np.ndarray:
+    """The hash of each column's shingles, in order."""
+    content = np.zeros(rows.shape[1], np.uint64)
+    for r in rows:
+        content = content * _A + r
+    return mix(content).view(np.int64)
 
 
 def paragraphs(s: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,18 +77,15 @@ def paragraphs(s: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     at = anchors(s)
     if not len(at):
         return at, np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
-    rows = s[at[:, None] + np.arange(WINDOW - SHINGLE + 1)]
-    content = np.zeros(len(at), np.uint64)
-    for i in range(rows.shape[1]):
-        content = content * _A + rows[:, i]
-    mins = np.stack([(rows * m).min(axis=1) for m in by], 1)
+    rows = s[at[None, :] + np.arange(WINDOW - SHINGLE + 1)[:, None]]
+    mins = [(rows * m).min(axis=0) for m in by]
     keys = []
     for b in range(BANDS):
         h = np.full(len(at), b + 1, np.uint64)
         for r in range(ROWS):
-            h = h * _A + mins[:, b * ROWS + r]
+            h = h * _A + mins[b * ROWS + r]
         keys.append(mix(h))
-    return at, mix(content).view(np.int64), np.stack(keys, 1).view(np.int64)
+    return at, contents_of(rows), np.stack(keys, 1).view(np.int64)
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -87,64 +110,96 @@ def windows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, start int, w bigint, keys array<bigint>")
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame, make, ddl: str) -> DataFrame:
+def _fetched(docs: DataFrame, wanted: DataFrame, scratch: Scratch, make, ddl: str) -> DataFrame:
     """wanted (doc_id, at) with columns made from (text, at) pairs, of the documents there are."""
+    wanted = scratch.cut(wanted, "wanted")
     raw = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
-    both = raw.join(wanted, "doc_id").select("doc_id", F.struct("text", "at").alias("both"))
+    both = narrowed(raw, wanted, "doc_id", "doc_id").join(wanted, "doc_id").select("doc_id", F.struct("text", "at").alias("both"))
     return append(both, "both", make, ddl).drop("both")
 
 
-def _confirm(docs: DataFrame, sample: DataFrame):
-    """A confirm for resolve: pairs of contents, read at one occurrence of each (sample: w, doc_id, start)."""
+def content_sets(docs: DataFrame, ids: DataFrame, sample: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, s binary, n): the distinct shingles of contents, read once at one occurrence of each (sample: w, doc_id, start)."""
 
     def make():
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("w", pa.int64()), ("s", pa.binary())]))
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("s", pa.binary())]))
 
         def work(rows):
             out = []
             for r in rows:
                 s = shingles(word_hashes(words_of(r["text"])), SHINGLE)
-                out.append([{"w": x["w"], "s": np.unique(s[x["start"] : x["start"] + WINDOW - SHINGLE + 1]).tobytes()} for x in r["at"]])
+                found = []
+                for x in r["at"]:
+                    own = s[x["start"] : x["start"] + WINDOW - SHINGLE + 1]
+                    if len(own) == WINDOW - SHINGLE + 1 and contents_of(own[:, None])[0] == x["w"]:  # else a repeated id's other text
+                        found.append({"id": x["w"], "s": np.unique(own).tobytes()})
+                out.append(found)
             return [pa.array(out, kind)]
 
         return work
 
+    wanted = sample.join(ids.withColumnRenamed("id", "w"), "w").groupBy("doc_id").agg(F.collect_list(F.struct("w", "start")).alias("at"))  # no more than a text has paragraphs
+    got = _fetched(docs, wanted, scratch, make, "got array<struct<id:bigint,s:binary>>").select(F.explode("got").alias("g")).select("g.id", "g.s")
+    return scratch.cut(got.dropDuplicates(["id"]).withColumn("n", (F.length("s") / 8).cast("int")), "sets")
+
+
+def _confirm(sets: DataFrame):
+    """A confirm for resolve: pairs of contents by their exact Jaccard similarity."""
+
     def compare(batches):
         import pyarrow as pa
 
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for p, q in zip(views(batch.column(2)), views(batch.column(3))):
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(p) + len(q) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-        wanted = sample.join(ids, "w").groupBy("doc_id").agg(F.collect_list(F.struct("w", "start")).alias("at"))  # no more than a text has paragraphs
-        sets = _fetched(docs, wanted, make, "got array<struct<w:bigint,s:binary>>").select(F.explode("got").alias("g")).select("g.w", "g.s").dropDuplicates(["w"])
-        one = pairs.join(sets.withColumnsRenamed({"w": "b", "s": "sb"}), "b")
-        return one.join(sets.withColumnsRenamed({"w": "a", "s": "sa"}), "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint").distinct()
+        one = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        return one.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint").distinct()
 
     return confirm
 
 
+def _alone(sets: DataFrame):
+    """An alone for resolve: how many shingles of a content no other of the ids has."""
+
+    def spread(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            each = views(batch.column(1))
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in each])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((np.concatenate(each) if each else np.zeros(0, np.uint64)).view(np.int64))], ["id", "x"])
+
+    def alone(ids: DataFrame) -> DataFrame:
+        each = sets.join(ids, "id").select("id", "s").mapInArrow(spread, "id bigint, x bigint")
+        once = each.groupBy("x").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+        return once.groupBy("id").agg(F.count("*").alias("u"))
+
+    return alone
+
+
 def _runs(rows):
-    """Of each document's repeated paragraphs (start, src_doc, src_start), the runs that read on in the same source."""
+    """Of each document's repeated paragraphs (start, src_doc, src_start, trim), the runs that read on in the same source.
+
+    A paragraph that is only nearly the kept one differs in its first or last word: trim (1) leaves both out.
+    """
     out = []
     for found in rows:
         runs = []
-        for x in sorted(found or [], key=lambda x: (x["src_doc"], x["start"] - x["src_start"], x["start"])):
-            last = runs[-1] if runs else None
-            if last and last["src_doc"] == x["src_doc"] and last["a"] - last["sa"] == x["start"] - x["src_start"] and x["start"] <= last["b"] + GAP:
+        for x in sorted(found or [], key=lambda x: (x["src_doc"], x["trim"], x["start"] - x["src_start"], x["start"])):
+            last, t = runs[-1] if runs else None, x["trim"]
+            if last and last["trim"] == t == 0 and last["src_doc"] == x["src_doc"] and last["a"] - last["sa"] == x["start"] - x["src_start"] and x["start"] <= last["b"] + GAP:
                 last["b"], last["sb"] = x["start"] + WINDOW, x["src_start"] + WINDOW
             else:
-                runs.append({"a": x["start"], "b": x["start"] + WINDOW, "src_doc": x["src_doc"], "sa": x["src_start"], "sb": x["src_start"] + WINDOW})
-        out.append(runs)
+                runs.append({"a": x["start"] + t, "b": x["start"] + WINDOW - t, "src_doc": x["src_doc"], "sa": x["src_start"] + t, "sb": x["src_start"] + WINDOW - t, "trim": t})
+        out.append([{k: r[k] for k in ("a", "b", "src_doc", "sa", "sb")} for r in runs])
     return out
 
 
@@ -185,13 +240,15 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     win = scratch.cut(windows(docs), "windows")
     place = F.struct("doc_id", "start")
     contents = scratch.cut(win.groupBy("w").agg(F.min(place).alias("first"), F.max("doc_id").alias("last_doc")), "contents")
-    keyed = shared_keys(win.select(F.explode("keys").alias("key"), F.col("w").alias("id"), F.lit(1).alias("n")), scratch, "keyed")
+    keyed = shared_keys(win.select(F.explode("keys").alias("key"), F.col("w").alias("id"), F.lit(1).alias("n"), "doc_id"), scratch, "keyed", "doc_id")
     sample = contents.select("w", "first.doc_id", "first.start")
     none = win.sparkSession.createDataFrame([], "a bigint, b bigint")
-    comps = resolve(keyed, none, _confirm(docs, sample), 80, 100, scratch, "near")
+    sets = content_sets(docs, keyed.select("id").distinct(), sample, scratch)
+    keyed = keyed.drop("n").join(sets.select("id", "n"), "id")
+    comps = resolve(keyed, none, _confirm(sets), 80, 100, scratch, "near", _alone(sets))
     of = contents.join(comps.withColumnRenamed("node", "w"), "w", "left").withColumn("comp", F.coalesce("comp", "w"))
-    clusters = of.groupBy("comp").agg(F.min("first").alias("src"), F.max("last_doc").alias("last_doc")).where("src.doc_id < last_doc")
-    sources = of.select("w", "comp").join(clusters, "comp").select("w", F.col("src.doc_id").alias("src_doc"), F.col("src.start").alias("src_start"))
+    clusters = of.groupBy("comp").agg(F.min(F.struct("first", "w")).alias("src"), F.max("last_doc").alias("last_doc")).where("src.first.doc_id < last_doc")
+    sources = of.select("w", "comp").join(clusters, "comp").select("w", F.col("src.first.doc_id").alias("src_doc"), F.col("src.first.start").alias("src_start"), (F.col("w") != F.col("src.w")).cast("int").alias("trim"))
     again = win.select("doc_id", "start", "w").join(sources, "w").where("doc_id <> src_doc")
 
     def make_runs():
@@ -200,11 +257,11 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("src_doc", pa.int64()), ("sa", pa.int32()), ("sb", pa.int32())]))
         return lambda rows: [pa.array(_runs(rows), kind)]
 
-    listed = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src_doc", "src_start")).alias("found"))  # no more than a text has paragraphs
+    listed = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src_doc", "src_start", "trim")).alias("found"))  # no more than a text has paragraphs
     runs = append(listed, "found", make_runs, "runs array<struct<a:int,b:int,src_doc:bigint,sa:int,sb:int>>").select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
     repeated = docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     runs = scratch.cut(runs.join(repeated, "doc_id", "left_anti"), "runs")
-    scratch.drop("windows", "contents", "keyed")
+    scratch.drop("windows", "contents", "keyed", "sets", "near-member", "near-own", "wanted")
 
     def make_context():
         import pyarrow as pa
@@ -221,7 +278,7 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
         return work
 
     wanted = runs.select(F.col("src_doc").alias("doc_id"), "sa", "sb").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("sa", "sb")).alias("at"))
-    context = _fetched(docs, wanted, make_context, "got array<struct<sa:int,sb:int,left:array<bigint>,right:array<bigint>>>")
+    context = _fetched(docs, wanted, scratch, make_context, "got array<struct<sa:int,sb:int,left:array<bigint>,right:array<bigint>>>")
     context = context.select(F.col("doc_id").alias("src_doc"), F.explode("got").alias("g")).select("src_doc", "g.*").dropDuplicates(["src_doc", "sa", "sb"])
     full = scratch.cut(runs.join(context, ["src_doc", "sa", "sb"]).select("doc_id", F.struct("a", "b", "src_doc", "left", "right").alias("r")), "full")
     per_doc = full.groupBy("doc_id").agg(F.collect_list("r").alias("_runs"))
