@@ -9,6 +9,7 @@ same rows, the fold in linear time.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -149,8 +150,64 @@ def market(events: DataFrame) -> DataFrame:
     return bbo(with_epochs(events)).withColumns(top_features())
 
 
+def _ladder(n: int | None, covers: int | None):
+    """A fold like _fold that gives each event's best levels of both sides: the first n, or as many as cover a quantity."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now = None
+        names = ["symbol", "sequence_number", "side", "rank", "price_ticks", "quantity"]
+        for batch in batches:
+            symbol, epoch, kind, side, price, qty, seq = (batch.column(i).to_pylist() for i in range(7))
+            row, sides, ranks, prices, sizes = ([] for _ in range(5))
+            for k in range(batch.num_rows):
+                if now != (symbol[k], epoch[k]):
+                    now = (symbol[k], epoch[k])
+                    books: dict[int, dict[int, int]] = {BID: {}, ASK: {}}
+                    ladders: dict[int, list[int]] = {BID: [], ASK: []}  # -price * side, ascending: the best first
+                if kind[k] != RESET:
+                    s, p = side[k], price[k]
+                    book, ladder = books[s], ladders[s]
+                    have = book.get(p, 0)
+                    left = have + qty[k] if kind[k] in (ADD, SNAPSHOT) else have - qty[k]
+                    if left > 0:
+                        if not have:
+                            insort(ladder, -p * s)
+                        book[p] = left
+                    elif have:
+                        del book[p], ladder[bisect_left(ladder, -p * s)]
+                for s in (BID, ASK):
+                    before = 0
+                    for r, x in enumerate(ladders[s]):
+                        if n is not None and r >= n or covers is not None and before >= covers:
+                            break
+                        q = books[s][-x * s]
+                        row.append(k)
+                        sides.append(s)
+                        ranks.append(r + 1)
+                        prices.append(-x * s)
+                        sizes.append(q)
+                        before += q
+            at = pa.array(row, pa.int64())
+            rest = [pa.array(ranks, pa.int64()), pa.array(prices, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(6).take(at), pa.array(sides, batch.column(3).type), *rest], names)
+
+    return run
+
+
+def ladder(events: DataFrame, n: int | None = None, covers: int | None = None) -> DataFrame:
+    """The best levels of each side after every event, rank from 1, by a fold over each epoch: the first n, or as many as cover a quantity."""
+    ordered = events.select("symbol", "epoch", "event_type", "side", "price_ticks", "quantity", "sequence_number").repartition("symbol", "epoch").sortWithinPartitions("symbol", "epoch", "sequence_number")
+    f = {x.name: x for x in ordered.schema.fields}
+    schema = T.StructType([f["symbol"], f["sequence_number"], f["side"], *T._parse_datatype_string("rank bigint, price_ticks bigint, quantity bigint").fields])
+    return ordered.mapInArrow(_ladder(n, covers), schema)
+
+
 def top_n(events: DataFrame, n: int, at: DataFrame | None = None) -> DataFrame:
-    """The n best levels of each side after every event (or those of at), rank from 1."""
+    """The n best levels of each side after every event (or, by an interval join, those of at), rank from 1."""
+    if at is None:
+        return ladder(events, n)
     best = Window.partitionBy("symbol", "seq", "side").orderBy(F.desc(F.col("level_price") * F.col("side")))
     return standing_levels(events, at).withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= n).select("symbol", F.col("seq").alias("sequence_number"), "side", "rank", F.col("level_price").alias("price_ticks"), F.col("level_qty").alias("quantity"))
 

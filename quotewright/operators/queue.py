@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,37 @@ def price_through(orders: DataFrame, trades: DataFrame) -> DataFrame:
     return o.join(t, (F.col("o.symbol") == F.col("t.symbol")) & (F.col("o.epoch") == F.col("t.epoch")) & (F.col("o.side") == F.col("t.side")) & better)
 
 
+def _through(batches):
+    """Streams rows ordered by symbol, epoch and sequence number; a trade takes all open orders at better prices off a heap."""
+    import pyarrow as pa
+
+    names = ["symbol", "order_seq", "quantity", "trade_seq"]
+    now = None
+    for batch in batches:
+        symbol, epoch, kind, side, price, qty, seq = (batch.column(i).to_pylist() for i in range(7))
+        out = []
+        for k in range(batch.num_rows):
+            if now != (symbol[k], epoch[k]):
+                now = (symbol[k], epoch[k])
+                open_: dict[int, list[tuple[int, int, int]]] = {1: [], -1: []}
+            if kind[k] == "ADD":
+                heapq.heappush(open_[side[k]], (-price[k] * side[k], seq[k], qty[k]))
+            elif kind[k] == "TRADE":
+                heap = open_[side[k]]
+                while heap and -heap[0][0] > price[k] * side[k]:
+                    _, n, q = heapq.heappop(heap)
+                    out.append((symbol[k], n, q, seq[k]))
+        columns = list(zip(*out)) or [[]] * 4
+        types = [batch.column(0).type, *[pa.int64()] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
+def first_through(events: DataFrame) -> DataFrame:
+    """Every ADD as an order, with the first later trade of its epoch and side that goes through its price; by a fold, in linear memory."""
+    ordered = events.where("event_type in ('ADD', 'TRADE')").select("symbol", "epoch", "event_type", "side", "price_ticks", F.col("quantity").cast("bigint").alias("quantity"), "sequence_number").repartition("symbol", "epoch").sortWithinPartitions("symbol", "epoch", "sequence_number")
+    return ordered.mapInArrow(_through, f"symbol {ordered.schema['symbol'].dataType.simpleString()}, order_seq bigint, quantity bigint, trade_seq bigint")
+
+
 def reconcile(segments: DataFrame, displayed: DataFrame) -> DataFrame:
     """Per level: external quantity of the overlay less what the book displays."""
     ours = segments.groupBy("level").agg(F.sum(F.when(~F.col("own"), F.col("quantity")).otherwise(0)).alias("external"), F.sum(F.when(F.col("own"), F.col("quantity")).otherwise(0)).alias("own"))

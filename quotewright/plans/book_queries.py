@@ -80,6 +80,15 @@ WEIGHTED = f"""WITH {_TOP} SELECT symbol, sequence_number, round((b - a) / (b +
  sum(CASE WHEN side = 1 THEN CAST(quantity AS DOUBLE) / rank END) AS b, sum(CASE WHEN side = -1 THEN CAST(quantity AS DOUBLE) / rank END) AS a FROM st WHERE rank <= 5 GROUP BY 1, 2)"""
 
 
+def book_depth_all_events(spark, sf_dir):
+    """Depth after every event; book_depth_topn keeps the tenth part that its SQL asks for."""
+    return book.top_n(book.with_epochs(l2(spark, sf_dir)), 5)
+
+
+def weighted_imbalance_all_events(spark, sf_dir):
+    return book.weighted_imbalance(book.with_epochs(l2(spark, sf_dir)), 5).withColumn("weighted_imbalance", F.round("weighted_imbalance", 9))
+
+
 def level_quantity_lookup(spark, sf_dir):
     e = book.with_epochs(l2(spark, sf_dir))
     points = e.select("symbol", F.col("sequence_number").alias("seq"), F.explode(F.array(*[F.struct(F.lit(s).cast("tinyint").alias("side"), F.lit(p).cast("bigint").alias("price_ticks")) for s, p in ((1, 9999), (1, 9996), (-1, 10001), (-1, 10004))])).alias("p")).select("symbol", "seq", "p.*")
@@ -112,6 +121,12 @@ SWEEP = f"""WITH {_TOP} SELECT symbol, sequence_number, price_ticks, taken FROM
  CAST(greatest(0, least(quantity, 60 - (sum(quantity) OVER (PARTITION BY symbol, sequence_number ORDER BY price_ticks) - quantity))) AS BIGINT) AS taken FROM st WHERE side = -1) WHERE taken > 0"""
 
 
+def sweep_allocation_all_events(spark, sf_dir):
+    """What orders of 60 take from each side after every event."""
+    lv = book.ladder(book.with_epochs(l2(spark, sf_dir)), covers=60)
+    return book.sweep(lv, ["symbol", "sequence_number", "side"], F.lit(60), [F.col("rank")]).select("symbol", "sequence_number", "side", "price_ticks", "taken")
+
+
 def _segments(spark, sf_dir):
     """ADD events of each (symbol, epoch, side, price) as queue segments; every third is an own order."""
     e = book.with_epochs(l2(spark, sf_dir)).where("event_type = 'ADD'")
@@ -164,6 +179,11 @@ PRICE_THROUGH = f"""WITH {EPOCH_SQL} SELECT o.symbol, o.sequence_number AS order
  AND o.price_ticks * o.side > t.price_ticks * t.side AND t.sequence_number > o.sequence_number WHERE o.event_type = 'ADD' AND o.sequence_number % 3 = 0 AND t.event_type = 'TRADE' GROUP BY 1, 2, 3"""
 
 
+def price_through_all_adds(spark, sf_dir):
+    """Every ADD as an order, with the first later trade of its epoch that goes through it."""
+    return queue.first_through(book.with_epochs(l2(spark, sf_dir)))
+
+
 def trade_reduction_band_join(spark, sf_dir):
     """Trades with the cancels of the same level within an hour, nearest first."""
     e = l2(spark, sf_dir)
@@ -330,5 +350,6 @@ QUERIES = {
     "ordered_channel_delivery": (ordered_channel_delivery, CHANNEL), "canonical_contract_violations": (canonical_contract_violations, VIOLATIONS), "stream_order_issues": (stream_order_issues, ISSUES),
     "select_time_range_limit": (select_time_range_limit, RANGE_LIMIT), "timer_grid": (timer_grid, TIMER), "regime_classification": (regime_classification, REGIMES), "rolling_volatility": (rolling_volatility, VOLATILITY),
     "message_rate_1s": (message_rate_1s, MESSAGES), "quote_fixed": (quote_fixed, QUOTE_FIXED), "quote_inventory": (quote_inventory, QUOTE_INVENTORY), "quote_microprice": (quote_microprice, QUOTE_MICRO),
+    "book_depth_all_events": (book_depth_all_events, None), "weighted_imbalance_all_events": (weighted_imbalance_all_events, None), "sweep_allocation_all_events": (sweep_allocation_all_events, None), "price_through_all_adds": (price_through_all_adds, None),
     "row_fingerprint": (row_fingerprint, FINGERPRINT), "stream_sha256": (stream_sha256, STREAM_SHA),
 }
