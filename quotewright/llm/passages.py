@@ -8,8 +8,9 @@ each of its copies, whatever stands around it.
 Paragraphs of equal content are one from the start. Distinct ones meet in MinHash bands (BANDS of ROWS values); the two
 sets of 16 shingles can only reach a Jaccard similarity of 0.8 with 15 shared ones, 0.88, of which the bands find 98.9 %.
 Colliding paragraphs are confirmed by exact Jaccard and clustered by components. Each cluster keeps the paragraphs of its
-smallest doc_id; those of the other documents join into runs, are extended word by word as far as the kept copy
-reads the same (CONTEXT words at most, more than an anchor can be away), and runs of MIN_WORDS words or more go.
+smallest doc_id; those of the other documents join into runs, words between paragraphs are compared, both ends are extended
+word by word as far as the kept copy reads the same (CONTEXT words at most, more than an anchor can be away), and equal
+pieces of MIN_WORDS words or more go.
 
 Cases. Null ids and null, empty or shorter texts: unchanged, no part taken. Very long texts: whole. Ties: the smallest
 (doc_id, place) is kept. Repeats within one document alone: unchanged. Repeated ids: their rows are left unchanged, as
@@ -186,43 +187,69 @@ def _alone(sets: DataFrame):
 
 
 def _runs(rows):
-    """Of each document's repeated paragraphs (start, src_doc, src_start, trim), the runs that read on in the same source.
+    """Of each document's repeated paragraphs (start, src_doc, src_start, trim), the runs that may read on in the same source.
 
-    A paragraph that is only nearly the kept one differs in its first or last word: trim (1) leaves both out.
+    gaps lists the places (from a) and lengths of words that no paragraph vouches for; they are compared later. A
+    paragraph that is only nearly the kept one may differ anywhere: trim (1) leaves out its ends and makes the rest a gap.
     """
     out = []
     for found in rows:
         runs = []
         for x in sorted(found or [], key=lambda x: (x["src_doc"], x["trim"], x["start"] - x["src_start"], x["start"])):
             last, t = runs[-1] if runs else None, x["trim"]
-            if last and last["trim"] == t == 0 and last["src_doc"] == x["src_doc"] and last["a"] - last["sa"] == x["start"] - x["src_start"] and x["start"] <= last["b"] + GAP:
+            if last and last["trim"] == t == 0 and last["src_doc"] == x["src_doc"] and last["a"] - last["sa"] == x["start"] - x["src_start"] and x["start"] <= last["b"] + GAP - WINDOW:
+                if x["start"] > last["b"]:
+                    last["gaps"] += [last["b"] - last["a"], x["start"] - last["b"]]
                 last["b"], last["sb"] = x["start"] + WINDOW, x["src_start"] + WINDOW
             else:
-                runs.append({"a": x["start"] + t, "b": x["start"] + WINDOW - t, "src_doc": x["src_doc"], "sa": x["src_start"] + t, "sb": x["src_start"] + WINDOW - t, "trim": t})
-        out.append([{k: r[k] for k in ("a", "b", "src_doc", "sa", "sb")} for r in runs])
+                runs.append({"a": x["start"] + t, "b": x["start"] + WINDOW - t, "src_doc": x["src_doc"], "sa": x["src_start"] + t, "sb": x["src_start"] + WINDOW - t, "gaps": [0, WINDOW - 2 * t] if t else [], "trim": t})
+        out.append([{k: r[k] for k in ("a", "b", "src_doc", "sa", "sb", "gaps")} for r in runs])
     return out
 
 
-def removed_spans(h: np.ndarray, runs: list[dict], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Word spans to remove: the runs, extended as far as their source's context reads the same, merged, of min_words or more."""
-    grown = []
+def pieces(h: np.ndarray, runs: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(src_doc, shift, a, b): the words a to b read the same in the source at a + shift; runs with their gaps compared and both ends extended."""
+    found = []
+    h = h.tolist()
     for r in runs:
-        a, b = r["a"], r["b"]
-        left, right = r["left"], r["right"]
+        a, b, left, right, mid = r["a"], r["b"], r["left"], r["right"], r["mid"]
         i = 0
         while i < len(left) and a - 1 - i >= 0 and h[a - 1 - i] == left[-1 - i]:
             i += 1
         j = 0
         while j < len(right) and b + j < len(h) and h[b + j] == right[j]:
             j += 1
-        grown.append((a - i, b + j))
+        at, k = a - i, 0
+        for gap, n in zip(r["gaps"][::2], r["gaps"][1::2]):
+            p, want = a + gap, mid[k : k + n]
+            k += n
+            x, y = 0, n
+            while x < n and h[p + x] == want[x]:
+                x += 1
+            if x < n:
+                while h[p + y - 1] == want[y - 1]:
+                    y -= 1
+                found.append((r["src_doc"], r["sa"] - a, at, p + x))
+                at = p + y
+        found.append((r["src_doc"], r["sa"] - a, at, b + j))
+    merged: list[tuple[int, int, int, int]] = []
+    for src, shift, a, b in sorted(x for x in found if x[2] < x[3]):
+        if merged and merged[-1][:2] == (src, shift) and a <= merged[-1][3]:
+            merged[-1] = (*merged[-1][:3], max(merged[-1][3], b))
+        else:
+            merged.append((src, shift, a, b))
+    return merged
+
+
+def removed_spans(h: np.ndarray, runs: list[dict], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """Word spans to remove: pieces of min_words or more, merged."""
     merged: list[list[int]] = []
-    for a, b in sorted(grown):
+    for a, b in sorted((a, b) for _, _, a, b in pieces(h, runs) if b - a >= min_words):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
-    return [(a, b) for a, b in merged if b - a >= min_words]
+    return [(a, b) for a, b in merged]
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -254,11 +281,11 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     def make_runs():
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("src_doc", pa.int64()), ("sa", pa.int32()), ("sb", pa.int32())]))
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("src_doc", pa.int64()), ("sa", pa.int32()), ("sb", pa.int32()), ("gaps", pa.list_(pa.int32()))]))
         return lambda rows: [pa.array(_runs(rows), kind)]
 
     listed = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src_doc", "src_start", "trim")).alias("found"))  # no more than a text has paragraphs
-    runs = append(listed, "found", make_runs, "runs array<struct<a:int,b:int,src_doc:bigint,sa:int,sb:int>>").select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
+    runs = append(listed, "found", make_runs, "runs array<struct<a:int,b:int,src_doc:bigint,sa:int,sb:int,gaps:array<int>>>").select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
     repeated = docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     runs = scratch.cut(runs.join(repeated, "doc_id", "left_anti"), "runs")
     scratch.drop("windows", "contents", "keyed", "sets", "near-member", "near-own", "wanted")
@@ -266,21 +293,22 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     def make_context():
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("sa", pa.int32()), ("sb", pa.int32()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))]))
+        kind = pa.list_(pa.struct([("sa", pa.int32()), ("sb", pa.int32()), ("gaps", pa.list_(pa.int32())), ("left", pa.list_(pa.int64())), ("mid", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))]))
 
         def work(rows):
             out = []
             for r in rows:
                 h = word_hashes(words_of(r["text"])).view(np.int64)
-                out.append([{"sa": x["sa"], "sb": x["sb"], "left": h[max(0, x["sa"] - CONTEXT) : x["sa"]], "right": h[x["sb"] : x["sb"] + CONTEXT]} for x in r["at"]])
+                mid = lambda x: np.concatenate([h[:0], *(h[x["sa"] + g : x["sa"] + g + n] for g, n in zip(x["gaps"][::2], x["gaps"][1::2]))])
+                out.append([{"sa": x["sa"], "sb": x["sb"], "gaps": x["gaps"], "left": h[max(0, x["sa"] - CONTEXT) : x["sa"]], "mid": mid(x), "right": h[x["sb"] : x["sb"] + CONTEXT]} for x in r["at"]])
             return [pa.array(out, kind)]
 
         return work
 
-    wanted = runs.select(F.col("src_doc").alias("doc_id"), "sa", "sb").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("sa", "sb")).alias("at"))
-    context = _fetched(docs, wanted, scratch, make_context, "got array<struct<sa:int,sb:int,left:array<bigint>,right:array<bigint>>>")
-    context = context.select(F.col("doc_id").alias("src_doc"), F.explode("got").alias("g")).select("src_doc", "g.*").dropDuplicates(["src_doc", "sa", "sb"])
-    full = scratch.cut(runs.join(context, ["src_doc", "sa", "sb"]).select("doc_id", F.struct("a", "b", "src_doc", "left", "right").alias("r")), "full")
+    wanted = runs.select(F.col("src_doc").alias("doc_id"), "sa", "sb", "gaps").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("sa", "sb", "gaps")).alias("at"))
+    context = _fetched(docs, wanted, scratch, make_context, "got array<struct<sa:int,sb:int,gaps:array<int>,left:array<bigint>,mid:array<bigint>,right:array<bigint>>>")
+    context = context.select(F.col("doc_id").alias("src_doc"), F.explode("got").alias("g")).select("src_doc", "g.*").dropDuplicates(["src_doc", "sa", "sb", "gaps"])
+    full = scratch.cut(runs.join(context, ["src_doc", "sa", "sb", "gaps"]).select("doc_id", F.struct("a", "b", "src_doc", "sa", "gaps", "left", "mid", "right").alias("r")), "full")
     per_doc = full.groupBy("doc_id").agg(F.collect_list("r").alias("_runs"))
 
     def make_clean():

@@ -99,3 +99,14 @@ def test_query(spark, sf):
     for r in rows:
         assert (r.text == docs[r.doc_id]) == (r.doc_id not in flagged)
         assert r.component_id <= r.doc_id and (r.n_links > 0) == (r.doc_id in flagged)
+
+
+def test_words_between_quotes_stay(spark):
+    """Two 25-word quotes of one document with 20 own words between, on the same diagonal: no 50 words are shared."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(20):
+        p, q = words(rnd, 25), words(rnd, 25)
+        rows += [(i, " ".join(words(rnd, 40) + p + words(rnd, 20) + q + words(rnd, 40))), (100 + i, " ".join(words(rnd, 60) + p + words(rnd, 20) + q + words(rnd, 30)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in passages.dedup(df, Scratch(spark)).collect()) == sorted(rows)
