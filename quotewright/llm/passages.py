@@ -10,7 +10,9 @@ sets of 16 shingles can only reach a Jaccard similarity of 0.8 with 15 shared on
 Colliding paragraphs are confirmed by exact Jaccard and clustered by components. Each cluster keeps the paragraphs of its
 smallest doc_id; those of the other documents join into runs, words between paragraphs are compared, both ends are extended
 word by word as far as the kept copy reads the same (CONTEXT words at most, more than an anchor can be away), and equal
-pieces of MIN_WORDS words or more go.
+pieces of MIN_WORDS words or more go. The first holder of a paragraph may have only part of a passage that others share:
+where it does not have the MIN_WORDS words around a paragraph, these are grouped by content, at each place they can have
+about it, and go where a smaller doc_id has them.
 
 Cases. Null ids and null, empty or shorter texts: unchanged, no part taken. Very long texts: whole. Ties: the smallest
 (doc_id, place) is kept. Repeats within one document alone: unchanged. Repeated ids: their rows are left unchanged, as
@@ -195,7 +197,7 @@ def _runs(rows):
     out = []
     for found in rows:
         runs = []
-        for x in sorted(found or [], key=lambda x: (x["src_doc"], x["trim"], x["start"] - x["src_start"], x["start"])):
+        for x in sorted((x for x in found or [] if not x["own"]), key=lambda x: (x["src_doc"], x["trim"], x["start"] - x["src_start"], x["start"])):
             last, t = runs[-1] if runs else None, x["trim"]
             if last and last["trim"] == t == 0 and last["src_doc"] == x["src_doc"] and last["a"] - last["sa"] == x["start"] - x["src_start"] and x["start"] <= last["b"] + GAP - WINDOW:
                 if x["start"] > last["b"]:
@@ -241,15 +243,30 @@ def pieces(h: np.ndarray, runs: list[dict]) -> list[tuple[int, int, int, int]]:
     return merged
 
 
-def removed_spans(h: np.ndarray, runs: list[dict], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Word spans to remove: pieces of min_words or more, merged."""
-    merged: list[list[int]] = []
-    for a, b in sorted((a, b) for _, _, a, b in pieces(h, runs) if b - a >= min_words):
+def merged_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
+    """The (a, b, src_doc) merged to disjoint (a, b, src_docs), which names every source."""
+    merged: list[list] = []
+    for a, b, src in sorted(spans):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
+            merged[-1][2].add(src)
         else:
-            merged.append([a, b])
-    return [(a, b) for a, b in merged]
+            merged.append([a, b, {src}])
+    return [(a, b, sorted(docs)) for a, b, docs in merged]
+
+
+def uncovered(found: list[dict], equal: list[tuple[int, int, int, int]], n: int, min_words: int) -> list[int]:
+    """Places of the min_words words around each repeated paragraph that its first holder does not have."""
+    out = set()
+    by: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for src, shift, a, b in equal:
+        by.setdefault((src, shift), []).append((a, b))
+    for x in found:
+        if x["many"]:
+            s = x["start"]
+            have = by.get((x["src_doc"], x["src_start"] - s), [])
+            out.update(at for at in range(max(0, s + WINDOW - min_words), min(s, n - min_words) + 1) if not any(a <= at and at + min_words <= b for a, b in have))
+    return sorted(out)
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -275,8 +292,9 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     comps = resolve(keyed, none, _confirm(sets), 80, 100, scratch, "near", _alone(sets))
     of = contents.join(comps.withColumnRenamed("node", "w"), "w", "left").withColumn("comp", F.coalesce("comp", "w"))
     clusters = of.groupBy("comp").agg(F.min(F.struct("first", "w")).alias("src"), F.max("last_doc").alias("last_doc")).where("src.first.doc_id < last_doc")
-    sources = of.select("w", "comp").join(clusters, "comp").select("w", F.col("src.first.doc_id").alias("src_doc"), F.col("src.first.start").alias("src_start"), (F.col("w") != F.col("src.w")).cast("int").alias("trim"))
-    again = win.select("doc_id", "start", "w").join(sources, "w").where("doc_id <> src_doc")
+    sources = of.select("w", "comp", (F.col("first.doc_id") < F.col("last_doc")).alias("many")).join(clusters.drop("last_doc"), "comp").select("w", "many", F.col("src.first.doc_id").alias("src_doc"), F.col("src.first.start").alias("src_start"), (F.col("w") != F.col("src.w")).cast("int").alias("trim"))
+    own = F.col("doc_id") == F.col("src_doc")
+    again = win.select("doc_id", "start", "w").join(sources, "w").withColumn("own", own).where("not own or (many and start <> src_start)")
 
     def make_runs():
         import pyarrow as pa
@@ -284,8 +302,9 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("src_doc", pa.int64()), ("sa", pa.int32()), ("sb", pa.int32()), ("gaps", pa.list_(pa.int32()))]))
         return lambda rows: [pa.array(_runs(rows), kind)]
 
-    listed = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src_doc", "src_start", "trim")).alias("found"))  # no more than a text has paragraphs
-    runs = append(listed, "found", make_runs, "runs array<struct<a:int,b:int,src_doc:bigint,sa:int,sb:int,gaps:array<int>>>").select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
+    listed = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src_doc", "src_start", "trim", "many", "own")).alias("found"))  # no more than a text has paragraphs
+    listed = scratch.cut(append(listed, "found", make_runs, "runs array<struct<a:int,b:int,src_doc:bigint,sa:int,sb:int,gaps:array<int>>>"), "listed")
+    runs = listed.select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
     repeated = docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     runs = scratch.cut(runs.join(repeated, "doc_id", "left_anti"), "runs")
     scratch.drop("windows", "contents", "keyed", "sets", "near-member", "near-own", "wanted")
@@ -309,7 +328,38 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     context = _fetched(docs, wanted, scratch, make_context, "got array<struct<sa:int,sb:int,gaps:array<int>,left:array<bigint>,mid:array<bigint>,right:array<bigint>>>")
     context = context.select(F.col("doc_id").alias("src_doc"), F.explode("got").alias("g")).select("src_doc", "g.*").dropDuplicates(["src_doc", "sa", "sb", "gaps"])
     full = scratch.cut(runs.join(context, ["src_doc", "sa", "sb", "gaps"]).select("doc_id", F.struct("a", "b", "src_doc", "sa", "gaps", "left", "mid", "right").alias("r")), "full")
-    per_doc = full.groupBy("doc_id").agg(F.collect_list("r").alias("_runs"))
+    per_doc = full.groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
+
+    def make_pieces():
+        import pyarrow as pa
+
+        span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("src_doc", pa.int64())]))
+        place = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
+
+        def work(rows):
+            spans, keys = [], []
+            for r in rows:
+                h = word_hashes(words_of(r["text"]))
+                equal = pieces(h.view(np.int64), r["runs"] or [])
+                spans.append([{"a": a, "b": b, "src_doc": src} for src, _, a, b in equal if b - a >= min_words])
+                at = uncovered(r["found"], equal, len(h), min_words)
+                k = shingles(h, min_words).view(np.int64)[at] if at else ()
+                keys.append([{"key": x, "at": p} for x, p in zip(k, at)])
+            return [pa.array(spans, span), pa.array(keys, place)]
+
+        return work
+
+    wanted = listed.select("doc_id", "found").join(per_doc, "doc_id", "left")
+    raw = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
+    both = narrowed(raw, listed, "doc_id", "doc_id").join(wanted, "doc_id").select("doc_id", F.struct("text", "found", "runs").alias("both"))
+    compared = scratch.cut(append(both, "both", make_pieces, "spans array<struct<a:int,b:int,src_doc:bigint>>, keys array<struct<key:bigint,at:int>>").drop("both"), "compared")
+    scratch.drop("listed", "runs", "full")
+    # what the first holder does not have whole goes to the first that has it
+    later = compared.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.*")
+    holders = later.groupBy("key").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last_doc")).where("src_doc < last_doc").drop("last_doc")
+    hits = later.join(holders, "key").where("doc_id <> src_doc").join(repeated, "doc_id", "left_anti")
+    spans = compared.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").union(hits.select("doc_id", F.col("at").alias("a"), (F.col("at") + min_words).alias("b"), "src_doc"))
+    spans = scratch.cut(spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "src_doc")).alias("_spans")), "spans")
 
     def make_clean():
         import pyarrow as pa
@@ -319,20 +369,16 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
         def work(rows):
             texts, spans = [], []
             for r in rows:
-                text, gone, runs = r["text"], [], r["runs"]
-                if runs:
-                    h = word_hashes(words_of(text)).view(np.int64)
-                    gone = removed_spans(h, runs, min_words)
-                    text = without(text, gone) if gone else text
-                spans.append([{"a": a, "b": b, "src_doc": min(x["src_doc"] for x in runs if x["a"] < b and a < x["b"])} for a, b in gone])
-                texts.append(text)
+                gone = merged_spans([(x["a"], x["b"], x["src_doc"]) for x in r["spans"] or []])
+                texts.append(without(r["text"], [x[:2] for x in gone]) if gone else r["text"])
+                spans.append([{"a": a, "b": b, "src_doc": found[0]} for a, b, found in gone])
             return [pa.array(texts, pa.binary()), pa.array(spans, kind)]
 
         return work
 
     rest = [c for c in docs.columns if c != "text"]
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
-    both = joined.select(*rest, F.struct(F.col("text").cast("binary").alias("text"), F.col("_runs").alias("runs")).alias("_both"))
+    joined = docs.join(spans.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
+    both = joined.select(*rest, F.struct(F.col("text").cast("binary").alias("text"), F.col("_spans").alias("spans")).alias("_both"))
     done = append(both, "_both", make_clean, "text binary, removed array<struct<a:int,b:int,src_doc:bigint>>")
     return done.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns], "removed")
 

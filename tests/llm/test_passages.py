@@ -110,3 +110,22 @@ def test_words_between_quotes_stay(spark):
         rows += [(i, " ".join(words(rnd, 40) + p + words(rnd, 20) + q + words(rnd, 40))), (100 + i, " ".join(words(rnd, 60) + p + words(rnd, 20) + q + words(rnd, 30)))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted((r.doc_id, r.text) for r in passages.dedup(df, Scratch(spark)).collect()) == sorted(rows)
+
+
+def test_first_holder_has_only_a_part(spark):
+    rnd = random.Random(4)
+    rows, whole = [], {}
+    for i in range(40):
+        p = words(rnd, 55)
+        part = p[5:50] if i % 2 else [*p[:4], "x", *p[5:50]]
+        rows.append((i, " ".join(words(rnd, 30) + part + words(rnd, 30))))
+        for k in (100, 200):
+            own = words(rnd, 30), words(rnd, 30)
+            rows.append((k + i, " ".join(own[0] + p + own[1])))
+            whole[k + i] = " ".join(own[0] + own[1])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    done = {r.doc_id: r for r in passages.dedup(df, Scratch(spark)).collect()}
+    assert not shared(r.text for r in done.values())
+    for i, text in rows:
+        assert done[i].text == (whole[i] if i >= 200 else text)
+        assert [x.src_doc for x in done[i].removed] == ([i - 100] if i >= 200 else [])
