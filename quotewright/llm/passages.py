@@ -280,7 +280,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeated passages removed from text, and removed: array of (a, b, src_doc), word spans and where the kept copy is."""
+    """docs with the repeated passages removed from text, and removed: array of (a, b, src_doc, src_docs), word spans, the smallest and all documents that hold the kept copies."""
     win = scratch.cut(windows(docs), "windows")
     place = F.struct("doc_id", "start")
     contents = scratch.cut(win.groupBy("w").agg(F.min(place).alias("first"), F.max("doc_id").alias("last_doc")), "contents")
@@ -364,14 +364,14 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     def make_clean():
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("src_doc", pa.int64())]))
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("src_doc", pa.int64()), ("src_docs", pa.list_(pa.int64()))]))
 
         def work(rows):
             texts, spans = [], []
             for r in rows:
                 gone = merged_spans([(x["a"], x["b"], x["src_doc"]) for x in r["spans"] or []])
                 texts.append(without(r["text"], [x[:2] for x in gone]) if gone else r["text"])
-                spans.append([{"a": a, "b": b, "src_doc": found[0]} for a, b, found in gone])
+                spans.append([{"a": a, "b": b, "src_doc": found[0], "src_docs": found} for a, b, found in gone])
             return [pa.array(texts, pa.binary()), pa.array(spans, kind)]
 
         return work
@@ -379,18 +379,20 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     rest = [c for c in docs.columns if c != "text"]
     joined = docs.join(spans.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
     both = joined.select(*rest, F.struct(F.col("text").cast("binary").alias("text"), F.col("_spans").alias("spans")).alias("_both"))
-    done = append(both, "_both", make_clean, "text binary, removed array<struct<a:int,b:int,src_doc:bigint>>")
+    done = append(both, "_both", make_clean, "text binary, removed array<struct<a:int,b:int,src_doc:bigint,src_docs:array<bigint>>>")
     return done.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns], "removed")
 
 
 def op4_repeated_passages(spark, sf_dir):
-    """One row per document: its class (component_id, the smallest doc_id that shared passages lead to), its links, what went and what stays."""
+    """One row per document: its class (component_id, the smallest doc_id that shared passages lead to), the documents it yields to (n_links) and those linked with it from either end (n_linked), what went and what stays."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = scratch.cut(dedup(docs, scratch), "done")
-    edges = done.select(F.col("doc_id").alias("a"), F.explode("removed.src_doc").alias("b"))
+    edges = done.select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.flatten("removed.src_docs"))).alias("b"))
+    edges = scratch.cut(edges.where("a is not null").distinct(), "links")
     comps = connected_components(edges, scratch, "documents")
+    linked = edges.select("a", "b").union(edges.select("b", "a")).groupBy("a").agg(F.count("*").alias("n_linked")).withColumnRenamed("a", "doc_id")
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["a"].cast("string"), x["b"].cast("string"), x["src_doc"].cast("string"))), ",")
     words = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, x: n + x["b"] - x["a"])
-    out = done.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("comp", "doc_id").alias("component_id"), F.size(F.array_distinct("removed.src_doc")).cast("bigint").alias("n_links"), words.alias("removed_words"), spans.alias("removed_spans"), "text")
+    out = done.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(linked, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("comp", "doc_id").alias("component_id"), F.size(F.array_distinct(F.flatten("removed.src_docs"))).cast("bigint").alias("n_links"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), words.alias("removed_words"), spans.alias("removed_spans"), "text")

@@ -129,3 +129,12 @@ def test_first_holder_has_only_a_part(spark):
     for i, text in rows:
         assert done[i].text == (whole[i] if i >= 200 else text)
         assert [x.src_doc for x in done[i].removed] == ([i - 100] if i >= 200 else [])
+
+
+def test_every_source_of_a_span_is_a_link(spark, tmp_path):
+    rnd = random.Random(6)
+    p, q = words(rnd, 60), words(rnd, 60)
+    rows = [(1, " ".join(p + words(rnd, 20))), (5, " ".join(q + words(rnd, 20))), (9, " ".join(words(rnd, 20) + p + q)), (7, "alone")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.component_id, r.n_links, r.n_linked, r.removed_words) for r in passages.op4_repeated_passages(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 0, 1, 0), 5: (1, 0, 1, 0), 9: (1, 2, 2, 120), 7: (7, 0, 0, 0)}
