@@ -40,6 +40,18 @@ WORDS = (
     "token key apikey none null true false string value your here placeholder redacted hidden private public server service "
     "database summer winter spring autumn monday friday love money house family flower orange banana coffee"
 ).split()
+#: Words of four languages; letters that follow each other in one of them are cheap to guess.
+COMMON = (
+    "the and that have with this from they would there their what about which when make like time just know take people into year good some could them other than then look only come over think also back after work first well even want because these give most "
+    "correct horse battery staple between through under different important government business question example knowledge available information management development account customer address number change public system program service standard special question "
+    "provide support process create remove update delete enable disable option setting value object window button field table column message error warning subject language country market price product quality original beautiful yesterday tomorrow morning evening "
+    "der die und den von mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei schon zwischen unter können "
+    "geschichte gesellschaft entwicklung wissenschaft schlüssel kennwort benutzer verwaltung zukunft freundschaft arbeit möglich natürlich wichtig sprache deutsch jahr zeit mensch leben "
+    "les des une est que pour dans qui par sur pas plus avec tout faire son mettre autre nous comme mais pouvoir même vous aussi bien sans être deux temps très savoir falloir voir quelque jour homme monde petit premier toujours histoire question langue travail moyen jeune ville chose "
+    "los las una por con para como más pero sus este entre cuando muy sin sobre también hasta hay donde quien desde todo nos durante todos uno les contra otros ese eso había ante ellos esto antes algunos qué unos otro otras otra tanto esa estos mucho trabajo tiempo mundo gobierno ciudad lenguaje pueblo siempre"
+).split()
+_pairs = {a + b for w in (*COMMON, *WORDS) for a, b in zip(w, w[1:])}
+PROSE = 2.0
 _rank = {w: i + 1 for i, w in enumerate(WORDS)}
 _longest = max(map(len, WORDS))
 _rows = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -55,9 +67,13 @@ def _near(a: str, b: str) -> bool:
 
 
 def _bits(value: str) -> list[float]:
-    """Brute-force bits of each character; text of letters alone is guessed like prose."""
+    """Brute-force bits of each character; in text of letters alone, those that follow as in prose are cheap."""
     if value.isalpha():
-        return [2.0] * len(value)
+        out = []
+        for a, b in zip(" " + value, value):
+            turn = a.islower() and b.isupper()
+            out.append(PROSE if not b.isascii() or not turn and (a + b).lower() in _pairs else math.log2(26) + turn)
+        return out
     return [math.log2(10) if c.isdigit() else math.log2(26) if c.isalpha() and c.isascii() else math.log2(33) for c in value]
 
 

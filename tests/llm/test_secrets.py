@@ -70,3 +70,11 @@ def test_guess_bits():
     assert all(secrets.guess_bits(v) < secrets.GUESS_BITS for v in weak)
     assert all(secrets.guess_bits(v) > secrets.GUESS_BITS for v in ("Xk9$2mQz!7", "8fJq2LmZ0pRt", "b7e1d0c93fa24586"))
     assert secrets.guess_bits("") == 0
+
+
+def test_letters_alone():
+    for v in ("qZxKvWpTbnRyh", "qzxkvwptbnryh", "QZXKVWPTBNRYH", "jvqhxbwmzk"):
+        text = f"pwd: {v} and so on"
+        assert secrets.find(text) == [("guess", 5, 5 + len(v))] and v not in secrets.redacted(text)
+    for v in ("something", "Einstellung", "important", "development", "administration", "gouvernement", "straßenbahn", "sometimes", "accessToken", "trabajadores"):
+        assert not secrets.find(f"pwd: {v} and so on"), v
