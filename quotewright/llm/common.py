@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,15 +14,19 @@ from pyspark.sql import functions as F
 #: What a word is: runs without space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 MEMO = 150_000  # entries a worker's word memo may hold before it starts again
+LONG = 64  # bytes; longer words aren't remembered, so that a memo's size is bounded
 
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a temporary one in local mode, as in tests; elsewhere an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir is unset: {master} needs a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quotewright-"))
     return _own[0]
@@ -33,6 +38,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.at: dict[str, str] = {}
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.top)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # results may be read until the session ends
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """df, written and read back; an earlier table of the same name is removed once the new one is there."""
@@ -48,6 +55,10 @@ class Scratch:
             if name in self.at:
                 self._remove(self.at.pop(name))
 
+    def keep(self, *names: str) -> None:
+        """Drops all but these."""
+        self.drop(*set(self.at) - set(names))
+
     def _remove(self, path: str) -> None:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -60,22 +71,28 @@ class WordHash(dict):
     def __init__(self):
         super().__init__()
         self.table = np.zeros(1 << 16, np.uint64)
+        self.used = 0
 
     def __missing__(self, word: bytes) -> int:
-        i = len(self)
+        i = self.used
+        self.used += 1
         if i >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[i] = xxhash.xxh64_intdigest(word)
-        self[word] = i
+        if len(word) <= LONG:
+            self[word] = i
         return i
 
+    def restart(self) -> None:
+        self.__init__()
+
 
 _hashes = WordHash()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) >= MEMO:  # between texts, so that places stay valid within one
-        _hashes.clear()
+    if _hashes.used >= MEMO:  # between texts, so that places stay valid within one
+        _hashes.restart()
     at = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
     return _hashes.table[at]  # the table may have grown meanwhile
 

@@ -3,40 +3,131 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, views
 
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 CELL = math.log(1.05)
 
 
-def shared_keys(keyed: DataFrame, scratch: Scratch, name: str, across: str | None = None) -> DataFrame:
-    """keyed (key, id, n) without the keys that only one id has, or that only one value of the column across has."""
+def shared_keys(keyed: DataFrame, scratch: Scratch, name: str, across: tuple[str, str] | None = None) -> DataFrame:
+    """keyed (key, id) without the keys that only one id has, or whose rows' across columns (least, greatest) span one value."""
     ends = [F.min("id").alias("first"), F.max("id").alias("last")]
     several = "first < last"
     if across:
-        ends += [F.min(across).alias("one"), F.max(across).alias("other")]
+        ends += [F.min(across[0]).alias("one"), F.max(across[1]).alias("other")]
         several += " and one < other"
     keys = keyed.groupBy("key").agg(*ends).where(several).select("key")
-    return scratch.cut(keyed.join(keys, "key").select("key", "id", "n").distinct(), name)
+    return scratch.cut(keyed.join(keys, "key").select("key", "id").distinct(), name)
 
 
-def resolve(keyed: DataFrame, links: DataFrame, confirm: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, name: str, alone: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, comp) of the links (a, b) and of the confirmed pairs (den * |intersection| >= num * |union|) among ids that share a key.
+def within(pairs: DataFrame, sets: DataFrame, num: int, den: int, distance: int | None, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in at most distance values and whose sets have den * |intersection| >= num * |union|.
 
-    keyed has (key, id, n), n an id's set size. alone(ids) gives (id, u): how many elements of an id's set no other of
-    the ids has; ids without a row have none.
+    sets has (id, v, n, sig, s); an id may have several sets (v), and any of them may make the link. Signatures (16-bit
+    values) are compared first, so that only pairs under the distance meet the sets.
+    """
+
+    def near(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (4, 5))
+            keep = pa.array((x != y).sum(1) <= distance)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(4)], ["a", "b", "va", "vb"])
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for p, q in zip(views(batch.column(2)), views(batch.column(3))):
+                small, large = sorted((len(p), len(q)))
+                ok = den * small >= num * large
+                if ok:
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    ok = both and den * both >= num * (small + large - both)
+                keep.append(bool(ok))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    side = lambda c, *more: sets.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"), *[F.col(m).alias(m + c) for m in more])
+    met = pairs.join(side("b", "n", *["sig"] * (distance is not None)), "b").join(side("a", "n", *["sig"] * (distance is not None)), "a")
+    met = met.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+    if distance is not None:
+        met = met.select("a", "b", "va", "vb", "siga", "sigb").mapInArrow(near, "a bigint, b bigint, va bigint, vb bigint")
+    met = scratch.cut(met.select("a", "b", "va", "vb"), f"{name}-close")
+    full = met.join(side("b", "s"), ["b", "vb"]).join(side("a", "s"), ["a", "va"]).select("a", "b", "sa", "sb")
+    return scratch.cut(full.mapInArrow(compare, "a bigint, b bigint").distinct(), f"{name}-links")
+
+
+def elements(sets: DataFrame) -> DataFrame:
+    """(id, v, n, x): a row for each element of each set."""
+
+    def spread(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            each = views(batch.column(3))
+            size = [len(x) for x in each]
+            flat = (np.concatenate(each) if each else np.zeros(0, np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(i).to_numpy(), size)) for i in range(3)), pa.array(flat)], ["id", "v", "n", "x"])
+
+    return sets.select("id", "v", "n", "s").mapInArrow(spread, "id bigint, v bigint, n int, x bigint")
+
+
+def own_elements(sets: DataFrame) -> DataFrame:
+    """(id, v, u): how many elements of a set no other of the sets has; sets without any have no row."""
+    once = elements(sets).groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.min("v").alias("v")).where("c = 1")  # combined before it is shuffled
+    return once.groupBy("id", "v").agg(F.count("*").cast("int").alias("u"))
+
+
+def prefix_pairs(sets: DataFrame, comps: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """All pairs (a, b) of different components that may reach num / den, by a prefix filter with places.
+
+    Every set's elements are put in one order for all, rarest first. With s the smaller and r the larger size, a pair
+    under the threshold shares more than s - overlap of them, overlap = num (r + s) / (num + den); so its first shared
+    element stands, in both sets, before the place from which too few would follow. That leaves the larger set its first
+    r - num r / den + 1 elements and the smaller its first s - 2 num s / (num + den) + 1, and an element at place i only
+    partners of sizes up to (num + den) (n - i) / num - n. A set's own elements are its rarest: they fill the places of a
+    heavily edited copy, which so meets nobody. Elements are met by size cells of 5 % and not within their most
+    frequent component, so the members of one group don't all meet.
+    """
+    each = elements(sets)
+    often = each.groupBy("x").agg(F.count("*").alias("c"))
+    several = scratch.cut(often.where("c > 1"), f"{name}-often")
+    own = own_elements(sets)
+    order = F.row_number().over(Window.partitionBy("id", "v").orderBy("c", "x"))  # a text's elements
+    placed = each.join(several, "x").withColumn("k", order).join(own, ["id", "v"], "left")
+    placed = placed.withColumn("i", F.coalesce("u", F.lit(0)) + F.col("k") - 1)
+    placed = placed.where(f"i <= n - ({num} * n + {den - 1}) div {den}").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    placed = scratch.cut(placed.select("x", "id", "n", "i", F.coalesce("comp", "id").alias("comp")), f"{name}-placed")
+    main = placed.groupBy("x", "comp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("x", "main")
+    placed = scratch.cut(placed.join(main, "x"), f"{name}-placed")
+    cell = lambda c: F.floor(F.log(F.col(c).cast("double")) / CELL + 1e-9).cast("int")
+    lo, hi = F.expr(f"({num} * n + {den - 1}) div {den}"), F.expr(f"least(n, ({den + num} * (n - i)) div {num} - n)")
+    large = placed.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
+    large = large.select("x", "cell", (F.col("comp") == F.col("main")).alias("in_main"), F.struct("id", "comp", "n", "i").alias("p"))
+    small = placed.where(f"i <= n - (2 * {num} * n + {den + num - 1}) div {den + num}").withColumn("in_main", F.explode(F.when(F.col("comp") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    small = small.select("x", cell("n").alias("cell"), "in_main", F.struct("id", "comp", "n", "i").alias("q"))
+    enough = f"p.comp <> q.comp and p.n >= q.n and {den} * q.n >= {num} * p.n and {den + num} * least(p.n - p.i, q.n - q.i) >= {num} * (p.n + q.n)"
+    met = large.join(small, ["x", "cell", "in_main"]).where(enough)
+    return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+
+
+def resolve(keyed: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int, distance: int | None, scratch: Scratch, name: str) -> DataFrame:
+    """(node, comp) of the links (a, b) and of the pairs within() confirms among ids that share a key.
 
-    The rounds first join what is easily joined: every member of a key's group meets one partner of another component,
-    from the second round on the group's most central one, that with the smallest share of elements of its own. Groups
-    that lie in one component are done. Then everything that is left across components meets, but for pairs that can't
-    reach the threshold: of an id with n elements, u of them its own, at most n - u are shared, so its partner's size s
-    obeys num * n <= den * s and num * (n + s) <= (den + num) * (n - u). Sizes are cut into cells of 5 %, and members
-    meet by key and cell; a heavily edited copy has no cell to go to. Nothing is capped, and a pair is tried once.
+    keyed has (key, id), sets what within() says, for every id of keyed. The rounds first join what is easily joined:
+    every member of a key's group meets one partner of another component, from the second round on the group's most
+    central one, that with the smallest share of elements of its own. Groups that lie in one component are done. Then
+    prefix_pairs finds every pair that is left across components and may still reach the threshold. An id with n
+    elements, u of them its own, shares at most n - u, so its partner's size s obeys num * n <= den * s and
+    num * (n + s) <= (den + num) * (n - u); ids without such a size are done. Nothing is capped, a pair is tried once.
     """
     comps = connected_components(links, scratch, f"{name}-comps")
     tried = own = None
@@ -48,39 +139,36 @@ def resolve(keyed: DataFrame, links: DataFrame, confirm: Callable[[DataFrame], D
         member = scratch.cut(member.join(open_, "key"), f"{name}-member")
         if not member.limit(1).count():
             return comps
-        if turn == 2 and alone is not None:
-            own = scratch.cut(alone(member.select("id").distinct()), f"{name}-own")
-        if own is not None:
-            member = member.join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        if turn == 2:
+            left = sets.join(member.select("id").distinct(), "id", "left_semi")
+            u = left.select("id", "v", "n").join(own_elements(left), ["id", "v"], "left").withColumn("u", F.coalesce("u", F.lit(0)))
+            # of an id's several sets, the widest sizes
+            own = scratch.cut(u.withColumns({"lo": F.expr(f"({num} * n + {den - 1}) div {den}"), "hi": F.expr(f"({den + num} * (n - u)) div {num} - n"), "share": F.expr("u / n")}).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("share").alias("share")), f"{name}-own")
+        if own is None:
+            member = member.withColumns({"lo": F.lit(0), "hi": F.lit(1 << 31), "share": F.lit(0.0)})
         else:
-            member = member.withColumn("u", F.lit(0))
-        member = member.withColumns({"lo": F.expr(f"({num} * n + {den - 1}) div {den}"), "hi": F.expr(f"({den + num} * (n - u)) div {num} - n")}).where("lo <= hi")
-        one = F.struct("comp", "id", "n", "lo", "hi")
+            member = member.join(own, "id").where("lo <= hi")
+        one = F.struct("comp", "id", "lo", "hi")
         if turn <= STAR_ROUNDS:
             if turn == 1:
                 heads = member.groupBy("key").agg(F.min(one).alias("p"), F.max(one).alias("q"))
             else:
-                heads = member.groupBy("key").agg(F.min_by(one, F.struct(F.col("u") / F.col("n"), F.xxhash64("id", F.lit(turn)))).alias("p"), F.max_by(one, F.struct("comp", F.xxhash64("id", F.lit(turn)))).alias("q"))
+                heads = member.groupBy("key").agg(F.min_by(one, F.struct("share", F.xxhash64("id", F.lit(turn)))).alias("p"), F.max_by(one, F.struct("comp", F.xxhash64("id", F.lit(turn)))).alias("q"))
             met = member.join(heads, "key").withColumn("o", F.when(F.col("comp") != F.col("p.comp"), F.col("p")).when(F.col("comp") != F.col("q.comp"), F.col("q")))
-            met = met.where("o is not null and o.n between lo and hi and n between o.lo and o.hi").groupBy("id").agg(F.min_by("o.id", F.xxhash64("o.id", F.lit(turn))).alias("o"))
+            met = met.where("o is not null and o.lo <= hi and lo <= o.hi").groupBy("id").agg(F.min_by("o.id", F.xxhash64("o.id", F.lit(turn))).alias("o"))
             pairs = met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
         else:
-            largest = member.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-            cell = lambda c: F.floor(F.log(F.col(c).cast("double")) / CELL).cast("int")
-            left = member.join(largest, "key").where("comp <> main").withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
-            left = left.select("key", "cell", F.struct("id", "comp", "n", "lo", "hi").alias("x"))
-            right = member.select("key", cell("n").alias("cell"), F.struct("id", "comp", "n", "lo", "hi").alias("y"))
-            met = left.join(right, ["key", "cell"]).where("x.comp <> y.comp and y.n between x.lo and x.hi and x.n between y.lo and y.hi")
-            pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+            left = scratch.cut(sets.join(member.select("id").distinct(), "id", "left_semi").select("id", "v", "n", "s"), f"{name}-left")
+            pairs = prefix_pairs(left, comps, num, den, scratch, name)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.cut(pairs, f"{name}-pairs-{turn}")
-        last = turn > STAR_ROUNDS
         if pairs.limit(1).count():
-            new = scratch.cut(confirm(pairs), f"{name}-links-{turn}")
+            new = within(pairs, sets, num, den, distance, scratch, f"{name}-{turn}")
             tried = pairs if tried is None else tried.union(pairs)
             links = links.union(new)
             if new.limit(1).count():
                 comps = connected_components(links, scratch, f"{name}-comps")
-        if last:
+        if turn > STAR_ROUNDS:
+            scratch.drop(f"{name}-member", f"{name}-own", f"{name}-left", f"{name}-often", f"{name}-placed")
             return comps

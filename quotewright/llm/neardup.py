@@ -1,9 +1,11 @@
 """Near-duplicate documents by MinHash and a multi-index Hamming join.
 
-A text's set is its distinct k-word shingles. Its signature is PIECES chunks of CHUNK MinHash values. Two signatures
-that differ in at most PIECES * (ERRORS + 1) - 1 values must, by the pigeonhole principle, share a chunk with at most
-ERRORS differing values; all ways to strike ERRORS values out of a chunk are enumerated, and what is left of it is a key.
-So every pair under that distance shares a key. Pairs are then confirmed on full sets, as integers.
+A text's set is its distinct k-word shingles. Its signature is PIECES chunks of CHUNK MinHash values, cut to BITS bits.
+Two signatures that differ in at most DISTANCE = PIECES * (ERRORS + 1) - 1 values must, by the pigeonhole principle, share
+a chunk with at most ERRORS differing values; all ways to strike ERRORS values out of a chunk are enumerated, and what is
+left of it is a key, packed without loss. So every pair under that distance shares a key. Pairs that meet are tested for
+the distance before their sets are read, and then confirmed on full sets, as integers. A pair of similarity 0.8 is under
+the distance in 9,999 cases of 10,000: of 32 values, 6.4 differ on average, with a standard deviation of 2.3.
 
 Equal sets are one class from the start. Within a key's group nobody meets everybody; links.resolve says how all links
 between different texts are found all the same.
@@ -23,10 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, append, mix, multipliers, narrowed, shingles, views, word_hashes, words_of
+from .common import Scratch, append, multipliers, narrowed, shingles, word_hashes, words_of
 from .links import resolve, shared_keys
 
-PIECES, CHUNK, ERRORS = 8, 4, 1
+PIECES, CHUNK, ERRORS, BITS = 8, 4, 1, 16
+DISTANCE = PIECES * (ERRORS + 1) - 1
 SEED = 20_240_607
 SLICE = 4096
 
@@ -37,28 +40,35 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """The MinHash values of a set of hashes; set must not be empty."""
+    """The MinHash values of a set of hashes, their upper BITS bits; set must not be empty."""
     out = np.full(len(by), ~np.uint64(0))
     for a in range(0, len(s), SLICE):
         np.minimum(out, (s[a : a + SLICE, None] * by[None, :]).min(axis=0), out=out)
-    return out
+    return truncated(out)
+
+
+def truncated(values: np.ndarray) -> np.ndarray:
+    """BITS bits of MinHash values. The upper bits of a minimum are nearly all zero, so the bits are taken from its hash."""
+    return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.uint16)
+
+
+_strikes = list(combinations(range(CHUNK), CHUNK - ERRORS))
 
 
 def keys_of(sig: np.ndarray) -> np.ndarray:
-    """The keys of a signature: each chunk with each choice of ERRORS values struck out."""
+    """The keys of a signature: each chunk with each choice of ERRORS values struck out; chunk and choice in the upper bits."""
+    chunks = sig.astype(np.int64).reshape(PIECES, CHUNK)
     out = []
-    for c in range(PIECES):
-        chunk = sig[c * CHUNK : (c + 1) * CHUNK]
-        for j, left in enumerate(combinations(range(CHUNK), CHUNK - ERRORS)):
-            h = np.uint64(c * 64 + j + 1)
-            for i in left:
-                h = h * np.uint64(0x9E3779B97F4A7C15) + chunk[i]
-            out.append(h)
-    return mix(np.array(out)).view(np.int64)
+    for j, left in enumerate(_strikes):
+        key = np.arange(PIECES, dtype=np.int64) * len(_strikes) + j
+        for i in left:
+            key = key << BITS | chunks[:, i]
+        out.append(key)
+    return np.concatenate(out)
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, class binary, keys array<bigint>): the set's size, a 128-bit hash of the set and the keys; null for empty sets."""
+    """(doc_id, n, class binary, sig binary, keys array<bigint>): the set's size, a 128-bit hash of the set, signature and keys; null for empty sets."""
 
     def make():
         import pyarrow as pa
@@ -66,83 +76,63 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
         by = multipliers(PIECES * CHUNK, SEED)
 
         def work(texts):
-            n, cls, keys = [], [], []
+            n, cls, sigs, keys = [], [], [], []
             with np.errstate(over="ignore"):
                 for t in texts:
                     s = shingle_set(t, k)
+                    sig = signature(s, by) if len(s) else None
                     n.append(len(s))
                     cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    keys.append(keys_of(signature(s, by)) if len(s) else None)
-            return [pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                    sigs.append(sig.tobytes() if len(s) else None)
+                    keys.append(keys_of(sig) if len(s) else None)
+            return [pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
 
         return work
 
     raw = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return append(raw, "text", make, "n bigint, class binary, keys array<bigint>").drop("text")
+    return append(raw, "text", make, "n bigint, class binary, sig binary, keys array<bigint>").drop("text")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have den * |intersection| >= num * |union|."""
+def sets_of(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(id, v, n, sig, s) of the ids' different texts: links.within says what."""
 
     def make():
         import pyarrow as pa
 
-        return lambda texts: [pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary())]
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = scratch.cut(ids, "wanted")
-    raw = narrowed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")), ids, "doc_id", "doc_id").join(ids, "doc_id")
-    sets = append(raw, "text", make, "s binary").select("doc_id", "s")
-
-    def compare(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = []
-            for p, q in zip(views(batch.column(2)), views(batch.column(3))):
-                small, large = sorted((len(p), len(q)))
-                ok = den * small >= num * large
-                if ok:
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    ok = both and den * both >= num * (small + large - both)
-                keep.append(bool(ok))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    one = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "s": "sb"}), "b")
-    two = one.join(sets.withColumnsRenamed({"doc_id": "a", "s": "sa"}), "a").select("a", "b", "sa", "sb")
-    return two.mapInArrow(compare, "a bigint, b bigint")
-
-
-def alone(ids: DataFrame, docs: DataFrame, scratch: Scratch, k: int) -> DataFrame:
-    """(id, u): how many shingles of a document no other of the ids has."""
+        by = multipliers(PIECES * CHUNK, SEED)
 
-    def make():
-        import pyarrow as pa
+        def work(texts):
+            with np.errstate(over="ignore"):
+                sets = [shingle_set(t, k) for t in texts]
+                sigs = [signature(s, by).tobytes() if len(s) else None for s in sets]
+            raw = [s.tobytes() for s in sets]
+            return [pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in raw], pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(sigs, pa.binary()), pa.array(raw, pa.binary())]
 
-        return lambda texts: [pa.array([shingle_set(t, k).view(np.int64) for t in texts], pa.list_(pa.int64()))]
+        return work
 
-    ids = scratch.cut(ids, "others")
-    raw = narrowed(docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("binary").alias("text")), ids, "id", "id").join(ids, "id")
-    each = append(raw, "text", make, "s array<bigint>").select("id", F.explode("s").alias("s"))
-    once = each.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")  # combined before it is shuffled
-    return once.groupBy("id").agg(F.count("*").alias("u"))
+    ids = scratch.cut(ids, "wanted")
+    raw = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("binary").alias("text"))
+    got = append(narrowed(raw, ids, "id", "id").join(ids, "id"), "text", make, "v bigint, n int, sig binary, s binary").drop("text").where("n > 0")
+    again = got.groupBy("id", "v").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("s").alias("s"))  # repeated rows once
+    return scratch.cut(again, "sets")
 
 
 def classes(docs: DataFrame, scratch: Scratch, k: int = 4, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     rows = scratch.cut(signed(docs, k), "signed")
-    groups = scratch.cut(rows.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "groups")
+    whole = rows.where("class is not null and doc_id is not null")
+    groups = scratch.cut(whole.groupBy("class").agg(F.min("doc_id").alias("rep")), "groups")
     # one node for the rows of a repeated id: links among the classes that share it
-    ids = rows.where("class is not null and doc_id is not null").groupBy("doc_id").agg(F.countDistinct("class").alias("c")).where("c > 1").select("doc_id")
+    ids = whole.groupBy("doc_id").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one < other").select("doc_id")
     shared = rows.join(ids, "doc_id").join(groups, "class").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     reps = rows.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").where("keys is not null")
-    keyed = shared_keys(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n"), scratch, "keyed")
+    keyed = shared_keys(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")), scratch, "keyed")
     links = scratch.cut(shared.distinct(), "shared")
-    comps = resolve(keyed, links, lambda pairs: confirmed(pairs, docs, scratch, k, num, den).distinct(), num, den, scratch, "near", lambda some: alone(some.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_anti"), docs, scratch, k))
-    scratch.drop("keyed", "near-member", "near-own")
+    sets = sets_of(docs, keyed.select("id").distinct(), k, scratch)
+    comps = resolve(keyed, links, sets, num, den, DISTANCE, scratch, "near")
     named = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("comp", "rep").alias("component_id"))
-    out = rows.drop("keys").join(named, "class", "left")
+    out = scratch.cut(rows.select("doc_id", "n", "class").join(named, "class", "left"), "classes")
+    scratch.keep("classes")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -2,6 +2,8 @@ import random
 import re
 import string
 
+import numpy as np
+
 from quotewright.llm import links, neardup
 from quotewright.llm.common import Scratch, connected_components
 
@@ -73,14 +75,9 @@ def test_resolve_loses_no_link(spark):
     rnd = random.Random(2)
     sets = {i: frozenset(rnd.sample(range(30), rnd.randint(8, 14)) if i % 3 else rnd.sample(range(12), 10)) for i in range(60)}
     ok = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
-    keyed = spark.createDataFrame([(1, i, len(s)) for i, s in sets.items()], "key bigint, id bigint, n int")
-    confirm = lambda pairs: spark.createDataFrame([(r.a, r.b) for r in pairs.collect() if ok(r.a, r.b)], "a bigint, b bigint")
-
-    def alone(ids):
-        some = [r.id for r in ids.collect()]
-        return spark.createDataFrame([(i, sum(not any(x in sets[j] for j in some if j != i) for x in sets[i])) for i in some], "id bigint, u bigint")
-
-    comps = {r.node: r.comp for r in links.resolve(keyed, spark.createDataFrame([], "a bigint, b bigint"), confirm, 80, 100, Scratch(spark), "t", alone).collect()}
+    keyed = spark.createDataFrame([(1, i) for i in sets], "key bigint, id bigint")
+    stored = spark.createDataFrame([(i, 0, len(s), None, bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in sets.items()], "id bigint, v bigint, n int, sig binary, s binary")
+    comps = {r.node: r.comp for r in links.resolve(keyed, spark.createDataFrame([], "a bigint, b bigint"), stored, 80, 100, None, Scratch(spark), "t").collect()}
     up = {i: i for i in sets}
     for _ in sets:
         for a in sets:
@@ -90,6 +87,35 @@ def test_resolve_loses_no_link(spark):
     assert {i: comps.get(i, i) for i in sets} == up
 
 
+def test_pairs_of_the_last_pass(spark):
+    """Every pair of different components that reaches the threshold is among them; heavily edited copies of one text meet few."""
+    rnd = random.Random(9)
+    sets, comp = {}, {}
+    for i in range(120):
+        s = set(range(100))
+        for x in rnd.sample(range(100), rnd.choice((2, 8, 14, 15, 16, 18, 30))):
+            s.remove(x)
+            if rnd.random() < 0.9:
+                s.add(rnd.choice((1000 + rnd.randrange(40), 10_000 + rnd.randrange(10**6))))
+        sets[i], comp[i] = s, rnd.choice((0, 0, i))
+    stored = spark.createDataFrame([(i, 0, len(s), bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in sets.items()], "id bigint, v bigint, n int, s binary")
+    comps = spark.createDataFrame(list(comp.items()), "node bigint, comp bigint")
+    met = {(r.a, r.b) for r in links.prefix_pairs(stored, comps, 80, 100, Scratch(spark), "t").collect()}
+    apart = [(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b]]
+    assert {(a, b) for a, b in apart if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])} <= met
+    assert len(met) < len(apart) / 2
+
+
+def test_signature_keys():
+    """Two signatures that differ in at most DISTANCE values share a key."""
+    rnd = np.random.default_rng(4)
+    for _ in range(300):
+        a = rnd.integers(0, 1 << 16, 32).astype(np.uint16)
+        b = a.copy()
+        b[rnd.choice(32, neardup.DISTANCE, replace=False)] ^= np.uint16(1)
+        assert set(neardup.keys_of(a).tolist()) & set(neardup.keys_of(b).tolist())
+
+
 def test_query(spark, sf):
     df = neardup.op7_hamming_near_duplicates(spark, sf)
     assert got(df) == brute(rows_of(spark.read.parquet(f"{sf}/documents.parquet")), 4)
