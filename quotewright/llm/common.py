@@ -70,8 +70,7 @@ class WordHash(dict):
 
     def __init__(self):
         super().__init__()
-        self.table = np.zeros(1 << 16, np.uint64)
-        self.used = 0
+        self.restart()
 
     def __missing__(self, word: bytes) -> int:
         i = self.used
@@ -84,7 +83,8 @@ class WordHash(dict):
         return i
 
     def restart(self) -> None:
-        self.__init__()
+        self.clear()
+        self.table, self.used = np.zeros(1 << 16, np.uint64), 0
 
 
 _hashes = WordHash()

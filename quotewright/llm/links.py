@@ -12,6 +12,7 @@ from .common import Scratch, connected_components, views
 
 STAR_ROUNDS = 3
 CELL = math.log(1.05)
+BEFORE = 16
 
 
 def shared_keys(keyed: DataFrame, scratch: Scratch, name: str, across: tuple[str, str] | None = None) -> DataFrame:
@@ -95,26 +96,27 @@ def prefix_pairs(sets: DataFrame, comps: DataFrame, num: int, den: int, scratch:
     r - num r / den + 1 elements and the smaller its first s - 2 num s / (num + den) + 1, and an element at place i only
     partners of sizes up to (num + den) (n - i) / num - n. A set's own elements are its rarest: they fill the places of a
     heavily edited copy, which so meets nobody. Elements are met by size cells of 5 % and not within their most
-    frequent component, so the members of one group don't all meet.
+    frequent component, so the members of one group don't all meet; a pair that met at one of the BEFORE elements before
+    does not come up again.
     """
     each = elements(sets)
     often = each.groupBy("x").agg(F.count("*").alias("c"))
     several = scratch.cut(often.where("c > 1"), f"{name}-often")
     own = own_elements(sets)
-    order = F.row_number().over(Window.partitionBy("id", "v").orderBy("c", "x"))  # a text's elements
-    placed = each.join(several, "x").withColumn("k", order).join(own, ["id", "v"], "left")
+    order = Window.partitionBy("id", "v").orderBy("c", "x")  # a text's elements
+    placed = each.join(several, "x").withColumns({"k": F.row_number().over(order), "before": F.collect_list("x").over(order.rowsBetween(-BEFORE, -1))}).join(own, ["id", "v"], "left")
     placed = placed.withColumn("i", F.coalesce("u", F.lit(0)) + F.col("k") - 1)
     placed = placed.where(f"i <= n - ({num} * n + {den - 1}) div {den}").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    placed = scratch.cut(placed.select("x", "id", "n", "i", F.coalesce("comp", "id").alias("comp")), f"{name}-placed")
+    placed = scratch.cut(placed.select("x", "id", "n", "i", "before", F.coalesce("comp", "id").alias("comp")), f"{name}-placed")
     main = placed.groupBy("x", "comp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("x", "main")
     placed = scratch.cut(placed.join(main, "x"), f"{name}-placed")
     cell = lambda c: F.floor(F.log(F.col(c).cast("double")) / CELL + 1e-9).cast("int")
     lo, hi = F.expr(f"({num} * n + {den - 1}) div {den}"), F.expr(f"least(n, ({den + num} * (n - i)) div {num} - n)")
     large = placed.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
-    large = large.select("x", "cell", (F.col("comp") == F.col("main")).alias("in_main"), F.struct("id", "comp", "n", "i").alias("p"))
+    large = large.select("x", "cell", (F.col("comp") == F.col("main")).alias("in_main"), F.struct("id", "comp", "n", "i", "before").alias("p"))
     small = placed.where(f"i <= n - (2 * {num} * n + {den + num - 1}) div {den + num}").withColumn("in_main", F.explode(F.when(F.col("comp") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
-    small = small.select("x", cell("n").alias("cell"), "in_main", F.struct("id", "comp", "n", "i").alias("q"))
-    enough = f"p.comp <> q.comp and p.n >= q.n and {den} * q.n >= {num} * p.n and {den + num} * least(p.n - p.i, q.n - q.i) >= {num} * (p.n + q.n)"
+    small = small.select("x", cell("n").alias("cell"), "in_main", F.struct("id", "comp", "n", "i", "before").alias("q"))
+    enough = f"p.comp <> q.comp and (p.n > q.n or p.n = q.n and p.id > q.id) and {den} * q.n >= {num} * p.n and {den + num} * least(p.n - p.i, q.n - q.i) >= {num} * (p.n + q.n) and not arrays_overlap(p.before, q.before)"
     met = large.join(small, ["x", "cell", "in_main"]).where(enough)
     return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
