@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, views
+from .common import Scratch, connected_components, narrowed, views
 
 STAR_ROUNDS = 3
 CELL = math.log(1.05)
@@ -22,8 +22,9 @@ def shared_keys(keyed: DataFrame, scratch: Scratch, name: str, across: tuple[str
     if across:
         ends += [F.min(across[0]).alias("one"), F.max(across[1]).alias("other")]
         several += " and one < other"
-    keys = keyed.groupBy("key").agg(*ends).where(several).select("key")
-    return scratch.cut(keyed.join(keys, "key").select("key", "id").distinct(), name)
+    keys = scratch.cut(keyed.groupBy("key").agg(*ends).where(several).select("key"), f"{name}-several")
+    found = narrowed(keyed.select("key", "id"), keys, "key", "key").join(keys, "key").distinct()
+    return scratch.cut(found, name)
 
 
 def within(pairs: DataFrame, sets: DataFrame, num: int, den: int, distance: int | None, scratch: Scratch, name: str) -> DataFrame:

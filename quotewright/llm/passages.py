@@ -1,23 +1,26 @@
 """Substring dedup: passages that repeat across documents, by paragraph MinHash banding.
 
-Passages are planted in the middle of lines and sentences, so lines make poor paragraphs. A paragraph here is WINDOW
-words that start at an anchor, and anchors are chosen by content alone: the rightmost smallest shingle hash of every
-GAP consecutive shingles. Any passage of WINDOW + GAP + SHINGLE - 2 = 51 words holds a whole paragraph, the same in
-each of its copies, whatever stands around it.
-
-Paragraphs of equal content are one from the start. Distinct ones meet in MinHash bands (BANDS of ROWS values); the two
-sets of 16 shingles can only reach a Jaccard similarity of 0.8 with 15 shared ones, 0.88, of which the bands find 98.9 %.
-Colliding paragraphs are confirmed by exact Jaccard and clustered by components. Each cluster keeps the paragraphs of its
-smallest doc_id; those of the other documents join into runs, words between paragraphs are compared, both ends are extended
-word by word as far as the kept copy reads the same (CONTEXT words at most, more than an anchor can be away), and equal
-pieces of MIN_WORDS words or more go. The first holder of a paragraph may have only part of a passage that others share:
-where it does not have the MIN_WORDS words around a paragraph, these are grouped by content, at each place they can have
-about it, and go where a smaller doc_id has them.
+Two steps, each of which removes what a smaller doc_id holds.
+
+Paragraphs are lines of MIN_WORDS words or more. Equal ones are one from the start; distinct ones meet in MinHash bands
+(BANDS of ROWS values), are confirmed by the exact Jaccard similarity of their 5-word shingles, 0.8 or more, and are
+clustered by components. Each cluster keeps the paragraph of its smallest (doc_id, place) and what else that document
+has of it; in other documents its paragraphs go whole, edited or not. Of pairs at 0.8, the bands find 99.7 %.
+
+Passages also stand in the middle of lines, among other words, so the text that is left is searched for sequences of MIN_WORDS
+words that another document holds, word by word. Few of them need hashing: windows of WINDOW words start at anchors, which
+content alone chooses (the rightmost smallest shingle hash of every GAP consecutive ones), so that every sequence of
+WINDOW + GAP - 1 = MIN_WORDS words holds a whole window, the same in each of its copies, whatever stands around it. Only
+sequences that hold a window of two different texts are hashed and grouped; those with a smaller holder go. So no
+MIN_WORDS words of two documents stay equal, and nothing else goes. A copy edited more often than every MIN_WORDS words
+stays unless it is a paragraph of its own.
+
+Texts of equal words are one from the start, too: of MIN_WORDS words or more, copies of the smallest doc_id go whole.
 
 Cases. Null ids and null, empty or shorter texts: unchanged, no part taken. Very long texts: whole. Ties: the smallest
 (doc_id, place) is kept. Repeats within one document alone: unchanged. Repeated ids: their rows are left unchanged, as
 places in them are ambiguous; others still yield to them. Exact copies: the smallest id stays, the others' texts become
-empty. Empty table: no rows. Extra columns stay.
+empty. Empty table: no rows. Extra columns stay, whatever their names; one named removed is replaced.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, append, connected_components, mix, multipliers, narrowed, shingles, views, word_hashes, words_of
+from .common import Scratch, append, connected_components, mix, multipliers, narrowed, shingles, word_hashes, words_of
 from .links import resolve, shared_keys
 
-SHINGLE, WINDOW, GAP = 5, 20, 28
-BANDS, ROWS = 3, 2
-CONTEXT, MIN_WORDS = 40, 50
+SHINGLE, WINDOW, GAP = 5, 20, 31
+BANDS, ROWS = 8, 3
+MIN_WORDS = WINDOW + GAP - 1
 SEED = 77_003
+TEXT, ANCHOR, PARAGRAPH = 0, 1, 2
 
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -75,42 +80,57 @@ def contents_of(rows: np.ndarray) -> np.ndarray:
     return mix(content).view(np.int64)
 
 
-def paragraphs(s: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, contents, keys) of a text's shingles: the content's hash and a key for each band."""
-    at = anchors(s)
-    if not len(at):
-        return at, np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
-    rows = s[at[None, :] + np.arange(WINDOW - SHINGLE + 1)[:, None]]
-    mins = [(rows * m).min(axis=0) for m in by]
+def hashed(h: np.ndarray) -> int:
+    """A 64-bit hash of a sequence of words' or shingles' hashes."""
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+
+
+def lines_of(text: bytes, least: int) -> np.ndarray:
+    """(a, b) of the lines of at least that many words, as places of words."""
+    n = np.array([len(x.split()) for x in text.split(b"\n")])
+    b = np.cumsum(n)
+    return np.stack([b - n, b], 1)[n >= least]
+
+
+def band_keys(s: np.ndarray, spans: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """A key for each band of each paragraph (a, b) of a text with shingles s."""
+    cuts = np.stack([spans[:, 0], spans[:, 1] - SHINGLE + 1], 1).reshape(-1)
     keys = []
-    for b in range(BANDS):
-        h = np.full(len(at), b + 1, np.uint64)
-        for r in range(ROWS):
-            h = h * _A + mins[b * ROWS + r]
-        keys.append(mix(h))
-    return at, contents_of(rows), np.stack(keys, 1).view(np.int64)
+    for band in range(BANDS):
+        key = np.full(len(spans), band + 1, np.uint64)
+        for m in by[band * ROWS : (band + 1) * ROWS]:
+            key = key * _A + np.minimum.reduceat(np.append(s * m, np.uint64(0)), cuts)[::2]  # one multiplier at a time: memory as the text
+        keys.append(mix(key))
+    return np.stack(keys, 1).view(np.int64)
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, w, keys): the paragraphs of every text."""
+def scanned(docs: DataFrame, min_words: int) -> DataFrame:
+    """(kind, doc_id, cls, start, stop, w, keys): every text of min_words words or more (stop: its words), its windows and its paragraphs; cls and w are hashes of the text's words and of the piece's content."""
 
     def run(batches):
         import pyarrow as pa
 
         by = multipliers(BANDS * ROWS, SEED)
-        names = ["doc_id", "start", "w", "keys"]
+        names = ["kind", "doc_id", "cls", "start", "stop", "w", "keys"]
         for batch in batches:
             got = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at, w, keys = paragraphs(shingles(word_hashes(words_of(t)), SHINGLE), by)
-                if len(at):
-                    got.append((np.full(len(at), k, np.int64), at, w, keys))
+                h = word_hashes(words_of(t))
+                if len(h) < min_words:
+                    continue
+                s, cls = shingles(h, SHINGLE), hashed(h)
+                at, lines = anchors(s), lines_of(t, min_words)
+                sizes = (1, len(at), len(lines))
+                w = np.concatenate([[cls], contents_of(s[at[None, :] + np.arange(WINDOW - SHINGLE + 1)[:, None]]), [hashed(h[a:b]) for a, b in lines]]).astype(np.int64)
+                n = sum(sizes)
+                got.append((np.repeat((TEXT, ANCHOR, PARAGRAPH), sizes), np.full(n, k, np.int64), np.full(n, cls, np.int64), np.concatenate([[0], at, lines[:, 0]]), np.concatenate([[len(h)], at + WINDOW, lines[:, 1]]), w, np.repeat((0, 0, BANDS), sizes), band_keys(s, lines, by).reshape(-1) if len(lines) else w[:0]))
             if got:
-                doc, at, w, keys = (np.concatenate(x) for x in zip(*got))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(w) + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at.astype(np.int32)), pa.array(w), lists], names)
+                kind, doc, cls, a, b, w, sizes, keys = (np.concatenate(x) for x in zip(*got))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(doc), pa.array(cls), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(w), lists], names)
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, start int, w bigint, keys array<bigint>")
+    raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
+    return raw.mapInArrow(run, "kind int, doc_id bigint, cls bigint, start int, stop int, w bigint, keys array<bigint>")
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, scratch: Scratch, make, ddl: str) -> DataFrame:
@@ -121,128 +141,6 @@ def _fetched(docs: DataFrame, wanted: DataFrame, scratch: Scratch, make, ddl: st
     return append(both, "both", make, ddl).drop("both")
 
 
-def content_sets(docs: DataFrame, ids: DataFrame, sample: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, s binary, n): the distinct shingles of contents, read once at one occurrence of each (sample: w, doc_id, start)."""
-
-    def make():
-        import pyarrow as pa
-
-        kind = pa.list_(pa.struct([("id", pa.int64()), ("s", pa.binary())]))
-
-        def work(rows):
-            out = []
-            for r in rows:
-                s = shingles(word_hashes(words_of(r["text"])), SHINGLE)
-                found = []
-                for x in r["at"]:
-                    own = s[x["start"] : x["start"] + WINDOW - SHINGLE + 1]
-                    if len(own) == WINDOW - SHINGLE + 1 and contents_of(own[:, None])[0] == x["w"]:  # else a repeated id's other text
-                        found.append({"id": x["w"], "s": np.unique(own).tobytes()})
-                out.append(found)
-            return [pa.array(out, kind)]
-
-        return work
-
-    wanted = sample.join(ids.withColumnRenamed("id", "w"), "w").groupBy("doc_id").agg(F.collect_list(F.struct("w", "start")).alias("at"))  # no more than a text has paragraphs
-    got = _fetched(docs, wanted, scratch, make, "got array<struct<id:bigint,s:binary>>").select(F.explode("got").alias("g")).select("g.id", "g.s")
-    return scratch.cut(got.dropDuplicates(["id"]).withColumn("n", (F.length("s") / 8).cast("int")), "sets")
-
-
-def _confirm(sets: DataFrame):
-    """A confirm for resolve: pairs of contents by their exact Jaccard similarity."""
-
-    def compare(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = []
-            for p, q in zip(views(batch.column(2)), views(batch.column(3))):
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= 80 * (len(p) + len(q) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        return one.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint").distinct()
-
-    return confirm
-
-
-def _alone(sets: DataFrame):
-    """An alone for resolve: how many shingles of a content no other of the ids has."""
-
-    def spread(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            each = views(batch.column(1))
-            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in each])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((np.concatenate(each) if each else np.zeros(0, np.uint64)).view(np.int64))], ["id", "x"])
-
-    def alone(ids: DataFrame) -> DataFrame:
-        each = sets.join(ids, "id").select("id", "s").mapInArrow(spread, "id bigint, x bigint")
-        once = each.groupBy("x").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-        return once.groupBy("id").agg(F.count("*").alias("u"))
-
-    return alone
-
-
-def _runs(rows):
-    """Of each document's repeated paragraphs (start, src_doc, src_start, trim), the runs that may read on in the same source.
-
-    gaps lists the places (from a) and lengths of words that no paragraph vouches for; they are compared later. A
-    paragraph that is only nearly the kept one may differ anywhere: trim (1) leaves out its ends and makes the rest a gap.
-    """
-    out = []
-    for found in rows:
-        runs = []
-        for x in sorted((x for x in found or [] if not x["own"]), key=lambda x: (x["src_doc"], x["trim"], x["start"] - x["src_start"], x["start"])):
-            last, t = runs[-1] if runs else None, x["trim"]
-            if last and last["trim"] == t == 0 and last["src_doc"] == x["src_doc"] and last["a"] - last["sa"] == x["start"] - x["src_start"] and x["start"] <= last["b"] + GAP - WINDOW:
-                if x["start"] > last["b"]:
-                    last["gaps"] += [last["b"] - last["a"], x["start"] - last["b"]]
-                last["b"], last["sb"] = x["start"] + WINDOW, x["src_start"] + WINDOW
-            else:
-                runs.append({"a": x["start"] + t, "b": x["start"] + WINDOW - t, "src_doc": x["src_doc"], "sa": x["src_start"] + t, "sb": x["src_start"] + WINDOW - t, "gaps": [0, WINDOW - 2 * t] if t else [], "trim": t})
-        out.append([{k: r[k] for k in ("a", "b", "src_doc", "sa", "sb", "gaps")} for r in runs])
-    return out
-
-
-def pieces(h: np.ndarray, runs: list[dict]) -> list[tuple[int, int, int, int]]:
-    """(src_doc, shift, a, b): the words a to b read the same in the source at a + shift; runs with their gaps compared and both ends extended."""
-    found = []
-    h = h.tolist()
-    for r in runs:
-        a, b, left, right, mid = r["a"], r["b"], r["left"], r["right"], r["mid"]
-        i = 0
-        while i < len(left) and a - 1 - i >= 0 and h[a - 1 - i] == left[-1 - i]:
-            i += 1
-        j = 0
-        while j < len(right) and b + j < len(h) and h[b + j] == right[j]:
-            j += 1
-        at, k = a - i, 0
-        for gap, n in zip(r["gaps"][::2], r["gaps"][1::2]):
-            p, want = a + gap, mid[k : k + n]
-            k += n
-            x, y = 0, n
-            while x < n and h[p + x] == want[x]:
-                x += 1
-            if x < n:
-                while h[p + y - 1] == want[y - 1]:
-                    y -= 1
-                found.append((r["src_doc"], r["sa"] - a, at, p + x))
-                at = p + y
-        found.append((r["src_doc"], r["sa"] - a, at, b + j))
-    merged: list[tuple[int, int, int, int]] = []
-    for src, shift, a, b in sorted(x for x in found if x[2] < x[3]):
-        if merged and merged[-1][:2] == (src, shift) and a <= merged[-1][3]:
-            merged[-1] = (*merged[-1][:3], max(merged[-1][3], b))
-        else:
-            merged.append((src, shift, a, b))
-    return merged
-
-
 def merged_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
     """The (a, b, src_doc) merged to disjoint (a, b, src_docs), which names every source."""
     merged: list[list] = []
@@ -255,20 +153,6 @@ def merged_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list
     return [(a, b, sorted(docs)) for a, b, docs in merged]
 
 
-def uncovered(found: list[dict], equal: list[tuple[int, int, int, int]], n: int, min_words: int) -> list[int]:
-    """Places of the min_words words around each repeated paragraph that its first holder does not have."""
-    out = set()
-    by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for src, shift, a, b in equal:
-        by.setdefault((src, shift), []).append((a, b))
-    for x in found:
-        if x["many"]:
-            s = x["start"]
-            have = by.get((x["src_doc"], x["src_start"] - s), [])
-            out.update(at for at in range(max(0, s + WINDOW - min_words), min(s, n - min_words) + 1) if not any(a <= at and at + min_words <= b for a, b in have))
-    return sorted(out)
-
-
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans and the white space behind them."""
     places = [m.span() for m in _word.finditer(text)]
@@ -279,108 +163,131 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeated passages removed from text, and removed: array of (a, b, src_doc, src_docs), word spans, the smallest and all documents that hold the kept copies."""
-    win = scratch.cut(windows(docs), "windows")
-    place = F.struct("doc_id", "start")
-    contents = scratch.cut(win.groupBy("w").agg(F.min(place).alias("first"), F.max("doc_id").alias("last_doc")), "contents")
-    keyed = shared_keys(win.select(F.explode("keys").alias("key"), F.col("w").alias("id"), F.lit(1).alias("n"), "doc_id"), scratch, "keyed", "doc_id")
-    sample = contents.select("w", "first.doc_id", "first.start")
-    none = win.sparkSession.createDataFrame([], "a bigint, b bigint")
-    sets = content_sets(docs, keyed.select("id").distinct(), sample, scratch)
-    keyed = keyed.drop("n").join(sets.select("id", "n"), "id")
-    comps = resolve(keyed, none, _confirm(sets), 80, 100, scratch, "near", _alone(sets))
-    of = contents.join(comps.withColumnRenamed("node", "w"), "w", "left").withColumn("comp", F.coalesce("comp", "w"))
-    clusters = of.groupBy("comp").agg(F.min(F.struct("first", "w")).alias("src"), F.max("last_doc").alias("last_doc")).where("src.first.doc_id < last_doc")
-    sources = of.select("w", "comp", (F.col("first.doc_id") < F.col("last_doc")).alias("many")).join(clusters.drop("last_doc"), "comp").select("w", "many", F.col("src.first.doc_id").alias("src_doc"), F.col("src.first.start").alias("src_start"), (F.col("w") != F.col("src.w")).cast("int").alias("trim"))
-    own = F.col("doc_id") == F.col("src_doc")
-    again = win.select("doc_id", "start", "w").join(sources, "w").withColumn("own", own).where("not own or (many and start <> src_start)")
-
-    def make_runs():
-        import pyarrow as pa
+def paragraph_sets(docs: DataFrame, ids: DataFrame, contents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, v, n, sig, s) of distinct paragraphs, read at their first place: links.within says what."""
 
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("src_doc", pa.int64()), ("sa", pa.int32()), ("sb", pa.int32()), ("gaps", pa.list_(pa.int32()))]))
-        return lambda rows: [pa.array(_runs(rows), kind)]
-
-    listed = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src_doc", "src_start", "trim", "many", "own")).alias("found"))  # no more than a text has paragraphs
-    listed = scratch.cut(append(listed, "found", make_runs, "runs array<struct<a:int,b:int,src_doc:bigint,sa:int,sb:int,gaps:array<int>>>"), "listed")
-    runs = listed.select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
-    repeated = docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    runs = scratch.cut(runs.join(repeated, "doc_id", "left_anti"), "runs")
-    scratch.drop("windows", "contents", "keyed", "sets", "near-member", "near-own", "wanted")
-
-    def make_context():
+    def make():
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("sa", pa.int32()), ("sb", pa.int32()), ("gaps", pa.list_(pa.int32())), ("left", pa.list_(pa.int64())), ("mid", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))]))
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int32()), ("s", pa.binary())]))
 
         def work(rows):
             out = []
             for r in rows:
-                h = word_hashes(words_of(r["text"])).view(np.int64)
-                mid = lambda x: np.concatenate([h[:0], *(h[x["sa"] + g : x["sa"] + g + n] for g, n in zip(x["gaps"][::2], x["gaps"][1::2]))])
-                out.append([{"sa": x["sa"], "sb": x["sb"], "gaps": x["gaps"], "left": h[max(0, x["sa"] - CONTEXT) : x["sa"]], "mid": mid(x), "right": h[x["sb"] : x["sb"] + CONTEXT]} for x in r["at"]])
+                h, found = word_hashes(words_of(r["text"])), []
+                for x in r["at"]:
+                    own = h[x["start"] : x["stop"]]
+                    if hashed(own) == x["w"]:  # else a repeated id's other text
+                        s = np.unique(shingles(own, SHINGLE))
+                        found.append({"id": x["w"], "n": len(s), "s": s.tobytes()})
+                out.append(found)
             return [pa.array(out, kind)]
 
         return work
 
-    wanted = runs.select(F.col("src_doc").alias("doc_id"), "sa", "sb", "gaps").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("sa", "sb", "gaps")).alias("at"))
-    context = _fetched(docs, wanted, scratch, make_context, "got array<struct<sa:int,sb:int,gaps:array<int>,left:array<bigint>,mid:array<bigint>,right:array<bigint>>>")
-    context = context.select(F.col("doc_id").alias("src_doc"), F.explode("got").alias("g")).select("src_doc", "g.*").dropDuplicates(["src_doc", "sa", "sb", "gaps"])
-    full = scratch.cut(runs.join(context, ["src_doc", "sa", "sb", "gaps"]).select("doc_id", F.struct("a", "b", "src_doc", "sa", "gaps", "left", "mid", "right").alias("r")), "full")
-    per_doc = full.groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
+    wanted = contents.join(ids.withColumnRenamed("id", "w"), "w").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("w", "first.start", "first.stop")).alias("at"))  # no more than a text has paragraphs
+    got = _fetched(docs, wanted, scratch, make, "got array<struct<id:bigint,n:int,s:binary>>").select(F.explode("got").alias("g"))
+    sets = got.select("g.id", F.lit(0).cast("bigint").alias("v"), "g.n", F.lit(None).cast("binary").alias("sig"), "g.s").dropDuplicates(["id"])
+    return scratch.cut(sets, "sets")
+
+
+def near_paragraphs(docs: DataFrame, lines: DataFrame, scratch: Scratch, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, a, b, src_doc): the paragraphs that go, as another document with a smaller id keeps a near copy."""
+    contents = lines.groupBy("w").agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"), F.max("doc_id").alias("last_doc"), F.first("keys").alias("keys"))
+    contents = scratch.cut(contents, "contents")
+    each = contents.select(F.explode("keys").alias("key"), F.col("w").alias("id"), F.col("first.doc_id").alias("first_doc"), "last_doc")
+    keyed = shared_keys(each, scratch, "keyed", ("first_doc", "last_doc"))
+    sets = paragraph_sets(docs, keyed.select("id").distinct(), contents, scratch)
+    keyed = keyed.join(sets.select("id"), "id", "left_semi")
+    none = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    comps = resolve(keyed, none, sets, num, den, None, scratch, "near")
+    of = contents.join(comps.withColumnRenamed("node", "w"), "w", "left").select("w", F.coalesce("comp", "w").alias("comp"), F.col("first.doc_id").alias("first_doc"), "last_doc")
+    clusters = of.groupBy("comp").agg(F.min("first_doc").alias("src_doc"), F.max("last_doc").alias("last")).where("src_doc < last").select("comp", "src_doc")
+    sources = scratch.cut(of.join(clusters, "comp").select("w", "src_doc"), "sources")
+    gone = narrowed(lines, sources, "w", "w").join(sources, "w").where("doc_id <> src_doc")
+    return scratch.cut(gone.select("doc_id", F.col("start").alias("a"), F.col("stop").alias("b"), "src_doc"), "near-paragraphs")
+
+
+def equal_passages(docs: DataFrame, windows: DataFrame, copies: DataFrame, gone: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
+    """(doc_id, a, b, src_doc): min_words words that a smaller doc_id holds, outside the spans of gone and of whole copies."""
+    several = scratch.cut(windows.groupBy("w").agg(F.min("cls").alias("one"), F.max("cls").alias("other")).where("one < other").select("w"), "several")
+    again = narrowed(windows, several, "w", "w").join(several, "w").join(copies.select("doc_id", "cls"), ["doc_id", "cls"], "left_anti")
+    again = again.groupBy("doc_id", "cls").agg(F.collect_list("start").alias("starts"))  # no more than a text has windows
+    spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    wanted = again.join(spans, "doc_id", "left").groupBy("doc_id").agg(F.collect_list(F.struct("cls", "starts", "spans")).alias("at"))  # one text, but for repeated ids
 
-    def make_pieces():
+    def make():
         import pyarrow as pa
 
-        span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("src_doc", pa.int64())]))
-        place = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
 
         def work(rows):
-            spans, keys = [], []
+            out = []
             for r in rows:
-                h = word_hashes(words_of(r["text"]))
-                equal = pieces(h.view(np.int64), r["runs"] or [])
-                spans.append([{"a": a, "b": b, "src_doc": src} for src, _, a, b in equal if b - a >= min_words])
-                at = uncovered(r["found"], equal, len(h), min_words)
-                k = shingles(h, min_words).view(np.int64)[at] if at else ()
-                keys.append([{"key": x, "at": p} for x, p in zip(k, at)])
-            return [pa.array(spans, span), pa.array(keys, place)]
+                h, found = word_hashes(words_of(r["text"])), []
+                for x in r["at"]:
+                    if hashed(h) != x["cls"]:
+                        continue
+                    marked = np.zeros(len(h) - min_words + 1, bool)
+                    for a in x["starts"]:
+                        marked[max(0, a + WINDOW - min_words) : a + 1] = True
+                    for y in x["spans"] or ():
+                        marked[max(0, y["a"] - min_words + 1) : y["b"]] = False
+                    at = np.flatnonzero(marked)
+                    if len(at):
+                        keys = shingles(h, min_words).view(np.int64)[at]
+                        found += [{"key": k, "at": p} for k, p in zip(keys.tolist(), at.tolist())]
+                out.append(found)
+            return [pa.array(out, kind)]
 
         return work
 
-    wanted = listed.select("doc_id", "found").join(per_doc, "doc_id", "left")
-    raw = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
-    both = narrowed(raw, listed, "doc_id", "doc_id").join(wanted, "doc_id").select("doc_id", F.struct("text", "found", "runs").alias("both"))
-    compared = scratch.cut(append(both, "both", make_pieces, "spans array<struct<a:int,b:int,src_doc:bigint>>, keys array<struct<key:bigint,at:int>>").drop("both"), "compared")
-    scratch.drop("listed", "runs", "full")
-    # what the first holder does not have whole goes to the first that has it
-    later = compared.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.*")
-    holders = later.groupBy("key").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last_doc")).where("src_doc < last_doc").drop("last_doc")
-    hits = later.join(holders, "key").where("doc_id <> src_doc").join(repeated, "doc_id", "left_anti")
-    spans = compared.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").union(hits.select("doc_id", F.col("at").alias("a"), (F.col("at") + min_words).alias("b"), "src_doc"))
-    spans = scratch.cut(spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "src_doc")).alias("_spans")), "spans")
-
-    def make_clean():
+    places = _fetched(docs, wanted, scratch, make, "got array<struct<key:bigint,at:int>>").select("doc_id", F.explode("got").alias("g")).select("g.key", "doc_id", "g.at")
+    places = scratch.cut(places, "places")
+    holders = scratch.cut(places.groupBy("key").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last")).where("src_doc < last").select("key", "src_doc"), "holders")
+    hits = narrowed(places, holders, "key", "key").join(holders, "key").where("doc_id <> src_doc")
+    return hits.select("doc_id", F.col("at").alias("a"), (F.col("at") + min_words).alias("b"), "src_doc")
+
+
+def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, removed: str | None = "removed") -> DataFrame:
+    """docs with the repeated passages removed from text, and a column of that name: array of (a, b, src_doc, src_docs), word spans, the smallest and all documents that hold the kept copies."""
+    if min_words < MIN_WORDS:
+        raise ValueError(f"windows are only certain to be found in {MIN_WORDS} words or more")
+    raw = docs.select("doc_id", "text")
+    rows = scratch.cut(scanned(raw, min_words), "scanned")
+    texts = rows.where(f"kind = {TEXT}").select("doc_id", "cls", F.col("stop").alias("n"))
+    first = texts.groupBy("cls").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last")).where("src_doc < last").select("cls", "src_doc")
+    copies = scratch.cut(texts.join(first, "cls").where("doc_id <> src_doc"), "copies")
+    near = near_paragraphs(raw, rows.where(f"kind = {PARAGRAPH}").select("doc_id", "start", "stop", "w", "keys"), scratch)
+    equal = equal_passages(raw, rows.where(f"kind = {ANCHOR}").select("doc_id", "cls", "start", "w"), copies, near, scratch, min_words)
+    repeated = raw.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    spans = copies.select("doc_id", F.lit(0).alias("a"), F.col("n").alias("b"), "src_doc").union(near).union(equal).join(repeated, "doc_id", "left_anti")
+    spans = scratch.cut(spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "src_doc")).alias("spans")), "spans")
+
+    def make():
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("src_doc", pa.int64()), ("src_docs", pa.list_(pa.int64()))]))
 
         def work(rows):
-            texts, spans = [], []
+            texts, found = [], []
             for r in rows:
                 gone = merged_spans([(x["a"], x["b"], x["src_doc"]) for x in r["spans"] or []])
                 texts.append(without(r["text"], [x[:2] for x in gone]) if gone else r["text"])
-                spans.append([{"a": a, "b": b, "src_doc": found[0], "src_docs": found} for a, b, found in gone])
-            return [pa.array(texts, pa.binary()), pa.array(spans, kind)]
+                found.append([{"a": a, "b": b, "src_doc": docs[0], "src_docs": docs} for a, b, docs in gone])
+            return [pa.array(texts, pa.binary()), pa.array(found, kind)]
 
         return work
 
-    rest = [c for c in docs.columns if c != "text"]
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
-    both = joined.select(*rest, F.struct(F.col("text").cast("binary").alias("text"), F.col("_spans").alias("spans")).alias("_both"))
-    done = append(both, "_both", make_clean, "text binary, removed array<struct<a:int,b:int,src_doc:bigint,src_docs:array<bigint>>>")
-    return done.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns], "removed")
+    # columns by place, so that no name can clash
+    names = docs.columns
+    own = {c: f"_c{i}" for i, c in enumerate(names)}
+    key, text = own["doc_id"], own["text"]
+    joined = docs.toDF(*own.values()).join(spans.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left")
+    both = joined.select(*[c for c in own.values() if c != text], F.struct(F.col(text).cast("binary").alias("text"), "spans").alias("_both"))
+    done = append(both, "_both", make, "_text binary, _removed array<struct<a:int,b:int,src_doc:bigint,src_docs:array<bigint>>>")
+    out = [F.col("_text").cast("string").alias(c) if c == "text" else F.col(own[c]).alias(c) for c in names if c != removed]
+    return done.select(*out, F.col("_removed").alias(removed)) if removed else done.select(*out)
 
 
 def op4_repeated_passages(spark, sf_dir):
