@@ -47,9 +47,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 50 words or more that another document holds; its smallest doc_id keeps them. Documents stay, even emptied."""
+    """Removes passages of 50 words or more that another document holds, and lines of 50 words or more that are near one of another
+    document; the smallest doc_id keeps them. Documents stay, even emptied."""
     ship(spark)
-    return _rewritten(docs, passages.dedup(docs, Scratch(spark)))
+    return _rewritten(docs, passages.dedup(docs, Scratch(spark), removed=None))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
