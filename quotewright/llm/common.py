@@ -155,17 +155,18 @@ def views(column) -> list[np.ndarray]:
 MAP_BITS = 22
 
 
-def narrowed(docs: DataFrame, ids: DataFrame, doc_id: str, key: str) -> DataFrame:
-    """The rows of docs whose id may be among ids: those whose hash is marked in a bitmap of fixed size.
+def narrowed(rows: DataFrame, ids: DataFrame, of_ids: str, key: str, inside: bool = True) -> DataFrame:
+    """The rows whose key may be among ids: those whose hash is marked in a bitmap of fixed size. Not inside: all others, null keys too.
 
-    It goes before a join of whole texts with few ids, so that few texts are shuffled. The bitmap has at most
+    It goes before a join of many or large rows with few ids, so that few rows are shuffled. The bitmap has at most
     2**(MAP_BITS - 6) rows of 64 bits; where ids are too many for it, more rows pass and the join does the rest.
     """
     spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(1 << MAP_BITS))
     bit = F.expr("shiftleft(1L, cast(_spot % 64 as int))")
-    marks = ids.select(spot(key).alias("_spot")).groupBy(F.expr("_spot div 64").alias("_cell")).agg(F.bit_or(bit).alias("_bits"))
-    seen = docs.withColumn("_spot", spot(doc_id)).withColumn("_cell", F.expr("_spot div 64")).join(F.broadcast(marks), "_cell")  # bounded by the map's size
-    return seen.where(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
+    marks = ids.select(spot(of_ids).alias("_spot")).groupBy(F.expr("_spot div 64").alias("_cell")).agg(F.bit_or(bit).alias("_bits"))
+    seen = rows.withColumn("_spot", spot(key)).withColumn("_cell", F.expr("_spot div 64")).join(F.broadcast(marks), "_cell", "inner" if inside else "left")  # bounded by the map's size
+    marked = (F.col("_bits").bitwiseAND(bit) != 0) & F.col(key).isNotNull()
+    return seen.where(marked if inside else ~F.coalesce(marked, F.lit(False))).select(*rows.columns)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, narrowed, views
 
-STAR_ROUNDS = 3
+KEY_ROUNDS, RARE_ROUNDS = 2, 3
 CELL = math.log(1.05)
-BEFORE = 16
+BEFORE, SKETCH = 16, 512
 
 
 def shared_keys(keyed: DataFrame, scratch: Scratch, name: str, across: tuple[str, str] | None = None) -> DataFrame:
@@ -82,96 +82,131 @@ def elements(sets: DataFrame) -> DataFrame:
     return sets.select("id", "v", "n", "s").mapInArrow(spread, "id bigint, v bigint, n int, x bigint")
 
 
-def own_elements(sets: DataFrame) -> DataFrame:
-    """(id, v, u): how many elements of a set no other of the sets has; sets without any have no row."""
-    once = elements(sets).groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.min("v").alias("v")).where("c = 1")  # combined before it is shuffled
-    return once.groupBy("id", "v").agg(F.count("*").cast("int").alias("u"))
+def sketches(sets: DataFrame) -> DataFrame:
+    """(id, v, b): SKETCH parity bits of each set, of how many elements fall on each. Two sets' bits differ in no more places than their elements do."""
 
+    def run(batches):
+        import pyarrow as pa
+
+        names = [f"b{i}" for i in range(SKETCH // 64)]
+        for batch in batches:
+            bits = [np.packbits((np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)) for x in views(batch.column(2))]
+            words = np.stack(bits).view(np.int64) if bits else np.zeros((0, SKETCH // 64), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(names))], names)], ["id", "v", "b"])
 
-def prefix_pairs(sets: DataFrame, comps: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """All pairs (a, b) of different components that may reach num / den, by a prefix filter with places.
+    return sets.select("id", "v", "s").mapInArrow(run, f"id bigint, v bigint, b struct<{','.join(f'b{i}:bigint' for i in range(SKETCH // 64))}>")
 
-    Every set's elements are put in one order for all, rarest first. With s the smaller and r the larger size, a pair
-    under the threshold shares more than s - overlap of them, overlap = num (r + s) / (num + den); so its first shared
-    element stands, in both sets, before the place from which too few would follow. That leaves the larger set its first
-    r - num r / den + 1 elements and the smaller its first s - 2 num s / (num + den) + 1, and an element at place i only
-    partners of sizes up to (num + den) (n - i) / num - n. A set's own elements are its rarest: they fill the places of a
-    heavily edited copy, which so meets nobody. Elements are met by size cells of 5 % and not within their most
-    frequent component, so the members of one group don't all meet; a pair that met at one of the BEFORE elements before
-    does not come up again.
+
+def prefixes(sets: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """(x, id, n, i, c, before, b): the elements by which a set may first meet another that reaches num / den with it.
+
+    Every set's elements are put in one order for all, rarest first; i is an element's place, c how many sets have it,
+    before the BEFORE elements that stand before it, b the set's sketch. The overlap of a pair of sizes r >= s is at least num r / den, so its
+    first shared element stands among the first r - num r / den + 1 of the larger set, and so does that of the smaller.
+    A set's own elements are its rarest: they fill the places of a heavily edited copy, and need no row.
     """
     each = elements(sets)
-    often = each.groupBy("x").agg(F.count("*").alias("c"))
-    several = scratch.cut(often.where("c > 1"), f"{name}-often")
-    own = own_elements(sets)
+    several = scratch.cut(each.groupBy("x").agg(F.count("*").cast("int").alias("c")).where("c > 1"), f"{name}-often")  # combined before it is shuffled
     order = Window.partitionBy("id", "v").orderBy("c", "x")  # a text's elements
-    placed = each.join(several, "x").withColumns({"k": F.row_number().over(order), "before": F.collect_list("x").over(order.rowsBetween(-BEFORE, -1))}).join(own, ["id", "v"], "left")
-    placed = placed.withColumn("i", F.coalesce("u", F.lit(0)) + F.col("k") - 1)
-    placed = placed.where(f"i <= n - ({num} * n + {den - 1}) div {den}").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    placed = scratch.cut(placed.select("x", "id", "n", "i", "before", F.coalesce("comp", "id").alias("comp")), f"{name}-placed")
-    main = placed.groupBy("x", "comp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("x", "main")
-    placed = scratch.cut(placed.join(main, "x"), f"{name}-placed")
+    ranked = each.join(several, "x").withColumns({"k": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("id", "v")), "before": F.collect_list("x").over(order.rowsBetween(-BEFORE, -1))})
+    placed = ranked.withColumn("i", F.expr("cast(n - all + k - 1 as int)")).where(f"i <= n - ({num} * n + {den - 1}) div {den}")
+    placed = placed.select("x", "id", "v", "n", "i", "c", "before").join(sketches(sets), ["id", "v"])
+    return scratch.cut(placed.drop("v"), f"{name}-placed")
+
+
+def _enough(num: int, den: int) -> str:
+    """Whether p and q, which meet at the elements i, may reach num / den: their sizes, what follows in both, and how much their sketches differ."""
+    differ = " + ".join(f"bit_count(p.b.b{i} ^ q.b.b{i})" for i in range(SKETCH // 64))
+    return f"{den} * least(p.n, q.n) >= {num} * greatest(p.n, q.n) and {den + num} * least(p.n - p.i, q.n - q.i) >= {num} * (p.n + q.n) and {den + num} * ({differ}) <= {den - num} * (p.n + q.n)"
+
+
+def _apart(placed: DataFrame, comps: DataFrame) -> DataFrame:
+    """placed with comp, of the elements that several components have, and main, the one that has it most often."""
+    placed = placed.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    main = placed.groupBy("x", "comp").agg(F.count("*").alias("m")).groupBy("x").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("kinds"))
+    return placed.join(main.where("kinds > 1").drop("kinds"), "x")
+
+
+def rare_pairs(placed: DataFrame, comps: DataFrame, num: int, den: int, turn: int) -> DataFrame:
+    """For each id up to three pairs (a, b) with members of other components that may reach num / den, by the rarest and the most frequent element that has one."""
+    apart = _apart(placed, comps)
+    one, mark = F.struct("id", "comp", "n", "i", "b"), F.xxhash64("id", F.lit(turn))
+    heads = apart.groupBy("x").agg(F.min_by(one, mark).alias("any"), F.min_by(one, F.struct("comp", mark)).alias("least"), F.max_by(one, F.struct("comp", mark)).alias("most"))
+    met = apart.select("x", "c", one.alias("p")).join(heads, "x").withColumn("q", F.expr("case when p.comp <> any.comp then any when p.comp <> least.comp then least else most end"))
+    other = lambda seed: F.min_by("q.id", F.struct("c", F.xxhash64("q.id", F.lit(turn), F.lit(seed))))
+    met = met.where(f"p.comp <> q.comp and {_enough(num, den)}").groupBy("p.id").agg(F.array_distinct(F.array(other(0), other(1), F.max_by("q.id", F.struct("c", "q.id")))).alias("o")).withColumn("o", F.explode("o"))
+    return met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+
+
+def prefix_pairs(placed: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b) of different components that may reach num / den.
+
+    With s the smaller and r the larger size, the overlap is num (r + s) / (num + den) at least, so the smaller set's first
+    shared element is among its first s - 2 num s / (num + den) + 1, and an element at place i only has partners of sizes
+    up to (num + den) (n - i) / num - n. Elements are met by size cells of 5 % and not within their most frequent
+    component, so the members of one group don't all meet; a pair that met at one of the elements before does not come up
+    again.
+    """
+    apart = _apart(placed, comps).withColumn("in_main", F.col("comp") == F.col("main"))
+    one = F.struct("id", "comp", "n", "i", "before", "b")
     cell = lambda c: F.floor(F.log(F.col(c).cast("double")) / CELL + 1e-9).cast("int")
     lo, hi = F.expr(f"({num} * n + {den - 1}) div {den}"), F.expr(f"least(n, ({den + num} * (n - i)) div {num} - n)")
-    large = placed.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
-    large = large.select("x", "cell", (F.col("comp") == F.col("main")).alias("in_main"), F.struct("id", "comp", "n", "i", "before").alias("p"))
-    small = placed.where(f"i <= n - (2 * {num} * n + {den + num - 1}) div {den + num}").withColumn("in_main", F.explode(F.when(F.col("comp") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
-    small = small.select("x", cell("n").alias("cell"), "in_main", F.struct("id", "comp", "n", "i", "before").alias("q"))
-    enough = f"p.comp <> q.comp and (p.n > q.n or p.n = q.n and p.id > q.id) and {den} * q.n >= {num} * p.n and {den + num} * least(p.n - p.i, q.n - q.i) >= {num} * (p.n + q.n) and not arrays_overlap(p.before, q.before)"
-    met = large.join(small, ["x", "cell", "in_main"]).where(enough)
+    large = apart.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi")))).select("x", "cell", "in_main", one.alias("p"))
+    small = apart.where(f"i <= n - (2 * {num} * n + {den + num - 1}) div {den + num}").withColumn("in_main", F.explode(F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    small = small.select("x", cell("n").alias("cell"), "in_main", one.alias("q"))
+    met = large.join(small, ["x", "cell", "in_main"]).where(f"p.comp <> q.comp and (p.n > q.n or p.n = q.n and p.id > q.id) and {_enough(num, den)} and not arrays_overlap(p.before, q.before)")
     return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
 def resolve(keyed: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int, distance: int | None, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp) of the links (a, b) and of the pairs within() confirms among ids that share a key.
 
-    keyed has (key, id), sets what within() says, for every id of keyed. The rounds first join what is easily joined:
+    keyed has (key, id), sets what within() says, for every id of keyed. First comes what is easily joined: in KEY_ROUNDS,
     every member of a key's group meets one partner of another component, from the second round on the group's most
-    central one, that with the smallest share of elements of its own. Groups that lie in one component are done. Then
-    prefix_pairs finds every pair that is left across components and may still reach the threshold. An id with n
-    elements, u of them its own, shares at most n - u, so its partner's size s obeys num * n <= den * s and
-    num * (n + s) <= (den + num) * (n - u); ids without such a size are done. Nothing is capped, a pair is tried once.
+    central one, that whose keys are the most frequent; in RARE_ROUNDS, it meets one by its rarest element. Groups that
+    lie in one component are done. Then prefix_pairs gives every pair that is left across components and may still
+    reach the threshold. Nothing is capped, a pair is tried once.
     """
-    comps = connected_components(links, scratch, f"{name}-comps")
-    tried = own = None
-    turn = 0
-    while True:
-        turn += 1
-        member = keyed.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = member.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("key")
-        member = scratch.cut(member.join(open_, "key"), f"{name}-member")
-        if not member.limit(1).count():
-            return comps
-        if turn == 2:
-            left = sets.join(member.select("id").distinct(), "id", "left_semi")
-            u = left.select("id", "v", "n").join(own_elements(left), ["id", "v"], "left").withColumn("u", F.coalesce("u", F.lit(0)))
-            # of an id's several sets, the widest sizes
-            own = scratch.cut(u.withColumns({"lo": F.expr(f"({num} * n + {den - 1}) div {den}"), "hi": F.expr(f"({den + num} * (n - u)) div {num} - n"), "share": F.expr("u / n")}).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("share").alias("share")), f"{name}-own")
-        if own is None:
-            member = member.withColumns({"lo": F.lit(0), "hi": F.lit(1 << 31), "share": F.lit(0.0)})
-        else:
-            member = member.join(own, "id").where("lo <= hi")
-        one = F.struct("comp", "id", "lo", "hi")
-        if turn <= STAR_ROUNDS:
-            if turn == 1:
-                heads = member.groupBy("key").agg(F.min(one).alias("p"), F.max(one).alias("q"))
-            else:
-                heads = member.groupBy("key").agg(F.min_by(one, F.struct("share", F.xxhash64("id", F.lit(turn)))).alias("p"), F.max_by(one, F.struct("comp", F.xxhash64("id", F.lit(turn)))).alias("q"))
-            met = member.join(heads, "key").withColumn("o", F.when(F.col("comp") != F.col("p.comp"), F.col("p")).when(F.col("comp") != F.col("q.comp"), F.col("q")))
-            met = met.where("o is not null and o.lo <= hi and lo <= o.hi").groupBy("id").agg(F.min_by("o.id", F.xxhash64("o.id", F.lit(turn))).alias("o"))
-            pairs = met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-        else:
-            left = scratch.cut(sets.join(member.select("id").distinct(), "id", "left_semi").select("id", "v", "n", "s"), f"{name}-left")
-            pairs = prefix_pairs(left, comps, num, den, scratch, name)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.cut(pairs, f"{name}-pairs-{turn}")
+    state = {"links": links, "comps": connected_components(links, scratch, f"{name}-comps"), "tried": None, "turn": 0}
+
+    def open_members() -> DataFrame:
+        member = keyed.join(state["comps"].withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        several = member.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("key")
+        return scratch.cut(member.join(several, "key"), f"{name}-member")
+
+    def try_(pairs: DataFrame) -> None:
+        state["turn"] += 1
+        if state["tried"] is not None:
+            pairs = pairs.join(state["tried"], ["a", "b"], "left_anti")
+        pairs = scratch.cut(pairs, f"{name}-pairs-{state['turn']}")
         if pairs.limit(1).count():
-            new = within(pairs, sets, num, den, distance, scratch, f"{name}-{turn}")
-            tried = pairs if tried is None else tried.union(pairs)
-            links = links.union(new)
+            new = within(pairs, sets, num, den, distance, scratch, f"{name}-{state['turn']}")
+            state["tried"] = pairs if state["tried"] is None else state["tried"].union(pairs)
             if new.limit(1).count():
-                comps = connected_components(links, scratch, f"{name}-comps")
-        if turn > STAR_ROUNDS:
-            scratch.drop(f"{name}-member", f"{name}-own", f"{name}-left", f"{name}-often", f"{name}-placed")
-            return comps
+                state["links"] = state["links"].union(new)
+                state["comps"] = connected_components(state["links"], scratch, f"{name}-comps")
+
+    for turn in range(KEY_ROUNDS):
+        member = open_members()
+        if not member.limit(1).count():
+            return state["comps"]
+        one, mark = F.struct("comp", "id"), F.xxhash64("id", F.lit(turn))
+        if turn:
+            often = member.groupBy("key").agg(F.count("*").alias("c"))
+            member = member.join(member.join(often, "key").groupBy("id").agg(F.sum("c").alias("central")), "id")
+            heads = member.groupBy("key").agg(F.max_by(one, F.struct("central", mark)).alias("p"), F.max_by(one, F.struct("comp", mark)).alias("q"), F.min_by(one, F.struct("comp", mark)).alias("r"))
+        else:
+            heads = member.groupBy("key").agg(F.min(one).alias("p"), F.max(one).alias("q"), F.max(one).alias("r"))
+        met = member.join(heads, "key").withColumn("o", F.expr("case when comp <> p.comp then p when comp <> q.comp then q else r end"))
+        met = met.groupBy("id").agg(F.min_by("o.id", F.xxhash64("o.id", F.lit(turn))).alias("o"))
+        try_(met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
+    member = open_members()
+    if not member.limit(1).count():
+        return state["comps"]
+    left = scratch.cut(sets.join(member.select("id").distinct(), "id", "left_semi").select("id", "v", "n", "s"), f"{name}-left")
+    placed = prefixes(left, num, den, scratch, name)
+    for turn in range(RARE_ROUNDS):
+        try_(rare_pairs(placed, state["comps"], num, den, turn))
+    try_(prefix_pairs(placed, state["comps"], num, den))
+    scratch.drop(f"{name}-member", f"{name}-left", f"{name}-often", f"{name}-placed")
+    return state["comps"]

@@ -2,7 +2,7 @@
 
 Two steps, each of which removes what a smaller doc_id holds.
 
-Paragraphs are lines of MIN_WORDS words or more. Equal ones are one from the start; distinct ones meet in MinHash bands
+Paragraphs are lines of MIN_WORDS words or more, and shorter lines that follow each other until they have as many. Equal ones are one from the start; distinct ones meet in MinHash bands
 (BANDS of ROWS values), are confirmed by the exact Jaccard similarity of their 5-word shingles, 0.8 or more, and are
 clustered by components. Each cluster keeps the paragraph of its smallest (doc_id, place) and what else that document
 has of it; in other documents its paragraphs go whole, edited or not. Of pairs at 0.8, the bands find 99.7 %.
@@ -39,6 +39,7 @@ SHINGLE, WINDOW, GAP = 5, 20, 31
 BANDS, ROWS = 8, 3
 MIN_WORDS = WINDOW + GAP - 1
 SEED = 77_003
+SLICE = 1 << 16
 TEXT, ANCHOR, PARAGRAPH = 0, 1, 2
 
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -86,26 +87,33 @@ def hashed(h: np.ndarray) -> int:
 
 
 def lines_of(text: bytes, least: int) -> np.ndarray:
-    """(a, b) of the lines of at least that many words, as places of words."""
-    n = np.array([len(x.split()) for x in text.split(b"\n")])
-    b = np.cumsum(n)
-    return np.stack([b - n, b], 1)[n >= least]
+    """(a, b) of the paragraphs, as places of words: lines of at least that many words, and shorter lines that follow each other until they have as many."""
+    found, first, at = [], 0, 0
+    for line in text.split(b"\n"):
+        n = len(line.split())
+        if n >= least:
+            first = at
+        at += n
+        if at - first >= least:
+            found.append((first, at))
+            first = at
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
 def band_keys(s: np.ndarray, spans: np.ndarray, by: np.ndarray) -> np.ndarray:
     """A key for each band of each paragraph (a, b) of a text with shingles s."""
     cuts = np.stack([spans[:, 0], spans[:, 1] - SHINGLE + 1], 1).reshape(-1)
-    keys = []
-    for band in range(BANDS):
-        key = np.full(len(spans), band + 1, np.uint64)
-        for m in by[band * ROWS : (band + 1) * ROWS]:
-            key = key * _A + np.minimum.reduceat(np.append(s * m, np.uint64(0)), cuts)[::2]  # one multiplier at a time: memory as the text
-        keys.append(mix(key))
-    return np.stack(keys, 1).view(np.int64)
+    s = np.append(s, np.uint64(0))
+    step = max(1, SLICE // len(s))  # multipliers at a time: memory as the text
+    mins = np.concatenate([np.minimum.reduceat(by[i : i + step, None] * s[None, :], cuts, axis=1)[:, ::2] for i in range(0, len(by), step)])
+    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(spans), 1)
+    for row in range(ROWS):
+        keys = keys * _A + mins[row::ROWS]
+    return mix(keys).T.reshape(len(spans), BANDS).view(np.int64)
 
 
 def scanned(docs: DataFrame, min_words: int) -> DataFrame:
-    """(kind, doc_id, cls, start, stop, w, keys): every text of min_words words or more (stop: its words), its windows and its paragraphs; cls and w are hashes of the text's words and of the piece's content."""
+    """(kind, doc_id, cls, start, stop, w, keys): every text of min_words words or more (stop: its words), its windows (stop: where the paragraph starts that holds it, or -1) and its paragraphs; cls and w are hashes of the text's words and of the piece's content."""
 
     def run(batches):
         import pyarrow as pa
@@ -120,10 +128,14 @@ def scanned(docs: DataFrame, min_words: int) -> DataFrame:
                     continue
                 s, cls = shingles(h, SHINGLE), hashed(h)
                 at, lines = anchors(s), lines_of(t, min_words)
+                line = np.full(len(at), -1)
+                if len(lines):
+                    i = np.maximum(np.searchsorted(lines[:, 0], at, "right") - 1, 0)
+                    line = np.where((lines[i, 0] <= at) & (at + WINDOW <= lines[i, 1]), lines[i, 0], -1)
                 sizes = (1, len(at), len(lines))
                 w = np.concatenate([[cls], contents_of(s[at[None, :] + np.arange(WINDOW - SHINGLE + 1)[:, None]]), [hashed(h[a:b]) for a, b in lines]]).astype(np.int64)
                 n = sum(sizes)
-                got.append((np.repeat((TEXT, ANCHOR, PARAGRAPH), sizes), np.full(n, k, np.int64), np.full(n, cls, np.int64), np.concatenate([[0], at, lines[:, 0]]), np.concatenate([[len(h)], at + WINDOW, lines[:, 1]]), w, np.repeat((0, 0, BANDS), sizes), band_keys(s, lines, by).reshape(-1) if len(lines) else w[:0]))
+                got.append((np.repeat((TEXT, ANCHOR, PARAGRAPH), sizes), np.full(n, k, np.int64), np.full(n, cls, np.int64), np.concatenate([[0], at, lines[:, 0]]), np.concatenate([[len(h)], line, lines[:, 1]]), w, np.repeat((0, 0, BANDS), sizes), band_keys(s, lines, by).reshape(-1) if len(lines) else w[:0]))
             if got:
                 kind, doc, cls, a, b, w, sizes, keys = (np.concatenate(x) for x in zip(*got))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(keys))
@@ -210,8 +222,12 @@ def near_paragraphs(docs: DataFrame, lines: DataFrame, scratch: Scratch, num: in
 
 def equal_passages(docs: DataFrame, windows: DataFrame, copies: DataFrame, gone: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
     """(doc_id, a, b, src_doc): min_words words that a smaller doc_id holds, outside the spans of gone and of whole copies."""
-    several = scratch.cut(windows.groupBy("w").agg(F.min("cls").alias("one"), F.max("cls").alias("other")).where("one < other").select("w"), "several")
-    again = narrowed(windows, several, "w", "w").join(several, "w").join(copies.select("doc_id", "cls"), ["doc_id", "cls"], "left_anti")
+    def repeated(windows: DataFrame, name: str) -> DataFrame:
+        several = scratch.cut(windows.groupBy("w").agg(F.min("cls").alias("one"), F.max("cls").alias("other")).where("one < other").select("w"), f"{name}-several")
+        return scratch.cut(narrowed(windows, several, "w", "w").join(several, "w"), name)
+
+    again = repeated(windows, "windows").join(copies.select("doc_id", "cls"), ["doc_id", "cls"], "left_anti")
+    again = repeated(again.join(gone.select("doc_id", F.col("a").alias("line")), ["doc_id", "line"], "left_anti"), "again")  # some stand only in paragraphs that go
     again = again.groupBy("doc_id", "cls").agg(F.collect_list("start").alias("starts"))  # no more than a text has windows
     spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     wanted = again.join(spans, "doc_id", "left").groupBy("doc_id").agg(F.collect_list(F.struct("cls", "starts", "spans")).alias("at"))  # one text, but for repeated ids
@@ -259,7 +275,7 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, removed
     first = texts.groupBy("cls").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last")).where("src_doc < last").select("cls", "src_doc")
     copies = scratch.cut(texts.join(first, "cls").where("doc_id <> src_doc"), "copies")
     near = near_paragraphs(raw, rows.where(f"kind = {PARAGRAPH}").select("doc_id", "start", "stop", "w", "keys"), scratch)
-    equal = equal_passages(raw, rows.where(f"kind = {ANCHOR}").select("doc_id", "cls", "start", "w"), copies, near, scratch, min_words)
+    equal = equal_passages(raw, rows.where(f"kind = {ANCHOR}").select("doc_id", "cls", "start", F.col("stop").alias("line"), "w"), copies, near, scratch, min_words)
     repeated = raw.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     spans = copies.select("doc_id", F.lit(0).alias("a"), F.col("n").alias("b"), "src_doc").union(near).union(equal).join(repeated, "doc_id", "left_anti")
     spans = scratch.cut(spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "src_doc")).alias("spans")), "spans")
@@ -279,14 +295,19 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, removed
 
         return work
 
-    # columns by place, so that no name can clash
+    # columns by place, so that no name can clash; texts that stay aren't shuffled, as far as the map of ids tells
     names = docs.columns
     own = {c: f"_c{i}" for i, c in enumerate(names)}
     key, text = own["doc_id"], own["text"]
-    joined = docs.toDF(*own.values()).join(spans.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left")
-    both = joined.select(*[c for c in own.values() if c != text], F.struct(F.col(text).cast("binary").alias("text"), "spans").alias("_both"))
-    done = append(both, "_both", make, "_text binary, _removed array<struct<a:int,b:int,src_doc:bigint,src_docs:array<bigint>>>")
-    out = [F.col("_text").cast("string").alias(c) if c == "text" else F.col(own[c]).alias(c) for c in names if c != removed]
+    all_ = docs.toDF(*own.values())
+    rest = [c for c in own.values() if c != text]
+    joined = narrowed(all_, spans, "doc_id", key).join(spans.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left")
+    both = joined.select(*rest, F.struct(F.col(text).cast("binary").alias("text"), "spans").alias("_both"))
+    removed_type = "array<struct<a:int,b:int,src_doc:bigint,src_docs:array<bigint>>>"
+    done = append(both, "_both", make, f"_text binary, _removed {removed_type}").select(*rest, F.col("_text").cast("string").alias("_text"), "_removed")
+    stay = narrowed(all_, spans, "doc_id", key, False).select(*rest, F.col(text).alias("_text"), F.expr(f"cast(array() as {removed_type})").alias("_removed"))
+    done = done.union(stay)
+    out = [F.col("_text").alias(c) if c == "text" else F.col(own[c]).alias(c) for c in names if c != removed]
     return done.select(*out, F.col("_removed").alias(removed)) if removed else done.select(*out)
 
 
