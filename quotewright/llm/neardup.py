@@ -43,7 +43,7 @@ def signature(s: np.ndarray, by: np.ndarray) -> np.ndarray:
     """The MinHash values of a set of hashes, their upper BITS bits; set must not be empty."""
     out = np.full(len(by), ~np.uint64(0))
     for a in range(0, len(s), SLICE):
-        np.minimum(out, (s[a : a + SLICE, None] * by[None, :]).min(axis=0), out=out)
+        np.minimum(out, (by[:, None] * s[None, a : a + SLICE]).min(axis=1), out=out)
     return truncated(out)
 
 

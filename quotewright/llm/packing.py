@@ -10,13 +10,15 @@ Ranks need no task that holds all pieces of a length: a task numbers its own pie
 tokenizes, and counts per (length, task) are summed up before them.
 
 Cases. Null and empty texts: the closing id alone. Very long texts: whole; batches are cut by size. Equal lengths: ranked
-by task and place. Repeated rows: each packed. Null doc_id: packed, carried as null. Empty table: no rows. Columns
+by task and place. Added tokens of the tokenizer file (<|endoftext|>) inside texts: one id each, as the library has them. Repeated rows: each packed. Null doc_id: packed, carried as null. Empty table: no rows. Columns
 but doc_id and text are ignored. A sequence shorter than WIDTH whose length is a power of two needs no padding.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +32,7 @@ WIDTH = 1024
 CLOSING = 0
 #: The vocabulary of byte_bpe_50k.json as ranks: the same ids (see the tests), at a seventh of the tokenizers library's time.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part bigint, place bigint"
 
 
@@ -42,9 +45,23 @@ def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
 
 
-def cut_pieces(docs: DataFrame, ranks: dict[bytes, int], width: int = WIDTH) -> DataFrame:
+def load_added(spark: SparkSession, path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file: wherever they stand in a text, they are one id, and what stands between them is cut alone."""
+    if "://" in path:
+        raw = "\n".join(r[0] for r in spark.read.text(path).collect())  # a vocabulary, not data
+    else:
+        with open(path) as f:
+            raw = f.read()
+    found = json.loads(raw)["added_tokens"]
+    if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in found):
+        raise ValueError(f"{path} has added tokens that depend on what stands beside them")
+    return {x["content"]: x["id"] for x in found}
+
+
+def cut_pieces(docs: DataFrame, ranks: dict[bytes, int], added: dict[str, int], width: int = WIDTH) -> DataFrame:
     """PIECES of every document; place is the piece's number among its task's pieces of that length."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    ranks = {k: v for k, v in ranks.items() if v not in set(added.values())}
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, added))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -53,7 +70,9 @@ def cut_pieces(docs: DataFrame, ranks: dict[bytes, int], width: int = WIDTH) ->
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=shared.value, special_tokens={}).encode_ordinary
+        ranks, added = shared.value
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        encode = lambda text: own.encode(text, allowed_special="all") if any(x in text for x in added) else own.encode_ordinary(text)
         places = [0] * (width + 1)
         names = [x.split()[0] for x in PIECES.split(", ")]
         for batch in batches:
@@ -121,6 +140,11 @@ def plan(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, dict[
     return out
 
 
+def most_intervals(width: int) -> int:
+    """A bound of intervals(), whatever the input: each of at most width patterns uses up a length, and k different lengths in one window add up to k (k + 1) / 2 at least."""
+    return width * (math.isqrt(2 * width) + 1)
+
+
 def intervals(patterns: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, from, to, per window, first sequence, offset): pieces of a length ranked in [from, to) go to these windows."""
     used: dict[int, int] = {}
@@ -136,18 +160,20 @@ def intervals(patterns: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int
     return rows
 
 
-def pack(docs: DataFrame, scratch: Scratch, width: int = WIDTH, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, scratch: Scratch, width: int = WIDTH, vocabulary: str = VOCABULARY, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = scratch.cut(cut_pieces(docs, load_ranks(spark, vocabulary), width), "pieces")
+    pieces = scratch.cut(cut_pieces(docs, load_ranks(spark, vocabulary), load_added(spark, tokenizer), width), "pieces")
     per_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = per_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     before = scratch.cut(before.select("length", "part", "n", F.coalesce("before", F.lit(0)).alias("before")), "before")
     histogram = {r[0]: r[1] for r in before.groupBy("length").agg(F.sum("n")).collect()}  # at most width rows
     rows = intervals(plan(histogram, width))
+    if len(rows) > most_intervals(width):
+        raise AssertionError(f"{len(rows)} intervals")
     where = spark.createDataFrame(rows or [(0,) * 6], "length bigint, a bigint, b bigint, per bigint, first bigint, at bigint")
     ranked = pieces.join(before.drop("n"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
-    placed = ranked.join(F.broadcast(where), (ranked["length"] == where["length"]) & (F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("b"))).drop(where["length"])  # the plan's size is bounded by width
+    placed = ranked.join(F.broadcast(where), (ranked["length"] == where["length"]) & (F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("b"))).drop(where["length"])  # at most most_intervals(width) rows
     k = F.col("rank") - F.col("a")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.expr("(rank - a) div per")).alias("sequence_id"), (F.col("at") + k % F.col("per") * F.col("length")).alias("offset"))
 

@@ -13,7 +13,6 @@ from quotewright.llm.common import Scratch
 
 def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t
 
 
