@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 MEMO = 400_000  # pre-tokens a worker remembers before it starts again
+LONG = 64  # characters; longer pre-tokens are not remembered, so that a memo is bounded by bytes
 
 
 def load_ranks(spark: SparkSession | None, path: str) -> dict[bytes, int]:
@@ -154,6 +155,8 @@ class _Memo(dict):
         if ids is None:
             raw = piece.encode()
             ids = np.array(self.codec.whole(raw) or self.codec.merge(raw), "<i4").tobytes()
+        if len(piece) > LONG:
+            return ids
         if len(self) >= MEMO:
             self.old = dict(self)
             self.clear()

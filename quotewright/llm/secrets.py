@@ -2,7 +2,7 @@
 
 The base patterns give spans of kinds assign, access and hex. Kind guess is added for values after credential-like names
 whose guess cost, found by dynamic programming, is GUESS_BITS or more: the cheapest way to cut the value into known
-words, dates, repeats, keyboard walks and brute-force spans, in bits. The programme keeps one open span of each sort, so
+words, dates, repeats, keyboard walks and brute-force spans, in bits. Words are ranked by their frequency in all texts. The programme keeps one open span of each sort, so
 it is linear in the value's length.
 
 Cases. Null and empty texts: no spans. Very long texts and values: whole, linear. Overlapping kinds: all kept; guess spans
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +30,13 @@ _assign = re.compile("(" + "|".join(map(_any, ("password", "passwd", "secret", "
 _access = re.compile("AKIA[A-Z0-9]+")
 _hex = re.compile("[0-9a-f]{24,}")  # maximal runs, as [0-9a-f]+ of which the short are dropped
 _names = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
-_context = re.compile(
-    "(?:" + "|".join(map(_any, ("pass(?:word|wd|phrase|code)?", "pwd", "secret", "token", "(?:api|private|access|secret)[_-]?key", "credentials?", "auth"))) + r""")[A-Za-z0-9_]{0,24}["']?\x20{0,8}(?:=>|:=|[:=])\x20{0,8}["']?([^\s"'`,;<>(){}\[\]]+)"""
-)
+_name = re.compile("|".join(map(_any, ("pass", "pwd", "secret", "token", "(?:api|private|access)[_-]?key", "credential", "auth"))))
+# a whole identifier, a sign and a value; possessive, so that every character is read a bounded number of times
+_context = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?+\x20*+(?:=>|:=|[:=])\x20*+["']?+([^\s"'`,;<>(){}\[\]]++)""")
 
-#: Frequent passwords and words, most frequent first; the rank is the guess count.
+#: The words that learn() ranks, and their lengths.
+DICTIONARY, SHORTEST, LONGEST = 1 << 16, 3, 24
+#: Frequent passwords, most frequent first; the rank is the guess count. Words of the corpus come after them.
 WORDS = (
     "password passwd qwerty admin welcome letmein login dragon monkey master sunshine princess football baseball shadow superman "
     "iloveyou trustno hello freedom whatever secret secrets test testing guest root user default changeme example sample demo "
@@ -53,7 +56,6 @@ COMMON = (
 _pairs = {a + b for w in (*COMMON, *WORDS) for a, b in zip(w, w[1:])}
 PROSE = 2.0
 _rank = {w: i + 1 for i, w in enumerate(WORDS)}
-_longest = max(map(len, WORDS))
 _rows = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _place = {c: (r, i + (0, 0.5, 0.75, 1.25)[r]) for r, row in enumerate(_rows) for i, c in enumerate(row)}
 _date = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
@@ -77,8 +79,8 @@ def _bits(value: str) -> list[float]:
     return [math.log2(10) if c.isdigit() else math.log2(26) if c.isalpha() and c.isascii() else math.log2(33) for c in value]
 
 
-def guess_bits(value: str) -> float:
-    """Bits of the cheapest segmentation of value."""
+def guess_bits(value: str, ranks: dict[str, int] = _rank) -> float:
+    """Bits of the cheapest segmentation of value. ranks: of lower-case words."""
     n = len(value)
     if not n:
         return 0.0
@@ -92,9 +94,9 @@ def guess_bits(value: str) -> float:
         m = _date.match(value, i)
         if m:
             ends.setdefault(m.end(), []).append((i, math.log2(120) + (math.log2(365) if len(m[0]) > 4 else 0)))
-        for k in range(3, min(_longest, n - i) + 1):
+        for k in range(SHORTEST, min(LONGEST, n - i) + 1):
             for form, more in ((low, 0.0), (plain, 1.0)):
-                r = _rank.get(form[i : i + k])
+                r = ranks.get(form[i : i + k])
                 if r:
                     ends.setdefault(i + k, []).append((i, math.log2(r + 1) + more + (low[i : i + k] != value[i : i + k])))
                     break
@@ -116,7 +118,7 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
-def find(text: str | None) -> list[tuple[str, int, int]]:
+def find(text: str | None, ranks: dict[str, int] = _rank) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) by start, then kind as in KINDS."""
     if not text:
         return []
@@ -127,10 +129,12 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         taken = [s[1:] for s in found]
         k = 0
         for m in _context.finditer(text):
-            a, b = m.span(1)
+            if not _name.search(m[1]):
+                continue
+            a, b = m.span(2)
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
-            if not (k < len(taken) and taken[k][0] <= a and b <= taken[k][1]) and guess_bits(m[1]) >= GUESS_BITS:
+            if not (k < len(taken) and taken[k][0] <= a and b <= taken[k][1]) and guess_bits(m[2], ranks) >= GUESS_BITS:
                 found.append(("guess", a, b))
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in _access.finditer(text) if m.end() - m.start() >= 20]
@@ -138,9 +142,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def redacted(text: str | None) -> str | None:
+def redacted(text: str | None, ranks: dict[str, int] = _rank) -> str | None:
     """The text with every span, overlapping ones merged, replaced by MARK."""
-    spans = find(text)
+    spans = find(text, ranks)
     if not spans:
         return text
     out, at = [], 0
@@ -154,28 +158,66 @@ def redacted(text: str | None) -> str | None:
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with spans: array of (kind, start, end)."""
+def learn(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> dict[str, int]:
+    """Ranks of words: the frequent passwords, then the size most frequent words of all texts, of SHORTEST to LONGEST ASCII letters.
+
+    A word beyond the size would cost more than 16 bits, about as much as its letters by brute force.
+    """
+    ends = ".,;:!?()[]{}<>\"'`*_-"
+
+    def count(batches):
+        import pyarrow as pa
+
+        def words(found):
+            by = Counter()
+            for w, n in found.items():
+                w = w.strip(ends)
+                if SHORTEST <= len(w) <= LONGEST and w.isascii() and w.isalpha():
+                    by[w] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array(list(by.values()), pa.int64())], ["word", "n"])
+
+        found: Counter = Counter()
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                found.update(x.lower().split())
+                if len(found) > 200_000:
+                    yield words(found)
+                    found = Counter()
+        yield words(found)
+
+    counts = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    frequent = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]  # size words at most
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *frequent]))}
+
+
+def scan(docs: DataFrame, text: str = "text", ranks: dict[str, int] | None = None) -> DataFrame:
+    """docs with spans: array of (kind, start, end). ranks: learned from docs unless given."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks or learn(docs, text))  # DICTIONARY words
 
     def make():
         import pyarrow as pa
 
+        ranks = shared.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        return lambda texts: [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in find(x)] for x in texts], kind)]
+        return lambda texts: [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in find(x, ranks)] for x in texts], kind)]
 
     return append(docs, text, make, f"spans {SPANS}")
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs whose text has every secret replaced by MARK; columns and their order stay."""
+def redact(docs: DataFrame, text: str = "text", ranks: dict[str, int] | None = None) -> DataFrame:
+    """docs whose text has every secret replaced by MARK; columns and their order stay. ranks: learned from docs unless given."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks or learn(docs, text))  # DICTIONARY words
 
     def make():
         import pyarrow as pa
 
-        return lambda texts: [pa.array(list(map(redacted, texts)), pa.string())]
+        ranks = shared.value
+        return lambda texts: [pa.array([redacted(x, ranks) for x in texts], pa.string())]
 
-    done = append(docs.withColumn("_raw", F.col(text)), "_raw", make, f"{text} string")
-    return done.select(*docs.columns)
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text)
+    done = append(docs.toDF(*own), own[at], make, "_text string")
+    return done.select(*[F.col("_text" if i == at else c).alias(docs.columns[i]) for i, c in enumerate(own)])
 
 
 def digest(spans: str = "spans") -> list:

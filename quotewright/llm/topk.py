@@ -7,8 +7,8 @@ keys into BINS bins of that interval, bins are summed over all tasks, and the in
 key. A block passes on only its own top bins up to k keys: lower ones can't hold the k-th. Score bits come first, then
 vec_id bits among the scores equal to the k-th, so that ties end exactly. The last round emits what is at or above it.
 
-Cases. Vectors that are null or hold null or non-finite components take no part, nor do null ids. Repeated ids: the
-smallest vector of an id counts. Shorter vectors: missing components count as zeros; an empty vector scores 0.
+Cases. Vectors that are null or hold null or non-finite components take no part, nor do null ids. Repeated ids: every
+row is a candidate, and a query of its own where its id is one; only itself is left out. Shorter vectors: missing components count as zeros; an empty vector scores 0.
 Ties: smaller vec_id first. Fewer than k candidates: all. Empty table: no rows. Extra columns are ignored. Scores must
 fit 63 bits, else OverflowError.
 """
@@ -25,7 +25,8 @@ from .common import Scratch
 
 K, EVERY, SCALE = 5, 50, 256
 BINS = 1 << 12
-BLOCK, QUERIES = 8192, 1024  # vectors of a block, by a hash of their ids
+BLOCK, QUERIES = 8192, 1024  # vectors of a block, by a hash of their numbers
+MEET = 32  # query blocks that meet a candidate block in one task
 NONE = -(1 << 63)
 
 
@@ -33,7 +34,7 @@ def integer_vectors(t: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v array<bigint>) of the vectors that take part."""
     ok = t.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
-    return ok.select(F.col("vec_id").cast("bigint"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return ok.select(F.col("vec_id").cast("bigint"), v.alias("v"))
 
 
 def _matrix(lists, dim: int) -> np.ndarray:
@@ -48,19 +49,19 @@ def _matrix(lists, dim: int) -> np.ndarray:
 
 
 def _scored(batches, dim: int, exact: bool):
-    """Of each row, a query block beside a candidate block: block number, query ids, scores, candidate ids, state; scores of a query with itself are NONE."""
+    """Of each row, a query block beside a candidate block: block number, the queries' numbers and ids, scores, candidate ids, state; scores of a query with itself are NONE."""
     for batch in batches:
         col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         for r in range(batch.num_rows):
             q, c, state = (col[k][r].values for k in ("qs", "cs", "state"))
-            qid, cid = (x.field("vec_id").to_numpy() for x in (q, c))
+            (rid, qid), (crid, cid) = ([x.field(n).to_numpy() for n in ("rid", "vec_id")] for x in (q, c))
             a, b = _matrix(q.field("v"), dim), _matrix(c.field("v"), dim)
             s = (a @ b.T).astype(np.int64) if exact else a.astype(np.int64) @ b.astype(np.int64).T
-            s[qid[:, None] == cid[None, :]] = NONE
+            s[rid[:, None] == crid[None, :]] = NONE
             of = {n: state.field(n).to_numpy(zero_copy_only=False) for n in ("lo", "hi", "score")}
-            order = np.argsort(state.field("vec_id").to_numpy())
-            where = order[np.searchsorted(state.field("vec_id").to_numpy(), qid, sorter=order)]
-            yield col["q"][r].as_py(), qid, s, cid, {n: v[where] for n, v in of.items()}
+            order = np.argsort(state.field("rid").to_numpy())
+            where = order[np.searchsorted(state.field("rid").to_numpy(), rid, sorter=order)]
+            yield col["q"][r].as_py(), rid, qid, s, cid, {n: v[where] for n, v in of.items()}
 
 
 def _keys(s: np.ndarray, cid: np.ndarray, state: dict, by_id: bool) -> np.ndarray:
@@ -71,8 +72,8 @@ def _keys(s: np.ndarray, cid: np.ndarray, state: dict, by_id: bool) -> np.ndarra
 def search(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY, block: int = BLOCK, query_block: int = QUERIES, bins: int = BINS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every query (ids divisible by every) among all other vectors."""
     spark = vectors.sparkSession
-    vectors = scratch.cut(vectors, "vectors")
-    one = F.struct("vec_id", "v")
+    vectors = scratch.cut(vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("rid")), "vectors")  # numbered once, as it is written
+    one = F.struct("rid", "vec_id", "v")
     is_query = F.col("vec_id") % every == 0
     n, nq, dim, top, low, high = vectors.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("v")), F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))), F.min("vec_id"), F.max("vec_id")).first()
     names = "query_id bigint, rank int, vec_id bigint, score bigint"
@@ -85,15 +86,15 @@ def search(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY,
     exact = bound < 1 << 53
     block = max(256, min(block, n // 32))
     nc, nb = max(1, math.ceil(n / block)), max(1, math.ceil(nq / query_block))
-    dealt = lambda parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int")
-    cs = scratch.cut(vectors.groupBy(dealt(nc, 1).alias("g")).agg(F.collect_list(one).alias("cs")), "candidates")  # of about block vectors each
+    dealt = lambda parts, seed: F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(parts)).cast("int")
+    cs = scratch.cut(vectors.groupBy(dealt(nc, 1).alias("g")).agg(F.collect_list(one).alias("cs")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit((nb - 1) // MEET)))), "candidates")  # of about block vectors each, once for every MEET query blocks
     queries = vectors.where(is_query).withColumn("q", dealt(nb, 2))
     qs = scratch.cut(queries.groupBy("q").agg(F.collect_list(one).alias("qs")), "queries")
-    state = queries.select("q", "vec_id", F.lit(-bound).cast("bigint").alias("lo"), F.lit(bound + 1).cast("bigint").alias("hi"), F.lit(0).cast("bigint").alias("above"), F.lit(0).cast("bigint").alias("score"), F.lit(False).alias("short"))
+    state = queries.select("q", "rid", F.lit(-bound).cast("bigint").alias("lo"), F.lit(bound + 1).cast("bigint").alias("hi"), F.lit(0).cast("bigint").alias("above"), F.lit(0).cast("bigint").alias("score"), F.lit(False).alias("short"))
 
     def meeting(state: DataFrame) -> DataFrame:
-        with_state = qs.join(state.groupBy("q").agg(F.collect_list(F.struct("vec_id", "lo", "hi", "score")).alias("state")), "q")
-        return with_state.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).join(cs, "g").select("q", "qs", "cs", "state")
+        with_state = qs.join(state.groupBy("q").agg(F.collect_list(F.struct("rid", "lo", "hi", "score")).alias("state")), "q")
+        return with_state.withColumns({"g": F.explode(F.sequence(F.lit(0), F.lit(nc - 1))), "h": F.expr(f"q div {MEET}").cast("int")}).join(cs, ["g", "h"]).select("q", "qs", "cs", "state")
 
     def narrowed(state: DataFrame, by_id: bool, width: int) -> DataFrame:
         step = -(-width // bins)
@@ -101,7 +102,7 @@ def search(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY,
         def histogram(batches):
             import pyarrow as pa
 
-            for q, qid, s, cid, st in _scored(batches, dim, exact):
+            for q, rid, _, s, cid, st in _scored(batches, dim, exact):
                 key = _keys(s, cid, st, by_id)
                 key = np.where((key >= st["lo"][:, None]) & (key < st["hi"][:, None]), key, NONE)
                 m = min(k, key.shape[1])
@@ -109,14 +110,14 @@ def search(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY,
                 row, at = np.nonzero(best != NONE)
                 found = np.stack([row, (best[row, at] - st["lo"][row]) // step], 1)
                 u, count = np.unique(found, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), q, np.int32)), pa.array(qid[u[:, 0]]), pa.array(u[:, 1]), pa.array(count)], ["q", "vec_id", "bin", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), q, np.int32)), pa.array(rid[u[:, 0]]), pa.array(u[:, 1]), pa.array(count)], ["q", "rid", "bin", "n"])
 
-        counts = meeting(state).mapInArrow(histogram, "q int, vec_id bigint, bin bigint, n bigint").groupBy("q", "vec_id", "bin").agg(F.sum("n").alias("n"))
-        above = Window.partitionBy("q", "vec_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # at most bins rows
-        reached = counts.withColumn("cum", F.sum("n").over(above)).join(state, ["q", "vec_id"]).where("cum >= %d - above and cum - n < %d - above" % (k, k))
-        new = reached.select("q", "vec_id", (F.col("lo") + F.col("bin") * step).alias("lo"), (F.col("above") + F.col("cum") - F.col("n")).alias("above"))
-        both = state.drop("lo", "hi", "above").join(new, ["q", "vec_id"], "left")
-        return scratch.cut(both.select("q", "vec_id", F.coalesce("lo", F.lit(-bound)).alias("lo"), F.coalesce(F.col("lo") + step, F.lit(bound + 1)).alias("hi"), F.coalesce("above", F.lit(0)).alias("above"), "score", (F.col("short") | F.col("lo").isNull()).alias("short")), "by-id" if by_id else "by-score")
+        counts = meeting(state).mapInArrow(histogram, "q int, rid bigint, bin bigint, n bigint").groupBy("q", "rid", "bin").agg(F.sum("n").alias("n"))
+        above = Window.partitionBy("q", "rid").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # at most bins rows
+        reached = counts.withColumn("cum", F.sum("n").over(above)).join(state, ["q", "rid"]).where("cum >= %d - above and cum - n < %d - above" % (k, k))
+        new = reached.select("q", "rid", (F.col("lo") + F.col("bin") * step).alias("lo"), (F.col("above") + F.col("cum") - F.col("n")).alias("above"))
+        both = state.drop("lo", "hi", "above").join(new, ["q", "rid"], "left")
+        return scratch.cut(both.select("q", "rid", F.coalesce("lo", F.lit(-bound)).alias("lo"), F.coalesce(F.col("lo") + step, F.lit(bound + 1)).alias("hi"), F.coalesce("above", F.lit(0)).alias("above"), "score", (F.col("short") | F.col("lo").isNull()).alias("short")), "by-id" if by_id else "by-score")
 
     def rounds(state: DataFrame, by_id: bool, width: int) -> DataFrame:
         while width > 1:
@@ -128,20 +129,37 @@ def search(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY,
     # lo is now the k-th score; where there are fewer than k candidates, short says so and every candidate is in
     state = state.withColumn("score", F.when(F.col("short"), F.lit(-bound)).otherwise(F.col("lo"))).withColumns({"lo": F.lit(-high).cast("bigint"), "hi": F.lit(-low + 1).cast("bigint")})
     ties = scratch.cut(state.where(~F.col("short")), "ties")
-    done = rounds(ties, True, high - low + 1).select("q", "vec_id", "score", F.col("lo").alias("lo"), F.lit(0).cast("bigint").alias("hi"))
-    done = done.unionByName(state.where("short").select("q", "vec_id", "score", F.lit(NONE + 1).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("hi")))
+    done = rounds(ties, True, high - low + 1).select("q", "rid", "score", F.col("lo").alias("lo"), F.lit(0).cast("bigint").alias("hi"))
+    done = done.unionByName(state.where("short").select("q", "rid", "score", F.lit(NONE + 1).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("hi")))
 
     def chosen(batches):
         import pyarrow as pa
 
-        for _, qid, s, cid, st in _scored(batches, dim, exact):
+        for _, rid, qid, s, cid, st in _scored(batches, dim, exact):
             t = st["score"][:, None]
             row, at = np.nonzero((s != NONE) & ((s > t) | (s == t) & (-cid[None, :] >= st["lo"][:, None])))
-            yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(cid[at]), pa.array(s[row, at])], ["query_id", "vec_id", "score"])
-
-    out = meeting(scratch.cut(done, "done")).mapInArrow(chosen, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # k rows
-    return out.select("query_id", rank.alias("rank"), "vec_id", "score")
+            best = np.lexsort((cid[at], -s[row, at], row))  # more than k only where ids repeat
+            row, at = row[best], at[best]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, at = row[keep], at[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(qid[row]), pa.array(cid[at]), pa.array(s[row, at])], ["rid", "query_id", "vec_id", "score"])
+
+    out = meeting(scratch.cut(done, "done")).mapInArrow(chosen, "rid bigint, query_id bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id"))  # k rows of a block at most
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+ORACLE = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), TRUE)),
+c AS (SELECT rid, vec_id, generate_subscripts(embedding, 1) AS i, CAST(floor({SCALE} * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM v),
+scored AS (
+  SELECT q.rid, q.vec_id AS query_id, o.vec_id, coalesce(s.score, 0) AS score FROM v q JOIN v o ON o.rid <> q.rid AND q.vec_id % {EVERY} = 0
+  LEFT JOIN (SELECT a.rid AS ra, b.rid AS rb, CAST(sum(a.x * b.x) AS BIGINT) AS score FROM c a JOIN c b ON a.i = b.i AND a.vec_id % {EVERY} = 0 GROUP BY 1, 2) s ON s.ra = q.rid AND s.rb = o.rid),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= {K}
+"""
 
 
 def op5_histogram_topk(spark, sf_dir):

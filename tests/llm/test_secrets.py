@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from conftest import HARD
+from pyspark.sql import functions as F
 
 from quotewright.llm import secrets
 
@@ -24,7 +25,7 @@ def test_base_spans_stay():
 
 def test_query_columns(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)], "doc_id bigint, text string, spans string")
-    for r in secrets.scan(df).select("doc_id", *secrets.digest()).collect():
+    for r in secrets.scan(df, ranks=secrets._rank).select("doc_id", *secrets.digest()).collect():
         want = base(TEXTS[r.doc_id])
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in want) for k in ("assign", "access", "hex"))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
@@ -78,3 +79,23 @@ def test_letters_alone():
         assert secrets.find(text) == [("guess", 5, 5 + len(v))] and v not in secrets.redacted(text)
     for v in ("something", "Einstellung", "important", "development", "administration", "gouvernement", "straßenbahn", "sometimes", "accessToken", "trabajadores"):
         assert not secrets.find(f"pwd: {v} and so on"), v
+
+
+def test_gaps_and_long_names():
+    v = "Xk9$2mQz!7"
+    for text in (f"password{' ' * 9}= {v}", f"my_password_{'x' * 60} :{' ' * 200}{v}", f"api-key-of-somebody-else=>{v}", f"DB_PASSPHRASE := '{v}'"):
+        assert v not in secrets.redacted(text), text
+    assert not [s for s in secrets.find(f"keyboard = {v}") if s[0] == "guess"]
+    for text in ("pass" * 100_000, "a-" * 200_000 + ":", "token" + " " * 500_000 + "x", "k=" * 200_000):
+        assert secrets.find(text) == []
+
+
+def test_learned_words_are_cheap(spark):
+    df = spark.createDataFrame([(i, "Zqvrontle, bwxkarmin (hjpquelt) and pwd: zqvrontlebwxkarminhjpquelt") for i in range(5)] + [(9, None), (10, "")], "doc_id bigint, text string")
+    ranks = secrets.learn(df)
+    assert {"zqvrontle", "bwxkarmin", "hjpquelt"} <= ranks.keys() and ranks["password"] == 1
+    text = "pwd: zqvrontlebwxkarminhjpquelt and"
+    assert secrets.find(text) and not [s for s in secrets.find(text, {w: r for w, r in ranks.items() if len(w) < 20})]
+    assert len(secrets.learn(df, size=2)) == len(set(secrets.WORDS)) + 2
+    clash = df.withColumns({"_raw": F.lit(1), "_text": F.lit(2)})
+    assert secrets.redact(clash).columns == clash.columns
