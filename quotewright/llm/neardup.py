@@ -139,3 +139,16 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, num: int = 80, den: i
 def op7_hamming_near_duplicates(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return classes(docs, Scratch(spark)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM t),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS x, r FROM s),
+e AS (SELECT DISTINCT a, b FROM (
+  SELECT p.doc_id AS a, q.doc_id AS b FROM x p JOIN x q ON p.x = q.x AND p.r <> q.r GROUP BY p.doc_id, q.doc_id, p.r, q.r, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*)))),
+near(a, b) AS (SELECT a, b FROM e UNION SELECT near.a, e.b FROM near JOIN e ON near.b = e.a),
+c AS (SELECT a, min(b) AS b FROM near GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(c.b, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(c.b, doc_id)) AS kept FROM s LEFT JOIN c ON c.a = s.doc_id
+"""

@@ -50,8 +50,10 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     n_repeat_words: words in 5-word windows that occur twice or more in the text. The windows' 64-bit hashes are
     sorted beside their places; equal neighbours are repeated windows, and their sorted places are merged.
     """
-    rest = [c for c in docs.columns if c not in (text, "fail_bits", *MEASURES)]
-    t = F.coalesce(F.col(text), F.lit(""))
+    others = [c for c in docs.columns if c not in (text, "fail_bits", *MEASURES)]
+    docs = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)], F.col(text).alias("_text"))  # by place, so that no name can clash
+    rest = [f"_c{i}" for i in range(len(others))]
+    t = F.coalesce(F.col("_text"), F.lit(""))
     bare = F.trim(t, F.lit(SPACES))
     df = docs.select(*[F.col(c) for c in rest], t.alias("_t"), F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SEP)).alias("_w"))
     w = F.col("_w")
@@ -81,7 +83,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
         long_(F.size(F.filter("_w", lambda x: F.char_length(x) > 40))).alias("n_long_words"),
     )
     bits = [F.when(F.expr(cond), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, (_, cond) in enumerate(RULES)]
-    return df.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    return df.select(*[F.col(r).alias(c) for r, c in zip(rest, others)], *MEASURES, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fail_bits"))
 
 
 def apply_policy(led: DataFrame, policy: str = "v2") -> DataFrame:
@@ -102,3 +104,20 @@ def ablation(led: DataFrame, policy: str = "v2") -> DataFrame:
 def op2_quality_ledger(spark, sf_dir):
     led = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return apply_policy(led).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "n_lines", "n_upper", "n_long_words")
+
+
+_failed = lambda names: " OR ".join(f"({cond})" for name, cond in RULES if name in names)
+ORACLE = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+windows AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 6),
+again AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i : i + 4]) AS c FROM windows),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM again WHERE c > 1) GROUP BY r),
+m AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g')) AS n_upper, len(list_filter(w, lambda x: length(x) > 40)) AS n_long_words
+  FROM w LEFT JOIN covered USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_failed(POLICIES["base"])}) AS base_failed, NOT ({_failed(POLICIES["v2"])}) AS kept,
+  CAST({" + ".join(f"(CASE WHEN {cond} THEN {1 << i} ELSE 0 END)" for i, (_, cond) in enumerate(RULES))} AS BIGINT) AS fail_bits, n_lines, n_upper, n_long_words FROM m
+"""

@@ -16,4 +16,10 @@ QUERIES = {
     "op9_bin_slack_packing": packing.op9_bin_slack_packing,
     "op10_secret_spans": secrets.op10_secret_spans,
 }
-ORACLES: dict[str, str] = {"op6_merkle_fixity": fixity.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_chat_prefix_targets": chat.ORACLE,
+    "op2_quality_ledger": quality.ORACLE,
+    "op5_histogram_topk": topk.ORACLE,
+    "op6_merkle_fixity": fixity.ORACLE,
+    "op7_hamming_near_duplicates": neardup.ORACLE,
+}

@@ -30,6 +30,8 @@ def test_examples_and_read_back(spark):
     want = "".join(f"{r}\n{x or ''}\n" for _, _, r, x, _ in rows[:6])
     assert back[1].turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
     assert back[4].turns_sha256 == hashlib.sha256(b"assistant\nnull turn first\nuser\n<|im_end|>\nu\n").hexdigest()
+    mixed = chat.prefix_targets(t).repartition(3, "example")
+    assert sorted(map(str, chat.read_back(mixed, stored=True).collect())) == sorted(map(str, back.values()))
     assert back[1].formatted_chars == sum(len(e.context) + len(e.target or "") for e in one)
 
 

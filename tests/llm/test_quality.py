@@ -60,3 +60,9 @@ def test_clean_documents_stay(spark, sf):
     t = quality.apply_policy(quality.ledger(spark.read.parquet(f"{sf}/documents.parquet"))).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     good = t.where("quality = 1")
     assert good.where("kept").count() >= 0.95 * good.count()
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "some words here", 2, 3, 4, 5)], "doc_id int, text string, _t int, _w int, _c0 int, n_words int")
+    got = quality.ledger(df).first()
+    assert (got["_t"], got["_w"], got["_c0"], got["n_words"]) == (2, 3, 4, 3)
