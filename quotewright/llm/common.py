@@ -191,6 +191,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         labels = new.select("node", "comp")
 
 
+def joined_components(comps: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, comp) of comps after the edges (a, b) have joined some of them: components of the components, named by the smallest node."""
+    named = comps.withColumnRenamed("comp", "c")
+    ends = edges.join(named.withColumnRenamed("node", "a"), "a", "left").withColumn("a", F.coalesce("c", "a")).drop("c")
+    ends = ends.join(named.withColumnRenamed("node", "b"), "b", "left").withColumn("b", F.coalesce("c", "b")).select("a", "b").distinct()
+    over = connected_components(ends, scratch, f"{name}-over")
+    moved = comps.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("c")), "comp", "left").select("node", F.coalesce("c", "comp").alias("comp"))
+    return scratch.cut(moved.union(over.join(comps, "node", "left_anti").select("node", "comp")), name)
+
+
 def append(docs: DataFrame, text: str, make, ddl: str) -> DataFrame:
     """docs with columns appended by Arrow batches; make() gives, once per task, a function texts -> list of Arrow arrays in ddl's order.
 

@@ -8,21 +8,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, narrowed, views
+from .common import Scratch, connected_components, joined_components, narrowed, views
 
-KEY_ROUNDS, RARE_ROUNDS = 2, 3
+KEY_ROUNDS, RARE_ROUNDS = 2, 1
 CELL = math.log(1.05)
 BEFORE, SKETCH = 16, 512
 
 
-def shared_keys(keyed: DataFrame, scratch: Scratch, name: str, across: tuple[str, str] | None = None) -> DataFrame:
-    """keyed (key, id) without the keys that only one id has, or whose rows' across columns (least, greatest) span one value."""
-    ends = [F.min("id").alias("first"), F.max("id").alias("last")]
-    several = "first < last"
-    if across:
-        ends += [F.min(across[0]).alias("one"), F.max(across[1]).alias("other")]
-        several += " and one < other"
-    keys = scratch.cut(keyed.groupBy("key").agg(*ends).where(several).select("key"), f"{name}-several")
+def shared_keys(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """keyed (key, id) without the keys of one row."""
+    keys = scratch.cut(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), f"{name}-several")
     found = narrowed(keyed.select("key", "id"), keys, "key", "key").join(keys, "key").distinct()
     return scratch.cut(found, name)
 
@@ -129,10 +124,10 @@ def _apart(placed: DataFrame, comps: DataFrame) -> DataFrame:
 
 def rare_pairs(placed: DataFrame, comps: DataFrame, num: int, den: int, turn: int) -> DataFrame:
     """For each id up to three pairs (a, b) with members of other components that may reach num / den, by the rarest and the most frequent element that has one."""
-    apart = _apart(placed, comps)
-    one, mark = F.struct("id", "comp", "n", "i", "b"), F.xxhash64("id", F.lit(turn))
-    heads = apart.groupBy("x").agg(F.min_by(one, mark).alias("any"), F.min_by(one, F.struct("comp", mark)).alias("least"), F.max_by(one, F.struct("comp", mark)).alias("most"))
-    met = apart.select("x", "c", one.alias("p")).join(heads, "x").withColumn("q", F.expr("case when p.comp <> any.comp then any when p.comp <> least.comp then least else most end"))
+    member = placed.join(comps.withColumnRenamed("node", "id"), "id", "left").select("x", "c", F.struct(F.coalesce("comp", "id").alias("comp"), "id", "n", "i", "b").alias("p"))
+    mark = F.xxhash64("p.id", F.lit(turn))
+    heads = member.groupBy("x").agg(F.min_by("p", mark).alias("any"), F.min_by("p", F.struct("p.comp", mark)).alias("least"), F.max_by("p", F.struct("p.comp", mark)).alias("most")).where("least.comp < most.comp")
+    met = member.join(heads, "x").withColumn("q", F.expr("case when p.comp <> any.comp then any when p.comp <> least.comp then least else most end"))
     other = lambda seed: F.min_by("q.id", F.struct("c", F.xxhash64("q.id", F.lit(turn), F.lit(seed))))
     met = met.where(f"p.comp <> q.comp and {_enough(num, den)}").groupBy("p.id").agg(F.array_distinct(F.array(other(0), other(1), F.max_by("q.id", F.struct("c", "q.id")))).alias("o")).withColumn("o", F.explode("o"))
     return met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
@@ -167,7 +162,7 @@ def resolve(keyed: DataFrame, links: DataFrame, sets: DataFrame, num: int, den:
     lie in one component are done. Then prefix_pairs gives every pair that is left across components and may still
     reach the threshold. Nothing is capped, a pair is tried once.
     """
-    state = {"links": links, "comps": connected_components(links, scratch, f"{name}-comps"), "tried": None, "turn": 0}
+    state = {"comps": connected_components(links, scratch, f"{name}-comps"), "tried": None, "turn": 0}
 
     def open_members() -> DataFrame:
         member = keyed.join(state["comps"].withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -183,8 +178,7 @@ def resolve(keyed: DataFrame, links: DataFrame, sets: DataFrame, num: int, den:
             new = within(pairs, sets, num, den, distance, scratch, f"{name}-{state['turn']}")
             state["tried"] = pairs if state["tried"] is None else state["tried"].union(pairs)
             if new.limit(1).count():
-                state["links"] = state["links"].union(new)
-                state["comps"] = connected_components(state["links"], scratch, f"{name}-comps")
+                state["comps"] = joined_components(state["comps"], new, scratch, f"{name}-comps")
 
     for turn in range(KEY_ROUNDS):
         member = open_members()

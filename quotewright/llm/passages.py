@@ -207,8 +207,7 @@ def near_paragraphs(docs: DataFrame, lines: DataFrame, scratch: Scratch, num: in
     """(doc_id, a, b, src_doc): the paragraphs that go, as another document with a smaller id keeps a near copy."""
     contents = lines.groupBy("w").agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"), F.max("doc_id").alias("last_doc"), F.first("keys").alias("keys"))
     contents = scratch.cut(contents, "contents")
-    each = contents.select(F.explode("keys").alias("key"), F.col("w").alias("id"), F.col("first.doc_id").alias("first_doc"), "last_doc")
-    keyed = shared_keys(each, scratch, "keyed", ("first_doc", "last_doc"))
+    keyed = shared_keys(contents.select(F.explode("keys").alias("key"), F.col("w").alias("id")), scratch, "keyed")
     sets = paragraph_sets(docs, keyed.select("id").distinct(), contents, scratch)
     keyed = keyed.join(sets.select("id"), "id", "left_semi")
     none = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
@@ -235,12 +234,10 @@ def equal_passages(docs: DataFrame, windows: DataFrame, copies: DataFrame, gone:
     def make():
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
-
         def work(rows):
-            out = []
+            ends, keys, places = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for r in rows:
-                h, found = word_hashes(words_of(r["text"])), []
+                h, n = word_hashes(words_of(r["text"])), 0
                 for x in r["at"]:
                     if hashed(h) != x["cls"]:
                         continue
@@ -251,10 +248,12 @@ def equal_passages(docs: DataFrame, windows: DataFrame, copies: DataFrame, gone:
                         marked[max(0, y["a"] - min_words + 1) : y["b"]] = False
                     at = np.flatnonzero(marked)
                     if len(at):
-                        keys = shingles(h, min_words).view(np.int64)[at]
-                        found += [{"key": k, "at": p} for k, p in zip(keys.tolist(), at.tolist())]
-                out.append(found)
-            return [pa.array(out, kind)]
+                        keys.append(shingles(h, min_words).view(np.int64)[at])
+                        places.append(at)
+                        n += len(at)
+                ends.append(ends[-1] + n)
+            found = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "at"])
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)]
 
         return work
 
