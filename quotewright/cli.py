@@ -75,16 +75,17 @@ def validate(a) -> dict:
 
 def backtest(a) -> dict:
     spark = _session()
-    long = sessions.run_cases(_events(spark, a.input), {a.name: _config(a.config)})
+    cases = {a.name: _config(a.config)}
+    long = sessions.run_cases(_events(spark, a.input), cases)
     long.write.mode("overwrite").partitionBy("table").parquet(f"{a.output}/{a.name}")
     back = spark.read.parquet(f"{a.output}/{a.name}")
-    return {r.symbol: r.asDict() for r in sessions.results(back).collect()}
+    return {r.symbol: r.asDict() for r in sessions.results(back, cases=cases).collect()}
 
 
 def experiment(a) -> dict:
     spark = _session()
     cases = sessions.grid(_config(a.config), a.strategies.split(","), [float(x) for x in a.latencies.split(",")], a.policies.split(","), a.fees.split(","))
-    r = sessions.results(sessions.run_cases(_events(spark, a.input), cases).persist())
+    r = sessions.results(sessions.run_cases(_events(spark, a.input), cases).persist(), cases=cases)
     canonical.write_parquet(r, a.output)
     return {"cases": len(cases)}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..simulation.sessions import table
+from ..simulation.sessions import limit_of, table
 from .metrics import finite_mean, markouts, with_midpoint
 
 KEY = ["case_name", "symbol"]
@@ -20,10 +20,10 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def document(long: DataFrame, horizons_ns: list[int], tick: float = 0.01, limit: int = 100, near_limit: float = 0.8) -> DataFrame:
+def document(long: DataFrame, horizons_ns: list[int], tick: float = 0.01, cases: dict | None = None, near_limit: float = 0.8) -> DataFrame:
     """case_name, symbol and the sections trading_activity, pnl, inventory, execution_quality, market_conditions, risk, attribution and engineering.
 
-    long holds the rows of sessions.run_cases; it is read several times, so write or persist it first.
+    cases: the runs' settings, for their limits. long holds the rows of sessions.run_cases; it is read several times, so write or persist it first.
     """
     q, p = F.col("quantity"), F.col("price_ticks")
     n = lambda s: F.count_if(F.col("new_status") == s)
@@ -36,9 +36,9 @@ def document(long: DataFrame, horizons_ns: list[int], tick: float = 0.01, limit:
     high = F.max("net_pnl").over(Window.partitionBy(*KEY).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0))
     last = lambda c: F.max_by(c, "row_no").alias(c)
     inv = F.col("inventory").cast("double")
-    money = pnl.withColumn("_fall", high - F.col("net_pnl")).groupBy(*KEY).agg(
+    money = pnl.withColumn("_limit", limit_of(cases)).withColumn("_fall", high - F.col("net_pnl")).groupBy(*KEY).agg(
         *[last(c) for c in ("gross_pnl", "fees", "rebates", "net_pnl", "realized_pnl_ticks", "unrealized_pnl_ticks")], F.max("_fall").alias("maximum_drawdown"), F.avg(inv).alias("inv_mean"), F.when(F.count("*") > 1, F.stddev_pop(inv)).otherwise(0.0).alias("inv_std"),
-        F.max("inventory").alias("inv_max"), F.min("inventory").alias("inv_min"), F.avg(F.abs(inv)).alias("inv_abs"), F.avg((F.abs(inv) >= near_limit * limit).cast("double")).alias("inv_near"), F.max_by("inventory", "row_no").alias("inv_end"),
+        F.max("inventory").alias("inv_max"), F.min("inventory").alias("inv_min"), F.avg(F.abs(inv)).alias("inv_abs"), F.avg((F.abs(inv) >= near_limit * F.col("_limit")).cast("double")).alias("inv_near"), F.max_by("inventory", "row_no").alias("inv_end"),
     )
     market = table(long, "market")
     conditions = market.groupBy(*KEY).agg(F.avg("spread_ticks").alias("spread"), F.avg(F.col("best_bid_quantity") + F.col("best_ask_quantity")).alias("depth"))

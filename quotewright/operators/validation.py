@@ -66,3 +66,46 @@ def validate_frame(frame: DataFrame, strict: bool = True) -> Validation:
             raise
         return Validation(frame.sparkSession.createDataFrame([], "symbol bigint, event_index bigint, code string"), {"invalid_schema": 1})
     return validate(coerced, strict)
+
+
+def validate_file(spark, path: str, strict: bool = True) -> Validation:
+    """validate_frame of a canonical file of one instrument, or of several with a column symbol; its events arrive in sequence order unless event_index says otherwise."""
+    from ..sources.canonical import LoadError, load
+
+    try:
+        known = load(spark, path, allow_extra=True, keys=tuple(c for c in ("symbol", "event_index") if c in spark.read.option("header", True).format("csv" if path.lower().endswith(".csv") else "parquet").load(path).columns))
+    except (LoadError, SchemaError):
+        if strict:
+            raise
+        return Validation(spark.createDataFrame([], "symbol bigint, event_index bigint, code string"), {"invalid_schema": 1})
+    if "symbol" not in known.columns:
+        known = known.withColumn("symbol", F.lit(0).cast("bigint"))
+    if "event_index" not in known.columns:
+        known = known.withColumn("event_index", F.col("sequence_number"))
+    return validate_frame(known, strict)
+
+
+@dataclass(frozen=True)
+class Certificate:
+    """What a validation was of: it may be reused only for the same rows and the same mode."""
+
+    stream_sha256: tuple[tuple[int, str, int], ...]
+    strict: bool
+    valid: bool
+
+
+def certify(events: DataFrame, strict: bool = True) -> Certificate:
+    """The certificate of a validated event table."""
+    from ..sources.fingerprint import stream_sha256
+
+    v = validate(events, strict)
+    rows = stream_sha256(events, ["symbol"]).collect()  # a row for each symbol
+    return Certificate(tuple(sorted((r.symbol, r.stream_sha256, r.n_events) for r in rows)), strict, v.valid)
+
+
+def holds(certificate: Certificate, events: DataFrame, strict: bool = True) -> bool:
+    """Whether the certificate is of these rows, in this mode, and says that they are valid."""
+    from ..sources.fingerprint import stream_sha256
+
+    rows = stream_sha256(events, ["symbol"]).collect()
+    return certificate.valid and certificate.strict == strict and certificate.stream_sha256 == tuple(sorted((r.symbol, r.stream_sha256, r.n_events) for r in rows))

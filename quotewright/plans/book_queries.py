@@ -55,40 +55,25 @@ def clamp_counters(spark, sf_dir):
 CLAMP_COUNTERS = f"SELECT symbol, event_type, count(*) AS n_events, CAST(count_if(clamped) AS BIGINT) AS n_clamped, CAST(sum(applied) AS BIGINT) AS applied FROM ({BOOK_DELTA}) GROUP BY 1, 2"
 
 
-def _sampled(e):
-    return e.where(F.col("sequence_number") % 10 == 0)
-
-
 def book_depth_topn(spark, sf_dir):
-    """Depth after every tenth event: a sampling operator of the book, not of its input."""
-    e = book.with_epochs(l2(spark, sf_dir))
-    return book.top_n(e, 5, _sampled(e))
+    """Depth after every event."""
+    return book.top_n(book.with_epochs(l2(spark, sf_dir)), 5)
 
 
 _TOP = f"""{LEVEL_SQL}, st AS (SELECT e.symbol, e.sequence_number, l.side, l.price_ticks, l.qty_after AS quantity,
  row_number() OVER (PARTITION BY e.symbol, e.sequence_number, l.side ORDER BY l.price_ticks * l.side DESC) AS rank
- FROM l2e e JOIN lv l ON l.symbol = e.symbol AND l.epoch = e.epoch AND l.sequence_number <= e.sequence_number AND e.sequence_number < l.seq_to AND l.qty_after > 0 WHERE e.sequence_number % 10 = 0)"""
+ FROM l2e e JOIN lv l ON l.symbol = e.symbol AND l.epoch = e.epoch AND l.sequence_number <= e.sequence_number AND e.sequence_number < l.seq_to AND l.qty_after > 0)"""
 BOOK_DEPTH = f"WITH {_TOP} SELECT symbol, sequence_number, side, rank, price_ticks, quantity FROM st WHERE rank <= 5"
 
 
 def weighted_imbalance(spark, sf_dir):
-    e = book.with_epochs(l2(spark, sf_dir))
-    return book.weighted_imbalance(e, 5, _sampled(e)).withColumn("weighted_imbalance", F.round("weighted_imbalance", 9))
+    return book.weighted_imbalance(book.with_epochs(l2(spark, sf_dir)), 5).withColumn("weighted_imbalance", F.round("weighted_imbalance", 9))
 
 
 WEIGHTED = f"""WITH {_TOP} SELECT symbol, sequence_number, round((b - a) / (b + a), 9) AS weighted_imbalance FROM (SELECT symbol, sequence_number,
  sum(CASE WHEN side = 1 THEN CAST(quantity AS DOUBLE) / rank END) AS b, sum(CASE WHEN side = -1 THEN CAST(quantity AS DOUBLE) / rank END) AS a FROM st WHERE rank <= 5 GROUP BY 1, 2)"""
 
 
-def book_depth_all_events(spark, sf_dir):
-    """Depth after every event; book_depth_topn keeps the tenth part that its SQL asks for."""
-    return book.top_n(book.with_epochs(l2(spark, sf_dir)), 5)
-
-
-def weighted_imbalance_all_events(spark, sf_dir):
-    return book.weighted_imbalance(book.with_epochs(l2(spark, sf_dir)), 5).withColumn("weighted_imbalance", F.round("weighted_imbalance", 9))
-
-
 def level_quantity_lookup(spark, sf_dir):
     e = book.with_epochs(l2(spark, sf_dir))
     points = e.select("symbol", F.col("sequence_number").alias("seq"), F.explode(F.array(*[F.struct(F.lit(s).cast("tinyint").alias("side"), F.lit(p).cast("bigint").alias("price_ticks")) for s, p in ((1, 9999), (1, 9996), (-1, 10001), (-1, 10004))])).alias("p")).select("symbol", "seq", "p.*")
@@ -110,23 +95,15 @@ INVARIANTS = f"""WITH {BBO_SQL} SELECT symbol, count(*) AS n_events, CAST(count_
 
 
 def sweep_allocation(spark, sf_dir):
-    """What orders of 60 take from the opposite side after every tenth event."""
-    e = book.with_epochs(l2(spark, sf_dir))
-    lv = book.standing_levels(e, _sampled(e)).where("side = -1").withColumn("quantity", F.col("level_qty"))
-    s = book.sweep(lv, ["symbol", "seq"], F.lit(60), [F.col("level_price")])
-    return s.where("taken > 0").select("symbol", F.col("seq").alias("sequence_number"), F.col("level_price").alias("price_ticks"), "taken")
-
-
-SWEEP = f"""WITH {_TOP} SELECT symbol, sequence_number, price_ticks, taken FROM (SELECT symbol, sequence_number, price_ticks,
- CAST(greatest(0, least(quantity, 60 - (sum(quantity) OVER (PARTITION BY symbol, sequence_number ORDER BY price_ticks) - quantity))) AS BIGINT) AS taken FROM st WHERE side = -1) WHERE taken > 0"""
-
-
-def sweep_allocation_all_events(spark, sf_dir):
     """What orders of 60 take from each side after every event."""
     lv = book.ladder(book.with_epochs(l2(spark, sf_dir)), covers=60)
     return book.sweep(lv, ["symbol", "sequence_number", "side"], F.lit(60), [F.col("rank")]).select("symbol", "sequence_number", "side", "price_ticks", "taken")
 
 
+SWEEP = f"""WITH {_TOP} SELECT symbol, sequence_number, side, price_ticks, taken FROM (SELECT symbol, sequence_number, side, price_ticks,
+ CAST(greatest(0, least(quantity, 60 - (sum(quantity) OVER (PARTITION BY symbol, sequence_number, side ORDER BY rank) - quantity))) AS BIGINT) AS taken FROM st) WHERE taken > 0"""
+
+
 def _segments(spark, sf_dir):
     """ADD events of each (symbol, epoch, side, price) as queue segments; every third is an own order."""
     e = book.with_epochs(l2(spark, sf_dir)).where("event_type = 'ADD'")
@@ -167,21 +144,12 @@ POSITIONS = f"""WITH {_SEG} SELECT level, seg, quantity, external_ahead, own_ahe
 
 
 def price_through_fills(spark, sf_dir):
-    """Own orders (every third ADD) that a later trade of their epoch goes through, with the first such trade."""
-    e = book.with_epochs(l2(spark, sf_dir))
-    orders = e.where("event_type = 'ADD' and sequence_number % 3 = 0").select("symbol", "epoch", "side", "price_ticks", "sequence_number", "quantity")
-    trades = e.where("event_type = 'TRADE'").select("symbol", "epoch", "side", "price_ticks", "sequence_number")
-    hit = queue.price_through(orders, trades).where("t.sequence_number > o.sequence_number")
-    return hit.groupBy(F.col("o.symbol").alias("symbol"), F.col("o.sequence_number").alias("order_seq"), F.col("o.quantity").alias("quantity")).agg(F.min("t.sequence_number").alias("trade_seq"))
+    """Every ADD as an order, with the first later trade of its epoch that goes through it."""
+    return queue.first_through(book.with_epochs(l2(spark, sf_dir)))
 
 
 PRICE_THROUGH = f"""WITH {EPOCH_SQL} SELECT o.symbol, o.sequence_number AS order_seq, o.quantity, min(t.sequence_number) AS trade_seq FROM l2e o JOIN l2e t ON o.symbol = t.symbol AND o.epoch = t.epoch AND o.side = t.side
- AND o.price_ticks * o.side > t.price_ticks * t.side AND t.sequence_number > o.sequence_number WHERE o.event_type = 'ADD' AND o.sequence_number % 3 = 0 AND t.event_type = 'TRADE' GROUP BY 1, 2, 3"""
-
-
-def price_through_all_adds(spark, sf_dir):
-    """Every ADD as an order, with the first later trade of its epoch that goes through it."""
-    return queue.first_through(book.with_epochs(l2(spark, sf_dir)))
+ AND o.price_ticks * o.side > t.price_ticks * t.side AND t.sequence_number > o.sequence_number WHERE o.event_type = 'ADD' AND t.event_type = 'TRADE' GROUP BY 1, 2, 3"""
 
 
 def trade_reduction_band_join(spark, sf_dir):
@@ -350,6 +318,5 @@ QUERIES = {
     "ordered_channel_delivery": (ordered_channel_delivery, CHANNEL), "canonical_contract_violations": (canonical_contract_violations, VIOLATIONS), "stream_order_issues": (stream_order_issues, ISSUES),
     "select_time_range_limit": (select_time_range_limit, RANGE_LIMIT), "timer_grid": (timer_grid, TIMER), "regime_classification": (regime_classification, REGIMES), "rolling_volatility": (rolling_volatility, VOLATILITY),
     "message_rate_1s": (message_rate_1s, MESSAGES), "quote_fixed": (quote_fixed, QUOTE_FIXED), "quote_inventory": (quote_inventory, QUOTE_INVENTORY), "quote_microprice": (quote_microprice, QUOTE_MICRO),
-    "book_depth_all_events": (book_depth_all_events, None), "weighted_imbalance_all_events": (weighted_imbalance_all_events, None), "sweep_allocation_all_events": (sweep_allocation_all_events, None), "price_through_all_adds": (price_through_all_adds, None),
     "row_fingerprint": (row_fingerprint, FINGERPRINT), "stream_sha256": (stream_sha256, STREAM_SHA),
 }

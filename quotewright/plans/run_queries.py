@@ -205,21 +205,13 @@ def _all_adds(spark, sf_dir):
     return l2(spark, sf_dir).where("event_type = 'ADD'")
 
 
-def _open_orders(spark, sf_dir):
-    return _all_adds(spark, sf_dir).where("sequence_number % 50 = 7").select("symbol", "side", "quantity", "price_ticks", "sequence_number", "timestamp_ns")
+_OPEN = "oo AS (SELECT * FROM l2 WHERE event_type = 'ADD')"
 
 
-_OPEN = "oo AS (SELECT * FROM l2 WHERE event_type = 'ADD' AND sequence_number % 50 = 7)"
-
-
-def worst_case_exposure(spark, sf_dir, adds=_open_orders):
+def worst_case_exposure(spark, sf_dir):
+    """The exposure with every ADD as an open order."""
     inv = metrics.inventory_path(fills(spark, sf_dir)).groupBy("symbol").agg(F.max_by("inventory", "fill_id").alias("inventory"))
-    return orders.worst_case_exposure(adds(spark, sf_dir), inv)
-
-
-def worst_case_exposure_all_adds(spark, sf_dir):
-    """The exposure with every ADD as an open order; worst_case_exposure has the orders that its SQL asks for."""
-    return worst_case_exposure(spark, sf_dir, _all_adds)
+    return orders.worst_case_exposure(_all_adds(spark, sf_dir), inv)
 
 
 EXPOSURE = f"""WITH {PATH_SQL}, {_OPEN}, i AS (SELECT symbol, max_by(inventory, fill_id) AS inventory FROM ip GROUP BY 1), o AS (SELECT symbol, sum(CASE WHEN side = 1 THEN quantity ELSE 0 END) AS b, sum(CASE WHEN side = -1 THEN quantity ELSE 0 END) AS a, sum(quantity) AS q, count(*) AS n FROM oo GROUP BY 1)
@@ -242,9 +234,9 @@ SELECT symbol, sequence_number, CASE WHEN ro AND NOT red THEN 'invalid_order' WH
  WHEN NOT red AND worst > 120 THEN 'position_limit' WHEN NOT red AND sp < 2 THEN 'spread_too_narrow' WHEN NOT red AND vol > 3.5 THEN 'volatility_too_high' ELSE 'accepted' END AS reason FROM d"""
 
 
-def stale_quotes(spark, sf_dir, adds=_open_orders):
-    """Open orders older than ten days at the symbol's last event."""
-    q = adds(spark, sf_dir).select("symbol", F.col("timestamp_ns").alias("submitted_ns"), F.col("sequence_number").alias("n"), F.concat_ws(":", "symbol", "sequence_number").alias("order_id"))
+def stale_quotes(spark, sf_dir):
+    """ADD rows as open orders older than ten days at the symbol's last event."""
+    q = _all_adds(spark, sf_dir).select("symbol", F.col("timestamp_ns").alias("submitted_ns"), F.col("sequence_number").alias("n"), F.concat_ws(":", "symbol", "sequence_number").alias("order_id"))
     last = l2(spark, sf_dir).groupBy("symbol").agg(F.max("timestamp_ns").alias("now_ns"))
     return orders.stale_quotes(q.join(last, "symbol"), F.col("now_ns"), 10 * DAY).select("order_id", "symbol", (F.col("now_ns") - F.col("submitted_ns")).alias("age_ns"))
 
@@ -252,10 +244,6 @@ def stale_quotes(spark, sf_dir, adds=_open_orders):
 STALE = f"WITH {L2_SQL}, {_OPEN}, m AS (SELECT symbol, max(timestamp_ns) AS now_ns FROM l2 GROUP BY 1) SELECT oo.symbol || ':' || sequence_number AS order_id, symbol, now_ns - timestamp_ns AS age_ns FROM oo JOIN m USING (symbol) WHERE now_ns - timestamp_ns > {10 * DAY}"
 
 
-def stale_quotes_all_adds(spark, sf_dir):
-    return stale_quotes(spark, sf_dir, _all_adds)
-
-
 def group_mean_excl_null(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").withColumn("v", F.when(F.col("l_quantity") > 5, F.col("l_discount")))  # noqa: E741
     return experiments.group_mean(l, "l_linenumber", "v").withColumn("mean", F.round("mean", 9))
@@ -343,7 +331,6 @@ QUERIES = {
     "cash_pnl_marked": (cash_pnl_marked, PNL), "drawdown_cummax": (drawdown_cummax, _DD.format(p=PNL_SQL, h=_HIGH)), "risk_high_watermark": (risk_high_watermark, _DD.format(p=PNL_SQL, h=f"greatest(0, {_HIGH})")), "pnl_by_regime": (pnl_by_regime, BY_REGIME),
     "illegal_transitions_anti_join": (illegal_transitions_anti_join, ILLEGAL), "order_activity_counts": (order_activity_counts, ACTIVITY), "average_fill_price": (average_fill_price, AVERAGE), "worst_case_exposure": (worst_case_exposure, EXPOSURE),
     "pretrade_first_reason": (pretrade_first_reason, PRETRADE), "stale_quotes": (stale_quotes, STALE), "group_mean_excl_null": (group_mean_excl_null, GROUP_MEAN), "experiment_grid_cross": (experiment_grid_cross, GRID), "experiment_aggregate": (experiment_aggregate, AGGREGATE),
-    "worst_case_exposure_all_adds": (worst_case_exposure_all_adds, None), "stale_quotes_all_adds": (stale_quotes_all_adds, None),
     "percentile_nearest_rank": (percentile_nearest_rank, PERCENTILE), "queue_policy_differs": (queue_policy_differs, DIFFERS), "comparison_identity": (comparison_identity, IDENTITY), "histogram_bins": (histogram_bins, HISTOGRAM),
     "exposure_union": (exposure_union, _SETS.format(op="UNION")), "requested_minus_sent": (requested_minus_sent, _SETS.format(op="EXCEPT")), "live_intersection": (live_intersection, _SETS.format(op="INTERSECT")),
 }

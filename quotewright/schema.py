@@ -35,6 +35,19 @@ def events_frame(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame([tuple(r[f] for f in CANONICAL.names) if isinstance(r, dict) else tuple(r) for r in rows], CANONICAL)
 
 
+def event_of(row) -> dict:
+    """A mapping or a row as a mapping of the canonical columns; missing ones raise."""
+    d = row.asDict() if hasattr(row, "asDict") else dict(row)
+    if missing := [n for n in CANONICAL.names if n not in d]:
+        raise SchemaError(f"missing columns: {', '.join(missing)}")
+    return {n: d[n] for n in CANONICAL.names}
+
+
+def event_rows(frame: DataFrame):
+    """A canonical frame as mappings in sequence order, fetched one partition at a time."""
+    return map(event_of, frame.orderBy("sequence_number").toLocalIterator())
+
+
 def coerce(frame: DataFrame, allow_extra: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """Projects and casts to the canonical columns, after any partition keys; lossy or failing casts raise when run."""
     missing = [c for c in CANONICAL.names if c not in frame.columns]

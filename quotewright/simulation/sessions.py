@@ -10,14 +10,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .config import Config, from_json
 from .kernel import TABLES, simulate
 
 LONG = "case_name string, symbol bigint, table string, row_no bigint, row string"
-FLUSH = 20_000
+FLUSH, MOST_TASKS = 20_000, 20_000
 
 
 def latency_scaled(config: Config, factor: float) -> Config:
@@ -89,8 +89,16 @@ def run_cases(events: DataFrame, cases: dict[str, Config]) -> DataFrame:
             for part in done():
                 yield batch_of(part)
 
-    each = events.withColumn("case_name", F.explode(F.array(*[F.lit(k) for k in settings])))  # every event goes to every case
-    ordered = each.select("case_name", "symbol", "timestamp_ns", "sequence_number", "event_type", "side", "price_ticks", "quantity").repartition("case_name", "symbol").sortWithinPartitions("case_name", "symbol", "sequence_number")
+    symbols = events.select("symbol").distinct()
+    n = symbols.count()
+    if not n:
+        return events.sparkSession.createDataFrame([], LONG)
+    # sessions are numbered and dealt out one to a partition, so that none waits for another
+    numbered = symbols.withColumn("_s", F.row_number().over(Window.orderBy("symbol")) - 1)  # a row for each symbol
+    parts = min(n * len(settings), MOST_TASKS)
+    each = events.join(numbered, "symbol").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))))  # every event goes to every case
+    each = each.withColumn("case_name", F.element_at(F.array(*[F.lit(k) for k in settings]), F.col("_k") + 1)).withColumn("_p", F.pmod(F.col("_k") * n + F.col("_s"), F.lit(parts)).cast("int"))
+    ordered = each.repartitionById(parts, F.col("_p")).sortWithinPartitions("case_name", "symbol", "sequence_number").select("case_name", "symbol", "timestamp_ns", "sequence_number", "event_type", "side", "price_ticks", "quantity")
     return ordered.mapInArrow(sessions, LONG)
 
 
@@ -102,12 +110,19 @@ def table(long: DataFrame, name: str) -> DataFrame:
     return long.where(F.col("table") == name).select("case_name", "symbol", "row_no", F.from_json("row", TABLES[name]).alias("r")).select("case_name", "symbol", "row_no", "r.*")
 
 
-def results(long: DataFrame, near_limit: float = 0.8, limit: int = 100) -> DataFrame:
-    """One row per case and symbol: activity, inventory, P&L and drawdown figures."""
+def limit_of(cases: dict[str, Config] | None) -> Column:
+    """The max_abs_inventory of a row's case."""
+    if not cases:
+        return F.lit(Config().limits.max_abs_inventory)
+    return F.element_at(F.create_map(*[F.lit(x) for k, c in cases.items() for x in (k, c.limits.max_abs_inventory)]), F.col("case_name"))
+
+
+def results(long: DataFrame, near_limit: float = 0.8, cases: dict[str, Config] | None = None) -> DataFrame:
+    """One row per case and symbol: activity, inventory, P&L and drawdown figures. cases: whose limits say what is near."""
     pnl = table(long, "pnl")
     high = F.max("net_pnl").over(Window.partitionBy("case_name", "symbol").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0))
-    p = pnl.withColumn("fall", high - F.col("net_pnl")).groupBy("case_name", "symbol").agg(
-        F.avg(F.abs("inventory")).alias("mean_abs_inventory"), F.avg((F.abs("inventory") >= near_limit * limit).cast("double")).alias("near_limit_fraction"), F.max("fall").alias("max_drawdown"), F.max_by("net_pnl", "row_no").alias("net_pnl"), F.max_by("inventory", "row_no").alias("final_inventory"), F.max_by("fees", "row_no").alias("fees"), F.max_by("rebates", "row_no").alias("rebates")
+    p = pnl.withColumn("_limit", limit_of(cases)).withColumn("fall", high - F.col("net_pnl")).groupBy("case_name", "symbol").agg(
+        F.avg(F.abs("inventory")).alias("mean_abs_inventory"), F.avg((F.abs("inventory") >= near_limit * F.col("_limit")).cast("double")).alias("near_limit_fraction"), F.max("fall").alias("max_drawdown"), F.max_by("net_pnl", "row_no").alias("net_pnl"), F.max_by("inventory", "row_no").alias("final_inventory"), F.max_by("fees", "row_no").alias("fees"), F.max_by("rebates", "row_no").alias("rebates")
     )
     o = table(long, "orders").groupBy("case_name", "symbol").agg(F.count_distinct("order_id").alias("submitted_orders"), F.count_if(F.col("new_status") == "filled").alias("filled"))
     s = table(long, "summary").drop("row_no", "orders", "submitted")

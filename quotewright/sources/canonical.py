@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..schema import CANONICAL, SchemaError, coerce, violation
+from ..schema import SchemaError, coerce, violation
 
 #: Texts that stand for a null in CSV files.
 NULLS = ("", "null", "NULL", "None")
@@ -58,10 +57,15 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def read_vendor_csv(spark: SparkSession, path: str, header: bool) -> DataFrame:
-    """All cells as text, with row: the file order. Vendor files may have no key, so each is read unsplit."""
-    df = spark.read.option("header", header).option("inferSchema", False).csv(path)
-    return df.withColumn("row", F.monotonically_increasing_id())
-
-
-def frame_schema() -> T.StructType:
-    return CANONICAL
+    """All cells as text, with row: the file order from 0, files in the order of their paths.
+
+    Vendor files may have no key, so lines are numbered: within each split as they are read, plus the lines of all splits
+    before it. Splits may be read in any order and by any task.
+    """
+    raw = spark.read.option("header", header).option("inferSchema", False).csv(path)
+    cells = raw.columns
+    df = raw.select(*cells, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = df.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))  # a row for each split
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = df.join(splits.select("_file", "_start", "_first", before.alias("_before")), ["_file", "_start"])
+    return numbered.select(*cells, (F.col("_before") + F.col("_id") - F.col("_first")).cast("bigint").alias("row"))

@@ -11,11 +11,14 @@ shared budget; what is matched becomes TRADE, the rest CANCEL.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quotes import price_to_ticks
 from ..operators.running import running_sum
+from .adapter import Adapter
 
 
 class AdapterError(ValueError):
@@ -36,9 +39,11 @@ def _scaled(c: Column, multiplier: int) -> Column:
     return F.when(whole != F.floor(whole), F.raise_error(F.concat(F.lit("quantity cannot be represented: "), c.cast("string")))).otherwise(whole).cast("bigint")
 
 
-class IncrementalAdapter:
+class IncrementalAdapter(Adapter):
     """tick_size and quantity_multiplier fix the integer units; timestamp_source names the column that becomes the event's time."""
 
+    name = "incremental"
+
     def __init__(self, tick_size: str, quantity_multiplier: int = 1, timestamp_source: str = "local_timestamp", trade_match_window_ns: int = 1_000_000):
         if timestamp_source not in ("local_timestamp", "timestamp"):
             raise AdapterError("timestamp_source must be local_timestamp or timestamp")
@@ -86,20 +91,19 @@ class IncrementalAdapter:
         def share(pdf):
             import pandas as pd
 
-            red = pdf[pdf.kind == 0].sort_values("row")
-            left = dict(zip(red.row, red.quantity))
-            times = list(zip(red.timestamp_ns, red.row))
-            taken = dict.fromkeys(left, 0)
+            red = sorted(zip(*(pdf[pdf.kind == 0][c].tolist() for c in ("timestamp_ns", "row", "quantity"))))
+            times, left, taken = [x[0] for x in red], [x[2] for x in red], [0] * len(red)
             for t in pdf[pdf.kind == 1].sort_values("row").itertuples():
-                rest = t.quantity
-                for at, r in sorted((x for x in times if abs(x[0] - t.timestamp_ns) <= window), key=lambda x: (abs(x[0] - t.timestamp_ns), x[0], x[1])):
-                    q = min(rest, left[r])
-                    left[r] -= q
-                    taken[r] += q
+                rest, at = t.quantity, t.timestamp_ns
+                i, j = bisect_left(times, at - window), bisect_right(times, at + window)
+                for k in sorted(range(i, j), key=lambda k: (abs(times[k] - at), times[k], red[k][1])):
+                    q = min(rest, left[k])
+                    left[k] -= q
+                    taken[k] += q
                     rest -= q
                     if not rest:
                         break
-            return pd.DataFrame({"row": list(taken), "matched": list(taken.values())})
+            return pd.DataFrame({"row": [x[1] for x in red], "matched": taken})
 
         found = both.groupBy(*LEVEL, "stretch").applyInPandas(share, "row bigint, matched bigint")
         return found.where("matched > 0")

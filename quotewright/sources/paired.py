@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quotes import price_to_ticks
+from .adapter import Adapter
 from .incremental import AdapterError, _scaled
 
 
-class PairedAdapter:
+class PairedAdapter(Adapter):
+    name = "paired"
+
     def __init__(self, tick_size: str, trading_date: str | dt.date, levels: int | None = None, timezone: str = "America/New_York", price_scale: int = 10_000, quantity_multiplier: int = 1):
         day = trading_date if isinstance(trading_date, dt.date) else dt.date.fromisoformat(trading_date)
         zone = ZoneInfo(timezone) if isinstance(timezone, str) else timezone
@@ -52,7 +55,14 @@ class PairedAdapter:
         return long.select("row", "side", self._ticks(F.col("price")).alias("price_ticks"), _scaled(F.col("size"), self.multiplier).alias("quantity"))
 
     def to_canonical(self, messages: DataFrame, book: DataFrame) -> DataFrame:
+        heights = [d.agg(F.count("*"), F.count_distinct("row"), F.min("row"), F.max("row")).first() for d in (messages, book)]
+        if heights[0] != heights[1] or heights[0][0] != heights[0][1]:
+            raise AdapterError(f"messages and book must have the same rows, each once: {heights[0][0]} and {heights[1][0]} rows")
         m, lv = self.messages(messages), self.book_levels(book)
+        if lv.groupBy("row", "side", "price_ticks").count().where("count > 1").limit(1).count():
+            raise AdapterError("a book row names a level twice")
+        if lv.groupBy("row").agg(F.max(F.when(F.col("side") == 1, F.col("price_ticks"))).alias("b"), F.min(F.when(F.col("side") == -1, F.col("price_ticks"))).alias("a")).where("b >= a").limit(1).count():
+            raise AdapterError("a book row is crossed")
         order = Window.orderBy("row")  # one day of one instrument is one file, in file order
         halt = F.when(F.col("code") == 7, F.col("price").cast("int"))
         m = m.withColumn("halt", halt).withColumn("halted_before", F.coalesce(F.last(F.when(F.col("halt").isNotNull(), F.col("halt") == -1), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
@@ -69,7 +79,7 @@ class PairedAdapter:
         d = prior.join(after, ["row", "side", "price_ticks"], "full").fillna(0, ["qa", "qb"])
         visible = steps.where("code between 1 and 4").select("row", "code", F.col("direction").alias("side"), self._ticks(F.col("price")).alias("price_ticks"), _scaled(F.col("size"), self.multiplier).alias("q"))
         d = d.join(visible, ["row", "side", "price_ticks"], "left").withColumn("change", F.col("qa") - F.col("qb"))
-        cause = F.coalesce(F.when(F.col("code") == 1, F.least("q", F.greatest("change", F.lit(0)))).otherwise(-F.least("q", F.greatest(-F.col("change"), F.lit(0)))), F.lit(0))
+        cause = F.when(F.col("code").isNull(), 0).when(F.col("code") == 1, F.least("q", F.greatest("change", F.lit(0)))).otherwise(-F.least("q", F.greatest(-F.col("change"), F.lit(0))))  # least() skips nulls
         d = d.withColumn("cause", cause).withColumn("rest", F.col("change") - F.col("cause"))
         kind = F.when(F.col("cause") > 0, "ADD").when(F.col("code") == 4, "TRADE").otherwise("CANCEL")
         e = lambda stage, k, q: F.struct(F.lit(stage).alias("stage"), k.alias("event_type"), F.abs(q).cast("bigint").alias("quantity"))

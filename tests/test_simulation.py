@@ -187,3 +187,24 @@ def test_config():
     g = sessions.grid(DEMO, ("fixed_spread", "microprice"), (0.5, 2.0), ("back_of_queue", "pro_rata"), ("0", "1"), ("none", "no_inventory"))
     assert len(g) == 32 and g["microprice__no_inventory__0p5__pro_rata__0"].quoting == Quoting(name="microprice", inventory_penalty_ticks=0.0)
     assert sessions.latency_scaled(Config(latency=Latency(5)), 0.5).latency.market_data_ns == 2
+
+
+def test_rules_see_broken_rows(spark, sf):
+    """The rules of a run's tables hold over many rows, and each break is counted."""
+    from pyspark.sql import functions as F
+
+    from quotewright.plans import simulation_queries as q
+    from quotewright.plans.bindings import l2
+    from quotewright.sources.shared import written
+
+    got = q.kernel_rules(spark, "/root/testdata/sf0.01").collect()
+    assert got and all(r.n_broken == 0 for r in got)
+    long = written(sessions.run_cases(l2(spark, "/root/testdata/sf0.01"), {"fixed_spread": q.SLOW}))
+    t = q._with(long)
+    assert all(t[k].count() > 10 for k in ("orders", "fills", "pnl", "quotes"))
+    spoil = {"fills": {"price_ticks": F.col("price_ticks") + 1, "fee": F.col("fee") + 1}, "pnl": {"net_pnl": F.col("net_pnl") + 1, "inventory": F.col("inventory") + 1000}, "orders": {"remaining_quantity": F.col("remaining_quantity") - 1000}}
+    for table, columns in spoil.items():
+        for column, value in columns.items():
+            bad = t[table].withColumn(column, value)
+            rules = [c for n, _, c in q.ROW_RULES if n == table]
+            assert bad.alias(table).where(~F.coalesce(F.expr(" and ".join(f"({c})" for c in rules)), F.lit(False))).count() > 0

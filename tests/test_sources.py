@@ -143,3 +143,54 @@ def test_validation(spark):
 def test_selection(spark):
     e = events_frame(spark, STREAM).selectExpr("1L as symbol", "*")
     assert [r.sequence_number for r in select_events(e, 0, 2, 4).orderBy("sequence_number").collect()] == [0, 1, 2, 3]
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    """Files that Spark splits still have contiguous line numbers, in the order of the file and of the files' paths."""
+    n = 20_000
+    for name, first in (("a.csv", 0), ("b.csv", n)):
+        (tmp_path / name).write_text("".join(f"{i},{'x' * (i % 37)}\n" for i in range(first, first + n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        df = canonical.read_vendor_csv(spark, str(tmp_path), False)
+        assert df.rdd.getNumPartitions() > 1
+        assert df.where("cast(_c0 as bigint) <> row").count() == 0 and df.count() == 2 * n
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_paired_files_of_unequal_height_and_bad_books(spark):
+    a = PairedAdapter("0.01", "2024-01-02", 2, "UTC")
+    one, two = "1 1 1 1 1000000 1", "1010000 2 1000000 3 1020000 1 990000 1"
+    for messages, book in ((one, f"{two}|{two}"), (f"{one}|{one}", two), (one, "1010000 2 1000000 3 1010000 1 990000 1"), (one, "1000000 2 1010000 3 1020000 1 990000 1")):
+        with pytest.raises(AdapterError):
+            a.to_canonical(cells(spark, messages, 6), cells(spark, book, 8))
+
+
+def test_a_message_comes_before_what_it_does_not_explain(spark):
+    """A cancel of another level in the same row is reconciled after the message's own event."""
+    messages = "1 1 1 1 1000000 1|2 1 2 5 1010000 -1"
+    book = "1010000 2 1000000 3 1020000 1 990000 1|1010000 7 990000 1 1020000 1 980000 1"
+    got = rows(PairedAdapter("0.01", "2024-01-02", 2, "UTC").to_canonical(cells(spark, messages, 6), cells(spark, book, 8)))
+    assert [x[1:] for x in got[5:]] == [("ADD", -1, 10_100, 5), ("CANCEL", 1, 10_000, 3), ("ADD", 1, 9_800, 1)]
+
+
+def test_adapters_rows_and_certificates(spark, tmp_path):
+    from quotewright.schema import event_of, event_rows
+    from quotewright.sources.adapter import Adapter
+
+    assert isinstance(IncrementalAdapter("0.01"), Adapter) and PairedAdapter.name == "paired"
+    with pytest.raises(TypeError):
+        Adapter()
+    assert IncrementalAdapter("0.01").checked(book_frame(spark), keys=("exchange", "symbol")).columns[2:] == CANONICAL.names
+    e = events_frame(spark, STREAM)
+    assert [tuple(x.values()) for x in event_rows(e)] == STREAM
+    with pytest.raises(SchemaError):
+        event_of({"side": 1})
+    assert validation.validate_file(spark, canonical.write_parquet(e, str(tmp_path / "v.parquet"))).valid
+    assert validation.validate_file(spark, canonical.write_parquet(spark.range(2), str(tmp_path / "w.parquet")), strict=False).diagnostics == {"invalid_schema": 1}
+    with pytest.raises(SchemaError):
+        validation.validate_file(spark, str(tmp_path / "w.parquet"))
+    c = validation.certify(indexed(spark, STREAM))
+    assert validation.holds(c, indexed(spark, STREAM)) and not validation.holds(c, indexed(spark, STREAM), strict=False)
+    assert not validation.holds(c, indexed(spark, STREAM[:-1]))

@@ -37,8 +37,8 @@ def test_depth_and_imbalance_of_all_events(spark, sf, stream):
         want += [(r.symbol, r.sequence_number, s, i + 1, p, q) for i, (p, q) in enumerate(lv[:5])]
         if lv:
             sums[r.symbol, r.sequence_number][s] = sum(q / (i + 1) for i, (_, q) in enumerate(lv[:5]))
-    assert run("book_depth_all_events", spark, sf, "symbol", "sequence_number", "side", "rank", "price_ticks", "quantity") == sorted(want)
-    got = {x[:2]: x[2] for x in run("weighted_imbalance_all_events", spark, sf, "symbol", "sequence_number", "weighted_imbalance")}
+    assert run("book_depth_topn", spark, sf, "symbol", "sequence_number", "side", "rank", "price_ticks", "quantity") == sorted(want)
+    got = {x[:2]: x[2] for x in run("weighted_imbalance", spark, sf, "symbol", "sequence_number", "weighted_imbalance")}
     assert got.keys() == sums.keys()
     for k, v in sums.items():
         assert got[k] is None if len(v) < 2 else got[k] == pytest.approx((v[1] - v[-1]) / (v[1] + v[-1]), abs=1e-8)
@@ -52,7 +52,7 @@ def test_sweeps_of_all_events_and_both_sides(spark, sf, stream):
             if left > 0:
                 want.append((r.symbol, r.sequence_number, s, p, min(q, left)))
                 left -= q
-    assert run("sweep_allocation_all_events", spark, sf, "symbol", "sequence_number", "side", "price_ticks", "taken") == sorted(want)
+    assert run("sweep_allocation", spark, sf, "symbol", "sequence_number", "side", "price_ticks", "taken") == sorted(want)
 
 
 def test_orders_of_all_adds(spark, sf, stream):
@@ -66,13 +66,13 @@ def test_orders_of_all_adds(spark, sf, stream):
             if o.event_type == "ADD":
                 hit = next((t for t in part[i + 1 :] if t.event_type == "TRADE" and t.side == o.side and o.price_ticks * o.side > t.price_ticks * t.side), None)
                 want += [(o.symbol, o.sequence_number, o.quantity, hit.sequence_number)] if hit else []
-    assert run("price_through_all_adds", spark, sf, "symbol", "order_seq", "quantity", "trade_seq") == sorted(want)
+    assert run("price_through_fills", spark, sf, "symbol", "order_seq", "quantity", "trade_seq") == sorted(want)
     last = {r.symbol: max(x.timestamp_ns for x in stream if x.symbol == r.symbol) for r in stream}
     stale = [(f"{r.symbol}:{r.sequence_number}", last[r.symbol] - r.timestamp_ns) for r in adds if last[r.symbol] - r.timestamp_ns > 10 * DAY]
-    assert run("stale_quotes_all_adds", spark, sf, "order_id", "age_ns") == sorted(stale)
+    assert run("stale_quotes", spark, sf, "order_id", "age_ns") == sorted(stale)
     inv = defaultdict(int)
     for r in fills(spark, sf).collect():
         inv[r.symbol] += r.side * r.quantity
     side = lambda k, s: sum(r.quantity for r in adds if r.symbol == k and r.side == s)
     exposure = [(k, v + side(k, 1), v - side(k, -1), side(k, 1) + side(k, -1), sum(r.symbol == k for r in adds)) for k, v in inv.items()]
-    assert run("worst_case_exposure_all_adds", spark, sf, "symbol", "worst_long", "worst_short", "open_quantity", "open_orders") == sorted(exposure)
+    assert run("worst_case_exposure", spark, sf, "symbol", "worst_long", "worst_short", "open_quantity", "open_orders") == sorted(exposure)
