@@ -19,7 +19,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append
+from .common import Scratch, append
 
 KINDS = ("assign", "access", "hex", "guess")
 GUESS_BITS = 36.0
@@ -186,7 +186,18 @@ def learn(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> dict[s
         yield words(found)
 
     counts = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]  # size words at most
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.cut(counts.withColumn("bucket", F.floor(F.log2("n") * 8).cast("int")), "counts")
+    # the bucket of frequencies in which the size-th word lies; only its words need to be sorted, those above it all count
+    left, least = size, -1
+    for bucket, n in sorted(map(tuple, counts.groupBy("bucket").agg(F.count("*")).collect()), reverse=True):  # at most 8 * 64 rows
+        if n >= left:
+            least = bucket
+            break
+        left -= n
+    frequent = [*counts.where(F.col("bucket") > least).select("word", "n").collect(), *counts.where(F.col("bucket") == least).orderBy(F.desc("n"), "word").limit(left).select("word", "n").collect()]  # size words at most
+    scratch.drop("counts")
+    frequent = [w for w, _ in sorted(frequent, key=lambda r: (-r[1], r[0]))]
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *frequent]))}
 
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 from conftest import HARD
 from pyspark.sql import functions as F
@@ -99,3 +101,15 @@ def test_learned_words_are_cheap(spark):
     assert len(secrets.learn(df, size=2)) == len(set(secrets.WORDS)) + 2
     clash = df.withColumns({"_raw": F.lit(1), "_text": F.lit(2)})
     assert secrets.redact(clash).columns == clash.columns
+
+
+def test_the_most_frequent_words_are_learned(spark):
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    text = [rnd.choice(words[: rnd.randrange(1, 300)]) for _ in range(4000)]
+    df = spark.createDataFrame([(i, " ".join(text[i :: 20])) for i in range(20)], "doc_id bigint, text string").repartition(5)
+    by = Counter(text)
+    want = [w for w, _ in sorted(by.items(), key=lambda x: (-x[1], x[0]))]
+    for size in (1, 7, 40, 250, 10_000):
+        assert list(secrets.learn(df, size=size)) == list(dict.fromkeys([*secrets.WORDS, *want[:size]]))
+    assert list(secrets.learn(df.limit(0))) == list(dict.fromkeys(secrets.WORDS))
