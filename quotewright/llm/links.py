@@ -12,7 +12,7 @@ from .common import Scratch, connected_components, joined_components, narrowed,
 
 KEY_ROUNDS, RARE_ROUNDS = 2, 1
 CELL = math.log(1.05)
-BEFORE, SKETCH = 16, 512
+BEFORE, SKETCH = 8, 512
 
 
 def shared_keys(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -103,7 +103,7 @@ def prefixes(sets: DataFrame, num: int, den: int, scratch: Scratch, name: str) -
     each = elements(sets)
     several = scratch.cut(each.groupBy("x").agg(F.count("*").cast("int").alias("c")).where("c > 1"), f"{name}-often")  # combined before it is shuffled
     order = Window.partitionBy("id", "v").orderBy("c", "x")  # a text's elements
-    ranked = each.join(several, "x").withColumns({"k": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("id", "v")), "before": F.collect_list("x").over(order.rowsBetween(-BEFORE, -1))})
+    ranked = narrowed(each, several, "x", "x").join(several, "x").withColumns({"k": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("id", "v")), "before": F.collect_list("x").over(order.rowsBetween(-BEFORE, -1))})
     placed = ranked.withColumn("i", F.expr("cast(n - all + k - 1 as int)")).where(f"i <= n - ({num} * n + {den - 1}) div {den}")
     placed = placed.select("x", "id", "v", "n", "i", "c", "before").join(sketches(sets), ["id", "v"])
     return scratch.cut(placed.drop("v"), f"{name}-placed")
@@ -115,16 +115,18 @@ def _enough(num: int, den: int) -> str:
     return f"{den} * least(p.n, q.n) >= {num} * greatest(p.n, q.n) and {den + num} * least(p.n - p.i, q.n - q.i) >= {num} * (p.n + q.n) and {den + num} * ({differ}) <= {den - num} * (p.n + q.n)"
 
 
-def _apart(placed: DataFrame, comps: DataFrame) -> DataFrame:
-    """placed with comp, of the elements that several components have, and main, the one that has it most often."""
-    placed = placed.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    main = placed.groupBy("x", "comp").agg(F.count("*").alias("m")).groupBy("x").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("kinds"))
-    return placed.join(main.where("kinds > 1").drop("kinds"), "x")
+def _apart(placed: DataFrame, comps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """placed with comp, of the elements that several components have, and main, the one that has it most often. Narrow rows say which these are."""
+    named = comps.withColumnRenamed("node", "id")
+    narrow = placed.select("x", "id").join(named, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    main = narrow.groupBy("x", "comp").agg(F.count("*").alias("m")).groupBy("x").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("kinds"))
+    main = scratch.cut(main.where("kinds > 1").select("x", "main"), f"{name}-main")
+    return narrowed(placed, main, "x", "x").join(main, "x").join(named, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def rare_pairs(placed: DataFrame, comps: DataFrame, num: int, den: int, turn: int) -> DataFrame:
+def rare_pairs(placed: DataFrame, comps: DataFrame, num: int, den: int, turn: int, scratch: Scratch, name: str) -> DataFrame:
     """For each id up to three pairs (a, b) with members of other components that may reach num / den, by the rarest and the most frequent element that has one."""
-    member = placed.join(comps.withColumnRenamed("node", "id"), "id", "left").select("x", "c", F.struct(F.coalesce("comp", "id").alias("comp"), "id", "n", "i", "b").alias("p"))
+    member = _apart(placed.drop("before"), comps, scratch, name).select("x", "c", F.struct("comp", "id", "n", "i", "b").alias("p"))
     mark = F.xxhash64("p.id", F.lit(turn))
     heads = member.groupBy("x").agg(F.min_by("p", mark).alias("any"), F.min_by("p", F.struct("p.comp", mark)).alias("least"), F.max_by("p", F.struct("p.comp", mark)).alias("most")).where("least.comp < most.comp")
     met = member.join(heads, "x").withColumn("q", F.expr("case when p.comp <> any.comp then any when p.comp <> least.comp then least else most end"))
@@ -133,7 +135,7 @@ def rare_pairs(placed: DataFrame, comps: DataFrame, num: int, den: int, turn: in
     return met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
-def prefix_pairs(placed: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+def prefix_pairs(placed: DataFrame, comps: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """All pairs (a, b) of different components that may reach num / den.
 
     With s the smaller and r the larger size, the overlap is num (r + s) / (num + den) at least, so the smaller set's first
@@ -142,13 +144,15 @@ def prefix_pairs(placed: DataFrame, comps: DataFrame, num: int, den: int) -> Dat
     component, so the members of one group don't all meet; a pair that met at one of the elements before does not come up
     again.
     """
-    apart = _apart(placed, comps).withColumn("in_main", F.col("comp") == F.col("main"))
+    apart = scratch.cut(_apart(placed, comps, scratch, name).withColumn("in_main", F.col("comp") == F.col("main")), f"{name}-apart")
     one = F.struct("id", "comp", "n", "i", "before", "b")
     cell = lambda c: F.floor(F.log(F.col(c).cast("double")) / CELL + 1e-9).cast("int")
     lo, hi = F.expr(f"({num} * n + {den - 1}) div {den}"), F.expr(f"least(n, ({den + num} * (n - i)) div {num} - n)")
     large = apart.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi")))).select("x", "cell", "in_main", one.alias("p"))
     small = apart.where(f"i <= n - (2 * {num} * n + {den + num - 1}) div {den + num}").withColumn("in_main", F.explode(F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
     small = small.select("x", cell("n").alias("cell"), "in_main", one.alias("q"))
+    spot = F.xxhash64("x", "cell", "in_main")
+    large = narrowed(large.withColumn("at", spot), small.select(spot.alias("at")), "at", "at").drop("at")  # few have somebody to meet
     met = large.join(small, ["x", "cell", "in_main"]).where(f"p.comp <> q.comp and (p.n > q.n or p.n = q.n and p.id > q.id) and {_enough(num, den)} and not arrays_overlap(p.before, q.before)")
     return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
@@ -200,7 +204,7 @@ def resolve(keyed: DataFrame, links: DataFrame, sets: DataFrame, num: int, den:
     left = scratch.cut(sets.join(member.select("id").distinct(), "id", "left_semi").select("id", "v", "n", "s"), f"{name}-left")
     placed = prefixes(left, num, den, scratch, name)
     for turn in range(RARE_ROUNDS):
-        try_(rare_pairs(placed, state["comps"], num, den, turn))
-    try_(prefix_pairs(placed, state["comps"], num, den))
-    scratch.drop(f"{name}-member", f"{name}-left", f"{name}-often", f"{name}-placed")
+        try_(rare_pairs(placed, state["comps"], num, den, turn, scratch, name))
+    try_(prefix_pairs(placed, state["comps"], num, den, scratch, name))
+    scratch.drop(f"{name}-member", f"{name}-left", f"{name}-often", f"{name}-placed", f"{name}-main", f"{name}-apart")
     return state["comps"]

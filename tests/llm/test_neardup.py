@@ -100,7 +100,8 @@ def test_pairs_of_the_last_pass(spark):
         sets[i], comp[i] = s, rnd.choice((0, 0, i))
     stored = spark.createDataFrame([(i, 0, len(s), bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in sets.items()], "id bigint, v bigint, n int, s binary")
     comps = spark.createDataFrame(list(comp.items()), "node bigint, comp bigint")
-    met = {(r.a, r.b) for r in links.prefix_pairs(links.prefixes(stored, 80, 100, Scratch(spark), "t"), comps, 80, 100).collect()}
+    scratch = Scratch(spark)
+    met = {(r.a, r.b) for r in links.prefix_pairs(links.prefixes(stored, 80, 100, scratch, "t"), comps, 80, 100, scratch, "t").collect()}
     apart = [(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b]]
     assert {(a, b) for a, b in apart if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])} <= met
     assert len(met) < len(apart) / 2
