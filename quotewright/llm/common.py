@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -56,8 +57,10 @@ class Scratch:
                 self._remove(self.at.pop(name))
 
     def keep(self, *names: str) -> None:
-        """Drops all but these."""
+        """Drops all but these, and lets the driver clean up what no plan refers to any longer: shuffle files stay on the executors' disks until then."""
         self.drop(*set(self.at) - set(names))
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def _remove(self, path: str) -> None:
         jvm = self.spark._jvm

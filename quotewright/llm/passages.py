@@ -259,6 +259,7 @@ def equal_passages(docs: DataFrame, windows: DataFrame, copies: DataFrame, gone:
 
     places = _fetched(docs, wanted, scratch, make, "got array<struct<key:bigint,at:int>>").select("doc_id", F.explode("got").alias("g")).select("g.key", "doc_id", "g.at")
     places = scratch.cut(places, "places")
+    scratch.keep("copies", "near-paragraphs", "places")
     holders = scratch.cut(places.groupBy("key").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last")).where("src_doc < last").select("key", "src_doc"), "holders")
     hits = narrowed(places, holders, "key", "key").join(holders, "key").where("doc_id <> src_doc")
     return hits.select("doc_id", F.col("at").alias("a"), (F.col("at") + min_words).alias("b"), "src_doc")
@@ -274,10 +275,12 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, removed
     first = texts.groupBy("cls").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last")).where("src_doc < last").select("cls", "src_doc")
     copies = scratch.cut(texts.join(first, "cls").where("doc_id <> src_doc"), "copies")
     near = near_paragraphs(raw, rows.where(f"kind = {PARAGRAPH}").select("doc_id", "start", "stop", "w", "keys"), scratch)
+    scratch.keep("scanned", "copies", "near-paragraphs")
     equal = equal_passages(raw, rows.where(f"kind = {ANCHOR}").select("doc_id", "cls", "start", F.col("stop").alias("line"), "w"), copies, near, scratch, min_words)
     repeated = raw.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     spans = copies.select("doc_id", F.lit(0).alias("a"), F.col("n").alias("b"), "src_doc").union(near).union(equal).join(repeated, "doc_id", "left_anti")
     spans = scratch.cut(spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "src_doc")).alias("spans")), "spans")
+    scratch.keep("spans")
 
     def make():
         import pyarrow as pa
