@@ -4,6 +4,9 @@ A RESET clears both sides, so every epoch between two RESETs is replayed on its
 level that is clamped at zero has a closed form over prefix sums. The best quotes after each event come either from the
 relational form (an interval join of events with levels) or from a fold that streams each epoch once; both give the
 same rows, the fold in linear time.
+
+Rows that add quantity at a price that meets the other side are ignored, which couples the sides: a closed form can't tell
+them. Only in epochs whose highest bid ever reaches their lowest ask can there be any, and the fold marks them there first.
 """
 
 from __future__ import annotations
@@ -23,24 +26,86 @@ LEVEL = ["symbol", "epoch", "side", "price_ticks"]
 LAST = 9223372036854775807
 
 
+class BookError(ValueError):
+    """A change that a strict book does not take."""
+
+
+class CrossedBookError(BookError):
+    """Quantity added at a price that meets the other side."""
+
+
+class InsufficientDepthError(BookError):
+    """A reduction of more than stands at its level."""
+
+
 def with_epochs(events: DataFrame, width: int = BUCKET) -> DataFrame:
     """events with epoch: how many RESETs of the symbol have come, this event included."""
     return running_sum(events, ["symbol"], "sequence_number", F.when(F.col("event_type") == RESET, 1).otherwise(0), "epoch", width)
 
 
+def crossing(events: DataFrame) -> DataFrame:
+    """events with add_ignored: whether the row adds quantity at a price that meets the other side, and so takes no effect.
+
+    The fold reads only epochs whose highest bid reaches their lowest ask; elsewhere nothing can cross.
+    """
+    key, names = ["symbol", "epoch"], events.columns
+    added = lambda side: F.when(F.col("event_type").isin(ADD, SNAPSHOT) & (F.col("side") == side), F.col("price_ticks"))
+    suspect = events.groupBy(*key).agg(F.max(added(BID)).alias("_b"), F.min(added(ASK)).alias("_a")).where("_b >= _a").select(*key)
+    clean = events.join(suspect, key, "left_anti").select(*names, F.lit(False).alias("add_ignored"))
+    return clean.unionByName(_replayed(events.join(suspect, key, "left_semi").select(*names)).select(*names, "add_ignored"))
+
+
 def level_changes(events: DataFrame) -> DataFrame:
     """Every non-RESET event with qty_before, qty_after, qty_applied and clamped of its level, under the lenient rule.
 
-    qty_after = S - min(0, smallest S so far), S being the prefix sum of signed quantities.
+    qty_after = S - min(0, smallest S so far), S being the prefix sum of signed quantities; adds that would cross count 0.
     """
-    moves = events.where(F.col("event_type") != RESET)
+    moves = crossing(events).where(F.col("event_type") != RESET)
     grows = F.col("event_type").isin(ADD, SNAPSHOT)
+    ignored = F.col("add_ignored")
     order = Window.partitionBy(*LEVEL).orderBy("sequence_number")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    moves = moves.withColumn("_s", F.sum(F.when(grows, F.col("quantity")).otherwise(-F.col("quantity"))).over(upto))
+    moves = moves.withColumn("_s", F.sum(F.when(ignored, 0).when(grows, F.col("quantity")).otherwise(-F.col("quantity"))).over(upto))
     moves = moves.withColumn("qty_after", F.col("_s") - F.least(F.lit(0), F.min("_s").over(upto)))
     moves = moves.withColumn("qty_before", F.coalesce(F.lag("qty_after").over(order), F.lit(0)))
-    return moves.withColumns({"qty_applied": F.when(grows, F.col("quantity")).otherwise(F.least("quantity", "qty_before")), "clamped": ~grows & (F.col("quantity") > F.col("qty_before"))}).drop("_s")
+    applied = F.when(ignored, F.lit(0).cast("bigint")).when(grows, F.col("quantity")).otherwise(F.least("quantity", "qty_before"))
+    return moves.withColumns({"qty_applied": applied, "clamped": ignored | ~grows & (F.col("quantity") > F.col("qty_before"))}).drop("_s")
+
+
+def strict(events: DataFrame) -> DataFrame:
+    """events, if a strict book takes all of them; else the first that it does not take is raised, before anything is derived."""
+    bad = level_changes(events).where("clamped").orderBy("timestamp_ns", "symbol", "sequence_number").limit(1).collect()
+    for r in bad:
+        where = f"event {r.sequence_number} of symbol {r.symbol}: {r.event_type} of {r.quantity} at side {r.side}, price {r.price_ticks}"
+        raise CrossedBookError(f"{where} would cross") if r.add_ignored else InsufficientDepthError(f"{where}, where {r.qty_before} stands")
+    return events
+
+
+def snapshot(levels: DataFrame) -> DataFrame:
+    """Rows that replace the whole book of each symbol: a RESET and a SNAPSHOT row for each level, bids first, the best first.
+
+    levels has symbol, timestamp_ns, sequence_number (of the RESET; the levels take the next ones), side, price_ticks and
+    quantity; a row without side clears the book. A price twice on a side, a quantity that isn't positive, or sides that
+    meet are raised before any row is made, so that no part of a bad snapshot takes effect.
+    """
+    key = ["symbol", "sequence_number"]
+    at = lambda side, f: f(F.when(F.col("side") == side, F.col("price_ticks")))
+    known = levels.where("side is not null")
+    per_price = known.groupBy(*key, "side", "price_ticks").agg(F.count("*").alias("n"), F.min("quantity").alias("q"))
+    books = per_price.groupBy(*key).agg(F.max("n").alias("n"), F.min("q").alias("q"), at(BID, F.max).alias("b"), at(ASK, F.min).alias("a"))
+    for r in books.where("n > 1 or q is null or q <= 0 or b >= a").orderBy(*key).limit(1).collect():
+        where = f"snapshot {r.sequence_number} of symbol {r.symbol}"
+        if r.n > 1:
+            raise BookError(f"{where}: duplicate price")
+        if r.q is None or r.q <= 0:
+            raise BookError(f"{where}: quantities must be positive")
+        raise CrossedBookError(f"{where}: best bid {r.b}, best ask {r.a}")
+    order = Window.partitionBy(*key).orderBy(F.desc("side"), F.desc(F.col("price_ticks") * F.col("side")))
+    rows = known.withColumns({"sequence_number": F.col("sequence_number") + F.row_number().over(order), "event_type": F.lit(SNAPSHOT)})
+    zero = F.lit(0).cast("bigint")
+    resets = levels.groupBy(*key).agg(F.min("timestamp_ns").alias("timestamp_ns")).withColumns({"event_type": F.lit(RESET), "side": F.lit(None).cast("tinyint"), "price_ticks": zero, "quantity": zero})
+    names = ["symbol", "timestamp_ns", "sequence_number", "event_type", "side", "price_ticks", "quantity"]
+    return resets.select(*names).unionByName(rows.withColumn("side", F.col("side").cast("tinyint")).select(*names))
 
 
 def level_intervals(events: DataFrame) -> DataFrame:
@@ -91,23 +156,28 @@ def _fold(batches: Iterator) -> Iterator:
         symbol, epoch, kind, side, price, qty = (batch.column(i).to_pylist() for i in range(6))
         out = [[] for _ in range(4)]
         bb, bq, ba, aq = out
+        ignored = []
         for k in range(batch.num_rows):
             if now != (symbol[k], epoch[k]):
                 now = (symbol[k], epoch[k])
                 books = {BID: {}, ASK: {}}
                 heaps: dict[int, list[int]] = {BID: [], ASK: []}
             t = kind[k]
+            crosses = False
             if t != RESET:
                 s, p = side[k], price[k]
                 book = books[s]
                 have = book.get(p, 0)
-                left = have + qty[k] if t in (ADD, SNAPSHOT) else have - qty[k]
+                grows = t in (ADD, SNAPSHOT)
+                crosses = grows and bool(heaps[-s]) and p * s >= heaps[-s][0]  # the other side's best, as its heap was cleaned below
+                left = have if crosses else have + qty[k] if grows else have - qty[k]
                 if left > 0:
                     if not have:
                         heapq.heappush(heaps[s], -p * s)
                     book[p] = left
                 elif have:
                     del book[p]
+            ignored.append(crosses)
             for s, prices, sizes in ((BID, bb, bq), (ASK, ba, aq)):
                 heap, book = heaps[s], books[s]
                 while heap and -heap[0] * s not in book:
@@ -119,16 +189,22 @@ def _fold(batches: Iterator) -> Iterator:
                 else:
                     prices.append(None)
                     sizes.append(0)
-        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64()) for x in out]], [*batch.schema.names, "best_bid_ticks", "best_bid_quantity", "best_ask_ticks", "best_ask_quantity"])
+        names = [*batch.schema.names, "best_bid_ticks", "best_bid_quantity", "best_ask_ticks", "best_ask_quantity", "add_ignored"]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64()) for x in out], pa.array(ignored, pa.bool_())], names)
 
 
-def bbo(events: DataFrame) -> DataFrame:
-    """Best bid and ask with their quantities after every event, by a fold over each epoch."""
+def _replayed(events: DataFrame) -> DataFrame:
+    """events with the top of book after each and add_ignored, by a fold over each epoch."""
     lead = ["symbol", "epoch", "event_type", "side", "price_ticks", "quantity"]
     rest = [c for c in events.columns if c not in lead]
     ordered = events.select(*lead, *rest).repartition("symbol", "epoch").sortWithinPartitions("symbol", "epoch", "sequence_number")
-    schema = T.StructType([*ordered.schema.fields, *T._parse_datatype_string(BBO).fields])
-    return ordered.mapInArrow(_fold, schema).select(*events.columns, *[f.split()[0] for f in BBO.split(", ")])
+    schema = T.StructType([*ordered.schema.fields, *T._parse_datatype_string(BBO + ", add_ignored boolean").fields])
+    return ordered.mapInArrow(_fold, schema)
+
+
+def bbo(events: DataFrame) -> DataFrame:
+    """Best bid and ask with their quantities after every event, by a fold over each epoch."""
+    return _replayed(events).select(*events.columns, *[f.split()[0] for f in BBO.split(", ")])
 
 
 def top_features() -> dict[str, Column]:
@@ -170,7 +246,9 @@ def _ladder(n: int | None, covers: int | None):
                     s, p = side[k], price[k]
                     book, ladder = books[s], ladders[s]
                     have = book.get(p, 0)
-                    left = have + qty[k] if kind[k] in (ADD, SNAPSHOT) else have - qty[k]
+                    grows = kind[k] in (ADD, SNAPSHOT)
+                    crosses = grows and bool(ladders[-s]) and p * s >= ladders[-s][0]
+                    left = have if crosses else have + qty[k] if grows else have - qty[k]
                     if left > 0:
                         if not have:
                             insort(ladder, -p * s)
@@ -219,6 +297,36 @@ def weighted_imbalance(events: DataFrame, depth: int = 5, at: DataFrame | None =
     return sums.select("symbol", "sequence_number", ((F.col("b") - F.col("a")) / (F.col("b") + F.col("a"))).alias("weighted_imbalance"))
 
 
+def views(events: DataFrame, depth: int = 5) -> DataFrame:
+    """The market after every event with bids and asks: arrays of (price_ticks, quantity), the best first, at most depth."""
+    best = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("rank", "price_ticks", "quantity")))), lambda x: F.struct(x["price_ticks"].alias("price_ticks"), x["quantity"].alias("quantity")))
+    sides = top_n(events, depth).groupBy("symbol", "sequence_number").agg(best(BID).alias("bids"), best(ASK).alias("asks"))
+    out = bbo(events).withColumns(top_features()).join(sides, ["symbol", "sequence_number"], "left")
+    none = F.lit([]).cast("array<struct<price_ticks:bigint,quantity:bigint>>")
+    return out.withColumns({"bids": F.coalesce("bids", none), "asks": F.coalesce("asks", none)})
+
+
+def level_maps(events: DataFrame) -> DataFrame:
+    """The book of each symbol after its last event: bids and asks as maps from price to quantity, and n_levels, how many there are.
+
+    Maps are made of entries sorted by price: books are equal if their entries are.
+    """
+    last = events.groupBy("symbol").agg(F.max("epoch").alias("epoch"))
+    now = level_intervals(events.join(last, ["symbol", "epoch"], "left_semi").select(*events.columns)).where(F.col("seq_to") == LAST)
+    levels = lambda side: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("price_ticks", "qty_after")))))
+    maps = now.groupBy("symbol").agg(levels(BID).alias("bids"), levels(ASK).alias("asks"), F.count("*").alias("n_levels"))
+    none = F.create_map().cast("map<bigint,bigint>")
+    out = last.select("symbol").join(maps, "symbol", "left")
+    return out.select("symbol", F.coalesce("bids", none).alias("bids"), F.coalesce("asks", none).alias("asks"), F.coalesce("n_levels", F.lit(0)).alias("n_levels"))
+
+
+def same_books(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every symbol of two frames of level_maps with same: whether both have it, with equal sides."""
+    a, b = (x.select("symbol", *[F.array_sort(F.map_entries(c)).alias(c) for c in ("bids", "asks")]) for x in (left, right))
+    a, b = a.withColumnsRenamed({"bids": "b1", "asks": "a1"}), b.withColumnsRenamed({"bids": "b2", "asks": "a2"})
+    return a.join(b, "symbol", "full").select("symbol", F.coalesce((F.col("b1") == F.col("b2")) & (F.col("a1") == F.col("a2")), F.lit(False)).alias("same"))
+
+
 def quantity_at(events: DataFrame, points: DataFrame) -> DataFrame:
     """points (symbol, seq, side, price_ticks) with the quantity that stands there after event seq; 0 if none."""
     lv = level_intervals(events)

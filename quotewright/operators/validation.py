@@ -27,23 +27,31 @@ class Validation:
         return not self.diagnostics
 
 
-def issues(events: DataFrame) -> DataFrame:
-    """(symbol, event_index, code) of an event table with event_index, its arrival order.
-
-    Rows that break the contract are reported alone; order is checked on arrival, clamps in sequence.
-    """
+def _found(events: DataFrame) -> DataFrame:
+    """(symbol, event_index, code, counter) of an event table with event_index; counter is what a lenient book counts, if anything."""
     w = Window.partitionBy("symbol").orderBy("event_index")
     e = events.withColumn("_v", violation()).withColumn("_t", F.lag("timestamp_ns").over(w)).withColumn("_s", F.lag("sequence_number").over(w))
     codes = F.filter(F.array(F.col("_v"), F.when(F.col("timestamp_ns") < F.col("_t"), "timestamp_regression"), F.when(F.col("sequence_number") <= F.col("_s"), "sequence_not_strictly_increasing")), lambda x: x.isNotNull())
-    order = e.select("symbol", "event_index", F.explode(codes).alias("code"))
+    order = e.select("symbol", "event_index", F.explode(codes).alias("code"), F.lit(None).cast("string").alias("counter"))
     good = e.where("_v is null").drop("_v", "_t", "_s").drop("sequence_number").withColumnRenamed("event_index", "sequence_number")
-    clamps = level_changes(with_epochs(good)).where("clamped").select("symbol", F.col("sequence_number").alias("event_index"), F.lit("book_event_clamped").alias("code"))
+    counter = F.when(F.col("add_ignored"), "crossed_add_ignored").otherwise(F.concat(F.lit("clamped_"), F.lower("event_type")))
+    clamps = level_changes(with_epochs(good)).where("clamped").select("symbol", F.col("sequence_number").alias("event_index"), F.lit("book_event_clamped").alias("code"), counter.alias("counter"))
     return order.unionByName(clamps)
 
 
+def issues(events: DataFrame, strict: bool = False) -> DataFrame:
+    """(symbol, event_index, code) of an event table with event_index, its arrival order.
+
+    Rows that break the contract are reported alone; order is checked on arrival, the book in sequence. What a lenient book
+    clamps or ignores is book_event_clamped; a strict book doesn't take it, which is invalid_book_transition.
+    """
+    found = _found(events).drop("counter")
+    return found.replace("book_event_clamped", "invalid_book_transition", ["code"]) if strict else found
+
+
 def validate(events: DataFrame, strict: bool = True) -> Validation:
-    """Strict: raises the first issue. Lenient: counts them. An empty stream is an issue of its own."""
-    found = issues(events)
+    """Strict: raises the first issue. Lenient: counts them, and what the book clamped or ignored by kind. An empty stream is an issue of its own."""
+    found = issues(events, strict)
     if strict:
         first = found.orderBy("event_index", "code").limit(1).collect()
         if first:
@@ -51,7 +59,11 @@ def validate(events: DataFrame, strict: bool = True) -> Validation:
         if not events.limit(1).count():
             raise StreamError("empty_stream")
         return Validation(found)
-    counts = {r.code: r["count"] for r in found.groupBy("code").count().collect()}
+    counts: dict[str, int] = {}
+    for r in _found(events).groupBy("code", "counter").count().collect():
+        for name in (r.code, r.counter):
+            if name:
+                counts[name] = counts.get(name, 0) + r["count"]
     if not counts and not events.limit(1).count():
         counts["empty_stream"] = 1
     return Validation(found, counts)

@@ -308,7 +308,68 @@ def stream_sha256(spark, sf_dir):
 
 STREAM_SHA = f"SELECT symbol, sha256(unhex(string_agg(record_hex, '' ORDER BY sequence_number))) AS stream_sha256, count(*) AS n_events FROM ({FINGERPRINT}) GROUP BY 1"
 
+def _crossed(spark, sf_dir):
+    """The stream with bids three ticks higher and asks three lower, so that they often meet."""
+    up = F.when(F.col("side").isNull(), 0).otherwise(3 * F.col("side"))
+    return book.with_epochs(l2(spark, sf_dir).withColumn("price_ticks", (F.col("price_ticks") + up).cast("bigint")))
+
+
+def crossing_adds(spark, sf_dir):
+    """Before, applied and after of every event of a stream that crosses, from prefix sums after the adds that are ignored are marked."""
+    lv = book.level_changes(_crossed(spark, sf_dir))
+    return lv.select("symbol", "sequence_number", F.col("qty_before").alias("before"), F.col("qty_applied").alias("applied"), F.col("qty_after").alias("after"), "clamped", "add_ignored")
+
+
+def crossing_bbo(spark, sf_dir):
+    """The top of book of a stream that crosses."""
+    return book.bbo(_crossed(spark, sf_dir)).select("symbol", "sequence_number", "best_bid_ticks", "best_bid_quantity", "best_ask_ticks", "best_ask_quantity")
+
+
+# Every epoch is walked row by row; b and a hold the quantities at the eleven prices from 9995.
+_PUT = "CASE WHEN side = {s} THEN list_transform({c}, lambda x, i: CASE WHEN i = p THEN after ELSE x END) ELSE {c} END"
+_AT = "list_{f}(list_transform({c}, lambda x, i: CASE WHEN x > 0 THEN i END))"
+_BID_AT, _ASK_AT = _AT.format(f="max", c="b"), _AT.format(f="min", c="a")
+_WALK = f"""WITH RECURSIVE {EPOCH_SQL}, n AS (SELECT symbol, epoch, sequence_number, event_type, side, quantity, price_ticks + 3 * side - 9994 AS p, row_number() OVER (PARTITION BY symbol, epoch ORDER BY sequence_number) AS k FROM l2e),
+ walk AS (SELECT symbol, epoch, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS sequence_number, '' AS event_type, list_transform(range(11), lambda x: CAST(0 AS BIGINT)) AS b, list_transform(range(11), lambda x: CAST(0 AS BIGINT)) AS a,
+  CAST(0 AS BIGINT) AS before, CAST(0 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS after, false AS clamped, false AS add_ignored FROM (SELECT DISTINCT symbol, epoch FROM n)
+ UNION ALL SELECT symbol, epoch, k, sequence_number, event_type, {_PUT.format(s=1, c='b')}, {_PUT.format(s=-1, c='a')}, before, applied, after, add_ignored OR (NOT grows AND quantity > before), add_ignored
+ FROM (SELECT *, CAST(CASE WHEN grows THEN before + applied ELSE before - applied END AS BIGINT) AS after FROM (SELECT *, CAST(CASE WHEN add_ignored THEN 0 WHEN grows THEN quantity ELSE least(quantity, before) END AS BIGINT) AS applied
+  FROM (SELECT n.*, w.b, w.a, n.event_type IN ('ADD', 'SNAPSHOT') AS grows, CASE n.side WHEN 1 THEN w.b[n.p] WHEN -1 THEN w.a[n.p] ELSE 0 END AS before,
+   coalesce(n.event_type IN ('ADD', 'SNAPSHOT') AND CASE WHEN n.side = 1 THEN n.p >= {_ASK_AT.replace('(a,', '(w.a,')} ELSE n.p <= {_BID_AT.replace('(b,', '(w.b,')} END, false) AS add_ignored
+  FROM walk w JOIN n ON n.symbol = w.symbol AND n.epoch = w.epoch AND n.k = w.k + 1))))"""
+CROSSING_ADDS = f"{_WALK} SELECT symbol, sequence_number, before, applied, after, clamped, add_ignored FROM walk WHERE k > 0 AND event_type <> 'RESET'"
+CROSSING_BBO = f"""{_WALK} SELECT symbol, sequence_number, CAST(bp + 9994 AS BIGINT) AS best_bid_ticks, coalesce(b[bp], 0) AS best_bid_quantity, CAST(ap + 9994 AS BIGINT) AS best_ask_ticks, coalesce(a[ap], 0) AS best_ask_quantity
+ FROM (SELECT *, {_BID_AT} AS bp, {_ASK_AT} AS ap FROM walk WHERE k > 0)"""
+
+
+def _text(levels):
+    return F.array_join(F.transform(levels, lambda x: F.concat_ws(":", x["price_ticks"], x["quantity"])), " ")
+
+
+def book_views(spark, sf_dir):
+    """The book's view after every event: top of book, midpoint, and five levels of each side as price:quantity."""
+    v = book.views(book.with_epochs(l2(spark, sf_dir)))
+    return v.select("symbol", "sequence_number", "timestamp_ns", "best_bid_ticks", "best_ask_ticks", "best_bid_quantity", "best_ask_quantity", "midpoint_ticks", _text(F.col("bids")).alias("bids"), _text(F.col("asks")).alias("asks"))
+
+
+_LEVELS = "coalesce(string_agg(CASE WHEN side = {s} THEN price_ticks || ':' || quantity END, ' ' ORDER BY rank), '') AS {c}"
+BOOK_VIEWS = f"""WITH {BBO_SQL}, {_TOP.removeprefix(LEVEL_SQL).lstrip(', ')}, sides AS (SELECT symbol, sequence_number, {_LEVELS.format(s=1, c='bids')}, {_LEVELS.format(s=-1, c='asks')} FROM st WHERE rank <= 5 GROUP BY 1, 2)
+SELECT m.symbol, m.sequence_number, m.timestamp_ns, m.best_bid_ticks, m.best_ask_ticks, m.best_bid_quantity, m.best_ask_quantity, m.midpoint_ticks, coalesce(s.bids, '') AS bids, coalesce(s.asks, '') AS asks FROM market m LEFT JOIN sides s USING (symbol, sequence_number)"""
+
+
+def level_maps(spark, sf_dir):
+    """The levels of each symbol after its last event, by price, as price:quantity."""
+    m = book.level_maps(book.with_epochs(l2(spark, sf_dir)))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat_ws(":", x["key"], x["value"])), " ").alias(c)
+    return m.select("symbol", text("bids"), text("asks"), "n_levels")
+
+
+LEVEL_MAPS = f"""WITH {LEVEL_SQL}, ends AS (SELECT symbol, max(epoch) AS epoch FROM l2e GROUP BY 1), now AS (SELECT lv.* FROM lv JOIN ends USING (symbol, epoch) WHERE seq_to = 9223372036854775807 AND qty_after > 0)
+SELECT e.symbol, coalesce(string_agg(CASE WHEN side = 1 THEN price_ticks || ':' || qty_after END, ' ' ORDER BY price_ticks), '') AS bids, coalesce(string_agg(CASE WHEN side = -1 THEN price_ticks || ':' || qty_after END, ' ' ORDER BY price_ticks), '') AS asks,
+ count(n.symbol) AS n_levels FROM ends e LEFT JOIN now n USING (symbol) GROUP BY 1"""
+
 QUERIES = {
+    "crossing_adds": (crossing_adds, CROSSING_ADDS), "crossing_bbo": (crossing_bbo, CROSSING_BBO), "book_views": (book_views, BOOK_VIEWS), "level_maps": (level_maps, LEVEL_MAPS),
     "bbo": (bbo, BBO), "bbo_interval_join": (bbo_interval_join, BBO_INTERVAL), "book_delta": (book_delta, BOOK_DELTA), "issue_counters": (clamp_counters, CLAMP_COUNTERS), "book_depth_topn": (book_depth_topn, BOOK_DEPTH),
     "weighted_imbalance": (weighted_imbalance, WEIGHTED), "level_quantity_lookup": (level_quantity_lookup, LOOKUP), "book_invariants": (book_invariants, INVARIANTS), "sweep_allocation": (sweep_allocation, SWEEP),
     "queue_trade_budget": (queue_trade_budget, f"WITH {_SEG} SELECT *, {_ALLOC.format(b=70, d='')} AS consumed FROM seg"),

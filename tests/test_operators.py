@@ -47,6 +47,61 @@ def test_both_forms_of_the_book_equal_a_fold(spark):
         assert [tuple(r) for r in form(e).orderBy("sequence_number").select(*names).collect()] == want
 
 
+def test_adds_that_cross_are_ignored_in_every_form(spark):
+    from quotewright.simulation.kernel import Book
+
+    rnd, rows, want, ignored, b = random.Random(11), [], [], [], Book()
+    for i in range(800):
+        if rnd.random() < 0.02 or 500 <= i < 503:
+            rows.append((i, i, "RESET", None, 0, 0))
+        else:
+            s = rnd.choice((1, -1))
+            rows.append((i, i, rnd.choice(("ADD", "SNAPSHOT", "CANCEL", "TRADE")), s, 100 - s * rnd.randint(-2, 5), rnd.randint(1, 9)))
+        before = b.ignored
+        b.apply(*rows[-1][2:])
+        ignored += [i] * (b.ignored - before)
+        want.append((i, *b.top()[:4]))
+    e = events(spark, rows)
+    assert len(ignored) > 20
+    names = ["sequence_number", "best_bid_ticks", "best_bid_quantity", "best_ask_ticks", "best_ask_quantity"]
+    for form in (book.bbo, book.bbo_relational):
+        assert [tuple(r) for r in form(e).orderBy("sequence_number").select(*names).collect()] == want
+    assert [r.sequence_number for r in book.crossing(e).where("add_ignored").orderBy("sequence_number").collect()] == ignored
+    assert all(r.clamped and not r.qty_applied and r.qty_before == r.qty_after for r in book.level_changes(e).where("add_ignored").collect())
+    tops = {(r.sequence_number, r.side): r.price_ticks for r in book.top_n(e, 1).collect()}
+    assert tops == {(i, s): p for i, bid, _, ask, _ in want for s, p in ((1, bid), (-1, ask)) if p is not None}
+
+
+def test_a_strict_book_raises_the_first_bad_event(spark):
+    assert book.strict(events(spark, SEEDED)).count() == len(SEEDED)
+    with pytest.raises(book.CrossedBookError, match="event 6 of symbol 1"):
+        book.strict(events(spark, [*SEEDED, (6, 6, "ADD", 1, 102, 1), (7, 7, "CANCEL", 1, 100, 99)]))
+    with pytest.raises(book.InsufficientDepthError, match="where 10 stands"):
+        book.strict(events(spark, [*SEEDED, (6, 6, "CANCEL", 1, 100, 99), (7, 7, "ADD", 1, 102, 1)]))
+
+
+def test_snapshots_replace_the_whole_book(spark):
+    frame = lambda *rows: spark.createDataFrame([(1, 9, 20, *r) for r in rows], "symbol bigint, timestamp_ns bigint, sequence_number bigint, side tinyint, price_ticks bigint, quantity bigint")
+    new = book.snapshot(frame((-1, 106, 3), (1, 104, 2), (1, 105, 1)))
+    assert [tuple(r)[2:] for r in new.orderBy("sequence_number").collect()] == [(20, "RESET", None, 0, 0), (21, "SNAPSHOT", 1, 105, 1), (22, "SNAPSHOT", 1, 104, 2), (23, "SNAPSHOT", -1, 106, 3)]
+    old = events_frame(spark, SEEDED).selectExpr("1L as symbol", "*").select(*new.columns)
+    both, alone = (book.level_maps(book.with_epochs(x)) for x in (old.unionByName(new), new))
+    m = both.first()
+    assert (m.bids, m.asks, m.n_levels) == ({104: 2, 105: 1}, {106: 3}, 3) and book.same_books(both, alone).first().same
+    assert not book.same_books(both, book.level_maps(book.with_epochs(old))).first().same
+    cleared = book.level_maps(book.with_epochs(old.unionByName(book.snapshot(frame((None, None, None)))))).first()
+    assert (cleared.bids, cleared.asks, cleared.n_levels) == ({}, {}, 0)
+    for rows, error in ((((1, 100, 1), (1, 100, 2)), "duplicate"), (((1, 100, 0), (-1, 101, 1)), "positive"), (((1, 101, 1), (-1, 101, 1)), "best bid")):
+        with pytest.raises(book.BookError, match=error):
+            book.snapshot(frame(*rows))
+
+
+def test_views(spark):
+    v = {r.sequence_number: r for r in book.views(events(spark, SEEDED), 2).collect()}
+    assert [tuple(x) for x in v[5].bids] == [(100, 10), (99, 20)] and [tuple(x) for x in v[5].asks] == [(102, 40), (103, 50)]
+    assert (v[0].bids[0].quantity, v[0].asks, v[5].spread_ticks) == (10, [], 2)
+
+
 def test_two_level_running_values(spark):
     rnd = random.Random(3)
     data = [(k, i, rnd.randint(-9, 9), rnd.choice((None, rnd.random()))) for k in (1, 2) for i in range(70)]

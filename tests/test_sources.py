@@ -132,14 +132,22 @@ def test_validation(spark):
     assert validation.validate(indexed(spark, STREAM)).valid
     spoiled = [*STREAM[:3], (2, 3, "CANCEL", 1, 100, 999), (1, 4, "ADD", 1, 99, 1)]
     v = validation.validate(indexed(spark, spoiled), strict=False)
-    assert v.diagnostics == {"book_event_clamped": 1, "timestamp_regression": 1} and not v.valid
-    with pytest.raises(validation.StreamError, match="book_event_clamped"):
+    assert v.diagnostics == {"book_event_clamped": 1, "clamped_cancel": 1, "timestamp_regression": 1} and not v.valid
+    with pytest.raises(validation.StreamError, match="invalid_book_transition"):
         validation.validate(indexed(spark, spoiled))
     with pytest.raises(validation.StreamError, match="empty"):
         validation.validate(indexed(spark, STREAM).limit(0))
     assert validation.validate_frame(spark.range(1), strict=False).diagnostics == {"invalid_schema": 1}
 
 
+def test_adds_that_cross_are_issues(spark):
+    stream = [(0, 0, "RESET", None, 0, 0), (0, 1, "SNAPSHOT", 1, 100, 5), (0, 2, "SNAPSHOT", -1, 102, 5), (1, 3, "ADD", -1, 100, 2), (2, 4, "TRADE", 1, 100, 1)]
+    v = validation.validate(indexed(spark, stream), strict=False)
+    assert v.diagnostics == {"book_event_clamped": 1, "crossed_add_ignored": 1}
+    with pytest.raises(validation.StreamError, match="invalid_book_transition at event 3"):
+        validation.validate(indexed(spark, stream))
+
+
 def test_selection(spark):
     e = events_frame(spark, STREAM).selectExpr("1L as symbol", "*")
     assert [r.sequence_number for r in select_events(e, 0, 2, 4).orderBy("sequence_number").collect()] == [0, 1, 2, 3]
