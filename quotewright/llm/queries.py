@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fixity, langid, mixing, neardup, packing, passages, prefixes, quality, secrets, topk
+from . import bpe, chat, fixity, langid, mixing, neardup, packing, passages, prefixes, quality, secrets, spelling, topk
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_bin_slack_packing": packing.op9_bin_slack_packing,
     "op10_secret_spans": secrets.op10_secret_spans,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_prefix_trie": prefixes.op12_prefix_trie,
     "op13_apportioned_mix": mixing.op13_apportioned_mix,
 }
@@ -24,6 +25,7 @@ ORACLES: dict[str, str] = {
     "op5_histogram_topk": topk.ORACLE,
     "op6_merkle_fixity": fixity.ORACLE,
     "op7_hamming_near_duplicates": neardup.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
     "op12_prefix_trie": prefixes.ORACLE,
     "op13_apportioned_mix": mixing.ORACLE,
 }
