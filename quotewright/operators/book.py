@@ -7,6 +7,11 @@ same rows, the fold in linear time.
 
 Rows that add quantity at a price that meets the other side are ignored, which couples the sides: a closed form can't tell
 them. Only in epochs whose highest bid ever reaches their lowest ask can there be any, and the fold marks them there first.
+
+A long epoch is folded in parts of SEAM sequence numbers, side by side. A part starts from the levels that the closed form
+gives at its first event, as if no add before it were ignored. The folds then tell the adds that are, the closed form is taken
+again without them, and the parts whose start it changes are folded again, until none is. A first part starts right, and where
+nothing changes every part started from what the parts before it make of theirs, so by induction all are as a serial fold has them.
 """
 
 from __future__ import annotations
@@ -20,10 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import ADD, ASK, BID, RESET, SNAPSHOT
+from ..sources.shared import written
 from .running import BUCKET, running_sum
 
 LEVEL = ["symbol", "epoch", "side", "price_ticks"]
 LAST = 9223372036854775807
+#: Sequence numbers of a part, the largest piece of an epoch that one task folds.
+SEAM = 1 << 18
+PART = ["symbol", "epoch", "part"]
+#: The event type of rows that stand for the levels at a part's start.
+STANDS = "_STANDS"
 
 
 class BookError(ValueError):
@@ -39,37 +50,121 @@ class InsufficientDepthError(BookError):
 
 
 def with_epochs(events: DataFrame, width: int = BUCKET) -> DataFrame:
-    """events with epoch: how many RESETs of the symbol have come, this event included."""
-    return running_sum(events, ["symbol"], "sequence_number", F.when(F.col("event_type") == RESET, 1).otherwise(0), "epoch", width)
-
+    """events with epoch: how many RESETs of the symbol have come, this event included. Written once, as all forms of the book read it several times."""
+    return written(running_sum(events, ["symbol"], "sequence_number", F.when(F.col("event_type") == RESET, 1).otherwise(0), "epoch", width))
 
-def crossing(events: DataFrame) -> DataFrame:
-    """events with add_ignored: whether the row adds quantity at a price that meets the other side, and so takes no effect.
 
-    The fold reads only epochs whose highest bid reaches their lowest ask; elsewhere nothing can cross.
-    """
-    key, names = ["symbol", "epoch"], events.columns
+def _spans(events: DataFrame, width: int) -> DataFrame:
+    """Per epoch: its first and last part, the highest bid and the lowest ask it ever adds."""
     added = lambda side: F.when(F.col("event_type").isin(ADD, SNAPSHOT) & (F.col("side") == side), F.col("price_ticks"))
-    suspect = events.groupBy(*key).agg(F.max(added(BID)).alias("_b"), F.min(added(ASK)).alias("_a")).where("_b >= _a").select(*key)
-    clean = events.join(suspect, key, "left_anti").select(*names, F.lit(False).alias("add_ignored"))
-    return clean.unionByName(_replayed(events.join(suspect, key, "left_semi").select(*names)).select(*names, "add_ignored"))
+    part = F.floor(F.col("sequence_number") / F.lit(width)).cast("bigint")
+    return events.groupBy("symbol", "epoch").agg(F.min(part).alias("first"), F.max(part).alias("last"), F.max(added(BID)).alias("bid"), F.min(added(ASK)).alias("ask"))
+
 
+def _reach(events: DataFrame, width: int) -> tuple[bool, bool]:
+    """Whether any epoch may cross, and whether any has several parts."""
+    r = _spans(events, width).agg(F.max((F.col("bid") >= F.col("ask")).cast("int")).alias("c"), F.max((F.col("first") < F.col("last")).cast("int")).alias("n")).first()
+    return bool(r.c), bool(r.n)
 
-def level_changes(events: DataFrame) -> DataFrame:
+
+def _parted(events: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """events of the epochs of spans with part and last_part, the epoch's."""
+    part = F.floor(F.col("sequence_number") / F.lit(width)).cast("bigint")
+    return events.withColumn("part", part).join(spans.select("symbol", "epoch", F.col("last").alias("last_part")), ["symbol", "epoch"])
+
+
+def seam_levels(events: DataFrame) -> DataFrame:
+    """The levels that stand before the first event of each part but an epoch's first: symbol, epoch, part, side, price_ticks and quantity.
+
+    events has part, last_part and add_ignored. In a part a level's sum t and smallest prefix sum m turn q into max(q + t, t - m'),
+    m' = min(0, m); over the parts that touch a level this is again a prefix sum less its smallest value. A level stands from the
+    part after one that touches it up to the next that does.
+    """
+    moves = events.where(F.col("event_type") != RESET)
+    moved = F.when(F.col("add_ignored"), 0).when(F.col("event_type").isin(ADD, SNAPSHOT), F.col("quantity")).otherwise(-F.col("quantity"))
+    inside = Window.partitionBy(*LEVEL, "part").orderBy("sequence_number").rowsBetween(Window.unboundedPreceding, 0)
+    sums = moves.withColumn("_d", moved).withColumn("_s", F.sum("_d").over(inside)).groupBy(*LEVEL, "part", "last_part").agg(F.sum("_d").alias("_t"), F.min("_s").alias("_m"))
+    over = Window.partitionBy(*LEVEL).orderBy("part")
+    upto = over.rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("_all", F.sum("_t").over(upto)).withColumn("_low", F.min(F.col("_all") - F.col("_t") + F.col("_m")).over(upto))
+    sums = sums.withColumns({"quantity": F.col("_all") - F.least(F.lit(0), F.col("_low")), "_next": F.coalesce(F.lead("part").over(over), F.col("last_part"))})
+    stands = sums.where("quantity > 0 and part < _next")
+    return stands.select("symbol", "epoch", F.explode(F.sequence(F.col("part") + 1, "_next")).alias("part"), "side", "price_ticks", F.col("quantity").cast("bigint").alias("quantity"))
+
+
+def _changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The parts whose starting levels differ."""
+    key = [*PART, "side", "price_ticks"]
+    both = before.withColumnRenamed("quantity", "_q").join(after, key, "full").where(~F.col("_q").eqNullSafe(F.col("quantity")))
+    return both.select(*PART).distinct()
+
+
+def _marks(events: DataFrame, several: bool) -> DataFrame:
+    """The ignored adds (symbol, epoch, part, sequence_number) of events with part and last_part; several: whether any epoch has several parts."""
+    found = lambda rows, levels: _replayed(rows.drop("last_part"), levels).where("add_ignored").select(*PART, "sequence_number")
+    if not several:
+        return written(found(events, None))
+    starts = written(seam_levels(events.withColumn("add_ignored", F.lit(False))))
+    marks = written(found(events, starts))
+    while True:
+        known = marks.select("symbol", "sequence_number", F.lit(True).alias("add_ignored"))
+        now = written(seam_levels(events.join(known, ["symbol", "sequence_number"], "left").withColumn("add_ignored", F.coalesce("add_ignored", F.lit(False)))))
+        again = written(_changed(starts, now))
+        if again.isEmpty():
+            return marks
+        more = found(events.join(again, PART, "left_semi"), now.join(again, PART, "left_semi"))
+        starts, marks = now, written(marks.join(again, PART, "left_anti").unionByName(more))
+
+
+def crossing(events: DataFrame, width: int = SEAM, reach: tuple[bool, bool] | None = None) -> DataFrame:
+    """events with add_ignored: whether the row adds quantity at a price that meets the other side, and so takes no effect.
+
+    The fold reads only epochs whose highest bid reaches their lowest ask; elsewhere nothing can cross. Where there are none, that
+    is found out at once, and events are read no further.
+    """
+    crosses, several = reach or _reach(events, width)
+    if not crosses:
+        return events.withColumn("add_ignored", F.lit(False))
+    names = ["symbol", "epoch", "event_type", "side", "price_ticks", "quantity", "sequence_number"]
+    marks = _marks(written(_parted(events.select(*names), _spans(events, width).where("bid >= ask"), width)), several)
+    known = marks.select("symbol", "sequence_number", F.lit(True).alias("add_ignored"))
+    return events.join(known, ["symbol", "sequence_number"], "left").select(*events.columns, F.coalesce("add_ignored", F.lit(False)).alias("add_ignored"))
+
+
+def _starts(events: DataFrame, width: int, reach: tuple[bool, bool] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """events with part, and the levels at the starts of parts; one part an epoch and None where no epoch has several."""
+    reach = reach or _reach(events, width)
+    if not reach[1]:
+        return events.withColumn("part", F.lit(0).cast("bigint")), None
+    marked = events if "add_ignored" in events.columns else crossing(events, width, reach)
+    marked = _parted(marked, _spans(events, width).where("first < last"), width)
+    return events.withColumn("part", F.floor(F.col("sequence_number") / F.lit(width)).cast("bigint")), written(seam_levels(marked))
+
+
+def level_changes(events: DataFrame, width: int = SEAM) -> DataFrame:
     """Every non-RESET event with qty_before, qty_after, qty_applied and clamped of its level, under the lenient rule.
 
-    qty_after = S - min(0, smallest S so far), S being the prefix sum of signed quantities; adds that would cross count 0.
+    qty_after = S - min(0, smallest S so far), S being the prefix sum of signed quantities; adds that would cross count 0. In epochs
+    of several parts S begins with what stands at the part's start.
     """
-    moves = crossing(events).where(F.col("event_type") != RESET)
+    reach = _reach(events, width)
+    rows, starts = _starts(crossing(events, width, reach), width, reach)
+    moves = rows.where(F.col("event_type") != RESET)
+    zero = F.lit(0).cast("bigint")
+    if starts is None:
+        moves = moves.withColumn("_q", zero)
+    else:
+        moves = moves.join(starts.withColumnRenamed("quantity", "_q"), [*PART, "side", "price_ticks"], "left").withColumn("_q", F.coalesce("_q", zero))
     grows = F.col("event_type").isin(ADD, SNAPSHOT)
     ignored = F.col("add_ignored")
-    order = Window.partitionBy(*LEVEL).orderBy("sequence_number")
+    order = Window.partitionBy(*LEVEL, "part").orderBy("sequence_number")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    moves = moves.withColumn("_s", F.sum(F.when(ignored, 0).when(grows, F.col("quantity")).otherwise(-F.col("quantity"))).over(upto))
+    moves = moves.withColumn("_s", F.col("_q") + F.sum(F.when(ignored, 0).when(grows, F.col("quantity")).otherwise(-F.col("quantity"))).over(upto))
     moves = moves.withColumn("qty_after", F.col("_s") - F.least(F.lit(0), F.min("_s").over(upto)))
-    moves = moves.withColumn("qty_before", F.coalesce(F.lag("qty_after").over(order), F.lit(0)))
-    applied = F.when(ignored, F.lit(0).cast("bigint")).when(grows, F.col("quantity")).otherwise(F.least("quantity", "qty_before"))
-    return moves.withColumns({"qty_applied": applied, "clamped": ignored | ~grows & (F.col("quantity") > F.col("qty_before"))}).drop("_s")
+    moves = moves.withColumn("qty_before", F.coalesce(F.lag("qty_after").over(order), F.col("_q")))
+    applied = F.when(ignored, zero).when(grows, F.col("quantity")).otherwise(F.least("quantity", "qty_before"))
+    changes = {"qty_applied": applied, "clamped": ignored | ~grows & (F.col("quantity") > F.col("qty_before"))}
+    return moves.withColumns(changes).select(*events.columns, "add_ignored", "qty_after", "qty_before", "qty_applied", "clamped")
 
 
 def strict(events: DataFrame) -> DataFrame:
@@ -148,21 +243,26 @@ def bbo_relational(events: DataFrame) -> DataFrame:
 
 
 def _fold(batches: Iterator) -> Iterator:
-    """Streams rows ordered by symbol, epoch and sequence number; holds one batch and one book."""
+    """Streams rows ordered by symbol, epoch, part and sequence number, a part's starting levels first; holds one batch and one book."""
     import pyarrow as pa
 
     now = None
     for batch in batches:
-        symbol, epoch, kind, side, price, qty = (batch.column(i).to_pylist() for i in range(6))
+        symbol, epoch, part, kind, side, price, qty = (batch.column(i).to_pylist() for i in range(7))
         out = [[] for _ in range(4)]
         bb, bq, ba, aq = out
-        ignored = []
+        ignored, events = [], []
         for k in range(batch.num_rows):
-            if now != (symbol[k], epoch[k]):
-                now = (symbol[k], epoch[k])
+            if now != (symbol[k], epoch[k], part[k]):
+                now = (symbol[k], epoch[k], part[k])
                 books = {BID: {}, ASK: {}}
                 heaps: dict[int, list[int]] = {BID: [], ASK: []}
             t = kind[k]
+            if t == STANDS:
+                books[side[k]][price[k]] = qty[k]
+                heapq.heappush(heaps[side[k]], -price[k] * side[k])
+                continue
+            events.append(k)
             crosses = False
             if t != RESET:
                 s, p = side[k], price[k]
@@ -190,21 +290,33 @@ def _fold(batches: Iterator) -> Iterator:
                     prices.append(None)
                     sizes.append(0)
         names = [*batch.schema.names, "best_bid_ticks", "best_bid_quantity", "best_ask_ticks", "best_ask_quantity", "add_ignored"]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64()) for x in out], pa.array(ignored, pa.bool_())], names)
+        columns = batch.columns if len(events) == batch.num_rows else [c.take(pa.array(events, pa.int64())) for c in batch.columns]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int64()) for x in out], pa.array(ignored, pa.bool_())], names)
+
+
+_LEAD = [*PART, "event_type", "side", "price_ticks", "quantity", "sequence_number"]
+
+
+def _dealt(events: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """Rows for a fold: each part in one task, in order, after the levels it starts with."""
+    rows = events.select(*_LEAD, *[c for c in events.columns if c not in _LEAD])
+    if starts is not None:
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        levels = starts.withColumns({"event_type": F.lit(STANDS), "sequence_number": F.lit(-1)})
+        rows = rows.unionByName(levels.select(*[F.col(c).cast(kinds[c]).alias(c) for c in _LEAD]), allowMissingColumns=True)
+    return rows.repartition(*PART).sortWithinPartitions(*PART, "sequence_number")
 
 
-def _replayed(events: DataFrame) -> DataFrame:
-    """events with the top of book after each and add_ignored, by a fold over each epoch."""
-    lead = ["symbol", "epoch", "event_type", "side", "price_ticks", "quantity"]
-    rest = [c for c in events.columns if c not in lead]
-    ordered = events.select(*lead, *rest).repartition("symbol", "epoch").sortWithinPartitions("symbol", "epoch", "sequence_number")
+def _replayed(events: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """events (with part) with the top of book after each and add_ignored, by a fold over each part."""
+    ordered = _dealt(events, starts)
     schema = T.StructType([*ordered.schema.fields, *T._parse_datatype_string(BBO + ", add_ignored boolean").fields])
     return ordered.mapInArrow(_fold, schema)
 
 
-def bbo(events: DataFrame) -> DataFrame:
-    """Best bid and ask with their quantities after every event, by a fold over each epoch."""
-    return _replayed(events).select(*events.columns, *[f.split()[0] for f in BBO.split(", ")])
+def bbo(events: DataFrame, width: int = SEAM) -> DataFrame:
+    """Best bid and ask with their quantities after every event, by a fold over each part of each epoch."""
+    return _replayed(*_starts(events, width)).select(*events.columns, *[f.split()[0] for f in BBO.split(", ")])
 
 
 def top_features() -> dict[str, Column]:
@@ -221,9 +333,9 @@ def top_features() -> dict[str, Column]:
     }
 
 
-def market(events: DataFrame) -> DataFrame:
+def market(events: DataFrame, width: int = SEAM) -> DataFrame:
     """The market table: every event with its epoch, top of book and features."""
-    return bbo(with_epochs(events)).withColumns(top_features())
+    return bbo(with_epochs(events), width).withColumns(top_features())
 
 
 def _ladder(n: int | None, covers: int | None):
@@ -235,13 +347,17 @@ def _ladder(n: int | None, covers: int | None):
         now = None
         names = ["symbol", "sequence_number", "side", "rank", "price_ticks", "quantity"]
         for batch in batches:
-            symbol, epoch, kind, side, price, qty, seq = (batch.column(i).to_pylist() for i in range(7))
+            symbol, epoch, part, kind, side, price, qty = (batch.column(i).to_pylist() for i in range(7))
             row, sides, ranks, prices, sizes = ([] for _ in range(5))
             for k in range(batch.num_rows):
-                if now != (symbol[k], epoch[k]):
-                    now = (symbol[k], epoch[k])
+                if now != (symbol[k], epoch[k], part[k]):
+                    now = (symbol[k], epoch[k], part[k])
                     books: dict[int, dict[int, int]] = {BID: {}, ASK: {}}
                     ladders: dict[int, list[int]] = {BID: [], ASK: []}  # -price * side, ascending: the best first
+                if kind[k] == STANDS:
+                    books[side[k]][price[k]] = qty[k]
+                    insort(ladders[side[k]], -price[k] * side[k])
+                    continue
                 if kind[k] != RESET:
                     s, p = side[k], price[k]
                     book, ladder = books[s], ladders[s]
@@ -269,14 +385,15 @@ def _ladder(n: int | None, covers: int | None):
                         before += q
             at = pa.array(row, pa.int64())
             rest = [pa.array(ranks, pa.int64()), pa.array(prices, pa.int64()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(6).take(at), pa.array(sides, batch.column(3).type), *rest], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(7).take(at), pa.array(sides, batch.column(4).type), *rest], names)
 
     return run
 
 
-def ladder(events: DataFrame, n: int | None = None, covers: int | None = None) -> DataFrame:
-    """The best levels of each side after every event, rank from 1, by a fold over each epoch: the first n, or as many as cover a quantity."""
-    ordered = events.select("symbol", "epoch", "event_type", "side", "price_ticks", "quantity", "sequence_number").repartition("symbol", "epoch").sortWithinPartitions("symbol", "epoch", "sequence_number")
+def ladder(events: DataFrame, n: int | None = None, covers: int | None = None, width: int = SEAM) -> DataFrame:
+    """The best levels of each side after every event, rank from 1, by a fold over each part of each epoch: the first n, or as many as cover a quantity."""
+    rows, starts = _starts(events, width)
+    ordered = _dealt(rows.select(*_LEAD), starts)
     f = {x.name: x for x in ordered.schema.fields}
     schema = T.StructType([f["symbol"], f["sequence_number"], f["side"], *T._parse_datatype_string("rank bigint, price_ticks bigint, quantity bigint").fields])
     return ordered.mapInArrow(_ladder(n, covers), schema)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import WIDTH, backward_asof, forward_asof
-from .running import running_sum
+from .running import BUCKET, numbered, running_sums, with_halo
 
 SECOND = 10**9
 
@@ -63,38 +63,44 @@ def regimes(market: DataFrame) -> DataFrame:
     ).drop("_near", "_far", "_depth", "_ms", "_md", "_mc")
 
 
-def rolling_volatility(market: DataFrame, window: int) -> DataFrame:
-    """Per event with a midpoint: population deviation of the last max(window, 2) midpoint differences; 0 while there are fewer than two."""
+def rolling_volatility(market: DataFrame, window: int, width: int = BUCKET) -> DataFrame:
+    """Per event with a midpoint: population deviation of the last max(window, 2) midpoint differences; 0 while there are fewer than two.
+
+    Rows with a midpoint are numbered and cut into cells of width rows; a cell has the rows before it that its first windows reach.
+    """
     m = max(window, 2)
-    order = Window.partitionBy("symbol").orderBy("sequence_number")
-    d = market.where(F.col("midpoint_ticks").isNotNull()).withColumn("_d", F.col("midpoint_ticks") - F.lag("midpoint_ticks").over(order))
+    d = numbered(market.where(F.col("midpoint_ticks").isNotNull()), ["symbol"], ["sequence_number"], "_n", "sequence_number", width)
+    d = with_halo(d, F.col("_n"), max(width, m), m)
+    order = Window.partitionBy("symbol", "_cell").orderBy("_n")
+    d = d.withColumn("_d", F.col("midpoint_ticks") - F.lag("midpoint_ticks").over(order))
     frame = order.rowsBetween(-(m - 1), 0)
-    return d.withColumn("volatility_ticks", F.when(F.count("_d").over(frame) >= 2, F.stddev_pop("_d").over(frame)).otherwise(0.0)).drop("_d")
+    d = d.withColumn("volatility_ticks", F.when(F.count("_d").over(frame) >= 2, F.stddev_pop("_d").over(frame)).otherwise(0.0))
+    return d.where(~F.col("_halo")).drop("_d", "_n", "_cell", "_halo")
 
 
 def inventory_path(fills: DataFrame) -> DataFrame:
     """fills with running inventory, trade cash (ticks), turnover (ticks) and count, per symbol in fill_id order."""
-    signed = F.col("side") * F.col("quantity")
-    out = running_sum(fills, ["symbol"], "fill_id", signed, "inventory")
-    out = running_sum(out, ["symbol"], "fill_id", -signed * F.col("price_ticks"), "trade_cash_ticks")
-    out = running_sum(out, ["symbol"], "fill_id", F.col("quantity") * F.col("price_ticks"), "turnover_ticks")
-    return running_sum(out, ["symbol"], "fill_id", F.lit(1), "fill_count")
-
+    signed, value = F.col("side") * F.col("quantity"), F.col("quantity") * F.col("price_ticks")
+    return running_sums(fills, ["symbol"], "fill_id", {"inventory": signed, "trade_cash_ticks": -F.col("side") * value, "turnover_ticks": value, "fill_count": F.lit(1)})
 
-def drawdown(pnl: DataFrame, value: str, from_zero: bool = False) -> DataFrame:
-    """Per symbol the largest fall below the running high; from_zero also counts an initial loss."""
-    high = F.max(value).over(Window.partitionBy("symbol").orderBy("fill_id").rowsBetween(Window.unboundedPreceding, 0))
-    if from_zero:
-        high = F.greatest(F.lit(0).cast("double"), high.cast("double"))
-    return pnl.withColumn("_f", high - F.col(value)).groupBy("symbol").agg(F.max("_f").alias("max_drawdown"))
 
+def drawdown(pnl: DataFrame, value: str, from_zero: bool = False, width: int = BUCKET) -> DataFrame:
+    """Per symbol the largest fall below the running high; from_zero also counts an initial loss.
 
-def message_counts(messages: DataFrame, span_ns: int = SECOND) -> DataFrame:
-    """messages with n_window: how many of the symbol's messages lie in (t - span, t]."""
-    frame = Window.partitionBy("symbol").orderBy("timestamp_ns").rangeBetween(-(span_ns - 1), 0)
-    return messages.withColumn("n_window", F.count("*").over(frame))
+    A bucket of fills is summed up by its high, its low and its own largest fall; of two in a row the largest fall is either's own or
+    from the first's high to the second's low. So falls inside buckets are found apart, and one row a bucket is scanned.
+    """
+    rows = pnl.select("symbol", "fill_id", F.col(value).alias("_v")).withColumn("_b", F.floor(F.col("fill_id") / F.lit(width)).cast("bigint"))
+    high = F.max("_v").over(Window.partitionBy("symbol", "_b").orderBy("fill_id").rowsBetween(Window.unboundedPreceding, 0))
+    parts = rows.withColumn("_f", high - F.col("_v")).groupBy("symbol", "_b").agg(F.max("_v").alias("high"), F.min("_v").alias("low"), F.max("_f").alias("fall"))
+    before = F.max("high").over(Window.partitionBy("symbol").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    if from_zero:
+        before = F.greatest(F.lit(0).cast("double"), before.cast("double"))
+    return parts.withColumn("_across", before - F.col("low")).groupBy("symbol").agg(F.max(F.greatest("fall", "_across")).alias("max_drawdown"))
 
 
-def nearest_rank(x: str, p: float) -> Column:
-    """The nearest-rank percentile: ordered[max(0, ceil(p * n) - 1)]."""
-    return F.expr(f"percentile_disc({p}) within group (order by {x})")
+def message_counts(messages: DataFrame, span_ns: int = SECOND, width_ns: int | None = None) -> DataFrame:
+    """messages with n_window: how many of the symbol's messages lie in (t - span, t]. Each cell of time (64 spans, unless given) is counted alone, with the span before it."""
+    cells = with_halo(messages, F.col("timestamp_ns"), max(width_ns or 64 * span_ns, span_ns), span_ns - 1)
+    frame = Window.partitionBy("symbol", "_cell").orderBy("timestamp_ns").rangeBetween(-(span_ns - 1), 0)
+    return cells.withColumn("n_window", F.count("*").over(frame)).where(~F.col("_halo")).drop("_cell", "_halo")

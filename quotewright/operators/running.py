@@ -18,14 +18,43 @@ def _bucket(order: str, width: int) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("bigint")
 
 
+def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], width: int = BUCKET) -> DataFrame:
+    """df with a column for each of values: its sum over rows of the same keys up to and including this one, by the unique order column. One pass for all."""
+    df = df.withColumns({"_b": _bucket(order, width), **{f"_v{i}": v for i, v in enumerate(values.values())}})
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    n = range(len(values))
+    totals = df.groupBy(*keys, "_b").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in n])
+    totals = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_before{i}") for i in n])
+    joined = df.withColumns({f"_v{i}": F.sum(f"_v{i}").over(inside) for i in n}).join(totals, [*keys, "_b"])
+    out = {name: (F.col(f"_v{i}") + F.col(f"_before{i}")).cast("bigint") for i, name in enumerate(values)}
+    return joined.withColumns(out).drop("_b", *[f"_v{i}" for i in n], *[f"_before{i}" for i in n])
+
+
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, out: str, width: int = BUCKET) -> DataFrame:
     """df with out: the sum of value over rows of the same keys up to and including this one, by the unique order column."""
-    df = df.withColumn("_b", _bucket(order, width)).withColumn("_v", value)
-    totals = df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
+    return running_sums(df, keys, order, {out: value}, width)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, bucket_by: str, width: int) -> DataFrame:
+    """df with out: the row's place from 0 in a total order of its keys' rows that bucket_by leads: rows in buckets before, and the place inside."""
+    df = df.withColumn("_b", _bucket(bucket_by, width))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_in", F.sum("_v").over(inside)).join(totals, [*keys, "_b"]).withColumn(out, (F.col("_in") + F.col("_before")).cast("bigint")).drop("_b", "_v", "_in", "_before")
+    counts = df.groupBy(*keys, "_b").agg(F.count("*").alias("_t"))
+    counts = counts.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1
+    return df.withColumn("_in", inside).join(counts, [*keys, "_b"]).withColumn(out, (F.col("_in") + F.col("_before")).cast("bigint")).drop("_b", "_in", "_before")
+
+
+def with_halo(df: DataFrame, at: Column, width: int, reach: int) -> DataFrame:
+    """df with _cell (at divided by width) and _halo: rows whose at lies within reach of the next cells stand there once more, as halo.
+
+    A window of reach or less then needs no row of another cell; results are those of rows that aren't halo. at is an integer.
+    """
+    cell = F.floor(at / F.lit(width)).cast("bigint")
+    last = F.floor((at + F.lit(reach)) / F.lit(width)).cast("bigint")
+    spread = df.withColumn("_own", cell).withColumn("_cell", F.explode(F.sequence(cell, last)))
+    return spread.withColumn("_halo", F.col("_cell") != F.col("_own")).drop("_own")
 
 
 def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket_by: str, width: int = BUCKET) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.running import numbered
+
+DAY = 86_400 * 10**9
 SYMBOLS, RESET_EVERY, LEVELS, MID = 5, 50, 8, 10_000
 
 
@@ -20,11 +23,9 @@ def l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_id") % RESET_EVERY == 0, "RESET").when(F.col("event_type").isin("signup", "view"), "ADD").when(F.col("event_type") == "click", "SNAPSHOT").when(F.col("event_type") == "purchase", "TRADE").otherwise("CANCEL")
     step = F.expr(f"(event_id div 2) % {LEVELS}")
     raw = e.select((F.col("user_id") % SYMBOLS).alias("symbol"), "event_id", ns.alias("timestamp_ns"), kind.alias("event_type"), F.when(even, 1).otherwise(-1).alias("side"), F.when(even, MID - 1 - step).otherwise(MID + 1 + step).alias("price_ticks"), (1 + F.floor("value").cast("bigint") % 50).alias("quantity"))
-    from pyspark.sql import Window
-
     reset = F.col("event_type") == "RESET"
-    number = F.row_number().over(Window.partitionBy("symbol").orderBy("timestamp_ns", "event_id"))
-    return raw.select("symbol", "timestamp_ns", (number - 1).cast("bigint").alias("sequence_number"), "event_type", F.when(~reset, F.col("side")).cast("tinyint").alias("side"), F.when(reset, 0).otherwise(F.col("price_ticks")).cast("bigint").alias("price_ticks"), F.when(reset, 0).otherwise(F.col("quantity")).cast("bigint").alias("quantity"))
+    raw = numbered(raw, ["symbol"], ["timestamp_ns", "event_id"], "sequence_number", "timestamp_ns", DAY)
+    return raw.select("symbol", "timestamp_ns", "sequence_number", "event_type", F.when(~reset, F.col("side")).cast("tinyint").alias("side"), F.when(reset, 0).otherwise(F.col("price_ticks")).cast("bigint").alias("price_ticks"), F.when(reset, 0).otherwise(F.col("quantity")).cast("bigint").alias("quantity"))
 
 
 L2_SQL = f"""l2 AS (SELECT symbol, timestamp_ns, CAST(row_number() OVER (PARTITION BY symbol ORDER BY timestamp_ns, event_id) - 1 AS BIGINT) AS sequence_number,

@@ -246,11 +246,16 @@ SELECT symbol, sequence_number, round(CASE WHEN count(d) OVER w >= 2 THEN stddev
 
 
 def message_rate_1s(spark, sf_dir):
+    """Messages of a symbol in the second up to each."""
+    return metrics.message_counts(l2(spark, sf_dir), metrics.SECOND).select("symbol", "sequence_number", "n_window")
+
+
+def message_rate_1h(spark, sf_dir):
     """Messages of a symbol in the hour up to each."""
     return metrics.message_counts(l2(spark, sf_dir), HOUR).select("symbol", "sequence_number", "n_window")
 
 
-MESSAGES = f"WITH {L2_SQL} SELECT symbol, sequence_number, count(*) OVER (PARTITION BY symbol ORDER BY timestamp_ns RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW) AS n_window FROM l2"
+MESSAGES = "WITH {l2} SELECT symbol, sequence_number, count(*) OVER (PARTITION BY symbol ORDER BY timestamp_ns RANGE BETWEEN {reach} PRECEDING AND CURRENT ROW) AS n_window FROM l2"
 
 
 def quote_fixed(spark, sf_dir):
@@ -378,6 +383,6 @@ QUERIES = {
     "queue_cancel_pro_rata": (queue_cancel_pro_rata, PRO_RATA), "queue_positions": (queue_positions, POSITIONS), "price_through_fills": (price_through_fills, PRICE_THROUGH), "trade_reduction_band_join": (trade_reduction_band_join, BAND),
     "ordered_channel_delivery": (ordered_channel_delivery, CHANNEL), "canonical_contract_violations": (canonical_contract_violations, VIOLATIONS), "stream_order_issues": (stream_order_issues, ISSUES),
     "select_time_range_limit": (select_time_range_limit, RANGE_LIMIT), "timer_grid": (timer_grid, TIMER), "regime_classification": (regime_classification, REGIMES), "rolling_volatility": (rolling_volatility, VOLATILITY),
-    "message_rate_1s": (message_rate_1s, MESSAGES), "quote_fixed": (quote_fixed, QUOTE_FIXED), "quote_inventory": (quote_inventory, QUOTE_INVENTORY), "quote_microprice": (quote_microprice, QUOTE_MICRO),
+    "message_rate_1s": (message_rate_1s, MESSAGES.format(l2=L2_SQL, reach=metrics.SECOND - 1)), "message_rate_1h": (message_rate_1h, MESSAGES.format(l2=L2_SQL, reach=HOUR - 1)), "quote_fixed": (quote_fixed, QUOTE_FIXED), "quote_inventory": (quote_inventory, QUOTE_INVENTORY), "quote_microprice": (quote_microprice, QUOTE_MICRO),
     "row_fingerprint": (row_fingerprint, FINGERPRINT), "stream_sha256": (stream_sha256, STREAM_SHA),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quotes as Q
 from ..operators import experiments, metrics, orders
+from ..operators.selection import nearest_ranks
 from .bindings import BBO_SQL, L2_SQL, l2, table
 from .book_queries import REGIME_SQL, market
 
@@ -271,7 +272,7 @@ AGGREGATE = "SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS mea
 
 def percentile_nearest_rank(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    return l.groupBy("l_returnflag").agg(metrics.nearest_rank("l_extendedprice", 0.5).alias("p50"), metrics.nearest_rank("l_extendedprice", 0.95).alias("p95"), metrics.nearest_rank("l_extendedprice", 0.05).alias("p05"))
+    return nearest_ranks(l, ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p95": 0.95, "p05": 0.05})
 
 
 PERCENTILE = "SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_extendedprice, 0.05) AS p05 FROM lineitem GROUP BY 1"

@@ -193,3 +193,105 @@ def test_orders(spark):
 def test_message_rate_edges(spark):
     m = spark.createDataFrame([(1, t) for t in (0, 999_999_999, 1_000_000_000)], "symbol bigint, timestamp_ns bigint")
     assert [r.n_window for r in metrics.message_counts(m).orderBy("timestamp_ns").collect()] == [1, 2, 2]
+
+
+@pytest.mark.parametrize("seed,low", [(1, -2), (2, -3), (3, 1)])
+def test_parts_of_an_epoch_equal_a_serial_fold(spark, seed, low):
+    """Parts of 16 sequence numbers, with adds that cross (low below 1) and levels that stand over many parts."""
+    from quotewright.simulation.kernel import Book
+
+    rnd, rows, want, ignored, b = random.Random(seed), [], [], [], Book()
+    for i in range(500):
+        if rnd.random() < 0.006:
+            rows.append((i, i, "RESET", None, 0, 0))
+        else:
+            s = rnd.choice((1, -1))
+            rows.append((i, i, rnd.choice(("ADD", "ADD", "SNAPSHOT", "CANCEL", "TRADE")), s, 100 - s * rnd.randint(low, 9), rnd.randint(1, 9)))
+        before = b.ignored
+        b.apply(*rows[-1][2:])
+        ignored += [i] * (b.ignored - before)
+        want.append((i, *b.top()[:4]))
+    e = events(spark, rows)
+    assert bool(ignored) == (low < 1)
+    names = ["sequence_number", "best_bid_ticks", "best_bid_quantity", "best_ask_ticks", "best_ask_quantity"]
+    got = book.bbo(e, 16)
+    assert book._starts(e, 16)[1].select("part").distinct().count() > 10
+    assert [tuple(r) for r in got.orderBy("sequence_number").select(*names).collect()] == want
+    assert [r.sequence_number for r in book.crossing(e, 16).where("add_ignored").orderBy("sequence_number").collect()] == ignored
+    for form in (lambda w: book.level_changes(e, w), lambda w: book.ladder(e, 4, width=w)):
+        assert sorted(map(str, form(16).collect())) == sorted(map(str, form(10_000).collect()))
+
+
+def test_seams_are_repaired_along_a_chain(spark):
+    """Every part's start depends on an add that the part before ignores: the repair goes on from part to part."""
+    rows = [(0, 0, "ADD", 1, 100, 5), (1, 1, "ADD", -1, 101, 5)]
+    for i in range(2, 20, 3):
+        rows += [(i, i, "ADD", 1, 101 + i, 7), (i + 1, i + 1, "CANCEL", 1, 101 + i - 3, 7), (i + 2, i + 2, "ADD", -1, 101 + i - 4, 2)]
+    e = events(spark, rows)
+    serial, parts = (sorted(map(str, book.bbo(e, w).collect())) for w in (10_000, 4))
+    assert serial == parts
+    assert sorted(map(str, book.crossing(e, 4).collect())) == sorted(map(str, book.crossing(e, 10_000).collect()))
+
+
+def test_cells_of_rolling_windows_equal_whole_windows(spark):
+    rnd = random.Random(5)
+    rows = [(s, i, rnd.choice([None, 1.0 * rnd.randint(90, 110)]), 10 * i + rnd.randint(0, 9)) for s in (1, 2) for i in range(150)]
+    m = spark.createDataFrame(rows, "symbol bigint, sequence_number bigint, midpoint_ticks double, timestamp_ns bigint")
+    for window in (1, 3, 12):
+        whole, cells = ({(r.symbol, r.sequence_number): r.volatility_ticks for r in metrics.rolling_volatility(m, window, w).collect()} for w in (1 << 20, 5))
+        assert whole.keys() == cells.keys() and all(whole[k] == pytest.approx(cells[k], abs=1e-9) for k in whole)
+    for s in (1, 2):
+        mids = [(i, x) for t, i, x, _ in rows if t == s and x is not None]
+        d = [b[1] - a[1] for a, b in zip(mids, mids[1:])][-3:]
+        mean = sum(d) / 3
+        assert whole and metrics.rolling_volatility(m, 3, 5).where(f"symbol = {s} and sequence_number = {mids[-1][0]}").first().volatility_ticks == pytest.approx((sum((x - mean) ** 2 for x in d) / 3) ** 0.5)
+    times = sorted((s, t) for s, _, _, t in rows)
+    for span, width in ((25, 25), (25, 40), (100, 1000), (1, 1)):
+        got = {(r.symbol, r.timestamp_ns): r.n_window for r in metrics.message_counts(m, span, width).collect()}
+        assert got == {(s, t): sum(1 for u, v in times if u == s and t - span < v <= t) for s, t in times}
+
+
+def test_drawdown_of_buckets(spark):
+    rnd = random.Random(9)
+    values = [(s, 3 * i, None if rnd.random() < 0.1 else rnd.uniform(-50, 50)) for s in (1, 2, 3) for i in range(80)]
+    values += [(4, 0, -5.0), (5, 0, None)]
+    p = spark.createDataFrame(values, "symbol bigint, fill_id bigint, v double")
+    for zero in (False, True):
+        want = {}
+        for s in (1, 2, 3, 4, 5):
+            high, fall = (0.0 if zero else None), None
+            for v in (v for t, _, v in values if t == s and v is not None):
+                high = v if high is None else max(high, v)
+                fall = max(high - v, fall or 0.0)
+            want[s] = fall
+        for width in (1, 7, 1 << 20):
+            assert {r.symbol: r.max_drawdown for r in metrics.drawdown(p, "v", zero, width).collect()} == want
+
+
+def test_nearest_ranks_are_values_of_the_table(spark):
+    from math import ceil
+
+    from quotewright.operators.selection import nearest_ranks
+
+    rnd = random.Random(3)
+    groups = {"a": [rnd.gauss(0, 1) for _ in range(400)], "b": [5.0] * 30 + [7.0], "c": [1e308, -1e308, 0.0, 1e-320, 5e-324, 2.0], "d": [10.0**k for k in range(-30, 30)], "e": [float("nan"), None], "f": [3.0, float("nan"), None]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [(None, 1.5), (None, 2.5)], "k string, v double")
+    ps = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: r for r in nearest_ranks(df, ["k"], "v", ps, cells=8).collect()}
+    for k, vs in groups.items():
+        vs = sorted(v for v in vs if v is not None and v == v)
+        assert (k in got) == bool(vs)
+        for name, p in ps.items():
+            assert not vs or got[k][name] == vs[max(0, ceil(p * len(vs)) - 1)], (k, name)
+    longs = spark.createDataFrame([(2**62 + i,) for i in range(50)], "v bigint")
+    assert tuple(nearest_ranks(longs, [], "v", ps, cells=4).first()) == tuple(2**62 + max(0, ceil(p * 50) - 1) for p in ps.values())
+
+
+def test_numbering_in_buckets(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randint(0, 2), rnd.randint(0, 60), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, t bigint, i bigint")
+    want = {}
+    for n, (k, t, i) in enumerate(sorted(rows)):
+        want[i] = sum(1 for r in sorted(rows)[:n] if r[0] == k)
+    assert {r.i: r.n for r in running.numbered(df, ["k"], ["t", "i"], "n", "t", 7).collect()} == want
