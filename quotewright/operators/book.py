@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import ADD, ASK, BID, RESET, SNAPSHOT
-from ..sources.shared import written
+from ..sources.shared import observed, written
 from .running import BUCKET, running_sum
 
 LEVEL = ["symbol", "epoch", "side", "price_ticks"]
@@ -51,18 +51,25 @@ class InsufficientDepthError(BookError):
 
 def with_epochs(events: DataFrame, width: int = BUCKET) -> DataFrame:
     """events with epoch: how many RESETs of the symbol have come, this event included. Written once, as all forms of the book read it several times."""
-    return written(running_sum(events, ["symbol"], "sequence_number", F.when(F.col("event_type") == RESET, 1).otherwise(0), "epoch", width))
+    numbered = running_sum(events, ["symbol"], "sequence_number", F.when(F.col("event_type") == RESET, 1).otherwise(0), "epoch", width)
+    return written(numbered, last=F.max("sequence_number"), first=F.min("sequence_number"), bid=F.max(_added(BID)), ask=F.min(_added(ASK)))
+
+
+def _added(side: int) -> Column:
+    return F.when(F.col("event_type").isin(ADD, SNAPSHOT) & (F.col("side") == side), F.col("price_ticks"))
 
 
 def _spans(events: DataFrame, width: int) -> DataFrame:
     """Per epoch: its first and last part, the highest bid and the lowest ask it ever adds."""
-    added = lambda side: F.when(F.col("event_type").isin(ADD, SNAPSHOT) & (F.col("side") == side), F.col("price_ticks"))
     part = F.floor(F.col("sequence_number") / F.lit(width)).cast("bigint")
-    return events.groupBy("symbol", "epoch").agg(F.min(part).alias("first"), F.max(part).alias("last"), F.max(added(BID)).alias("bid"), F.min(added(ASK)).alias("ask"))
+    return events.groupBy("symbol", "epoch").agg(F.min(part).alias("first"), F.max(part).alias("last"), F.max(_added(BID)).alias("bid"), F.min(_added(ASK)).alias("ask"))
 
 
 def _reach(events: DataFrame, width: int) -> tuple[bool, bool]:
-    """Whether any epoch may cross, and whether any has several parts."""
+    """Whether any epoch may cross, and whether any has several parts. Where the bounds of the whole table rule both out, no epoch is looked at."""
+    all_ = observed(events)
+    if all_ and (all_["bid"] is None or all_["ask"] is None or all_["bid"] < all_["ask"]) and (all_["last"] is None or all_["first"] // width == all_["last"] // width):
+        return False, False
     r = _spans(events, width).agg(F.max((F.col("bid") >= F.col("ask")).cast("int")).alias("c"), F.max((F.col("first") < F.col("last")).cast("int")).alias("n")).first()
     return bool(r.c), bool(r.n)
 

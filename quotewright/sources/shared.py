@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: list[str] = []
+_seen: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -26,8 +28,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written once and read back: it is not made again, and a lost executor costs a reread."""
+def written(df: DataFrame, **seen: Column) -> DataFrame:
+    """df, written once and read back: it is not made again, and a lost executor costs a reread.
+
+    seen: aggregates over all rows, taken on the way; observed(df) has them for the frame that is returned.
+    """
     path = shared_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    notes = Observation() if seen else None
+    (df.observe(notes, *[c.alias(name) for name, c in seen.items()]) if seen else df).write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    if seen:
+        _seen[back] = notes.get
+    return back
+
+
+def observed(df: DataFrame) -> dict | None:
+    """What written() saw of exactly this frame."""
+    return _seen.get(df)
