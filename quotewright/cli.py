@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import json
+import math
+import statistics
 import sys
 import time
 
@@ -11,10 +13,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .deploy import ship
-from .operators import book, validation
+from .operators import book, comparison, metrics, plots, validation
 from .simulation import sessions
 from .simulation.config import Config, from_dict
-from .sources import canonical
+from .sources import canonical, runs
 from .sources.fingerprint import stream_sha256
 from .sources.incremental import IncrementalAdapter
 from .sources.paired import PairedAdapter
@@ -100,6 +102,43 @@ def compare(a) -> dict:
     return {f"{r.case_name}/{r.symbol}": {"fills": r.fills, "fill_rate": r.fill_rate, "max_drawdown": r.max_drawdown} for r in out.orderBy("case_name", "symbol").collect()}
 
 
+def report(a) -> dict:
+    """Writes the data sets of a run's plots beside it, and its summary; prints where they are."""
+    spark = _session()
+    run = runs.load(spark, a.folder)
+    t = run.tables
+    top = a.output or f"{a.folder.rstrip('/')}/plots"
+    one = lambda df, series, y, order: df.select("symbol", F.lit(series).alias("series"), "timestamp_ns", F.col(order).alias("sequence_number"), F.col(y).alias("y"))
+    pnl = plots.falls(t["pnl"].where(plots.finite("net_pnl").isNotNull() & F.col("row_no").isNotNull()), "net_pnl", "row_no")
+    series = one(t["market"], "midpoint", "midpoint_ticks", "sequence_number").union(one(t["inventory"], "inventory", "inventory", "row_no"))
+    series = series.union(one(t["pnl"], "gross_pnl", "gross_pnl", "row_no")).union(one(t["pnl"], "net_pnl", "net_pnl", "row_no")).union(one(pnl, "drawdown", "fall", "row_no"))
+    submitted = t["quotes"].where(F.lower(F.coalesce("action", F.lit("submit"))).isin("submit", "replace", "new"))
+    marks = lambda df, kind: df.select("symbol", F.lit(kind).alias("kind"), plots.side_name(F.col("side")).alias("side"), "timestamp_ns", "price_ticks").where("side is not null")
+    ahead = t["orders"].where("queue_ahead is not null").select("queue_ahead")
+    ahead = t["fills"].select("queue_ahead") if ahead.isEmpty() else ahead
+    v = lambda df, name, c: df.select(F.lit(name).alias("series"), F.col(c).cast("double").alias("v"))
+    made = {
+        "series": plots.pixel_columns(series, ["symbol", "series"], columns=a.columns),
+        "points": plots.points(marks(submitted, "quote").union(marks(t["fills"], "fill")), ["symbol", "kind", "side"], "timestamp_ns", "price_ticks", a.columns),
+        "distributions": plots.distributions(v(t["markouts"], "markout_ticks", "markout_ticks").union(v(ahead, "queue_ahead", "queue_ahead")), ["series"], "v").union(plots.distributions(v(t["inventory"], "inventory", "inventory"), ["series"], "v", plots.whole_bins)),
+        "markout_by_horizon": t["markouts"].groupBy("horizon_ns").agg(metrics.finite_mean(F.col("markout_ticks")).alias("mean_markout_ticks")),
+        "pnl_by_regime": metrics.pnl_by_regime(t["pnl"], t["market"], "net_pnl"),
+        "latency_sensitivity": plots.sensitivity(t["latency_sensitivity"]),
+    }
+    for name, df in made.items():
+        canonical.write_parquet(df, f"{top}/{name}.parquet")
+    return {"summary": runs.summary(run).splitlines(), "data": sorted(f"{top}/{name}.parquet" for name in made)}
+
+
+def compare_runs(a) -> dict:
+    """Compares completed runs of one stream; writes the table as Parquet where an output is given."""
+    spark = _session()
+    out = comparison.compare(runs.documents(spark, a.runs))
+    if a.output:
+        canonical.write_parquet(out, a.output)
+    return {r.run_name: r.asDict() for r in out.collect()}  # a row for each run named on the command line
+
+
 def benchmark(a) -> dict:
     spark = _session()
     e = synthetic_events(spark, Settings(a.events), [7]).cache()
@@ -109,8 +148,17 @@ def benchmark(a) -> dict:
         start = time.perf_counter()
         (sessions.run_cases(e, {"run": Config()}) if a.full else book.market(e)).write.format("noop").mode("overwrite").save()
         taken.append(time.perf_counter() - start)
-    best = sorted(taken[1:])[len(taken[1:]) // 2]
-    return {"median_seconds": best, "events_per_second": a.events / best}
+    return bench_record(a.events, taken[1:])
+
+
+def bench_record(events: int, seconds: list[float]) -> dict:
+    """Timed repeats as a record: all samples, median, and nearest-rank p95 of the time and p05 of the throughput."""
+    rank = lambda xs, p: sorted(xs)[max(0, math.ceil(p * len(xs)) - 1)]
+    rates = [events / s for s in seconds]
+    return {
+        "events": events, "repeats": len(seconds), "elapsed_seconds": seconds, "median_seconds": statistics.median(seconds), "p95_seconds": rank(seconds, 0.95),
+        "events_per_second": statistics.median(rates), "p05_events_per_second": rank(rates, 0.05),
+    }
 
 
 def parser() -> argparse.ArgumentParser:
@@ -132,6 +180,8 @@ def parser() -> argparse.ArgumentParser:
     add("backtest", backtest, inp, out, conf, (("--name",), {"default": "run"}))
     add("experiment", experiment, inp, out, conf, (("--strategies",), {"default": "fixed_spread"}), (("--latencies",), {"default": "1"}), (("--policies",), {"default": "back_of_queue"}), (("--fees",), {"default": "1"}))
     add("compare", compare, (("runs",), {"nargs": "+"}))
+    add("compare-runs", compare_runs, (("runs",), {"nargs": "+"}), (("--output",), {}))
+    add("report", report, (("folder",), {}), (("--output",), {}), num("--columns", 900))
     add("benchmark", benchmark, num("--events", 20_000), num("--repeats", 3), (("--full",), {"action": "store_true"}))
     return p
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import WIDTH, backward_asof, forward_asof
-from .running import BUCKET, numbered, running_sums, with_halo
+from .running import BUCKET, lagged, numbered, running_sums, with_halo
 
 SECOND = 10**9
 
@@ -104,3 +104,24 @@ def message_counts(messages: DataFrame, span_ns: int = SECOND, width_ns: int | N
     cells = with_halo(messages, F.col("timestamp_ns"), max(width_ns or 64 * span_ns, span_ns), span_ns - 1)
     frame = Window.partitionBy("symbol", "_cell").orderBy("timestamp_ns").rangeBetween(-(span_ns - 1), 0)
     return cells.withColumn("n_window", F.count("*").over(frame)).where(~F.col("_halo")).drop("_cell", "_halo")
+
+
+REGIMES = ("spread_regime", "liquidity_regime", "volatility_regime")
+
+
+def pnl_by_regime(pnl: DataFrame, market: DataFrame, value: str, columns: tuple[str, ...] = REGIMES, width: int = WIDTH) -> DataFrame:
+    """symbol, regime (which column), label, pnl_change and n: changes of value by the regimes of the last market row at or before each.
+
+    P&L rows follow each other by (timestamp_ns, value); those without a finite value are passed over. Among market rows of one time
+    the last sequence number counts, whatever it holds: a null label takes no change. Rows before any market row are left out, but
+    the next change is still against them.
+    """
+    finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    rows = pnl.where(finite & F.col("timestamp_ns").isNotNull()).select("symbol", "timestamp_ns", F.col(value).alias("_value"))
+    rows = lagged(rows, ["symbol"], ["timestamp_ns", "_value"], F.col("_value"), "_last", "timestamp_ns", width)
+    rows = rows.select("symbol", "timestamp_ns", F.coalesce(F.col("_value") - F.col("_last"), F.lit(0.0)).alias("_change"))
+    states = market.where(F.col("timestamp_ns").isNotNull()).select("symbol", "timestamp_ns", "sequence_number", *columns)
+    found = backward_asof(rows, states, ["symbol"], F.col("timestamp_ns"), list(columns), width).where(F.col("_found").isNotNull())
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("regime"), F.col(f"_found.{c}").alias("label")) for c in columns]))
+    each = found.select("symbol", "_change", each.alias("r")).select("symbol", "_change", "r.*").where("label is not null")
+    return each.groupBy("symbol", "regime", "label").agg(F.sum("_change").alias("pnl_change"), F.count("*").alias("n"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import quotes as Q
 from ..operators import experiments, metrics, orders
 from ..operators.selection import nearest_ranks
+from ..sources.shared import written
 from .bindings import BBO_SQL, L2_SQL, l2, table
 from .book_queries import REGIME_SQL, market
 
@@ -18,8 +18,11 @@ r9 = lambda c: F.round(c, 9).alias(c)
 
 def fills(spark, sf_dir):
     """TRADE rows as fills: every fourth by a taker."""
-    e = l2(spark, sf_dir).where("event_type = 'TRADE'")
-    return e.select("symbol", F.col("sequence_number").alias("fill_id"), "side", "price_ticks", "quantity", F.col("timestamp_ns").alias("fill_timestamp_ns"), F.when(F.col("sequence_number") % 4 == 0, "taker").otherwise("maker").alias("liquidity_role"))
+    return fills_of(l2(spark, sf_dir))
+
+
+def fills_of(events):
+    return events.where("event_type = 'TRADE'").select("symbol", F.col("sequence_number").alias("fill_id"), "side", "price_ticks", "quantity", F.col("timestamp_ns").alias("fill_timestamp_ns"), F.when(F.col("sequence_number") % 4 == 0, "taker").otherwise("maker").alias("liquidity_role"))
 
 
 _FILLS = "fl AS (SELECT symbol, sequence_number AS fill_id, side, price_ticks, quantity, timestamp_ns AS fill_timestamp_ns, CASE WHEN sequence_number % 4 = 0 THEN 'taker' ELSE 'maker' END AS liquidity_role FROM l2 WHERE event_type = 'TRADE')"
@@ -122,7 +125,12 @@ NEAR = f"WITH {PATH_SQL} SELECT symbol, round(avg(CASE WHEN abs(inventory) >= 16
 
 
 def _pnl(spark, sf_dir):
-    p = metrics.inventory_path(metrics.with_midpoint(fills(spark, sf_dir), market(spark, sf_dir)))
+    return pnl_of(written(market(spark, sf_dir)))
+
+
+def pnl_of(m):
+    """The fills of a market table, marked at the last midpoint; the table is read several times."""
+    p = metrics.inventory_path(written(metrics.with_midpoint(fills_of(m), m)))
     return p.withColumn("gross_ticks", F.col("trade_cash_ticks") + F.col("inventory") * F.col("midpoint_ticks"))
 
 
@@ -147,18 +155,31 @@ _DD = "WITH {p}, d AS (SELECT symbol, {h} - gross_ticks AS f FROM pl) SELECT sym
 _HIGH = "max(gross_ticks) OVER (PARTITION BY symbol ORDER BY fill_id)"
 
 
+def _by_regime(m, p):
+    r = metrics.pnl_by_regime(p, metrics.regimes(m), "gross_ticks")
+    label = lambda c: F.when(F.col("regime") == c, F.col("label")).alias(c)
+    return r.select("symbol", *[label(c) for c in metrics.REGIMES], F.round("pnl_change", 6).alias("pnl_change"), "n")
+
+
 def pnl_by_regime(spark, sf_dir):
-    """Changes of gross P&L by each regime at the fill: all three groupings in one pass."""
-    p = _pnl(spark, sf_dir).withColumn("change", F.coalesce(F.col("gross_ticks") - F.lag("gross_ticks").over(Window.partitionBy("symbol").orderBy("fill_id")), F.lit(0.0)))
-    m = metrics.regimes(market(spark, sf_dir)).select("symbol", F.col("sequence_number").alias("fill_id"), "spread_regime", "liquidity_regime", "volatility_regime")
-    p.join(m, ["symbol", "fill_id"]).createOrReplaceTempView("_pnl_regimes")
-    return spark.sql("""select symbol, spread_regime, liquidity_regime, volatility_regime, round(sum(change), 6) as pnl_change, count(*) as n from _pnl_regimes
-        group by symbol, spread_regime, liquidity_regime, volatility_regime grouping sets ((symbol, spread_regime), (symbol, liquidity_regime), (symbol, volatility_regime))""")
+    """Changes of gross P&L by each regime at the last market row at or before the fill."""
+    m = written(market(spark, sf_dir))
+    return _by_regime(m, pnl_of(m).withColumnRenamed("fill_timestamp_ns", "timestamp_ns"))
+
+
+def pnl_by_regime_equal_times(spark, sf_dir):
+    """The same with all times cut to six hours, so that many rows share one: P&L follows by (time, value), the last market row counts."""
+    m = written(market(spark, sf_dir))
+    coarse = lambda c: F.expr(f"{c} - {c} % {6 * HOUR}")
+    return _by_regime(m.withColumn("timestamp_ns", coarse("timestamp_ns")), pnl_of(m).withColumn("timestamp_ns", coarse("fill_timestamp_ns")))
 
 
-BY_REGIME = f"""WITH {PNL_SQL}, {REGIME_SQL[len(BBO_SQL) + 2:]}, c AS (SELECT p.symbol, coalesce(gross_ticks - lag(gross_ticks) OVER (PARTITION BY p.symbol ORDER BY fill_id), 0.0) AS change, r.spread_regime, r.liquidity_regime, r.volatility_regime
- FROM pl p JOIN rg r ON r.symbol = p.symbol AND r.sequence_number = p.fill_id)
+_REGIME = f"""WITH {PNL_SQL}, {REGIME_SQL[len(BBO_SQL) + 2:]}, pv AS (SELECT symbol, fill_timestamp_ns - fill_timestamp_ns % {{cut}} AS t, CAST(gross_ticks AS DOUBLE) AS v FROM pl WHERE gross_ticks IS NOT NULL),
+ pc AS (SELECT symbol, t, coalesce(v - lag(v) OVER (PARTITION BY symbol ORDER BY t, v), 0.0) AS change FROM pv),
+ rs AS (SELECT symbol, timestamp_ns - timestamp_ns % {{cut}} AS t, spread_regime, liquidity_regime, volatility_regime FROM rg QUALIFY row_number() OVER (PARTITION BY symbol, t ORDER BY sequence_number DESC) = 1),
+ c AS (SELECT pc.symbol, pc.change, rs.spread_regime, rs.liquidity_regime, rs.volatility_regime FROM pc ASOF JOIN rs ON pc.symbol = rs.symbol AND pc.t >= rs.t)
 SELECT symbol, spread_regime, liquidity_regime, volatility_regime, round(CAST(sum(change) AS DOUBLE), 6) AS pnl_change, count(*) AS n FROM c GROUP BY GROUPING SETS ((symbol, spread_regime), (symbol, liquidity_regime), (symbol, volatility_regime))"""
+BY_REGIME, BY_REGIME_EQUAL_TIMES = _REGIME.format(cut=1), _REGIME.format(cut=6 * HOUR)
 
 
 def _transitions(spark, sf_dir):
@@ -329,7 +350,7 @@ _SETS = f"WITH {L2_SQL} SELECT symbol, sequence_number FROM l2 WHERE {_A} {{op}}
 QUERIES = {
     "markouts_forward_asof": (markouts_forward_asof, MARKOUTS), "markout_by_horizon": (markout_by_horizon, BY_HORIZON), "markout_by_side": (markout_by_side, BY_SIDE), "fill_midpoint_backward_asof": (fill_midpoint_backward_asof, BACKWARD),
     "spread_capture_attribution": (spread_capture_attribution, CAPTURE), "fill_volume_turnover": (fill_volume_turnover, VOLUME), "inventory_path": (inventory_path, PATH), "inventory_stats": (inventory_stats, STATS), "near_limit_fraction": (near_limit_fraction, NEAR),
-    "cash_pnl_marked": (cash_pnl_marked, PNL), "drawdown_cummax": (drawdown_cummax, _DD.format(p=PNL_SQL, h=_HIGH)), "risk_high_watermark": (risk_high_watermark, _DD.format(p=PNL_SQL, h=f"greatest(0, {_HIGH})")), "pnl_by_regime": (pnl_by_regime, BY_REGIME),
+    "cash_pnl_marked": (cash_pnl_marked, PNL), "drawdown_cummax": (drawdown_cummax, _DD.format(p=PNL_SQL, h=_HIGH)), "risk_high_watermark": (risk_high_watermark, _DD.format(p=PNL_SQL, h=f"greatest(0, {_HIGH})")), "pnl_by_regime": (pnl_by_regime, BY_REGIME), "pnl_by_regime_equal_times": (pnl_by_regime_equal_times, BY_REGIME_EQUAL_TIMES),
     "illegal_transitions_anti_join": (illegal_transitions_anti_join, ILLEGAL), "order_activity_counts": (order_activity_counts, ACTIVITY), "average_fill_price": (average_fill_price, AVERAGE), "worst_case_exposure": (worst_case_exposure, EXPOSURE),
     "pretrade_first_reason": (pretrade_first_reason, PRETRADE), "stale_quotes": (stale_quotes, STALE), "group_mean_excl_null": (group_mean_excl_null, GROUP_MEAN), "experiment_grid_cross": (experiment_grid_cross, GRID), "experiment_aggregate": (experiment_aggregate, AGGREGATE),
     "percentile_nearest_rank": (percentile_nearest_rank, PERCENTILE), "queue_policy_differs": (queue_policy_differs, DIFFERS), "comparison_identity": (comparison_identity, IDENTITY), "histogram_bins": (histogram_bins, HISTOGRAM),
