@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .running import BUCKET, running_max
+from .running import BUCKET, running_max, same_keys
 
 COLUMNS = 900
 
@@ -29,7 +29,7 @@ def pixel_columns(series: DataFrame, keys: list[str], x: str = "timestamp_ns", y
     rows = series.select(*keys, F.col(x).cast("bigint").alias("_x"), finite(y).alias("_y"), F.col(order).alias("_o")).where("_x is not null and _y is not null")
     ends = rows.groupBy(*keys).agg(F.min("_x").alias("x0"), F.max("_x").alias("_x1"))
     place = F.floor((F.col("_x") - F.col("x0")).cast("double") / (F.col("_x1") - F.col("x0") + 1).cast("double") * columns).cast("bigint")
-    cut = rows.join(ends, keys).withColumn("column", F.least(place, F.lit(columns - 1).cast("bigint")))
+    cut = same_keys(rows, ends, keys).withColumn("column", F.least(place, F.lit(columns - 1).cast("bigint")))
     return cut.groupBy(*keys, "x0", "column").agg(F.min_by("_y", "_o").alias("first"), F.max_by("_y", "_o").alias("last"), F.min("_y").alias("lowest"), F.max("_y").alias("highest"), F.count("*").alias("n"))
 
 
@@ -43,7 +43,7 @@ def points(rows: DataFrame, keys: list[str], x: str, y: str, columns: int = COLU
     p = rows.select(*keys, F.col(x).cast("bigint").alias("_x"), finite(y).alias("y")).where("_x is not null and y is not null")
     ends = p.groupBy(*keys).agg(F.min("_x").alias("x0"), F.max("_x").alias("_x1"))
     place = F.floor((F.col("_x") - F.col("x0")).cast("double") / (F.col("_x1") - F.col("x0") + 1).cast("double") * columns).cast("bigint")
-    return p.join(ends, keys).groupBy(*keys, "x0", F.least(place, F.lit(columns - 1).cast("bigint")).alias("column"), "y").agg(F.count("*").alias("n"))
+    return same_keys(p, ends, keys).groupBy(*keys, "x0", F.least(place, F.lit(columns - 1).cast("bigint")).alias("column"), "y").agg(F.count("*").alias("n"))
 
 
 def side_name(side: Column) -> Column:
@@ -68,7 +68,7 @@ def distributions(rows: DataFrame, keys: list[str], value: str, bins=root_bins)
     flat = F.col("_a") == F.col("_b")
     ends = ends.select(*keys, bins(F.col("_n"), F.col("_a"), F.col("_b")).alias("bins"), F.when(flat, F.col("_a") - 0.5).otherwise(F.col("_a")).alias("low"), F.when(flat, F.col("_b") + 0.5).otherwise(F.col("_b")).alias("high"))
     place = F.least(F.floor((F.col("_v") - F.col("low")) * F.col("bins") / (F.col("high") - F.col("low"))), F.col("bins") - 1).cast("bigint")
-    return v.join(ends, keys).groupBy(*keys, "bins", "low", "high", place.alias("bin")).agg(F.count("*").alias("n"))
+    return same_keys(v, ends, keys).groupBy(*keys, "bins", "low", "high", place.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def sensitivity(table: DataFrame, x: tuple[str, ...] = ("latency_ns", "order_entry_latency_ns", "market_data_latency_ns"), y: tuple[str, ...] = ("mean_absolute_inventory", "fill_rate", "net_pnl", "markout_ticks"), by: tuple[str, ...] = ("strategy", "queue_allocation", "ablation", "fee_multiplier")) -> DataFrame:

@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 BUCKET = 1 << 20
 
 
+def same_keys(rows: DataFrame, few: DataFrame, keys: list[str], hint: bool = False) -> DataFrame:
+    """rows joined with few by keys, where null is a key like others; hint: few may be broadcast, as its size was checked."""
+    few = few.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    few = F.broadcast(few) if hint else few
+    on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return rows.join(few, on).drop(*[f"_key_{k}" for k in keys]) if keys else rows.crossJoin(few)
+
+
 def _bucket(order: str, width: int) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("bigint")
 

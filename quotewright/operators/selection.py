@@ -12,16 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .running import same_keys
 
 CELLS = 1 << 14
 #: Targets (groups times percentiles) that may be broadcast, by their count; more are joined by key.
 FEW = 10_000
 
 
-def _to(rows: DataFrame, targets: DataFrame, keys: list[str], n: int) -> DataFrame:
-    return rows.join(F.broadcast(targets) if n <= FEW else targets, keys) if keys else rows.crossJoin(F.broadcast(targets))  # no keys: one row a percentile
-
-
 def nearest_ranks(df: DataFrame, keys: list[str], value: str, percentiles: dict[str, float], cells: int = CELLS) -> DataFrame:
     """Per keys a column for each percentile p: ordered[max(0, ceil(p * n) - 1)] of the values that are neither null nor NaN; groups without any are left out."""
     x = F.col("_x")
@@ -43,7 +40,7 @@ def nearest_ranks(df: DataFrame, keys: list[str], value: str, percentiles: dict[
         found.append(targets.where("_lo = _hi").select(*keys, "_i", F.col("_lo").alias("_value")))
         if open_.isEmpty():
             break
-        counted = _to(rows, open_, keys, n).where(x.between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, "_i", "_rank", cell.alias("_cell")).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count("*").alias("_n"))
+        counted = same_keys(rows, open_, keys, n <= FEW).where(x.between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, "_i", "_rank", cell.alias("_cell")).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count("*").alias("_n"))
         counted = counted.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0))).where("_before <= _rank and _rank < _before + _n")
         targets = written(counted.select(*keys, "_i", "_lo", "_hi", (F.col("_rank") - F.col("_before")).alias("_rank")))
     every = found[0]

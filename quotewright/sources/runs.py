@@ -144,7 +144,9 @@ def load(spark: SparkSession, folder: str) -> Run:
     if not exists(spark, folder):
         raise RunError(f"no run folder at {folder}")
     documents = {k: document(spark, folder, name, k == "metrics") for k, name in DOCUMENTS.items()}
-    return Run(folder, tables(spark, folder), **documents)
+    bare = Run(folder, {}, **documents)
+    own = lambda df: df.withColumn("symbol", F.coalesce("symbol", F.lit(bare.symbol))) if "symbol" in df.columns else df  # noqa: E731  tables of one instrument need not name it
+    return Run(folder, {name: own(df) for name, df in tables(spark, folder).items()}, **documents)
 
 
 def documents(spark: SparkSession, folders: list[str]) -> DataFrame:

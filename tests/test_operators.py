@@ -274,8 +274,8 @@ def test_nearest_ranks_are_values_of_the_table(spark):
     from quotewright.operators.selection import nearest_ranks
 
     rnd = random.Random(3)
-    groups = {"a": [rnd.gauss(0, 1) for _ in range(400)], "b": [5.0] * 30 + [7.0], "c": [1e308, -1e308, 0.0, 1e-320, 5e-324, 2.0], "d": [10.0**k for k in range(-30, 30)], "e": [float("nan"), None], "f": [3.0, float("nan"), None]}
-    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [(None, 1.5), (None, 2.5)], "k string, v double")
+    groups = {"a": [rnd.gauss(0, 1) for _ in range(400)], "b": [5.0] * 30 + [7.0], "c": [1e308, -1e308, 0.0, 1e-320, 5e-324, 2.0], "d": [10.0**k for k in range(-30, 30)], "e": [float("nan"), None], "f": [3.0, float("nan"), None], None: [1.5, 2.5, 2.5]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
     ps = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     got = {r.k: r for r in nearest_ranks(df, ["k"], "v", ps, cells=8).collect()}
     for k, vs in groups.items():

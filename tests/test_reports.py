@@ -32,7 +32,7 @@ def test_runs_are_loaded_by_what_is_there(spark, tmp_path):
     assert (run.name, run.strategy, run.symbol) == ("r1", "fixed", "unknown")
     assert run.tables["market"].count() == 30 and run.tables["pnl"].count() == 0
     assert run.tables["pnl"].columns == ["symbol", "timestamp_ns", "row_no", "gross_pnl", "net_pnl"]
-    assert [tuple(r) for r in run.tables["fills"].orderBy("timestamp_ns").select("timestamp_ns", "queue_ahead", "symbol").collect()] == [(5, 3.0, None), (7, 4.0, None), (9, 5.0, None)]
+    assert [tuple(r) for r in run.tables["fills"].orderBy("timestamp_ns").select("timestamp_ns", "queue_ahead", "symbol").collect()] == [(5, 3.0, "unknown"), (7, 4.0, "unknown"), (9, 5.0, "unknown")]
     text = runs.summary(run)
     assert "Net P&L: 1.5" in text and "Fees: n/a" in text and "Events processed: 1,234,567" in text and text.endswith("none of it is advice") and "End inventory: n/a" in text
     with pytest.raises(runs.RunError, match="no run folder"):
@@ -70,11 +70,11 @@ def test_comparison_checks_identity_first(spark, tmp_path):
 
 def test_pixel_columns_hold_what_a_line_shows(spark):
     rnd = random.Random(2)
-    rows = [("a", 7 * i + rnd.randint(0, 6), i, rnd.choice([None, float("nan"), rnd.uniform(-5, 5)])) for i in range(200)] + [("b", 5, 0, 1.0), ("c", 1, 0, None), ("a", None, 999, 1.0)]
+    rows = [("a", 7 * i + rnd.randint(0, 6), i, rnd.choice([None, float("nan"), rnd.uniform(-5, 5)])) for i in range(200)] + [(None, 5, 0, 1.0), ("c", 1, 0, None), ("a", None, 999, 1.0)]
     got = {(r.k, r.column): (r.first, r.last, r.lowest, r.highest, r.n) for r in plots.pixel_columns(spark.createDataFrame(rows, "k string, t bigint, o bigint, y double"), ["k"], "t", "y", "o", 13).collect()}
     want, xs = {}, {}
     good = [r for r in rows if r[1] is not None and r[3] is not None and r[3] == r[3]]
-    for k in "ab":
+    for k in ("a", None):
         xs[k] = [r[1] for r in good if r[0] == k]
     for k, x, _, y in good:
         at = math.floor((x - min(xs[k])) / (max(xs[k]) - min(xs[k]) + 1) * 13)
