@@ -86,11 +86,11 @@ def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, out
     return df.withColumn("_near", F.last("_v", ignorenulls=True).over(inside)).join(ends, [*keys, "_b"]).withColumn(out, F.coalesce("_near", "_far")).drop("_b", "_v", "_near", "_far")
 
 
-def lagged(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket_by: str, width: int) -> DataFrame:
-    """df with out: value in the row before this one, in a total order that bucket_by leads; null in the first."""
+def lagged(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket_by: str, width: int, ahead: bool = False) -> DataFrame:
+    """df with out: value in the row before this one (ahead: after it), in a total order that bucket_by leads; null where there is none."""
     df = df.withColumn("_b", _bucket(bucket_by, width)).withColumn("_v", value)
-    ends = df.groupBy(*keys, "_b").agg(F.max_by("_v", F.struct(*[F.col(c) for c in order])).alias("_e"))
-    ends = ends.select(*keys, "_b", F.lag("_e").over(Window.partitionBy(*keys).orderBy("_b")).alias("_far"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    ends = df.groupBy(*keys, "_b").agg((F.min_by if ahead else F.max_by)("_v", F.struct(*[F.col(c) for c in order])).alias("_e"))
+    ends = ends.select(*keys, "_b", F.lag("_e").over(Window.partitionBy(*keys).orderBy(F.desc("_b") if ahead else F.col("_b"))).alias("_far"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*[F.desc(c) if ahead else F.col(c) for c in order])
     near = df.withColumns({"_near": F.lag("_v").over(inside), "_i": F.row_number().over(inside)})
     return near.join(ends, [*keys, "_b"]).withColumn(out, F.when(F.col("_i") == 1, F.col("_far")).otherwise(F.col("_near"))).drop("_b", "_v", "_near", "_i", "_far")

@@ -62,6 +62,45 @@ INCREMENTAL = f"""WITH {_ARRIVALS}, b AS (SELECT s AS symbol, row, (us + 7) * 10
 SELECT symbol, timestamp_ns, CAST(row_number() OVER (PARTITION BY symbol ORDER BY row, n) - 1 AS BIGINT) AS sequence_number, event_type, CAST(side AS TINYINT) AS side, CAST(price_ticks AS BIGINT) AS price_ticks, CAST(quantity AS BIGINT) AS quantity FROM o"""
 
 
+def incremental_trades(spark, sf_dir):
+    """The same stream with trades: purchases and clicks are taker trades of their level, which explain its reductions within six hours."""
+    even = F.col("event_id") % 2 == 0
+    ticks = F.when(even, 9_999 - F.expr("(event_id div 2) % 4")).otherwise(10_001 + F.expr("(event_id div 2) % 4"))
+    price = (ticks.cast("decimal(12,2)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(12,2)").cast("string")
+    a = written(_arrivals(spark, sf_dir))
+    both = [F.lit("x").alias("exchange"), F.col("s").cast("string").alias("symbol"), F.col("us").alias("timestamp"), F.col("us").alias("local_timestamp"), price.alias("price"), "row"]
+    trade = F.col("event_type").isin("purchase", "click")
+    book = a.where(~trade).select(*both, (F.col("event_id") % 200 == 0).cast("string").alias("is_snapshot"), F.when(even, "bid").otherwise("ask").alias("side"), F.col("q").alias("amount"))
+    trades = a.where(trade).select(*both, F.when(F.col("event_id") % 14 == 0, "unknown").when(even, "sell").otherwise("buy").alias("side"), (1 + F.col("q") % 9).alias("amount"))
+    out = IncrementalAdapter("0.01", trade_match_window_ns=_WINDOW).checked(book, trades, keys=("exchange", "symbol")).drop("exchange")
+    return out.withColumn("symbol", F.col("symbol").cast("bigint"))
+
+
+_WINDOW = 6 * 3_600 * 10**9
+# Pairs of a trade and a reduction are walked in the order in which trades take; l holds what is left of each reduction of a level.
+INCREMENTAL_TRADES = f"""WITH RECURSIVE {_ARRIVALS}, r0 AS (SELECT s AS symbol, row, us * 1000 AS t, event_id, event_type IN ('purchase', 'click') AS trade, event_id % 200 = 0 AS snap, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side,
+  CASE WHEN event_id % 2 = 0 THEN 9999 - (event_id // 2) % 4 ELSE 10001 + (event_id // 2) % 4 END AS price, q FROM a),
+ b0 AS (SELECT *, snap AND NOT coalesce(lag(snap) OVER (PARTITION BY symbol ORDER BY row), false) AS edge FROM r0 WHERE NOT trade),
+ b1 AS (SELECT *, sum(CAST(edge AS INTEGER)) OVER (PARTITION BY symbol ORDER BY row) AS epoch FROM b0),
+ b AS (SELECT *, q - coalesce(lag(q) OVER (PARTITION BY symbol, epoch, side, price ORDER BY row), 0) AS change FROM b1 WHERE epoch > 0),
+ red AS (SELECT symbol, side, price, row, t, -change AS q, row_number() OVER (PARTITION BY symbol, side, price ORDER BY t, row) AS j FROM b WHERE NOT snap AND change < 0),
+ tr AS (SELECT symbol, side, price, row, t, 1 + q % 9 AS q FROM r0 WHERE trade AND event_id % 14 <> 0),
+ pairs AS (SELECT symbol, side, price, tr.row AS trade, tr.q, red.j, row_number() OVER (PARTITION BY symbol, side, price ORDER BY tr.row, abs(red.t - tr.t), red.t, red.row) AS k, row_number() OVER (PARTITION BY symbol, side, price, tr.row ORDER BY abs(red.t - tr.t), red.t, red.row) = 1 AS new
+  FROM tr JOIN red USING (symbol, side, price) WHERE abs(red.t - tr.t) <= {_WINDOW}),
+ walk AS (SELECT symbol, side, price, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS rest, list(CAST(q AS BIGINT) ORDER BY j) AS l FROM red GROUP BY ALL
+  UNION ALL SELECT symbol, side, price, k, rest - least(rest, l[j]), list_transform(l, lambda x, i: CASE WHEN i = j THEN x - least(rest, x) ELSE x END)
+  FROM (SELECT w.symbol, w.side, w.price, p.k, CASE WHEN p.new THEN CAST(p.q AS BIGINT) ELSE w.rest END AS rest, w.l, p.j FROM walk w JOIN pairs p ON p.symbol = w.symbol AND p.side = w.side AND p.price = w.price AND p.k = w.k + 1)),
+ last AS (SELECT symbol, side, price, arg_max(l, k) AS l FROM walk GROUP BY ALL),
+ m AS (SELECT red.symbol, red.row, red.q - last.l[red.j] AS matched FROM red JOIN last USING (symbol, side, price)),
+ c AS (SELECT b.*, coalesce(m.matched, 0) AS matched FROM b LEFT JOIN m USING (symbol, row)),
+ o AS (SELECT symbol, row, 0 AS n, t, 'RESET' AS event_type, NULL AS side, 0 AS price, 0 AS quantity FROM c WHERE edge
+  UNION ALL SELECT symbol, row, 1, t, 'SNAPSHOT', side, price, q FROM c WHERE snap AND q > 0
+  UNION ALL SELECT symbol, row, 1, t, 'ADD', side, price, change FROM c WHERE NOT snap AND change > 0
+  UNION ALL SELECT symbol, row, 1, t, 'TRADE', side, price, matched FROM c WHERE NOT snap AND matched > 0
+  UNION ALL SELECT symbol, row, 2, t, 'CANCEL', side, price, -change - matched FROM c WHERE NOT snap AND -change > matched)
+SELECT symbol, t AS timestamp_ns, CAST(row_number() OVER (PARTITION BY symbol ORDER BY row, n) - 1 AS BIGINT) AS sequence_number, event_type, CAST(side AS TINYINT) AS side, CAST(price AS BIGINT) AS price_ticks, CAST(quantity AS BIGINT) AS quantity FROM o"""
+
+
 def _paired(spark, sf_dir):
     """(messages, book) of one day of one instrument, made from events: headerless files of one line per event id."""
     e = table(spark, sf_dir, "events").select("event_id", F.floor("value").cast("bigint").alias("v"))
@@ -106,5 +145,5 @@ SELECT 1704153600000000000 + 34200000000000 + i * 1000000 AS timestamp_ns, CAST(
 
 QUERIES = {
     "canonical_csv_roundtrip": (canonical_csv_roundtrip, CANONICAL_SQL), "canonical_parquet_roundtrip": (canonical_parquet_roundtrip, CANONICAL_SQL),
-    "incremental_adapter": (incremental_adapter, INCREMENTAL), "paired_adapter": (paired_adapter, PAIRED),
+    "incremental_adapter": (incremental_adapter, INCREMENTAL), "incremental_trades": (incremental_trades, INCREMENTAL_TRADES), "paired_adapter": (paired_adapter, PAIRED),
 }

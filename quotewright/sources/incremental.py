@@ -11,14 +11,16 @@ shared budget; what is matched becomes TRADE, the rest CANCEL.
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quotes import price_to_ticks
-from ..operators.running import running_sum
+from ..operators.running import BUCKET, lagged, numbered, running_sum
 from .adapter import Adapter
+from .shared import written
 
 
 class AdapterError(ValueError):
@@ -39,6 +41,41 @@ def _scaled(c: Column, multiplier: int) -> Column:
     return F.when(whole != F.floor(whole), F.raise_error(F.concat(F.lit("quantity cannot be represented: "), c.cast("string")))).otherwise(whole).cast("bigint")
 
 
+def _problems(batches):
+    """Streams rows ordered by instrument, epoch and row; holds the levels of one epoch, each side's prices in a heap."""
+    import pyarrow as pa
+
+    now = None
+    for batch in batches:
+        out = []
+        for exchange, symbol, epoch, row, side, price, amount, snap, edge, late, closes in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != (exchange, symbol, epoch):
+                now = (exchange, symbol, epoch)
+                books: dict[int, dict[int, int]] = {1: {}, -1: {}}
+                heaps: dict[int, list[int]] = {1: [], -1: []}
+                named = set()
+            if late:
+                out.append((exchange, symbol, row, "timestamps regress"))
+            if snap:
+                if (side, price) in named:
+                    out.append((exchange, symbol, row, "duplicate snapshot level"))
+                named.add((side, price))
+            if amount:
+                if price not in books[side]:
+                    heapq.heappush(heaps[side], -price * side)
+                books[side][price] = amount
+            else:
+                books[side].pop(price, None)
+            if closes:
+                for s in (1, -1):
+                    while heaps[s] and -heaps[s][0] * s not in books[s]:
+                        heapq.heappop(heaps[s])
+                if heaps[1] and heaps[-1] and -heaps[1][0] >= heaps[-1][0]:
+                    out.append((exchange, symbol, row, f"book crosses: bid {-heaps[1][0]}, ask {heaps[-1][0]} ticks"))
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["exchange", "symbol", "row", "problem"])
+
+
 class IncrementalAdapter(Adapter):
     """tick_size and quantity_multiplier fix the integer units; timestamp_source names the column that becomes the event's time."""
 
@@ -56,21 +93,43 @@ class IncrementalAdapter(Adapter):
             *KEY, "row", (F.col(self.source).cast("bigint") * 1000).alias("timestamp_ns"), F.col("local_timestamp").cast("bigint").alias("local_us"), _flag(F.col("is_snapshot")).alias("snap"),
             F.when(side == "bid", 1).when(side == "ask", -1).otherwise(F.raise_error(F.concat(F.lit("invalid side: "), side)).cast("int")).alias("side"), price_to_ticks(F.col("price"), self.tick).alias("price_ticks"), _scaled(F.col("amount"), self.multiplier).alias("amount"),
         )
-        w = Window.partitionBy(*KEY).orderBy("row")
-        b = b.withColumn("edge", F.col("snap") & ~F.coalesce(F.lag("snap").over(w), F.lit(False))).withColumn("late", (F.lag("local_us").over(w) > F.col("local_us")) | (F.lag("timestamp_ns").over(w) > F.col("timestamp_ns")))
+        b = lagged(b, KEY, ["row"], F.struct("snap", "local_us", "timestamp_ns"), "_last", "row", BUCKET)
+        late = (F.col("_last.local_us") > F.col("local_us")) | (F.col("_last.timestamp_ns") > F.col("timestamp_ns"))
+        b = b.withColumns({"edge": F.col("snap") & ~F.coalesce("_last.snap", F.lit(False)), "late": F.coalesce(late, F.lit(False))}).drop("_last")
         b = running_sum(b, KEY, "row", F.col("edge").cast("int"), "epoch").where("epoch > 0")
         level = Window.partitionBy(*LEVEL, "epoch").orderBy("row")
         return b.withColumn("change", F.col("amount") - F.coalesce(F.lag("amount").over(level), F.lit(0)))
 
+    def problems(self, levels: DataFrame) -> DataFrame:
+        """exchange, symbol, row and problem, of every row of levels() that breaks a rule: time that regresses, a level that a snapshot names twice, and sides that meet when a local time is over.
+
+        One pass: a fold reads each epoch once, in order. Within one local time sides may meet, as a message may come in several rows.
+        """
+        rows = lagged(levels, KEY, ["row"], F.col("local_us"), "_next", "row", BUCKET, ahead=True)
+        rows = rows.select(*KEY, "epoch", "row", "side", "price_ticks", "amount", "snap", "edge", "late", (~F.col("_next").eqNullSafe(F.col("local_us"))).alias("closes"))
+        return rows.repartition(*KEY, "epoch").sortWithinPartitions(*KEY, "epoch", "row").mapInArrow(_problems, "exchange string, symbol string, row bigint, problem string")
+
     def check(self, levels: DataFrame) -> None:
-        """Raises on regressions of time, on a level that a snapshot names twice, and where there is no snapshot."""
-        if levels.where("late").limit(1).count():
-            raise AdapterError("timestamps regress")
-        if levels.where("snap").groupBy(*LEVEL, "epoch").count().where("count > 1").limit(1).count():
-            raise AdapterError("duplicate snapshot level")
-        if not levels.limit(1).count():
+        """Raises the first problem by row, and where there is no snapshot."""
+        for r in self.problems(levels).orderBy("row", "symbol", "problem").limit(1).collect():
+            raise AdapterError(f"{r.problem} at row {r.row} of {r.symbol}")
+        if levels.isEmpty():
             raise AdapterError("no snapshot")
 
+    def check_instruments(self, book: DataFrame, trades: DataFrame | None = None, single: bool = False) -> None:
+        """Raises on more than one instrument, where one is wanted, on trades of an instrument without a book, and on trades whose times regress."""
+        names = book.select(*KEY).distinct()
+        if single and len(found := names.orderBy(*KEY).limit(2).collect()) > 1:
+            raise AdapterError("several instruments: " + ", ".join(f"{r.exchange} {r.symbol}" for r in found))
+        if trades is None:
+            return
+        for r in trades.select(*KEY).distinct().join(names, KEY, "left_anti").orderBy(*KEY).limit(1).collect():
+            raise AdapterError(f"trades of {r.exchange} {r.symbol}, which has no book")
+        times = trades.select(*KEY, "row", F.col("local_timestamp").cast("bigint").alias("local_us"), F.col(self.source).cast("bigint").alias("us"))
+        times = lagged(times, KEY, ["row"], F.struct("local_us", "us"), "_last", "row", BUCKET)
+        for r in times.where("_last.local_us > local_us or _last.us > us").orderBy("row").limit(1).collect():
+            raise AdapterError(f"trade timestamps regress at row {r.row} of {r.symbol}")
+
     def trades(self, trades: DataFrame) -> DataFrame:
         """Trades with the passive side they hit; unknown sides are left out."""
         side = F.lower(F.trim("side"))
@@ -88,7 +147,7 @@ class IncrementalAdapter(Adapter):
         w = Window.partitionBy(*LEVEL).orderBy("timestamp_ns", "kind", "row")
         both = both.withColumn("stretch", F.sum(F.when(F.col("timestamp_ns") - F.lag("timestamp_ns").over(w) > window, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-        def share(pdf):
+        def share(key, pdf):
             import pandas as pd
 
             red = sorted(zip(*(pdf[pdf.kind == 0][c].tolist() for c in ("timestamp_ns", "row", "quantity"))))
@@ -103,15 +162,18 @@ class IncrementalAdapter(Adapter):
                     rest -= q
                     if not rest:
                         break
-            return pd.DataFrame({"row": [x[1] for x in red], "matched": taken})
+            name = lambda k: pd.Series([k] * len(red), dtype=object)
+            return pd.DataFrame({"exchange": name(key[0]), "symbol": name(key[1]), "row": [x[1] for x in red], "matched": taken})
 
-        found = both.groupBy(*LEVEL, "stretch").applyInPandas(share, "row bigint, matched bigint")
+        found = both.groupBy(*LEVEL, "stretch").applyInPandas(share, "exchange string, symbol string, row bigint, matched bigint")
         return found.where("matched > 0")
 
-    def to_canonical(self, book: DataFrame, trades: DataFrame | None = None, check: bool = True) -> DataFrame:
-        """exchange, symbol and the canonical columns, numbered per symbol."""
+    def to_canonical(self, book: DataFrame, trades: DataFrame | None = None, check: bool = True, single: bool = False) -> DataFrame:
+        """exchange, symbol and the canonical columns, numbered per symbol. single: raises on more than one instrument."""
         levels = self.levels(book)
         if check:
+            levels = written(levels)
+            self.check_instruments(book, trades, single)
             self.check(levels)
         qty = F.when(F.col("snap"), F.col("amount")).otherwise(F.abs("change"))
         rows = levels.withColumn("qty", qty)
@@ -119,7 +181,7 @@ class IncrementalAdapter(Adapter):
             rows = rows.withColumn("matched", F.lit(0).cast("bigint"))
         else:
             red = rows.where("not snap and change < 0").select(*LEVEL, "row", "timestamp_ns", F.col("qty").alias("quantity"))
-            rows = rows.join(self.matched(red, self.trades(trades)), "row", "left").fillna(0, ["matched"])
+            rows = rows.join(self.matched(red, self.trades(trades)), [*KEY, "row"], "left").fillna(0, ["matched"])
         event = lambda kind, q, n, level=True: F.struct(F.lit(n).alias("n"), F.lit(kind).alias("event_type"), (F.col("side") if level else F.lit(None)).cast("tinyint").alias("side"), (F.col("price_ticks") if level else F.lit(0)).cast("bigint").alias("price_ticks"), q.cast("bigint").alias("quantity"))
         events = F.array(
             F.when(F.col("edge"), event("RESET", F.lit(0), 0, False)),
@@ -129,8 +191,8 @@ class IncrementalAdapter(Adapter):
             F.when(~F.col("snap") & (F.col("change") < 0) & (F.col("qty") > F.col("matched")), event("CANCEL", F.col("qty") - F.col("matched"), 2)),
         )
         e = rows.select(*KEY, "row", "timestamp_ns", F.explode(F.filter(events, lambda x: x.isNotNull())).alias("e")).select(*KEY, "row", "timestamp_ns", "e.*")
-        number = F.row_number().over(Window.partitionBy(*KEY).orderBy("row", "n")) - 1
-        return e.select(*KEY, "timestamp_ns", number.cast("bigint").alias("sequence_number"), "event_type", "side", "price_ticks", "quantity")
+        e = numbered(e, KEY, ["row", "n"], "sequence_number", "row", BUCKET)
+        return e.select(*KEY, "timestamp_ns", "sequence_number", "event_type", "side", "price_ticks", "quantity")
 
     def diagnostics(self, book: DataFrame, trades: DataFrame | None = None) -> dict[str, int]:
         """Counters of what was skipped, matched and left over; absent counters are 0."""

@@ -202,3 +202,39 @@ def test_adapters_rows_and_certificates(spark, tmp_path):
     c = validation.certify(indexed(spark, STREAM))
     assert validation.holds(c, indexed(spark, STREAM)) and not validation.holds(c, indexed(spark, STREAM), strict=False)
     assert not validation.holds(c, indexed(spark, STREAM[:-1]))
+
+
+def _book_rows(spark, rows, symbol="A"):
+    """row, local_us, snap, side, price, amount"""
+    return spark.createDataFrame([("x", symbol, r, t, t, str(s).lower(), d, str(p), str(a)) for r, t, s, d, p, a in rows], "exchange string, symbol string, row bigint, timestamp bigint, local_timestamp bigint, is_snapshot string, side string, price string, amount string")
+
+
+def test_guards_look_at_the_book_when_a_local_time_is_over(spark):
+    adapter = IncrementalAdapter("1")
+    fine = [(0, 1, True, "bid", 10, 1), (1, 1, True, "ask", 12, 1), (2, 5, False, "bid", 12, 3), (3, 5, False, "ask", 12, 0), (4, 5, False, "ask", 14, 1), (5, 6, False, "bid", 13, 0)]
+    problems = lambda rows: [(r.row, r.problem) for r in adapter.problems(adapter.levels(_book_rows(spark, rows))).orderBy("row").collect()]
+    assert problems(fine) == []
+    assert problems([*fine[:3], (3, 6, False, "ask", 12, 0)]) == [(2, "book crosses: bid 12, ask 12 ticks")]
+    assert problems([*fine, (6, 7, False, "ask", 11, 1)]) == [(6, "book crosses: bid 12, ask 11 ticks")]  # the last row closes, too
+    # a snapshot in the same local time clears what was there before anything is looked at
+    assert problems([*fine[:3], (3, 5, True, "bid", 9, 1), (4, 5, True, "ask", 11, 1)]) == []
+    assert problems([*fine, (6, 4, False, "bid", 9, 1)]) == [(6, "timestamps regress")]
+    assert problems([fine[0], fine[0][:2] + (True, "bid", 10, 2), fine[1]][:2] + [(2, 1, True, "bid", 10, 5)])[-1][1] == "duplicate snapshot level"
+    with pytest.raises(AdapterError, match="book crosses.* at row 2 of A"):
+        adapter.to_canonical(_book_rows(spark, [*fine[:3], (3, 6, False, "ask", 12, 0)]))
+
+
+def test_guards_of_instruments_and_trades(spark):
+    adapter = IncrementalAdapter("1")
+    rows = [(0, 1, True, "bid", 10, 4), (1, 2, False, "bid", 10, 1)]
+    both = _book_rows(spark, rows).unionByName(_book_rows(spark, rows, "B"))
+    with pytest.raises(AdapterError, match="several instruments: x A, x B"):
+        adapter.to_canonical(both, single=True)
+    trades = lambda *ts: spark.createDataFrame([("x", sym, i, t, t, "sell", "10", "2") for i, (sym, t) in enumerate(ts)], "exchange string, symbol string, row bigint, timestamp bigint, local_timestamp bigint, side string, price string, amount string")
+    with pytest.raises(AdapterError, match="trades of x C"):
+        adapter.to_canonical(both, trades(("A", 2), ("C", 2)))
+    with pytest.raises(AdapterError, match="trade timestamps regress at row 1 of A"):
+        adapter.to_canonical(both, trades(("A", 3), ("A", 2)))
+    # rows are numbered per instrument here: a match of A's row 1 is none of B's
+    out = adapter.to_canonical(both, trades(("A", 2)))
+    assert sorted((r.symbol, r.event_type, r.quantity) for r in out.collect() if r.event_type in ("TRADE", "CANCEL")) == [("A", "CANCEL", 1), ("A", "TRADE", 2), ("B", "CANCEL", 3)]
