@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import quotes as Q
 from ..operators import book, metrics, queue
-from ..operators.running import running_max
+from ..operators.running import numbered, running_max
 from ..schema import select_events, violation
+from ..streaming.bars import counted_bars
 from .bindings import BBO_SQL, EPOCH_SQL, L2_SQL, LEVEL_SQL, l2
 
 HOUR = 3_600 * 10**9
@@ -258,6 +259,21 @@ def message_rate_1h(spark, sf_dir):
 MESSAGES = "WITH {l2} SELECT symbol, sequence_number, count(*) OVER (PARTITION BY symbol ORDER BY timestamp_ns RANGE BETWEEN {reach} PRECEDING AND CURRENT ROW) AS n_window FROM l2"
 
 
+def bars_with_late_rows(spark, sf_dir):
+    """Six-hour bars of trades that arrive up to two days late by rule: bars are final a day after their end, rows a day or more behind are late and counted."""
+    e = l2(spark, sf_dir).withColumn("_at", F.col("timestamp_ns") + (F.col("sequence_number") * 7919 % 49) * HOUR).drop("sequence_number")
+    arrived = numbered(e, ["symbol"], ["_at", "timestamp_ns", "price_ticks", "event_type", "quantity"], "sequence_number", "_at", 24 * HOUR)
+    return counted_bars(arrived.drop("_at"), 6 * HOUR, 24 * HOUR)
+
+
+LATE = f"""WITH {L2_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp_ns + (sequence_number * 7919 % 49) * {HOUR}, timestamp_ns, price_ticks, event_type, quantity) - 1 AS n FROM l2),
+ b AS (SELECT *, coalesce(max(timestamp_ns) OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - timestamp_ns >= {24 * HOUR}, false) AS late, max(timestamp_ns) OVER (PARTITION BY symbol) AS stop FROM a),
+ c AS (SELECT *, sum(CAST(late AS INTEGER)) OVER (PARTITION BY symbol ORDER BY n) AS late_rows, timestamp_ns - timestamp_ns % {6 * HOUR} AS start FROM b)
+SELECT symbol, 'bar' AS kind, start AS start_ns, start + {6 * HOUR} AS end_ns, arg_min(price_ticks, n) AS open, max(price_ticks) AS high, min(price_ticks) AS low, arg_max(price_ticks, n) AS close, CAST(sum(quantity) AS BIGINT) AS volume, count(*) AS trades, CAST(NULL AS BIGINT) AS late_rows
+ FROM c WHERE NOT late AND event_type = 'TRADE' GROUP BY symbol, start, stop HAVING stop - start - {6 * HOUR} >= {24 * HOUR}
+UNION ALL SELECT symbol, 'late', timestamp_ns, n, NULL, NULL, NULL, NULL, NULL, NULL, CAST(late_rows AS BIGINT) FROM c WHERE late"""
+
+
 def quote_fixed(spark, sf_dir):
     bid, ask = Q.rounded_quotes(F.col("midpoint_ticks"), F.lit(1.5))
     return market(spark, sf_dir).where("midpoint_ticks is not null").select("symbol", "sequence_number", bid.alias("bid_ticks"), ask.alias("ask_ticks"))
@@ -384,5 +400,5 @@ QUERIES = {
     "ordered_channel_delivery": (ordered_channel_delivery, CHANNEL), "canonical_contract_violations": (canonical_contract_violations, VIOLATIONS), "stream_order_issues": (stream_order_issues, ISSUES),
     "select_time_range_limit": (select_time_range_limit, RANGE_LIMIT), "timer_grid": (timer_grid, TIMER), "regime_classification": (regime_classification, REGIMES), "rolling_volatility": (rolling_volatility, VOLATILITY),
     "message_rate_1s": (message_rate_1s, MESSAGES.format(l2=L2_SQL, reach=metrics.SECOND - 1)), "message_rate_1h": (message_rate_1h, MESSAGES.format(l2=L2_SQL, reach=HOUR - 1)), "quote_fixed": (quote_fixed, QUOTE_FIXED), "quote_inventory": (quote_inventory, QUOTE_INVENTORY), "quote_microprice": (quote_microprice, QUOTE_MICRO),
-    "row_fingerprint": (row_fingerprint, FINGERPRINT), "stream_sha256": (stream_sha256, STREAM_SHA),
+    "bars_with_late_rows": (bars_with_late_rows, LATE), "row_fingerprint": (row_fingerprint, FINGERPRINT), "stream_sha256": (stream_sha256, STREAM_SHA),
 }

@@ -72,4 +72,4 @@ def file_sha256(path: str, chunk: int = 1 << 20) -> str:
 
 def files_sha256(spark, paths: str) -> DataFrame:
     """(path, size_bytes, sha256) of files in any store Spark reads; a file is one task."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))

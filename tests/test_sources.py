@@ -238,3 +238,40 @@ def test_guards_of_instruments_and_trades(spark):
     # rows are numbered per instrument here: a match of A's row 1 is none of B's
     out = adapter.to_canonical(both, trades(("A", 2)))
     assert sorted((r.symbol, r.event_type, r.quantity) for r in out.collect() if r.event_type in ("TRADE", "CANCEL")) == [("A", "CANCEL", 1), ("A", "TRADE", 2), ("B", "CANCEL", 3)]
+
+
+def test_counters_of_paired_files(spark):
+    """Halts and resumes once and again, hidden executions, cross trades, and messages that the visible book doesn't show."""
+    codes = "1 5 7:-1 7:-1 1 7:0 7:0 7:1 6 1 4 2"
+    messages = "|".join(f"{i}.5 {c.split(':')[0]} {i} 4 {c.split(':')[1] if ':' in c else 1000000} 1" for i, c in enumerate(codes.split(), 1))
+    books = ["1010000 2 1000000 3 1020000 1 990000 1"] * 9 + ["1010000 2 1000000 5 1020000 1 990000 1"] + ["1010000 2 1000000 5 1020000 1 990000 1"] + ["1010000 2 1000000 1 1020000 1 990000 1"]
+    a = PairedAdapter("0.01", "2024-01-02", 2, "UTC")
+    got = a.diagnostics(cells(spark, messages, 6), cells(spark, "|".join(books), 8))
+    assert got == {
+        "source_rows": 12, "first_message_represented_by_snapshot": 1, "messages_while_halted_skipped": 1, "halt_resets": 1, "halt_resumes": 1, "redundant_halt_resume_indicators": 2, "hidden_executions_not_emitted": 1, "cross_trades_not_emitted": 1,
+        "messages_outside_visible_depth": 1, "partially_visible_message_quantity": 2,
+    }
+    plan = a.states(cells(spark, messages, 6))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    with pytest.raises(AdapterError, match=r"out of order \(row 0\)"):
+        a.to_canonical(cells(spark, "1 1 1 1 1000000 1", 6), cells(spark, "1020000 2 1000000 3 1010000 1 990000 1", 8))
+
+
+def test_manifests_of_folders(spark, tmp_path):
+    from quotewright.sources.manifest import folder_record, verify_folder
+
+    out = f"{tmp_path}/events"
+    spark.range(30).selectExpr("id", "id % 3 as symbol").repartition(2).write.partitionBy("symbol").parquet(out)
+    args = {"path": f"{tmp_path}/m.json", "output": out, "sources": [out], "adapter": "paired", "parameters": {}, "diagnostics": {}, "event_count": 30, "spark": spark}
+    m = write_manifest(**args)
+    assert json.loads((tmp_path / "m.json").read_text()) == m and verify_folder(spark, m) == []
+    names = sorted(str(p.relative_to(out)) for p in (tmp_path / "events").rglob("*.parquet"))
+    assert [p["path"] for p in m["output"]["parts"]] == names and m["output"]["parts"][0]["sha256"] == hashlib.sha256((tmp_path / "events" / names[0]).read_bytes()).hexdigest()
+    lines = "".join(f"{p['path']} {p['size_bytes']} {p['sha256']}\n" for p in m["output"]["parts"])
+    assert m["output"]["sha256"] == hashlib.sha256(lines.encode()).hexdigest() == folder_record(spark, f"file://{out}")["sha256"]
+    write_manifest(**args | {"provenance": {"checksum_sha256": m["output"]["sha256"]}})
+    for bad in ({"provenance": {"synthetic_demonstration": True}}, {"provenance": {"checksum_sha256": "0"}}, {"adapter": " "}, {"event_count": 0}):
+        with pytest.raises(ManifestError):
+            write_manifest(**args | bad)
+    (tmp_path / "events" / names[0]).unlink()
+    assert verify_folder(spark, m) == [names[0]]

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from quotewright import cli
 from quotewright.operators import book
 from quotewright.sources.synthetic import Settings, synthetic_events
@@ -28,6 +30,39 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, tops.collect()))
 
 
+def test_late_rows_are_counted_in_streams_as_in_batches(spark, tmp_path):
+    """Files of 40 rows, one a trigger, with rows up to 300 ms behind; bars of 50 ms close 100 ms after their end."""
+    import random
+
+    rnd, ms = random.Random(8), 10**6
+    rows = [(s, max(0, 5 * i - rnd.choice([0, 0, 3, 60, 99, 100, 300])) * ms, i, rnd.choice(["TRADE", "TRADE", "ADD"]), 1, rnd.randint(90, 110), rnd.randint(1, 9)) for i in range(160) for s in (1, 2)]
+    e = spark.createDataFrame(rows, "symbol bigint, timestamp_ns bigint, sequence_number bigint, event_type string, side int, price_ticks bigint, quantity bigint").withColumn("side", F.col("side").cast("tinyint"))
+    path = str(tmp_path / "late")
+    for lo in range(0, 160, 40):
+        e.where(f"sequence_number >= {lo} and sequence_number < {lo + 40}").coalesce(1).write.mode("append").parquet(path)
+    want, now, late, open_ = [], {}, {1: 0, 2: 0}, {}
+    for s, t, n, kind, _, p, q in sorted(rows, key=lambda r: r[2]):
+        if s in now and now[s] - t >= 100 * ms:
+            late[s] += 1
+            want.append((s, "late", t, n, *[None] * 6, late[s]))
+            continue
+        now[s] = max(now.get(s, t), t)
+        if kind == "TRADE":
+            open_.setdefault((s, t - t % (50 * ms)), []).append((p, q))
+    for (s, start), b in open_.items():
+        if now[s] - (start + 50 * ms) >= 100 * ms:
+            ps = [p for p, _ in b]
+            want.append((s, "bar", start, start + 50 * ms, ps[0], max(ps), min(ps), ps[-1], sum(q for _, q in b), len(b), None))
+    assert late[1] > 5
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in bars.counted_bars(spark.read.parquet(path), 50 * ms, 100 * ms).collect())
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = run(bars.counted_bars(bars.event_stream(spark, path, 1), 50 * ms, 100 * ms), "late", "append")
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_commands(spark, tmp_path, capsys):
     events, out = str(tmp_path / "e.parquet"), str(tmp_path / "runs")
     say = lambda *argv: (cli.main(list(argv)), capsys.readouterr())
