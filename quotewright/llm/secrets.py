@@ -2,8 +2,9 @@
 
 The base patterns give spans of kinds assign, access and hex. Kind guess is added for values after credential-like names
 whose guess cost, found by dynamic programming, is GUESS_BITS or more: the cheapest way to cut the value into known
-words, dates, repeats, keyboard walks and brute-force spans, in bits. Words are ranked by their frequency in all texts. The programme keeps one open span of each sort, so
-it is linear in the value's length.
+words, dates, repeats, keyboard walks and brute-force spans, in bits. Words are ranked by their frequency in all texts, without
+the values of credential-like names, which would else be cheap for being known. Names are taken by whole parts. The programme
+keeps one open span of each sort, so it is linear in the value's length.
 
 Cases. Null and empty texts: no spans. Very long texts and values: whole, linear. Overlapping kinds: all kept; guess spans
 inside an assign span are not repeated. Repeated rows: each scanned. Empty table: no rows. Offsets are code points, the
@@ -30,9 +31,31 @@ _assign = re.compile("(" + "|".join(map(_any, ("password", "passwd", "secret", "
 _access = re.compile("AKIA[A-Z0-9]+")
 _hex = re.compile("[0-9a-f]{24,}")  # maximal runs, as [0-9a-f]+ of which the short are dropped
 _names = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
-_name = re.compile("|".join(map(_any, ("pass", "pwd", "secret", "token", "(?:api|private|access)[_-]?key", "credential", "auth"))))
+_parts = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+")  # of an identifier: between signs, digits and changes of case
+#: Parts that name a credential, pairs of parts that do, and words that do at the end of a part.
+_credential = {"pass", "pwd", "password", "passwd", "passphrase", "passcode", "secret", "secrets", "token", "tokens", "credential", "credentials", "auth", "authorization"}
+_keys = {"api", "private", "access", "secret"}
+_endings = ("password", "passwd", "passphrase", "secret", "token", "apikey", "credential", "credentials")
 # a whole identifier, a sign and a value; possessive, so that every character is read a bounded number of times
-_context = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?+\x20*+(?:=>|:=|[:=])\x20*+["']?+([^\s"'`,;<>(){}\[\]]++)""")
+_context = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?+\x20*+(?:=>|:=|[:=])\x20*+["']?+(?:(?:[Bb]earer|[Bb]asic)\x20++)?+([^\s"'`,;<>(){}\[\]]++)""")
+
+
+def credential(name: str) -> bool:
+    """Whether an identifier names a credential by one of its whole parts: author, compass and passenger_id do not."""
+    parts = [p.lower() for p in _parts.findall(name)]
+    return any(p in _credential or p.endswith(_endings) for p in parts) or any(a in _keys and b in ("key", "keys") for a, b in zip(parts, parts[1:]))
+
+
+def prose(text: str) -> str:
+    """The text without the values of credential-like names, so that no secret is learned as a word."""
+    if not any(w in text.lower() for w in _names):
+        return text
+    out, at = [], 0
+    for m in _context.finditer(text):
+        if credential(m[1]):
+            out.append(text[at : m.start(2)])
+            at = m.end(2)
+    return "".join([*out, text[at:]])
 
 #: The words that learn() ranks, and their lengths.
 DICTIONARY, SHORTEST, LONGEST = 1 << 16, 3, 24
@@ -129,7 +152,7 @@ def find(text: str | None, ranks: dict[str, int] = _rank) -> list[tuple[str, int
         taken = [s[1:] for s in found]
         k = 0
         for m in _context.finditer(text):
-            if not _name.search(m[1]):
+            if not credential(m[1]):
                 continue
             a, b = m.span(2)
             while k < len(taken) and taken[k][1] <= a:
@@ -179,7 +202,7 @@ def learn(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> dict[s
         found: Counter = Counter()
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                found.update(x.lower().split())
+                found.update(prose(x).lower().split())
                 if len(found) > 200_000:
                     yield words(found)
                     found = Counter()

@@ -37,6 +37,14 @@ def test_decisions(spark, stages):
     assert {r.doc_id for r in f} == keep
 
 
+def test_language_keeps_columns_of_the_same_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plain = {r.doc_id for r in corpus_pipeline.language(spark, docs, sf).collect()}
+    mine = docs.selectExpr("doc_id", "7.0D as score", "'mine' as lang_pred", "text", "lang", "source", "n_chars")
+    got = corpus_pipeline.language(spark, mine, sf)
+    assert got.columns == mine.columns and {(r.doc_id, r.score, r.lang_pred) for r in got.collect()} == {(i, 7.0, "mine") for i in plain}
+
+
 def test_run_and_empty(spark, sf, stages, tmp_path):
     got = corpus_pipeline.run(spark, sf).collect()
     key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
