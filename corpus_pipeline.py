@@ -34,8 +34,10 @@ def _rewritten(docs: DataFrame, df: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told. The model learns from the stage's own labelled rows."""
     ship(spark)
-    judged = langid.predict(docs, langid.fit(docs))
-    return _columns(docs, judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)))
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # by place, so that columns named lang_pred or score stay as they are
+    judged = langid.predict(docs.toDF(*own.values()), langid.fit(docs), own["text"])
+    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*[F.col(x).alias(c) for c, x in own.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
