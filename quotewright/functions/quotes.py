@@ -36,6 +36,16 @@ def tapered_quantity(base: int, inventory: Column, limit: int) -> Column:
     return F.greatest(F.lit(1), F.floor(F.lit(float(base)) * (1.0 - 0.75 * used)).cast("bigint"))
 
 
+def microprice_quotes(microprice: Column, imbalance: Column, inventory: Column, volatility: Column, limit: int, base_half: float, minimum_half: float, imbalance_ticks: float, penalty_ticks: float, volatility_multiplier: float, size: int) -> dict[str, Column]:
+    """bid_ticks, ask_ticks and quantity of a quote around the microprice: moved by imbalance and against inventory, as wide as volatility asks but never below the
+    minimum half spread, smaller as inventory nears its limit, and on one side alone where the limit is reached."""
+    used = inventory.cast("double") / F.lit(float(limit)) if limit else F.lit(0.0)
+    center = microprice + F.lit(imbalance_ticks) * F.coalesce(imbalance, F.lit(0.0)) - F.lit(penalty_ticks) * used
+    half = F.greatest(F.lit(minimum_half), F.lit(base_half) + F.lit(volatility_multiplier) * volatility)
+    bid, ask = rounded_quotes(center, half)
+    return {"bid_ticks": F.when(inventory < limit, bid), "ask_ticks": F.when(inventory > -limit, ask), "quantity": tapered_quantity(size, inventory, limit)}
+
+
 def costs(quantity: Column, price_ticks: Column, role: Column, tick: str, maker_fee: str, maker_rebate: str, taker_fee: str, proportional: str) -> tuple[Column, Column]:
     """(fee, rebate): per unit by liquidity role, plus a proportional fee on the notional."""
     d = lambda x: F.lit(x).cast("decimal(12,6)")

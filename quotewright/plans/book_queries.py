@@ -10,9 +10,11 @@ from ..operators import book, metrics, queue
 from ..operators.running import numbered, running_max
 from ..schema import select_events, violation
 from ..streaming.bars import counted_bars
-from .bindings import BBO_SQL, EPOCH_SQL, L2_SQL, LEVEL_SQL, l2
+from .bindings import BBO_SQL, EPOCH_SQL, L2_SQL, LEVEL_SQL, LEVELS, MID, l2
 
 HOUR = 3_600 * 10**9
+_QUOTE = "CAST(floor({c} - {h}) AS BIGINT) AS bid_ticks, CAST(CASE WHEN floor({c} - {h}) >= ceil({c} + {h}) THEN floor({c} - {h}) + 1 ELSE ceil({c} + {h}) END AS BIGINT) AS ask_ticks"
+_QUOTE_OF = _QUOTE.format(c="c", h="h")
 
 
 def market(spark, sf_dir):
@@ -75,14 +77,17 @@ WEIGHTED = f"""WITH {_TOP} SELECT symbol, sequence_number, round((b - a) / (b +
  sum(CASE WHEN side = 1 THEN CAST(quantity AS DOUBLE) / rank END) AS b, sum(CASE WHEN side = -1 THEN CAST(quantity AS DOUBLE) / rank END) AS a FROM st WHERE rank <= 5 GROUP BY 1, 2)"""
 
 
+_ALL_LEVELS = [(s, MID - s - s * k) for s in (1, -1) for k in range(LEVELS)]
+
+
 def level_quantity_lookup(spark, sf_dir):
     e = book.with_epochs(l2(spark, sf_dir))
-    points = e.select("symbol", F.col("sequence_number").alias("seq"), F.explode(F.array(*[F.struct(F.lit(s).cast("tinyint").alias("side"), F.lit(p).cast("bigint").alias("price_ticks")) for s, p in ((1, 9999), (1, 9996), (-1, 10001), (-1, 10004))])).alias("p")).select("symbol", "seq", "p.*")
+    points = e.select("symbol", F.col("sequence_number").alias("seq"), F.explode(F.array(*[F.struct(F.lit(s).cast("tinyint").alias("side"), F.lit(p).cast("bigint").alias("price_ticks")) for s, p in _ALL_LEVELS])).alias("p")).select("symbol", "seq", "p.*")
     return book.quantity_at(e, points)
 
 
 LOOKUP = f"""WITH {LEVEL_SQL} SELECT e.symbol, e.sequence_number AS seq, CAST(p.side AS TINYINT) AS side, CAST(p.price AS BIGINT) AS price_ticks, CAST(coalesce(l.qty_after, 0) AS BIGINT) AS quantity
- FROM l2e e CROSS JOIN (VALUES (1, 9999), (1, 9996), (-1, 10001), (-1, 10004)) p(side, price)
+ FROM l2e e CROSS JOIN (VALUES {", ".join(map(str, _ALL_LEVELS))}) p(side, price)
  LEFT JOIN lv l ON l.symbol = e.symbol AND l.epoch = e.epoch AND l.side = p.side AND l.price_ticks = p.price AND l.sequence_number <= e.sequence_number AND e.sequence_number < l.seq_to AND l.qty_after > 0"""
 
 
@@ -259,6 +264,24 @@ def message_rate_1h(spark, sf_dir):
 MESSAGES = "WITH {l2} SELECT symbol, sequence_number, count(*) OVER (PARTITION BY symbol ORDER BY timestamp_ns RANGE BETWEEN {reach} PRECEDING AND CURRENT ROW) AS n_window FROM l2"
 
 
+def quote_microprice_rule(spark, sf_dir):
+    """The whole rule of quotes around the microprice: imbalance, inventory (by rule from the sequence number), volatility of the last 20 changes, a least width, taper and limits."""
+    inv = (F.col("sequence_number") * 37 % 241 - 120).cast("bigint")
+    m = metrics.rolling_volatility(market(spark, sf_dir), 20)
+    q = Q.microprice_quotes(F.col("microprice_ticks"), F.col("imbalance"), inv, F.round("volatility_ticks", 6), 100, 0.25, 1.25, 2.0, 3.0, 0.5, 10)
+    return m.select("symbol", "sequence_number", *[c.alias(name) for name, c in q.items()])
+
+
+_D = "CAST({} AS DOUBLE)"
+QUOTE_RULE = f"""WITH {BBO_SQL}, d AS (SELECT *, sequence_number * 37 % 241 - 120 AS inventory, midpoint_ticks - lag(midpoint_ticks) OVER (PARTITION BY symbol ORDER BY sequence_number) AS d FROM market WHERE midpoint_ticks IS NOT NULL),
+ v AS (SELECT *, round(CASE WHEN count(d) OVER w >= 2 THEN stddev_pop(CAST(d AS DOUBLE)) OVER w ELSE 0.0 END, 6) AS vol FROM d WINDOW w AS (PARTITION BY symbol ORDER BY sequence_number ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ c AS (SELECT *, CAST(best_ask_ticks * best_bid_quantity + best_bid_ticks * best_ask_quantity AS DOUBLE) / (best_bid_quantity + best_ask_quantity) + {_D.format(2.0)} * (CAST(best_bid_quantity - best_ask_quantity AS DOUBLE) / (best_bid_quantity + best_ask_quantity))
+  - {_D.format(3.0)} * (CAST(inventory AS DOUBLE) / {_D.format(100.0)}) AS c, greatest({_D.format(1.25)}, {_D.format(0.25)} + {_D.format(0.5)} * vol) AS h FROM v),
+ q AS (SELECT *, {_QUOTE_OF} FROM c)
+SELECT symbol, sequence_number, CASE WHEN inventory < 100 THEN bid_ticks END AS bid_ticks, CASE WHEN inventory > -100 THEN ask_ticks END AS ask_ticks,
+ CAST(greatest(1, floor(CAST(10 AS DOUBLE) * (1.0 - CAST(0.75 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), abs(inventory) / CAST(100.0 AS DOUBLE))))) AS BIGINT) AS quantity FROM q"""
+
+
 def bars_with_late_rows(spark, sf_dir):
     """Six-hour bars of trades that arrive up to two days late by rule: bars are final a day after their end, rows a day or more behind are late and counted."""
     e = l2(spark, sf_dir).withColumn("_at", F.col("timestamp_ns") + (F.col("sequence_number") * 7919 % 49) * HOUR).drop("sequence_number")
@@ -279,7 +302,6 @@ def quote_fixed(spark, sf_dir):
     return market(spark, sf_dir).where("midpoint_ticks is not null").select("symbol", "sequence_number", bid.alias("bid_ticks"), ask.alias("ask_ticks"))
 
 
-_QUOTE = "CAST(floor({c} - {h}) AS BIGINT) AS bid_ticks, CAST(CASE WHEN floor({c} - {h}) >= ceil({c} + {h}) THEN floor({c} - {h}) + 1 ELSE ceil({c} + {h}) END AS BIGINT) AS ask_ticks"
 QUOTE_FIXED = f"WITH {BBO_SQL} SELECT symbol, sequence_number, {_QUOTE.format(c='midpoint_ticks', h='1.5')} FROM market WHERE midpoint_ticks IS NOT NULL"
 
 
@@ -399,6 +421,6 @@ QUERIES = {
     "queue_cancel_pro_rata": (queue_cancel_pro_rata, PRO_RATA), "queue_positions": (queue_positions, POSITIONS), "price_through_fills": (price_through_fills, PRICE_THROUGH), "trade_reduction_band_join": (trade_reduction_band_join, BAND),
     "ordered_channel_delivery": (ordered_channel_delivery, CHANNEL), "canonical_contract_violations": (canonical_contract_violations, VIOLATIONS), "stream_order_issues": (stream_order_issues, ISSUES),
     "select_time_range_limit": (select_time_range_limit, RANGE_LIMIT), "timer_grid": (timer_grid, TIMER), "regime_classification": (regime_classification, REGIMES), "rolling_volatility": (rolling_volatility, VOLATILITY),
-    "message_rate_1s": (message_rate_1s, MESSAGES.format(l2=L2_SQL, reach=metrics.SECOND - 1)), "message_rate_1h": (message_rate_1h, MESSAGES.format(l2=L2_SQL, reach=HOUR - 1)), "quote_fixed": (quote_fixed, QUOTE_FIXED), "quote_inventory": (quote_inventory, QUOTE_INVENTORY), "quote_microprice": (quote_microprice, QUOTE_MICRO),
+    "message_rate_1s": (message_rate_1s, MESSAGES.format(l2=L2_SQL, reach=metrics.SECOND - 1)), "message_rate_1h": (message_rate_1h, MESSAGES.format(l2=L2_SQL, reach=HOUR - 1)), "quote_fixed": (quote_fixed, QUOTE_FIXED), "quote_inventory": (quote_inventory, QUOTE_INVENTORY), "quote_microprice": (quote_microprice, QUOTE_MICRO), "quote_microprice_rule": (quote_microprice_rule, QUOTE_RULE),
     "bars_with_late_rows": (bars_with_late_rows, LATE), "row_fingerprint": (row_fingerprint, FINGERPRINT), "stream_sha256": (stream_sha256, STREAM_SHA),
 }

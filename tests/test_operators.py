@@ -201,7 +201,7 @@ def test_parts_of_an_epoch_equal_a_serial_fold(spark, seed, low):
     from quotewright.simulation.kernel import Book
 
     rnd, rows, want, ignored, b = random.Random(seed), [], [], [], Book()
-    for i in range(500):
+    for i in range(280):
         if rnd.random() < 0.006:
             rows.append((i, i, "RESET", None, 0, 0))
         else:

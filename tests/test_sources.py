@@ -275,3 +275,17 @@ def test_manifests_of_folders(spark, tmp_path):
             write_manifest(**args | bad)
     (tmp_path / "events" / names[0]).unlink()
     assert verify_folder(spark, m) == [names[0]]
+
+
+def test_statements_of_origin():
+    import datetime as dt
+
+    from quotewright.sources.provenance import Provenance, ProvenanceError
+
+    made = {"source_type": "synthetic", "provider": " generator ", "venue": "SIMULATED", "symbol": "S", "dataset_id": "d", "license_notes": "none"}
+    known = made | {"source_type": "historical", "provider": "vendor", "venue": "X", "session_start": dt.date(2024, 1, 2), "session_end": dt.date(2024, 1, 2), "checksum_sha256": "A" * 64}
+    assert Provenance(**made).record() == made | {"provider": "generator", "session_start": None, "session_end": None, "checksum_sha256": None, "synthetic_demonstration": True}
+    assert Provenance(**known).record()["session_end"] == "2024-01-02" and Provenance(**known).checksum_sha256 == "a" * 64 and not Provenance(**known).synthetic_demonstration
+    for bad in ({"source_type": "other"}, {"symbol": "  "}, {"checksum_sha256": "f" * 63}, {"session_end": dt.date(2024, 1, 1)}, {"session_start": None}, {"checksum_sha256": None}, {"venue": "simulated"}, {"provider": "Synthetic Ltd"}):
+        with pytest.raises(ProvenanceError):
+            Provenance(**(known | bad))
