@@ -204,10 +204,10 @@ def joined_components(comps: DataFrame, edges: DataFrame, scratch: Scratch, name
     return scratch.cut(moved.union(over.join(comps, "node", "left_anti").select("node", "comp")), name)
 
 
-def append(docs: DataFrame, text: str, make, ddl: str) -> DataFrame:
+def append(docs: DataFrame, text: str, make, ddl: str, rows: int | None = None) -> DataFrame:
     """docs with columns appended by Arrow batches; make() gives, once per task, a function texts -> list of Arrow arrays in ddl's order.
 
-    Columns of docs that ddl names again are replaced.
+    Columns of docs that ddl names again are replaced. rows: how many are worked on at a time, where a batch's would take too much memory.
     """
     from pyspark.sql import types as T
 
@@ -220,6 +220,8 @@ def append(docs: DataFrame, text: str, make, ddl: str) -> DataFrame:
 
         work = make()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(where).to_pylist())], names)
+            step = rows or max(1, batch.num_rows)
+            for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)) if batch.num_rows else (batch,):
+                yield pa.RecordBatch.from_arrays([*part.columns, *work(part.column(where).to_pylist())], names)
 
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *new.fields]))

@@ -40,6 +40,7 @@ BANDS, ROWS = 8, 3
 MIN_WORDS = WINDOW + GAP - 1
 SEED = 77_003
 SLICE = 1 << 16
+TEXTS = 1_000  # texts that a task works on at a time
 TEXT, ANCHOR, PARAGRAPH = 0, 1, 2
 
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -120,7 +121,7 @@ def scanned(docs: DataFrame, min_words: int) -> DataFrame:
 
         by = multipliers(BANDS * ROWS, SEED)
         names = ["kind", "doc_id", "cls", "start", "stop", "w", "keys"]
-        for batch in batches:
+        for batch in (whole.slice(i, TEXTS) for whole in batches for i in range(0, whole.num_rows, TEXTS)):
             got = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = word_hashes(words_of(t))
@@ -150,7 +151,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, scratch: Scratch, make, ddl: st
     wanted = scratch.cut(wanted, "wanted")
     raw = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
     both = narrowed(raw, wanted, "doc_id", "doc_id").join(wanted, "doc_id").select("doc_id", F.struct("text", "at").alias("both"))
-    return append(both, "both", make, ddl).drop("both")
+    return append(both, "both", make, ddl, TEXTS).drop("both")
 
 
 def merged_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
@@ -306,7 +307,7 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, removed
     joined = narrowed(all_, spans, "doc_id", key).join(spans.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left")
     both = joined.select(*rest, F.struct(F.col(text).cast("binary").alias("text"), "spans").alias("_both"))
     removed_type = "array<struct<a:int,b:int,src_doc:bigint,src_docs:array<bigint>>>"
-    done = append(both, "_both", make, f"_text binary, _removed {removed_type}").select(*rest, F.col("_text").cast("string").alias("_text"), "_removed")
+    done = append(both, "_both", make, f"_text binary, _removed {removed_type}", TEXTS).select(*rest, F.col("_text").cast("string").alias("_text"), "_removed")
     stay = narrowed(all_, spans, "doc_id", key, False).select(*rest, F.col(text).alias("_text"), F.expr(f"cast(array() as {removed_type})").alias("_removed"))
     done = done.union(stay)
     out = [F.col("_text").alias(c) if c == "text" else F.col(own[c]).alias(c) for c in names if c != removed]
