@@ -2,7 +2,8 @@
 
 Two steps, each of which removes what a smaller doc_id holds.
 
-Paragraphs are lines of MIN_WORDS words or more, and shorter lines that follow each other until they have as many. Equal ones are one from the start; distinct ones meet in MinHash bands
+Paragraphs are lines of MIN_WORDS words or more, and runs of shorter lines that have as many; runs start at lines that
+content chooses and overlap, so that copies are found wherever they stand among other lines. Equal ones are one from the start; distinct ones meet in MinHash bands
 (BANDS of ROWS values), are confirmed by the exact Jaccard similarity of their 5-word shingles, 0.8 or more, and are
 clustered by components. Each cluster keeps the paragraph of its smallest (doc_id, place) and what else that document
 has of it; in other documents its paragraphs go whole, edited or not. Of pairs at 0.8, the bands find 99.7 %.
@@ -38,6 +39,7 @@ from .links import resolve, shared_keys
 SHINGLE, WINDOW, GAP = 5, 20, 31
 BANDS, ROWS = 8, 3
 MIN_WORDS = WINDOW + GAP - 1
+STRIDE = 12  # words in which runs of short lines differ, at their starts and ends together
 SEED = 77_003
 SLICE = 1 << 16
 TEXTS = 1_000  # texts that a task works on at a time
@@ -87,18 +89,45 @@ def hashed(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
 
-def lines_of(text: bytes, least: int) -> np.ndarray:
-    """(a, b) of the paragraphs, as places of words: lines of at least that many words, and shorter lines that follow each other until they have as many."""
-    found, first, at = [], 0, 0
-    for line in text.split(b"\n"):
-        n = len(line.split())
-        if n >= least:
-            first = at
-        at += n
-        if at - first >= least:
-            found.append((first, at))
-            first = at
-    return np.array(found, np.int64).reshape(-1, 2)
+def thinned(at: np.ndarray, marks: list[int]) -> np.ndarray:
+    """Which of the places (ascending) are kept: those of the smallest marks first, none within STRIDE of another, and no gap that has room for one."""
+    kept, taken = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    first, last = np.searchsorted(at, at - STRIDE, "right"), np.searchsorted(at, at + STRIDE)
+    for i in np.lexsort((at, marks)):
+        if not taken[i]:
+            kept[i] = taken[first[i] : last[i]] = True
+    return kept
+
+
+def runs_of(a: np.ndarray, b: np.ndarray, h: np.ndarray, least: int) -> np.ndarray:
+    """(start, stop) of the runs of short lines (a, b) that follow each other, of at least that many words each.
+
+    A run starts at a line and ends with the line that makes it long enough; of runs with one end the shortest is taken, and
+    where lines are very short, content alone chooses which runs are left. So copies have the same runs whatever stands before
+    them, and two runs of a text, which share less than `least` words and differ in STRIDE or more, aren't near each other by their
+    own overlap. Two more start with the first line and end with the last one, so that no line is left out.
+    """
+    starts = a[a + least <= b[-1]]
+    stops = b[np.searchsorted(b, starts + least)]
+    shortest = np.r_[stops[1:] != stops[:-1], True]
+    starts, stops = starts[shortest], stops[shortest]
+    kept = thinned(starts + stops, [hashed(h[i:j]) for i, j in zip(starts, b[np.searchsorted(a, starts)])])
+    runs = np.stack([starts[kept], stops[kept]], 1)
+    return np.unique(np.concatenate([runs, [[a[0], runs[0, 1]], [runs[-1, 0], b[-1]]]]), axis=0)
+
+
+def lines_of(text: bytes, h: np.ndarray, least: int) -> np.ndarray:
+    """(a, b) of the paragraphs, as places of words, by a, of equal ones the longest first: lines of at least that many words, and the runs of shorter lines between them. h: the words' hashes."""
+    sizes = np.array([len(line.split()) for line in text.split(b"\n")], np.int64)
+    b = np.cumsum(sizes)[sizes > 0]
+    a = b - sizes[sizes > 0]
+    long = b - a >= least
+    found = [np.stack([a[long], b[long]], 1)]
+    for lines in np.split(np.arange(len(a)), np.flatnonzero(long[1:] != long[:-1]) + 1):
+        if len(lines) and not long[lines[0]] and b[lines[-1]] - a[lines[0]] >= least:
+            found.append(runs_of(a[lines], b[lines], h, least))
+    found = np.concatenate(found)
+    return found[np.lexsort((-found[:, 1], found[:, 0]))]
 
 
 def band_keys(s: np.ndarray, spans: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -114,7 +143,7 @@ def band_keys(s: np.ndarray, spans: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def scanned(docs: DataFrame, min_words: int) -> DataFrame:
-    """(kind, doc_id, cls, start, stop, w, keys): every text of min_words words or more (stop: its words), its windows (stop: where the paragraph starts that holds it, or -1) and its paragraphs; cls and w are hashes of the text's words and of the piece's content."""
+    """(kind, doc_id, cls, start, stop, w, keys): every text of min_words words or more (stop: its words), its windows (stop: where the last paragraph that holds it starts, or -1) and its paragraphs; cls and w are hashes of the text's words and of the piece's content."""
 
     def run(batches):
         import pyarrow as pa
@@ -128,7 +157,7 @@ def scanned(docs: DataFrame, min_words: int) -> DataFrame:
                 if len(h) < min_words:
                     continue
                 s, cls = shingles(h, SHINGLE), hashed(h)
-                at, lines = anchors(s), lines_of(t, min_words)
+                at, lines = anchors(s), lines_of(t, h, min_words)
                 line = np.full(len(at), -1)
                 if len(lines):
                     i = np.maximum(np.searchsorted(lines[:, 0], at, "right") - 1, 0)
@@ -325,5 +354,7 @@ def op4_repeated_passages(spark, sf_dir):
     linked = edges.select("a", "b").union(edges.select("b", "a")).groupBy("a").agg(F.count("*").alias("n_linked")).withColumnRenamed("a", "doc_id")
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["a"].cast("string"), x["b"].cast("string"), x["src_doc"].cast("string"))), ",")
     words = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, x: n + x["b"] - x["a"])
-    out = done.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(linked, "doc_id", "left")
+    facts = scratch.cut(comps.withColumnRenamed("node", "doc_id").join(linked, "doc_id"), "facts")
+    some = narrowed(done, facts, "doc_id", "doc_id").join(facts, "doc_id", "left")  # other texts aren't shuffled
+    out = some.unionByName(narrowed(done, facts, "doc_id", "doc_id", False), allowMissingColumns=True)
     return out.select("doc_id", F.coalesce("comp", "doc_id").alias("component_id"), F.size(F.array_distinct(F.flatten("removed.src_docs"))).cast("bigint").alias("n_links"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), words.alias("removed_words"), spans.alias("removed_spans"), "text")
