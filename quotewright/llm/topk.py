@@ -92,9 +92,10 @@ def search(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY,
     qs = scratch.cut(queries.groupBy("q").agg(F.collect_list(one).alias("qs")), "queries")
     state = queries.select("q", "rid", F.lit(-bound).cast("bigint").alias("lo"), F.lit(bound + 1).cast("bigint").alias("hi"), F.lit(0).cast("bigint").alias("above"), F.lit(0).cast("bigint").alias("score"), F.lit(False).alias("short"))
 
+    # Queries, candidates and states grow with the table, and files of small numbers look small: none of them is broadcast.
     def meeting(state: DataFrame) -> DataFrame:
-        with_state = qs.join(state.groupBy("q").agg(F.collect_list(F.struct("rid", "lo", "hi", "score")).alias("state")), "q")
-        return with_state.withColumns({"g": F.explode(F.sequence(F.lit(0), F.lit(nc - 1))), "h": F.expr(f"q div {MEET}").cast("int")}).join(cs, ["g", "h"]).select("q", "qs", "cs", "state")
+        with_state = qs.join(state.groupBy("q").agg(F.collect_list(F.struct("rid", "lo", "hi", "score")).alias("state")).hint("merge"), "q")
+        return with_state.withColumns({"g": F.explode(F.sequence(F.lit(0), F.lit(nc - 1))), "h": F.expr(f"q div {MEET}").cast("int")}).join(cs.hint("merge"), ["g", "h"]).select("q", "qs", "cs", "state")
 
     def narrowed(state: DataFrame, by_id: bool, width: int) -> DataFrame:
         step = -(-width // bins)
@@ -114,9 +115,9 @@ def search(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY,
 
         counts = meeting(state).mapInArrow(histogram, "q int, rid bigint, bin bigint, n bigint").groupBy("q", "rid", "bin").agg(F.sum("n").alias("n"))
         above = Window.partitionBy("q", "rid").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # at most bins rows
-        reached = counts.withColumn("cum", F.sum("n").over(above)).join(state, ["q", "rid"]).where("cum >= %d - above and cum - n < %d - above" % (k, k))
+        reached = counts.withColumn("cum", F.sum("n").over(above)).join(state.hint("merge"), ["q", "rid"]).where("cum >= %d - above and cum - n < %d - above" % (k, k))
         new = reached.select("q", "rid", (F.col("lo") + F.col("bin") * step).alias("lo"), (F.col("above") + F.col("cum") - F.col("n")).alias("above"))
-        both = state.drop("lo", "hi", "above").join(new, ["q", "rid"], "left")
+        both = state.drop("lo", "hi", "above").join(new.hint("merge"), ["q", "rid"], "left")
         return scratch.cut(both.select("q", "rid", F.coalesce("lo", F.lit(-bound)).alias("lo"), F.coalesce(F.col("lo") + step, F.lit(bound + 1)).alias("hi"), F.coalesce("above", F.lit(0)).alias("above"), "score", (F.col("short") | F.col("lo").isNull()).alias("short")), "by-id" if by_id else "by-score")
 
     def rounds(state: DataFrame, by_id: bool, width: int) -> DataFrame:
