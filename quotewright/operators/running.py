@@ -2,7 +2,8 @@
 
 A window over a whole symbol runs in one task however long the stream is. Here a stream is cut into buckets of its order
 column: each bucket is scanned on its own, one row per bucket is scanned once more, and what comes before a bucket is
-added to what is inside it. The largest task is a bucket or the list of buckets.
+added to what is inside it. The largest task is a bucket or the list of buckets. Rows are dealt by bucket already when they meet
+the list, so that is a merge join: neither side is broadcast, however small it looks.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, C
     n = range(len(values))
     totals = df.groupBy(*keys, "_b").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in n])
     totals = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_before{i}") for i in n])
-    joined = df.withColumns({f"_v{i}": F.sum(f"_v{i}").over(inside) for i in n}).join(totals, [*keys, "_b"])
+    joined = df.withColumns({f"_v{i}": F.sum(f"_v{i}").over(inside) for i in n}).join(totals.hint("merge"), [*keys, "_b"])
     out = {name: (F.col(f"_v{i}") + F.col(f"_before{i}")).cast("bigint") for i, name in enumerate(values)}
     return joined.withColumns(out).drop("_b", *[f"_v{i}" for i in n], *[f"_before{i}" for i in n])
 
@@ -51,7 +52,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, bucket_
     counts = df.groupBy(*keys, "_b").agg(F.count("*").alias("_t"))
     counts = counts.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1
-    return df.withColumn("_in", inside).join(counts, [*keys, "_b"]).withColumn(out, (F.col("_in") + F.col("_before")).cast("bigint")).drop("_b", "_in", "_before")
+    return df.withColumn("_in", inside).join(counts.hint("merge"), [*keys, "_b"]).withColumn(out, (F.col("_in") + F.col("_before")).cast("bigint")).drop("_b", "_in", "_before")
 
 
 def with_halo(df: DataFrame, at: Column, width: int, reach: int) -> DataFrame:
@@ -72,7 +73,7 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column,
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_b", F.max("_t").over(before).alias("_before"))
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_in", F.max("_v").over(inside)).join(totals, [*keys, "_b"]).withColumn(out, F.greatest("_in", "_before")).drop("_b", "_v", "_in", "_before")
+    return df.withColumn("_in", F.max("_v").over(inside)).join(totals.hint("merge"), [*keys, "_b"]).withColumn(out, F.greatest("_in", "_before")).drop("_b", "_v", "_in", "_before")
 
 
 def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket_by: str, width: int, backward: bool = True) -> DataFrame:
@@ -83,7 +84,7 @@ def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, out
     buckets = Window.partitionBy(*keys).orderBy(F.col("_b") if backward else F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*keys, "_b", F.last("_e", ignorenulls=True).over(buckets).alias("_far"))
     inside = Window.partitionBy(*keys, "_b").orderBy(*[F.col(c) if backward else F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_near", F.last("_v", ignorenulls=True).over(inside)).join(ends, [*keys, "_b"]).withColumn(out, F.coalesce("_near", "_far")).drop("_b", "_v", "_near", "_far")
+    return df.withColumn("_near", F.last("_v", ignorenulls=True).over(inside)).join(ends.hint("merge"), [*keys, "_b"]).withColumn(out, F.coalesce("_near", "_far")).drop("_b", "_v", "_near", "_far")
 
 
 def lagged(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket_by: str, width: int, ahead: bool = False) -> DataFrame:
@@ -93,4 +94,4 @@ def lagged(df: DataFrame, keys: list[str], order: list[str], value: Column, out:
     ends = ends.select(*keys, "_b", F.lag("_e").over(Window.partitionBy(*keys).orderBy(F.desc("_b") if ahead else F.col("_b"))).alias("_far"))
     inside = Window.partitionBy(*keys, "_b").orderBy(*[F.desc(c) if ahead else F.col(c) for c in order])
     near = df.withColumns({"_near": F.lag("_v").over(inside), "_i": F.row_number().over(inside)})
-    return near.join(ends, [*keys, "_b"]).withColumn(out, F.when(F.col("_i") == 1, F.col("_far")).otherwise(F.col("_near"))).drop("_b", "_v", "_near", "_i", "_far")
+    return near.join(ends.hint("merge"), [*keys, "_b"]).withColumn(out, F.when(F.col("_i") == 1, F.col("_far")).otherwise(F.col("_near"))).drop("_b", "_v", "_near", "_i", "_far")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.running import BUCKET, numbered
 from ..sources import canonical
 from ..sources.incremental import IncrementalAdapter
 from ..sources.paired import PairedAdapter
@@ -104,7 +105,7 @@ SELECT symbol, t AS timestamp_ns, CAST(row_number() OVER (PARTITION BY symbol OR
 def _paired(spark, sf_dir):
     """(messages, book) of one day of one instrument, made from events: headerless files of one line per event id."""
     e = table(spark, sf_dir, "events").select("event_id", F.floor("value").cast("bigint").alias("v"))
-    e = e.withColumn("i", F.row_number().over(Window.orderBy("event_id")) - 1)
+    e = numbered(e.withColumn("_o", F.coalesce("event_id", F.lit(-(1 << 62)))), [], ["event_id"], "i", "_o", BUCKET).drop("_o")  # null ids come first
     time = F.expr("cast(34200 + cast(i as decimal(20,6)) / 1000 as decimal(20,6))").cast("string")
     ask, bid = F.expr("1000100 + 100 * (v % 3)"), F.expr("999900 - 100 * (v div 3 % 3)")
     messages = e.select("i", time.alias("c0"), F.expr("cast(1 + event_id % 5 as string)").alias("c1"), F.col("event_id").cast("string").alias("c2"), F.expr("cast(1 + v % 4 as string)").alias("c3"), F.expr("cast(case when event_id % 2 = 0 then 999900 - 100 * (v div 3 % 3) else 1000100 + 100 * (v % 3) end as string)").alias("c4"), F.expr("case when event_id % 2 = 0 then '1' else '-1' end").alias("c5"))

@@ -67,5 +67,5 @@ def read_vendor_csv(spark: SparkSession, path: str, header: bool) -> DataFrame:
     df = raw.select(*cells, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
     splits = df.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))  # a row for each split
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = df.join(splits.select("_file", "_start", "_first", before.alias("_before")), ["_file", "_start"])
+    numbered = df.join(F.broadcast(splits.select("_file", "_start", "_first", before.alias("_before"))), ["_file", "_start"])
     return numbered.select(*cells, (F.col("_before") + F.col("_id") - F.col("_first")).cast("bigint").alias("row"))

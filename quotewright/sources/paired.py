@@ -6,7 +6,8 @@ there. Row i of the book is the state after message i.
 
 Outside halts the state before a message is the last processed row's book, so nothing is recursive: levels of
 consecutive processed rows meet in a full outer join; what the message explains becomes its event, the rest is
-reconciled, cancels first.
+reconciled, cancels first. Both files' cells compress to almost nothing, so their size says little about their rows: joins of
+rows with rows are sort-merge joins, never broadcasts.
 """
 
 from __future__ import annotations
@@ -86,21 +87,21 @@ class PairedAdapter(Adapter):
         starts = m.where("(first and code <> 7) or (halt in (0, 1) and halted_before)")
         steps = m.where("code <> 7 and not first and not halted_before")
         live = lagged(starts.select("file", "row").union(steps.select("file", "row")), ["file"], ["row"], F.col("row"), "before", "row", BUCKET).select("row", "before")
-        steps = steps.join(live, "row")
-        after = steps.select("row", "before").join(lv, "row").select("row", "side", "price_ticks", F.col("quantity").alias("qa"))
-        prior = steps.select(F.col("row").alias("now"), F.col("before").alias("row")).join(lv, "row").select(F.col("now").alias("row"), "side", "price_ticks", F.col("quantity").alias("qb"))
-        d = prior.join(after, ["row", "side", "price_ticks"], "full").fillna(0, ["qa", "qb"])
+        steps = steps.join(live.hint("merge"), "row")
+        after = steps.select("row", "before").join(lv.hint("merge"), "row").select("row", "side", "price_ticks", F.col("quantity").alias("qa"))
+        prior = steps.select(F.col("row").alias("now"), F.col("before").alias("row")).join(lv.hint("merge"), "row").select(F.col("now").alias("row"), "side", "price_ticks", F.col("quantity").alias("qb"))
+        d = prior.join(after.hint("merge"), ["row", "side", "price_ticks"], "full").fillna(0, ["qa", "qb"])
         visible = steps.where("code between 1 and 4").select("row", "code", F.col("direction").alias("side"), self._ticks(F.col("price")).alias("price_ticks"), _scaled(F.col("size"), self.multiplier).alias("q"))
-        d = d.join(visible, ["row", "side", "price_ticks"], "left").withColumn("change", F.col("qa") - F.col("qb"))
+        d = d.join(visible.hint("merge"), ["row", "side", "price_ticks"], "left").withColumn("change", F.col("qa") - F.col("qb"))
         cause = F.when(F.col("code").isNull(), 0).when(F.col("code") == 1, F.least("q", F.greatest("change", F.lit(0)))).otherwise(-F.least("q", F.greatest(-F.col("change"), F.lit(0))))  # least() skips nulls
         d = d.withColumn("cause", cause).withColumn("rest", F.col("change") - F.col("cause"))
         kind = F.when(F.col("cause") > 0, "ADD").when(F.col("code") == 4, "TRADE").otherwise("CANCEL")
         e = lambda stage, k, q: F.struct(F.lit(stage).alias("stage"), k.alias("event_type"), F.abs(q).cast("bigint").alias("quantity"))
         parts = F.array(F.when(F.col("cause") != 0, e(1, kind, F.col("cause"))), F.when(F.col("rest") < 0, e(2, F.lit("CANCEL"), F.col("rest"))), F.when(F.col("rest") > 0, e(3, F.lit("ADD"), F.col("rest"))))
         moves = d.select("row", "side", "price_ticks", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("e")).select("row", "side", "price_ticks", "e.*")
-        full = starts.select("row").join(lv, "row").select("row", "side", "price_ticks", F.lit(1).alias("stage"), F.lit("SNAPSHOT").alias("event_type"), "quantity")
+        full = starts.select("row").join(lv.hint("merge"), "row").select("row", "side", "price_ticks", F.lit(1).alias("stage"), F.lit("SNAPSHOT").alias("event_type"), "quantity")
         resets = stops.select("row").union(starts.select("row")).select("row", F.lit(None).cast("int").alias("side"), F.lit(0).cast("bigint").alias("price_ticks"), F.lit(0).alias("stage"), F.lit("RESET").alias("event_type"), F.lit(0).cast("bigint").alias("quantity"))
-        out = moves.unionByName(full).unionByName(resets).join(m.select("row", "timestamp_ns"), "row")
+        out = moves.unionByName(full).unionByName(resets).join(m.select("row", "timestamp_ns").hint("merge"), "row")
         out = numbered(out.withColumn("file", F.expr("row div 1099511627776")), ["file"], ["row", "stage", F.desc(F.coalesce("side", F.lit(2))), -F.col("price_ticks") * F.coalesce("side", F.lit(1))], "sequence_number", "row", BUCKET)
         return out.select("timestamp_ns", "sequence_number", "event_type", F.col("side").cast("tinyint").alias("side"), "price_ticks", "quantity")
 
@@ -116,7 +117,7 @@ class PairedAdapter(Adapter):
         lv = self.book_levels(book)
         live = lagged(m.where(f"(first and code <> 7) or (halt in (0, 1) and halted_before) or (code <> 7 and {open_})"), ["file"], ["row"], F.col("row"), "before", "row", BUCKET)
         seen = live.where(f"code between 1 and 4 and {open_}").select("row", "before", "code", F.col("direction").alias("side"), self._ticks(F.col("price")).alias("price_ticks"), _scaled(F.col("size"), self.multiplier).alias("q"))
-        seen = seen.join(lv.withColumnRenamed("quantity", "qa"), ["row", "side", "price_ticks"], "left").join(lv.select(F.col("row").alias("before"), "side", "price_ticks", F.col("quantity").alias("qb")), ["before", "side", "price_ticks"], "left").fillna(0, ["qa", "qb"])
+        seen = seen.join(lv.withColumnRenamed("quantity", "qa").hint("merge"), ["row", "side", "price_ticks"], "left").join(lv.select(F.col("row").alias("before"), "side", "price_ticks", F.col("quantity").alias("qb")).hint("merge"), ["before", "side", "price_ticks"], "left").fillna(0, ["qa", "qb"])
         moved = F.greatest(F.lit(0), F.least("q", F.when(F.col("code") == 1, F.col("qa") - F.col("qb")).otherwise(F.col("qb") - F.col("qa"))))
         more = seen.select(moved.alias("moved"), "q").agg(F.count_if(F.col("moved") == 0).alias("messages_outside_visible_depth"), F.coalesce(F.sum(F.when((F.col("moved") > 0) & (F.col("moved") < F.col("q")), F.col("q") - F.col("moved"))), F.lit(0)).alias("partially_visible_message_quantity"))
         return found | more.first().asDict()
