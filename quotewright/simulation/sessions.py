@@ -1,23 +1,25 @@
 """Simulated sessions in parallel: one task runs one (case, symbol) at a time.
 
 The loop inside a session can't be split, so cases and symbols are what scale out. A task streams its rows sorted by
-case, symbol and sequence and holds one session. Rows of all tables leave in one frame as JSON and are split afterwards,
-so that a session runs once whatever tables are asked for; write the frame before splitting it more than once.
+case, symbol, time and sequence; a session takes them one by one and lets its rows go as soon as they are final, so that a task
+holds neither. Rows of all tables leave in one frame as JSON and are split afterwards, so that a session runs once whatever
+tables are asked for; write the frame before splitting it more than once. row_no orders a table, the frame does not.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .config import Config, from_json
-from .kernel import TABLES, simulate
+from .kernel import TABLES, Session
 
 LONG = "case_name string, symbol bigint, table string, row_no bigint, row string"
-FLUSH, MOST_TASKS = 20_000, 20_000
+FLUSH, MOST_TASKS = 4_000, 20_000
 
 
 def latency_scaled(config: Config, factor: float) -> Config:
@@ -59,37 +61,23 @@ def run_cases(events: DataFrame, cases: dict[str, Config]) -> DataFrame:
         import pyarrow as pa
 
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-        now, rows = None, []
-
-        def done():
-            tables = simulate(from_json(settings[now[0]]), rows)
-            part = []
-            for table, found in tables.items():
-                columns = COLUMNS[table]
-                for i, r in enumerate(found):
-                    part.append((*now, table, i, json.dumps(dict(zip(columns, r)))))
-                    if len(part) >= FLUSH:
-                        yield part
-                        part = []
-            if part:
-                yield part
 
         def batch_of(part):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names)
 
-        for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                if r[:2] != now:
-                    if rows:
-                        for part in done():
-                            yield batch_of(part)
-                    now, rows = r[:2], []
-                rows.append(r[2:])
-        if rows:
-            for part in done():
-                yield batch_of(part)
-
-    symbols = events.select("symbol").distinct()
+        part = []
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for now, own in groupby(rows, lambda r: r[:2]):
+            first = next(own)
+            for table, i, r in Session(from_json(settings[now[0]]), (r[4:] for r in chain([first], own)), first[2:4]).stream():
+                part.append((*now, table, i, json.dumps(dict(zip(COLUMNS[table], r)))))
+                if len(part) >= FLUSH:
+                    yield batch_of(part)
+                    part = []
+        if part:
+            yield batch_of(part)
+
+    symbols = events.groupBy("symbol").agg(F.min_by("timestamp_ns", "sequence_number").alias("_start"), F.max_by("timestamp_ns", "sequence_number").alias("_end"))
     n = symbols.count()
     if not n:
         return events.sparkSession.createDataFrame([], LONG)
@@ -98,7 +86,7 @@ def run_cases(events: DataFrame, cases: dict[str, Config]) -> DataFrame:
     parts = min(n * len(settings), MOST_TASKS)
     each = events.join(numbered, "symbol").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))))  # every event goes to every case
     each = each.withColumn("case_name", F.element_at(F.array(*[F.lit(k) for k in settings]), F.col("_k") + 1)).withColumn("_p", F.pmod(F.col("_k") * n + F.col("_s"), F.lit(parts)).cast("int"))
-    ordered = each.repartitionById(parts, F.col("_p")).sortWithinPartitions("case_name", "symbol", "sequence_number").select("case_name", "symbol", "timestamp_ns", "sequence_number", "event_type", "side", "price_ticks", "quantity")
+    ordered = each.repartitionById(parts, F.col("_p")).sortWithinPartitions("case_name", "symbol", "timestamp_ns", "sequence_number").select("case_name", "symbol", "_start", "_end", "timestamp_ns", "sequence_number", "event_type", "side", "price_ticks", "quantity")
     return ordered.mapInArrow(sessions, LONG)
 
 
