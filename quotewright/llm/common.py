@@ -8,14 +8,12 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a word is: runs without space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
-MEMO = 150_000  # entries a worker's word memo may hold before it starts again
-LONG = 64  # bytes; longer words aren't remembered, so that a memo's size is bounded
+BYTES = 1 << 16  # of a text that are hashed at a time
 
 _own: list[str] = []
 
@@ -68,36 +66,49 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-class WordHash(dict):
-    """64-bit hashes of words, remembered by each Python worker: a word's place in a table of hashes, as small integers are quick to gather."""
+_B, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_INVERSE = pow(_B, -1, 1 << 64)
+_powers, _inverse = (np.cumprod(np.r_[np.uint64(1), np.full(BYTES, x, np.uint64)]) for x in (_B, _INVERSE))
+_byte = np.random.default_rng(41).integers(0, 2**64, 256, dtype=np.uint64)
+_byte[65:91] = _byte[97:123]  # A-Z count as a-z
+_inside = ~np.isin(np.arange(256), list(SPACES.encode()))
 
-    def __init__(self):
-        super().__init__()
-        self.restart()
 
-    def __missing__(self, word: bytes) -> int:
-        i = self.used
-        self.used += 1
-        if i >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[i] = xxhash.xxh64_intdigest(word)
-        if len(word) <= LONG:
-            self[word] = i
-        return i
+def word_edges(text: bytes) -> np.ndarray:
+    """Where words start and stop, by turns."""
+    inside = _inside[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    return np.concatenate([[0] * bool(len(inside) and inside[0]), edges, [len(inside)] * bool(len(inside) and inside[-1])]).astype(np.int64)
 
-    def restart(self) -> None:
-        self.clear()
-        self.table, self.used = np.zeros(1 << 16, np.uint64), 0
 
+def text_hashes(text: bytes | None, edges: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of a text's words with A-Z lower-cased, in order.
 
-_hashes = WordHash()
+    A word's hash is the sum of its bytes' random values times the powers of an odd number, the first power one, mixed. The sums
+    come from prefix sums over the text, BYTES at a time, so no word becomes an object; memory is bounded but for the words' own.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    x = np.frombuffer(text, np.uint8)
+    edges = word_edges(text) if edges is None else edges
+    sums, back = np.zeros(len(edges), np.uint64), np.zeros(len(edges), np.uint64)
+    carry, power, inverse = 0, 1, 1
+    for o in range(0, len(x), BYTES):
+        part = x[o : o + BYTES]
+        own = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_byte[part] * _powers[: len(part)], out=own[1:])
+        i, j = np.searchsorted(edges, (o, o + len(part) + 1))
+        at = edges[i:j] - o
+        sums[i:j] = own[at] * np.uint64(power) + np.uint64(carry)
+        back[i:j] = _inverse[at] * np.uint64(inverse)
+        carry = (carry + int(own[-1]) * power) & _ALL
+        power, inverse = power * int(_powers[len(part)]) & _ALL, inverse * int(_inverse[len(part)]) & _ALL
+    return mix((sums[1::2] - sums[::2]) * back[::2])
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if _hashes.used >= MEMO:  # between texts, so that places stay valid within one
-        _hashes.restart()
-    at = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
-    return _hashes.table[at]  # the table may have grown meanwhile
+    """The hashes of words, none of which is empty."""
+    return text_hashes(b" ".join(words))
 
 
 def words_of(text: bytes | None) -> list[bytes]:

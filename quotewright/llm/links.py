@@ -15,9 +15,9 @@ CELL = math.log(1.05)
 BEFORE, SKETCH = 8, 512
 
 
-def shared_keys(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """keyed (key, id) without the keys of one row."""
-    keys = scratch.cut(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), f"{name}-several")
+def shared_keys(keyed: DataFrame, scratch: Scratch, name: str, *more: str) -> DataFrame:
+    """keyed (key, id) without the keys of one row. more: c, to have the key's rows in keyed, too."""
+    keys = scratch.cut(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", *more), f"{name}-several")
     found = narrowed(keyed.select("key", "id"), keys, "key", "key").join(keys, "key").distinct()
     return scratch.cut(found, name)
 
@@ -103,8 +103,9 @@ def prefixes(sets: DataFrame, num: int, den: int, scratch: Scratch, name: str) -
     each = elements(sets)
     several = scratch.cut(each.groupBy("x").agg(F.count("*").cast("int").alias("c")).where("c > 1"), f"{name}-often")  # combined before it is shuffled
     order = Window.partitionBy("id", "v").orderBy("c", "x")  # a text's elements
-    ranked = narrowed(each, several, "x", "x").join(several, "x").withColumns({"k": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("id", "v")), "before": F.collect_list("x").over(order.rowsBetween(-BEFORE, -1))})
+    ranked = narrowed(each, several, "x", "x").join(several, "x").withColumns({"k": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("id", "v"))})
     placed = ranked.withColumn("i", F.expr("cast(n - all + k - 1 as int)")).where(f"i <= n - ({num} * n + {den - 1}) div {den}")
+    placed = placed.withColumn("before", F.collect_list("x").over(order.rowsBetween(-BEFORE, -1)))  # what stands before a place that is left is left, too
     placed = placed.select("x", "id", "v", "n", "i", "c", "before").join(sketches(sets), ["id", "v"])
     return scratch.cut(placed.drop("v"), f"{name}-placed")
 
@@ -157,10 +158,18 @@ def prefix_pairs(placed: DataFrame, comps: DataFrame, num: int, den: int, scratc
     return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
-def resolve(keyed: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int, distance: int | None, scratch: Scratch, name: str) -> DataFrame:
+def pairs_of_groups(keyed: DataFrame) -> DataFrame:
+    """All pairs (a, b) that share a key. Only for groups of a bounded size."""
+    side = lambda c: keyed.select("key", F.col("id").alias(c))
+    return side("a").join(side("b"), "key").where("a < b").select("a", "b").distinct()
+
+
+def resolve(keyed: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int, distance: int | None, scratch: Scratch, name: str, small: int = 0) -> DataFrame:
     """(node, comp) of the links (a, b) and of the pairs within() confirms among ids that share a key.
 
-    keyed has (key, id), sets what within() says, for every id of keyed. First comes what is easily joined: in KEY_ROUNDS,
+    keyed has (key, id), sets what within() says, for every id of keyed. Where small is given, keyed has c, too, how many
+    rows a key has at most, and in groups of up to small rows everybody meets everybody: at most (small - 1) / 2 pairs a
+    row, fewer than the rounds below would try. The other groups go through the rounds. First comes what is easily joined: in KEY_ROUNDS,
     every member of a key's group meets one partner of another component, from the second round on the group's most
     central one, that whose keys are the most frequent; in RARE_ROUNDS, it meets one by its rarest element. Groups that
     lie in one component are done. Then prefix_pairs gives every pair that is left across components and may still
@@ -184,6 +193,9 @@ def resolve(keyed: DataFrame, links: DataFrame, sets: DataFrame, num: int, den:
             if new.limit(1).count():
                 state["comps"] = joined_components(state["comps"], new, scratch, f"{name}-comps")
 
+    if small:
+        try_(pairs_of_groups(keyed.where(F.col("c") <= small)))
+        keyed = scratch.cut(keyed.where(F.col("c") > small).select("key", "id"), f"{name}-large")
     for turn in range(KEY_ROUNDS):
         member = open_members()
         if not member.limit(1).count():

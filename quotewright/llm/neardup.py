@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, append, multipliers, narrowed, shingles, word_hashes, words_of
+from .common import Scratch, append, multipliers, narrowed, shingles, text_hashes
 from .links import resolve, shared_keys
 
 PIECES, CHUNK, ERRORS, BITS = 8, 4, 1, 16
@@ -36,7 +36,7 @@ SLICE = 4096
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles."""
-    return np.unique(shingles(word_hashes(words_of(text)), k))
+    return np.unique(shingles(text_hashes(text), k))
 
 
 def signature(s: np.ndarray, by: np.ndarray) -> np.ndarray:

@@ -26,26 +26,25 @@ empty. Empty table: no rows. Extra columns stay, whatever their names; one named
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, append, connected_components, mix, multipliers, narrowed, shingles, word_hashes, words_of
+from .common import Scratch, append, connected_components, mix, multipliers, narrowed, shingles, text_hashes, word_edges
 from .links import resolve, shared_keys
 
 SHINGLE, WINDOW, GAP = 5, 20, 31
 BANDS, ROWS = 8, 3
+GROUP = 16  # paragraphs of a band's key that all meet each other; larger groups are resolved in rounds
 MIN_WORDS = WINDOW + GAP - 1
 STRIDE = 12  # words in which runs of short lines differ, at their starts and ends together
 SEED = 77_003
 SLICE = 1 << 16
 TEXTS = 1_000  # texts that a task works on at a time
+BLOCK = 1 << 18  # bytes of texts that are scanned as one; a longer text is scanned alone
 TEXT, ANCHOR, PARAGRAPH = 0, 1, 2
 
-_word = re.compile(rb"[^\x20\x09-\x0D]+")
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,17 +62,27 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def anchors(s: np.ndarray) -> np.ndarray:
-    """Places of the smallest of every GAP consecutive hashes (by their high 40 bits, the rightmost among equals), ascending, those with room for a paragraph."""
+def anchors(s: np.ndarray, stops: np.ndarray | None = None, starts: np.ndarray | None = None) -> np.ndarray:
+    """Places of the smallest of every GAP consecutive hashes (by their high 40 bits, the rightmost among equals), ascending, those with room for a paragraph.
+
+    starts, stops: of the sequences that stand in s one after another, if it isn't one."""
     n = len(s)
     if n < GAP:
         return np.zeros(0, np.int64)
+    starts, stops = (np.zeros(1, np.int64), np.array([n])) if stops is None else (starts, stops)
     place = np.arange(n, dtype=np.uint64)
     low = sliding_min((s & ~_LOW) | (_LOW - (place & _LOW)), GAP) & _LOW  # the place, counted down in the low bits
     first = place[: n - GAP + 1]
-    at = first + ((_LOW - low - first) & _LOW)
-    at = at[np.r_[True, at[1:] != at[:-1]]].astype(np.int64)
-    return at[at <= n - (WINDOW - SHINGLE + 1)]
+    at = (first + ((_LOW - low - first) & _LOW)).astype(np.int64)
+    inside = np.zeros(n + 1, np.int64)  # counts the sequences that have room for GAP hashes there
+    room = stops - starts >= GAP
+    np.add.at(inside, starts[room], 1)
+    np.add.at(inside, stops[room] - GAP + 1, -1)
+    whole = np.cumsum(inside)[: len(at)] > 0
+    at = at[whole]
+    at = at[np.append(np.ones(min(1, len(at)), bool), at[1:] != at[:-1])]
+    last = stops[np.searchsorted(starts, at, "right") - 1] if len(starts) else at
+    return at[at <= last - (WINDOW - SHINGLE + 1)]
 
 
 def contents_of(rows: np.ndarray) -> np.ndarray:
@@ -92,8 +101,8 @@ def hashed(h: np.ndarray) -> int:
 def thinned(at: np.ndarray, marks: list[int]) -> np.ndarray:
     """Which of the places (ascending) are kept: those of the smallest marks first, none within STRIDE of another, and no gap that has room for one."""
     kept, taken = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    first, last = np.searchsorted(at, at - STRIDE, "right"), np.searchsorted(at, at + STRIDE)
-    for i in np.lexsort((at, marks)):
+    first, last = np.searchsorted(at, at - STRIDE, "right").tolist(), np.searchsorted(at, at + STRIDE).tolist()
+    for i in np.lexsort((at, marks)).tolist():
         if not taken[i]:
             kept[i] = taken[first[i] : last[i]] = True
     return kept
@@ -107,29 +116,43 @@ def runs_of(a: np.ndarray, b: np.ndarray, h: np.ndarray, least: int) -> np.ndarr
     them, and two runs of a text, which share less than `least` words and differ in STRIDE or more, aren't near each other by their
     own overlap. Two more start with the first line and end with the last one, so that no line is left out.
     """
-    starts = a[a + least <= b[-1]]
+    starts = a[: np.searchsorted(a, b[-1] - least, "right")]
     stops = b[np.searchsorted(b, starts + least)]
-    shortest = np.r_[stops[1:] != stops[:-1], True]
+    shortest = np.append(np.flatnonzero(stops[1:] != stops[:-1]), len(stops) - 1)
     starts, stops = starts[shortest], stops[shortest]
-    kept = thinned(starts + stops, [hashed(h[i:j]) for i, j in zip(starts, b[np.searchsorted(a, starts)])])
-    runs = np.stack([starts[kept], stops[kept]], 1)
-    return np.unique(np.concatenate([runs, [[a[0], runs[0, 1]], [runs[-1, 0], b[-1]]]]), axis=0)
+    kept = thinned(starts + stops, [hashed(h[i:j]) for i, j in zip(starts.tolist(), b[np.searchsorted(a, starts)].tolist())])
+    starts, stops = starts[kept], stops[kept]
+    runs = np.unique(np.concatenate([starts << 32 | stops, [int(a[0]) << 32 | int(stops[0]), int(starts[-1]) << 32 | int(b[-1])]]))
+    return np.stack([runs >> 32, runs & 0xFFFFFFFF], 1)
 
 
-def lines_of(text: bytes, h: np.ndarray, least: int) -> np.ndarray:
-    """(a, b) of the paragraphs, as places of words, by a, of equal ones the longest first: lines of at least that many words, and the runs of shorter lines between them. h: the words' hashes."""
-    sizes = np.array([len(line.split()) for line in text.split(b"\n")], np.int64)
-    b = np.cumsum(sizes)[sizes > 0]
-    a = b - sizes[sizes > 0]
+def paragraphs(starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, h: np.ndarray, least: int) -> np.ndarray:
+    """(a, b) of the paragraphs of texts that stand one after another, as places of words, by a, of equal ones the longest first.
+
+    starts: the bytes at which words start; ends: at which lines end; firsts: each text's first word; h: the words' hashes.
+    """
+    cuts = np.concatenate([[0], np.searchsorted(starts, ends), [len(starts)]])
+    some = np.flatnonzero(cuts[1:] > cuts[:-1])
+    a, b = cuts[some], cuts[some + 1]
     long = b - a >= least
     found = [np.stack([a[long], b[long]], 1)]
-    for lines in np.split(np.arange(len(a)), np.flatnonzero(long[1:] != long[:-1]) + 1):
-        if len(lines) and not long[lines[0]] and b[lines[-1]] - a[lines[0]] >= least:
-            found.append(runs_of(a[lines], b[lines], h, least))
+    turns = np.union1d(np.flatnonzero(long[1:] != long[:-1]) + 1, np.searchsorted(a, firsts)).tolist()
+    for i, j in zip([0, *turns], [*turns, len(a)]):
+        if i < j and not long[i] and b[j - 1] - a[i] >= least:
+            found.append(runs_of(a[i:j], b[i:j], h, least))
     found = np.concatenate(found)
     return found[np.lexsort((-found[:, 1], found[:, 0]))]
 
 
+def line_ends(text: bytes) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(text, np.uint8) == ord("\n"))
+
+
+def lines_of(text: bytes, h: np.ndarray, least: int) -> np.ndarray:
+    """(a, b) of the paragraphs, as places of words, by a, of equal ones the longest first: lines of at least that many words, and the runs of shorter lines between them. h: the words' hashes."""
+    return paragraphs(word_edges(text)[::2], line_ends(text), np.zeros(1, np.int64), h, least)
+
+
 def band_keys(s: np.ndarray, spans: np.ndarray, by: np.ndarray) -> np.ndarray:
     """A key for each band of each paragraph (a, b) of a text with shingles s."""
     cuts = np.stack([spans[:, 0], spans[:, 1] - SHINGLE + 1], 1).reshape(-1)
@@ -145,27 +168,51 @@ def band_keys(s: np.ndarray, spans: np.ndarray, by: np.ndarray) -> np.ndarray:
 def scanned(docs: DataFrame, min_words: int) -> DataFrame:
     """(kind, doc_id, cls, start, stop, w, keys): every text of min_words words or more (stop: its words), its windows (stop: where the last paragraph that holds it starts, or -1) and its paragraphs; cls and w are hashes of the text's words and of the piece's content."""
 
+    by = multipliers(BANDS * ROWS, SEED)
+
+    def block(ids: list[int], texts: list[bytes]):
+        """The columns of the texts' rows; arrays hold the words of all texts, one text after another."""
+        text = b"\n".join(texts)
+        edges = word_edges(text)
+        h = text_hashes(text, edges)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        firsts = np.searchsorted(edges[::2], begin)
+        sizes = np.diff(firsts, append=len(h))
+        enough = sizes >= min_words
+        if not enough.any():
+            return None
+        ids, first, size = np.array(ids, np.int64)[enough], firsts[enough], sizes[enough]
+        cls = np.array([hashed(h[a : a + n]) for a, n in zip(first.tolist(), size.tolist())], np.int64)
+        s = shingles(h, SHINGLE)
+        at = anchors(s, first + size - SHINGLE + 1, first)
+        lines = paragraphs(edges[::2], line_ends(text), firsts, h, min_words)
+        line = np.full(len(at), -1)
+        if len(lines):
+            i = np.maximum(np.searchsorted(lines[:, 0], at, "right") - 1, 0)
+            line = np.where((lines[i, 0] <= at) & (at + WINDOW <= lines[i, 1]), lines[i, 0], -1)
+        of_at, of_line = (np.searchsorted(first, x, "right") - 1 for x in (at, lines[:, 0]))
+        of = np.concatenate([np.arange(len(ids)), of_at, of_line])
+        starts = np.concatenate([0 * ids, at - first[of_at], lines[:, 0] - first[of_line]])
+        stops = np.concatenate([size, np.where(line < 0, -1, line - first[of_at]), lines[:, 1] - first[of_line]])
+        w = np.concatenate([cls, contents_of(s[at[None, :] + np.arange(WINDOW - SHINGLE + 1)[:, None]]), np.array([hashed(h[a:b]) for a, b in lines.tolist()], np.int64)])
+        parts = (len(ids), len(at), len(lines))
+        keys = band_keys(s, lines, by).reshape(-1) if len(lines) else w[:0]
+        return np.repeat((TEXT, ANCHOR, PARAGRAPH), parts), ids[of], cls[of], starts, stops, w, np.repeat((0, 0, BANDS), parts), keys
+
     def run(batches):
         import pyarrow as pa
 
-        by = multipliers(BANDS * ROWS, SEED)
         names = ["kind", "doc_id", "cls", "start", "stop", "w", "keys"]
         for batch in (whole.slice(i, TEXTS) for whole in batches for i in range(0, whole.num_rows, TEXTS)):
-            got = []
+            got, ids, texts, size = [], [], [], 0
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = word_hashes(words_of(t))
-                if len(h) < min_words:
-                    continue
-                s, cls = shingles(h, SHINGLE), hashed(h)
-                at, lines = anchors(s), lines_of(t, h, min_words)
-                line = np.full(len(at), -1)
-                if len(lines):
-                    i = np.maximum(np.searchsorted(lines[:, 0], at, "right") - 1, 0)
-                    line = np.where((lines[i, 0] <= at) & (at + WINDOW <= lines[i, 1]), lines[i, 0], -1)
-                sizes = (1, len(at), len(lines))
-                w = np.concatenate([[cls], contents_of(s[at[None, :] + np.arange(WINDOW - SHINGLE + 1)[:, None]]), [hashed(h[a:b]) for a, b in lines]]).astype(np.int64)
-                n = sum(sizes)
-                got.append((np.repeat((TEXT, ANCHOR, PARAGRAPH), sizes), np.full(n, k, np.int64), np.full(n, cls, np.int64), np.concatenate([[0], at, lines[:, 0]]), np.concatenate([[len(h)], line, lines[:, 1]]), w, np.repeat((0, 0, BANDS), sizes), band_keys(s, lines, by).reshape(-1) if len(lines) else w[:0]))
+                if texts and size + len(t) > BLOCK:
+                    got.append(block(ids, texts))
+                    ids, texts, size = [], [], 0
+                ids.append(k)
+                texts.append(t)
+                size += len(t)
+            got = [x for x in (*got, block(ids, texts) if texts else None) if x]
             if got:
                 kind, doc, cls, a, b, w, sizes, keys = (np.concatenate(x) for x in zip(*got))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(keys))
@@ -197,11 +244,11 @@ def merged_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans and the white space behind them."""
-    places = [m.span() for m in _word.finditer(text)]
+    starts = word_edges(text)[::2]
     out, at = [], 0
     for a, b in spans:
-        out.append(text[at : places[a][0]])
-        at = places[b][0] if b < len(places) else len(text)
+        out.append(text[at : starts[a]])
+        at = int(starts[b]) if b < len(starts) else len(text)
     return b"".join([*out, text[at:]])
 
 
@@ -216,7 +263,7 @@ def paragraph_sets(docs: DataFrame, ids: DataFrame, contents: DataFrame, scratch
         def work(rows):
             out = []
             for r in rows:
-                h, found = word_hashes(words_of(r["text"])), []
+                h, found = text_hashes(r["text"]), []
                 for x in r["at"]:
                     own = h[x["start"] : x["stop"]]
                     if hashed(own) == x["w"]:  # else a repeated id's other text
@@ -237,11 +284,11 @@ def near_paragraphs(docs: DataFrame, lines: DataFrame, scratch: Scratch, num: in
     """(doc_id, a, b, src_doc): the paragraphs that go, as another document with a smaller id keeps a near copy."""
     contents = lines.groupBy("w").agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"), F.max("doc_id").alias("last_doc"), F.first("keys").alias("keys"))
     contents = scratch.cut(contents, "contents")
-    keyed = shared_keys(contents.select(F.explode("keys").alias("key"), F.col("w").alias("id")), scratch, "keyed")
+    keyed = shared_keys(contents.select(F.explode("keys").alias("key"), F.col("w").alias("id")), scratch, "keyed", "c")
     sets = paragraph_sets(docs, keyed.select("id").distinct(), contents, scratch)
     keyed = keyed.join(sets.select("id"), "id", "left_semi")
     none = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    comps = resolve(keyed, none, sets, num, den, None, scratch, "near")
+    comps = resolve(keyed, none, sets, num, den, None, scratch, "near", GROUP)
     of = contents.join(comps.withColumnRenamed("node", "w"), "w", "left").select("w", F.coalesce("comp", "w").alias("comp"), F.col("first.doc_id").alias("first_doc"), "last_doc")
     clusters = of.groupBy("comp").agg(F.min("first_doc").alias("src_doc"), F.max("last_doc").alias("last")).where("src_doc < last").select("comp", "src_doc")
     sources = scratch.cut(of.join(clusters, "comp").select("w", "src_doc"), "sources")
@@ -267,7 +314,7 @@ def equal_passages(docs: DataFrame, windows: DataFrame, copies: DataFrame, gone:
         def work(rows):
             ends, keys, places = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for r in rows:
-                h, n = word_hashes(words_of(r["text"])), 0
+                h, n = text_hashes(r["text"]), 0
                 for x in r["at"]:
                     if hashed(h) != x["cls"]:
                         continue
