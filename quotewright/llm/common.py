@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: What a word is: runs without space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
+CUTS = 5  # scratch tables after which the driver cleans up, so that what it holds does not grow with the number of rounds
 BYTES = 1 << 16  # of a text that are hashed at a time
 
 _own: list[str] = []
@@ -37,6 +38,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.at: dict[str, str] = {}
+        self.cuts = 0
         where = spark._jvm.org.apache.hadoop.fs.Path(self.top)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # results may be read until the session ends
 
@@ -47,6 +49,9 @@ class Scratch:
         self.at[name] = path
         if old:
             self._remove(old)
+        self.cuts += 1
+        if self.cuts % CUTS == 0:
+            self.clean()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -55,8 +60,12 @@ class Scratch:
                 self._remove(self.at.pop(name))
 
     def keep(self, *names: str) -> None:
-        """Drops all but these, and lets the driver clean up what no plan refers to any longer: shuffle files stay on the executors' disks until then."""
+        """Drops all but these, and cleans up."""
         self.drop(*set(self.at) - set(names))
+        self.clean()
+
+    def clean(self) -> None:
+        """Lets the driver clean up what no plan refers to any longer: its memory holds broadcast tables, plans and their compiled code until then, and executors' disks hold shuffle files."""
         gc.collect()
         self.spark._jvm.System.gc()
 

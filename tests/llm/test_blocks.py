@@ -1,9 +1,10 @@
-"""Words hashed and texts scanned in blocks, and small groups compared whole."""
+"""Words hashed and texts scanned in blocks, small groups compared whole, and the driver's cleaning."""
 
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quotewright.llm import common, links, passages
 from quotewright.llm.common import Scratch, text_hashes, word_edges, word_hashes, words_of
@@ -56,3 +57,13 @@ def test_large_groups_are_resolved_all_the_same(spark):
     keyed = spark.createDataFrame([(1, i, 22) for i, _ in sets] + [(2, 30, 2), (2, 31, 2)], "key bigint, id bigint, c bigint")
     comps = links.resolve(keyed, spark.createDataFrame([], "a bigint, b bigint"), df, 80, 100, None, Scratch(spark), "t", 16)
     assert {(r.node, r.comp) for r in comps.collect() if r.node != r.comp} == {(i, 0) for i in range(1, 20)} | {(31, 30)}
+
+
+def test_driver_cleans_up_between_scratch_tables(spark, monkeypatch):
+    """However many rounds a query takes, the driver cleans up again and again; before, only where a step dropped its tables."""
+    cleaned = []
+    scratch = Scratch(spark)
+    monkeypatch.setattr(Scratch, "clean", lambda self: cleaned.append(self.cuts), raising=False)
+    for i in range(2 * common.CUTS + 1):
+        df = scratch.cut(spark.range(3).select(F.lit(i).alias("i")), "again")
+    assert df.count() == 3 and cleaned == [common.CUTS, 2 * common.CUTS]
