@@ -154,10 +154,7 @@ KERNEL_RULES = f"""WITH {L2_SQL} SELECT symbol, rule, CAST(0 AS BIGINT) AS n_bro
 def experiment_grid_identities(spark, sf_dir):
     """Of every case and symbol of the grid: the events it saw, and whether its figures agree with each other."""
     cases = sessions.grid(SLOW, **GRID)
-    long = written(sessions.run_cases(l2(spark, sf_dir), cases))
-    r = sessions.results(long, cases=cases)
-    gross = sessions.table(long, "pnl").groupBy("case_name", "symbol").agg(F.max_by("gross_pnl", "row_no").alias("gross_pnl"))
-    r = r.join(gross, ["case_name", "symbol"])
+    r = sessions.figures(written(l2(spark, sf_dir)), cases)
     return r.select("case_name", "symbol", "market_events", (F.abs(F.col("net_pnl") - F.col("gross_pnl") + F.col("fees") - F.col("rebates")) < 1e-6).alias("net_agrees"), F.col("fill_rate").between(0, 1).alias("fill_rate_agrees"), F.col("near_limit_fraction").between(0, 1).alias("near_limit_agrees"), (F.col("max_drawdown") >= 0).alias("drawdown_agrees"), (F.col("final_inventory").between(-_LIMITS.max_abs_inventory, _LIMITS.max_abs_inventory)).alias("inventory_agrees"))
 
 

@@ -4,22 +4,28 @@ The loop inside a session can't be split, so cases and symbols are what scale ou
 case, symbol, time and sequence; a session takes them one by one and lets its rows go as soon as they are final, so that a task
 holds neither. Rows of all tables leave in one frame as JSON and are split afterwards, so that a session runs once whatever
 tables are asked for; write the frame before splitting it more than once. row_no orders a table, the frame does not.
+
+Where only figures are wanted (figures), no row leaves a session but its last, and a task runs several cases of a symbol beside each
+other: they read the same events and replay the book once. There are as many tasks as keep all cores busy.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .config import Config, from_json
-from .kernel import TABLES, Session
+from .kernel import FIGURES, TABLES, Session, Tally, Tape, follows
 
 LONG = "case_name string, symbol bigint, table string, row_no bigint, row string"
 FLUSH, MOST_TASKS = 4_000, 20_000
+CHUNK, TASKS_PER_CORE = 2_000, 5
+SHARED_SYMBOLS = 10_000  # of so many at most, one row each is broadcast
 
 
 def latency_scaled(config: Config, factor: float) -> Config:
@@ -52,10 +58,34 @@ def grid(base: Config, strategies=("fixed_spread",), latencies=(1.0,), allocatio
     return out
 
 
+def _symbols(events: DataFrame) -> tuple[DataFrame, int]:
+    """Numbered symbols with the times of their first and last event, and how many there are."""
+    symbols = events.groupBy("symbol").agg(F.min_by("timestamp_ns", "sequence_number").alias("_start"), F.max_by("timestamp_ns", "sequence_number").alias("_end"))
+    n = symbols.count()
+    numbered = symbols.withColumn("_s", F.row_number().over(Window.orderBy("symbol")) - 1)  # a row for each symbol
+    return F.broadcast(numbered) if n <= SHARED_SYMBOLS else numbered, n
+
+
+def _dealt(events: DataFrame, numbered: DataFrame, n: int, shares: int) -> DataFrame:
+    """Every event once for each of so many shares of the cases (_k); sessions are dealt out one to a partition, so that none waits for another."""
+    parts = min(n * shares, MOST_TASKS)
+    each = events.join(numbered, "symbol").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    each = each.withColumn("_p", F.pmod(F.col("_k") * n + F.col("_s"), F.lit(parts)).cast("int"))
+    return each.repartitionById(parts, F.col("_p")).sortWithinPartitions("_k", "symbol", "timestamp_ns", "sequence_number").select("_k", "symbol", "_start", "_end", "timestamp_ns", "sequence_number", "event_type", "side", "price_ticks", "quantity")
+
+
+def _sessions(batches: Iterator) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """(share, symbol, start, end) and the events of each session in a task's rows."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    for _, own in groupby(rows, itemgetter(0, 1)):
+        first = next(own)
+        yield first[:4], (r[4:] for r in chain([first], own))
+
+
 def run_cases(events: DataFrame, cases: dict[str, Config]) -> DataFrame:
     """LONG rows of every case over every symbol's session (events: symbol and the canonical columns)."""
     names = [x.split()[0] for x in LONG.split(", ")]
-    settings = {k: c.to_json() for k, c in cases.items()}
+    settings = [(k, c.to_json()) for k, c in cases.items()]
 
     def sessions(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -66,28 +96,60 @@ def run_cases(events: DataFrame, cases: dict[str, Config]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names)
 
         part = []
-        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
-        for now, own in groupby(rows, lambda r: r[:2]):
-            first = next(own)
-            for table, i, r in Session(from_json(settings[now[0]]), (r[4:] for r in chain([first], own)), first[2:4]).stream():
-                part.append((*now, table, i, json.dumps(dict(zip(COLUMNS[table], r)))))
+        for (k, symbol, *span), own in _sessions(batches):
+            name, config = settings[k]
+            for table, i, r in Session(from_json(config), own, span).stream():
+                part.append((name, symbol, table, i, json.dumps(dict(zip(COLUMNS[table], r)))))
                 if len(part) >= FLUSH:
                     yield batch_of(part)
                     part = []
         if part:
             yield batch_of(part)
 
-    symbols = events.groupBy("symbol").agg(F.min_by("timestamp_ns", "sequence_number").alias("_start"), F.max_by("timestamp_ns", "sequence_number").alias("_end"))
-    n = symbols.count()
+    numbered, n = _symbols(events)
     if not n:
         return events.sparkSession.createDataFrame([], LONG)
-    # sessions are numbered and dealt out one to a partition, so that none waits for another
-    numbered = symbols.withColumn("_s", F.row_number().over(Window.orderBy("symbol")) - 1)  # a row for each symbol
-    parts = min(n * len(settings), MOST_TASKS)
-    each = events.join(numbered, "symbol").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))))  # every event goes to every case
-    each = each.withColumn("case_name", F.element_at(F.array(*[F.lit(k) for k in settings]), F.col("_k") + 1)).withColumn("_p", F.pmod(F.col("_k") * n + F.col("_s"), F.lit(parts)).cast("int"))
-    ordered = each.repartitionById(parts, F.col("_p")).sortWithinPartitions("case_name", "symbol", "timestamp_ns", "sequence_number").select("case_name", "symbol", "_start", "_end", "timestamp_ns", "sequence_number", "event_type", "side", "price_ticks", "quantity")
-    return ordered.mapInArrow(sessions, LONG)
+    return _dealt(events, numbered, n, len(settings)).mapInArrow(sessions, LONG)
+
+
+def figures(events: DataFrame, cases: dict[str, Config], near_limit: float = 0.8) -> DataFrame:
+    """results() of run_cases() and the last gross_pnl, without the rows between. events are read twice."""
+    ddl = f"case_name string, symbol bigint, {FIGURES}"
+    numbered, n = _symbols(events)
+    if not n:
+        return _rates(events.sparkSession.createDataFrame([], ddl).drop("orders", "submitted"))
+    each = -(-len(cases) // max(1, -(-TASKS_PER_CORE * events.sparkSession.sparkContext.defaultParallelism // n)))
+    shares = -(-len(cases) // each)
+    settings = [(k, c.to_json()) for k, c in cases.items()]
+
+    def sessions(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+        columns = [c.split() for c in ddl.split(", ")]
+        for (k, symbol, *span), own in _sessions(batches):
+            tape = Tape(own)
+            run = []
+            for name, config in settings[k::shares]:
+                c = from_json(config)
+                run.append((name, Tally(c, (), span, tape if follows(c) else None, near_limit * c.limits.max_abs_inventory)))
+            for _, s in run:
+                s.begin()
+            items = iter(tape)
+            while chunk := list(islice(items, CHUNK)):
+                plain = [(*x[:6], 0, 0, None, None, None) for x in chunk] if any(s.tape is None for _, s in run) else []
+                for _, s in run:
+                    s.advance(chunk if s.tape else plain)
+            for _, s in run:
+                s.finish()
+            rows = [(name, symbol, *s.figures()) for name, s in run]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(columns)], [c for c, _ in columns])
+
+    return _rates(_dealt(events, numbered, n, shares).mapInArrow(sessions, ddl).drop("orders", "submitted"))
+
+
+def _rates(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("fill_rate", F.coalesce(F.try_divide("filled", "submitted_orders"), F.lit(0.0))).withColumn("agenda_per_event", F.col("agenda_events") / F.col("market_events"))
 
 
 COLUMNS = {t: [c.split()[0] for c in ddl.split(", ")] for t, ddl in TABLES.items()}
@@ -115,4 +177,4 @@ def results(long: DataFrame, near_limit: float = 0.8, cases: dict[str, Config] |
     o = table(long, "orders").groupBy("case_name", "symbol").agg(F.count_distinct("order_id").alias("submitted_orders"), F.count_if(F.col("new_status") == "filled").alias("filled"))
     s = table(long, "summary").drop("row_no", "orders", "submitted")
     out = s.join(p, ["case_name", "symbol"]).join(o, ["case_name", "symbol"], "left")
-    return out.withColumn("fill_rate", F.coalesce(F.try_divide("filled", "submitted_orders"), F.lit(0.0))).withColumn("agenda_per_event", F.col("agenda_events") / F.col("market_events"))
+    return _rates(out)
