@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left, bisect_right
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ class AdapterError(ValueError):
 
 KEY = ["exchange", "symbol"]
 LEVEL = [*KEY, "side", "price_ticks"]
+#: Every so many times of a level's reductions, those that no trade can reach any more are let go if they are half of them.
+KEPT = 1_024
 
 
 def _flag(c: Column) -> Column:
@@ -76,6 +79,108 @@ def _problems(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["exchange", "symbol", "row", "problem"])
 
 
+class _Stretch:
+    """Reductions of a level by time, and what trades leave of them. Those of one time are a group, taken from in row order; a group
+    that is empty points to the one before it and the one after it, so that each is passed once."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.times: list[int] = []
+        self.groups: list[list[list[int]]] = []  # per time [row, quantity, left]
+        self.heads: list[int] = []  # the first of a group that is not empty
+        self.before, self.after = [0], [0]  # the group itself (before: plus 1) while it is not empty
+
+    def add(self, time: int, row: int, quantity: int) -> None:
+        if not self.times or self.times[-1] != time:
+            self.times.append(time)
+            self.groups.append([])
+            self.heads.append(0)
+            self.before.append(len(self.times))
+            self.after.append(len(self.times))
+        self.groups[-1].append([row, quantity, quantity])
+
+    @staticmethod
+    def find(to: list[int], i: int) -> int:
+        end = i
+        while to[end] != end:
+            end = to[end]
+        while to[i] != end:
+            to[i], i = end, to[i]
+        return end
+
+    def trade(self, time: int, rest: int) -> None:
+        """Takes from the nearest first, of equally near ones from the earlier."""
+        times, n = self.times, len(self.times)
+        at = bisect_right(times, time)
+        i, j = self.find(self.before, at) - 1, self.find(self.after, at)
+        while rest > 0:
+            back = time - times[i] if i >= 0 else self.window + 1
+            ahead = times[j] - time if j < n else self.window + 1
+            if min(back, ahead) > self.window:
+                return
+            g = i if back <= ahead else j
+            group, head = self.groups[g], self.heads[g]
+            while rest and head < len(group):
+                x = group[head]
+                q = min(rest, x[2])
+                x[2] -= q
+                rest -= q
+                head += not x[2]
+            self.heads[g] = head
+            if head == len(group):
+                self.before[g + 1], self.after[g] = g, g + 1
+                i, j = (self.find(self.before, g) - 1, j) if g == i else (i, self.find(self.after, g + 1))
+
+    def leave(self, before: int | None = None) -> list[tuple[int, int]]:
+        """(row, taken) of the reductions before a time (None: of all) that trades took from; they are forgotten."""
+        cut = len(self.times) if before is None else bisect_left(self.times, before)
+        out = [(row, quantity - left) for group in self.groups[:cut] for row, quantity, left in group if left < quantity]
+        for part in (self.times, self.groups, self.heads):
+            del part[:cut]
+        full = [h < len(g) for h, g in zip(self.heads, self.groups)]
+        self.before, self.after = [0, *(k + f for k, f in enumerate(full))], [*(k + (not f) for k, f in enumerate(full)), len(full)]
+        return out
+
+
+def _shares(batches, window: int, ordered: bool):
+    """Streams reductions (kind 0) and trades (1) ordered by level, time, kind and row; yields exchange, symbol, row and what trades take."""
+    import pyarrow as pa
+
+    def done(level, found):
+        exchange, symbol = ([x] * len(found) for x in level[:2])
+        return pa.RecordBatch.from_arrays([pa.array(exchange, pa.string()), pa.array(symbol, pa.string()), pa.array([r for r, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], ["exchange", "symbol", "row", "matched"])
+
+    def finish():
+        for at, _, quantity in waiting if ordered else sorted(waiting, key=lambda t: t[1]):
+            now.trade(at, quantity)
+        return done(level, now.leave())
+
+    level = now = last = None
+    waiting: deque[tuple[int, int, int]] = deque()  # trades whose window may not be over: time, row, quantity
+    for batch in batches:
+        for *own, time, kind, row, quantity in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != level or time - last > window:
+                if now:
+                    yield finish()
+                level, now = own, _Stretch(window)
+                waiting.clear()
+            last = time
+            if ordered:
+                while waiting and waiting[0][0] + window < time:
+                    at, _, q = waiting.popleft()
+                    now.trade(at, q)
+            if kind:
+                waiting.append((time, row, quantity))
+                continue
+            now.add(time, row, quantity)
+            if ordered and not len(now.times) % KEPT:
+                over = min(waiting[0][0] if waiting else time, time) - window
+                if now.times[len(now.times) // 2] < over:
+                    yield done(level, now.leave(over))
+    if now:
+        yield finish()
+
+
 class IncrementalAdapter(Adapter):
     """tick_size and quantity_multiplier fix the integer units; timestamp_source names the column that becomes the event's time."""
 
@@ -136,37 +241,21 @@ class IncrementalAdapter(Adapter):
         t = trades.where(side != "unknown")
         return t.select(*KEY, "row", (F.col(self.source).cast("bigint") * 1000).alias("timestamp_ns"), F.when(side == "buy", -1).when(side == "sell", 1).otherwise(F.raise_error(F.concat(F.lit("invalid trade side: "), side)).cast("int")).alias("side"), price_to_ticks(F.col("price"), self.tick).alias("price_ticks"), _scaled(F.col("amount"), self.multiplier).alias("quantity"))
 
-    def matched(self, reductions: DataFrame, trades: DataFrame) -> DataFrame:
-        """Per reduction row the quantity that trades take from it.
+    def matched(self, reductions: DataFrame, trades: DataFrame, ordered: bool = False) -> DataFrame:
+        """Per reduction row the quantity that trades take from it, where they take some.
 
         The budget is shared in trade order, so a level is a sequence; levels are independent, and so are stretches of one
-        level that lie further apart than the window. Those stretches are the groups.
+        level that lie further apart than the window. A level is streamed by time; ordered: the times of trades are known not to regress
+        by row, so that no more than about the window is held, else a stretch is. What is empty is skipped at once: the time is that
+        of the sort, however many rows the window holds.
         """
         window = self.window
-        both = reductions.select(*LEVEL, "row", "timestamp_ns", "quantity", F.lit(0).alias("kind")).unionByName(trades.select(*LEVEL, "row", "timestamp_ns", "quantity", F.lit(1).alias("kind")))
-        w = Window.partitionBy(*LEVEL).orderBy("timestamp_ns", "kind", "row")
-        both = both.withColumn("stretch", F.sum(F.when(F.col("timestamp_ns") - F.lag("timestamp_ns").over(w) > window, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-        def share(key, pdf):
-            import pandas as pd
-
-            red = sorted(zip(*(pdf[pdf.kind == 0][c].tolist() for c in ("timestamp_ns", "row", "quantity"))))
-            times, left, taken = [x[0] for x in red], [x[2] for x in red], [0] * len(red)
-            for t in pdf[pdf.kind == 1].sort_values("row").itertuples():
-                rest, at = t.quantity, t.timestamp_ns
-                i, j = bisect_left(times, at - window), bisect_right(times, at + window)
-                for k in sorted(range(i, j), key=lambda k: (abs(times[k] - at), times[k], red[k][1])):
-                    q = min(rest, left[k])
-                    left[k] -= q
-                    taken[k] += q
-                    rest -= q
-                    if not rest:
-                        break
-            name = lambda k: pd.Series([k] * len(red), dtype=object)
-            return pd.DataFrame({"exchange": name(key[0]), "symbol": name(key[1]), "row": [x[1] for x in red], "matched": taken})
-
-        found = both.groupBy(*LEVEL, "stretch").applyInPandas(share, "exchange string, symbol string, row bigint, matched bigint")
-        return found.where("matched > 0")
+        both = reductions.select(*LEVEL, "timestamp_ns", F.lit(0).alias("kind"), "row", "quantity").unionByName(trades.select(*LEVEL, "timestamp_ns", F.lit(1).alias("kind"), "row", "quantity"))
+
+        def share(batches):
+            return _shares(batches, window, ordered)
+
+        return both.repartition(*LEVEL).sortWithinPartitions(*LEVEL, "timestamp_ns", "kind", "row").mapInArrow(share, "exchange string, symbol string, row bigint, matched bigint")
 
     def to_canonical(self, book: DataFrame, trades: DataFrame | None = None, check: bool = True, single: bool = False) -> DataFrame:
         """exchange, symbol and the canonical columns, numbered per symbol. single: raises on more than one instrument."""
@@ -181,7 +270,7 @@ class IncrementalAdapter(Adapter):
             rows = rows.withColumn("matched", F.lit(0).cast("bigint"))
         else:
             red = rows.where("not snap and change < 0").select(*LEVEL, "row", "timestamp_ns", F.col("qty").alias("quantity"))
-            rows = rows.join(self.matched(red, self.trades(trades)), [*KEY, "row"], "left").fillna(0, ["matched"])
+            rows = rows.join(self.matched(red, self.trades(trades), ordered=check), [*KEY, "row"], "left").fillna(0, ["matched"])
         event = lambda kind, q, n, level=True: F.struct(F.lit(n).alias("n"), F.lit(kind).alias("event_type"), (F.col("side") if level else F.lit(None)).cast("tinyint").alias("side"), (F.col("price_ticks") if level else F.lit(0)).cast("bigint").alias("price_ticks"), q.cast("bigint").alias("quantity"))
         events = F.array(
             F.when(F.col("edge"), event("RESET", F.lit(0), 0, False)),

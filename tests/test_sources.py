@@ -289,3 +289,55 @@ def test_statements_of_origin():
     for bad in ({"source_type": "other"}, {"symbol": "  "}, {"checksum_sha256": "f" * 63}, {"session_end": dt.date(2024, 1, 1)}, {"session_start": None}, {"checksum_sha256": None}, {"venue": "simulated"}, {"provider": "Synthetic Ltd"}):
         with pytest.raises(ProvenanceError):
             Provenance(**(known | bad))
+
+
+def by_definition(reductions, trades, window):
+    """What trades, in row order, take of (time, row, quantity) reductions: nearest first, then earlier, then by row."""
+    left = {r: q for _, r, q in reductions}
+    for at, _, rest in sorted(trades, key=lambda t: t[1]):
+        for t, r, _ in sorted((x for x in reductions if abs(x[0] - at) <= window), key=lambda x: (abs(x[0] - at), x[0], x[1])):
+            q = min(rest, left[r])
+            left[r] -= q
+            rest -= q
+    return {r: q - left[r] for _, r, q in reductions if q > left[r]}
+
+
+@pytest.mark.parametrize("ordered", (True, False))
+def test_trades_take_what_the_definition_says(ordered, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from quotewright.sources import incremental
+
+    monkeypatch.setattr(incremental, "KEPT", 8)
+    rnd = random.Random(5)
+    for case in range(150):
+        span, window = rnd.choice(((30, 4), (300, 9), (300, 60), (2_000, 40)))
+        rows, want = [], {}
+        for price in (1, 2):
+            first = 1_000 * price
+            red = [(rnd.randrange(span), first + i, rnd.randint(1, 9)) for i in range(rnd.randint(0, 80))]
+            times = [rnd.randrange(span) for _ in range(rnd.randint(0, 60))]
+            tr = [(t, i, rnd.randint(1, 14)) for i, t in enumerate(sorted(times) if ordered else times)]
+            want |= by_definition(red, tr, window)
+            rows += sorted([("x", "s", 1, price, t, 0, r, q) for t, r, q in red] + [("x", "s", 1, price, t, 1, r, q) for t, r, q in tr])
+        names = ["exchange", "symbol", "side", "price_ticks", "timestamp_ns", "kind", "row", "quantity"]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k : k + 37]]) for k in range(0, len(rows), 37)]
+        got = [r for b in incremental._shares(iter(batches), window, ordered) for r in b.to_pylist()]
+        assert {r["row"]: r["matched"] for r in got} == want and len(got) == len(want)
+
+
+def test_a_trade_does_not_walk_over_what_is_empty():
+    import time
+
+    import pyarrow as pa
+
+    from quotewright.sources.incremental import _shares
+
+    n = 60_000  # all within one window: over every pair this would take half an hour
+    rows = {"exchange": ["x"] * 2 * n, "symbol": ["s"] * 2 * n, "side": [1] * 2 * n, "price_ticks": [5] * 2 * n, "timestamp_ns": [k // 2 for k in range(2 * n)], "kind": [k % 2 for k in range(2 * n)], "row": list(range(2 * n)), "quantity": [2 - k % 2 for k in range(2 * n)]}
+    for ordered in (True, False):
+        start = time.process_time()
+        got = [m for b in _shares(iter([pa.RecordBatch.from_pydict(rows)]), 10**9, ordered) for m in b.column(3).to_pylist()]
+        assert sum(got) == n and time.process_time() - start < 30
